@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
+from .near_duplicates import near_duplicate_names, near_duplicate_texts
 from .shared_spans import SharedSpans, records_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +26,20 @@ def p1_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).coverage()
 
 
+def _copies(spark: SparkSession, d: str, form: str) -> DataFrame:
+    docs = near_duplicate_texts(C.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    terms = near_duplicate_names(C.table(spark, d, "samsung_life_term").select(F.col("term_id").alias("id"), "name", "sale_date"))
+    return getattr(docs, form)().select(F.lit("doc").alias("rec_kind"), "*").union(getattr(terms, form)().select(F.lit("term"), "*"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _copies(spark, d, "pairs")
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _copies(spark, d, "classes")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
