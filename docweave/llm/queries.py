@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .lookalikes import consistent_text, found_only_alike, quotes_of
 from .near_duplicates import near_duplicate_names, near_duplicate_texts
 from .shared_spans import SharedSpans, records_of
+from .splitting import cut_kinds, split_items
+from .survivors import surviving_fields, surviving_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +29,14 @@ def p1_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).coverage()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return surviving_fields(C.table(spark, d, "nodes"))
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    return surviving_records(C.table(spark, d, "nodes"))
+
+
 def _copies(spark: SparkSession, d: str, form: str) -> DataFrame:
     docs = near_duplicate_texts(C.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     terms = near_duplicate_names(C.table(spark, d, "samsung_life_term").select(F.col("term_id").alias("id"), "name", "sale_date"))
@@ -40,6 +51,27 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return _copies(spark, d, "classes")
 
 
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    return C.table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), "path", "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_kinds(_articles(spark, d)).withColumnRenamed("id", "chunk_id")
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_items(_articles(spark, d)).withColumnRenamed("id", "chunk_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return found_only_alike(quotes_of(C.table(spark, d, "nodes"), C.table(spark, d, "goldenset")), C.table(spark, d, "chunks"))
+
+
+def p5_quotes(spark: SparkSession, d: str) -> DataFrame:
+    quotes = quotes_of(C.table(spark, d, "nodes"), C.table(spark, d, "goldenset")).where("quote is not null")
+    return consistent_text(quotes.select("rec_kind", "rec_id", "quote"), ["quote"])
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
