@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .leakage import leaked_items
 from .lookalikes import consistent_text, found_only_alike, quotes_of
 from .near_duplicates import near_duplicate_names, near_duplicate_texts
 from .shared_spans import SharedSpans, records_of
@@ -72,6 +73,14 @@ def p5_quotes(spark: SparkSession, d: str) -> DataFrame:
     return consistent_text(quotes.select("rec_kind", "rec_id", "quote"), ["quote"])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(C.table(spark, d, "documents"), C.table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
