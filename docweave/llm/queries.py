@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from .leakage import leaked_items
 from .lookalikes import consistent_text, found_only_alike, quotes_of
+from .mixing import Mix
 from .near_duplicates import near_duplicate_names, near_duplicate_texts
+from .reading_level import demanding, reading_levels
 from .shared_spans import SharedSpans, records_of
 from .splitting import cut_kinds, split_items
 from .survivors import surviving_fields, surviving_records
@@ -81,6 +83,34 @@ def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(C.table(spark, d, "documents"), C.table(spark, d, "eval_items"))
 
 
+def _mix(spark: SparkSession, d: str) -> Mix:
+    return Mix(C.table(spark, d, "documents"), C.table(spark, d, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares().where("short").select("source")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).uses()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares()
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(C.table(spark, d, "documents"), C.table(spark, d, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return demanding(_levels(spark, d))
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d)
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
