@@ -1,16 +1,12 @@
-"""Registered queries of the engine and their SQL equivalents."""
+"""All registered queries: importing the query modules fills the registry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_chunks, q_evaluation, q_extraction, q_graph, q_pipelines, q_runs, q_schema, q_sources, q_streams, q_terms, q_text  # noqa: F401
+from .registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
