@@ -1,10 +1,17 @@
-"""All registered queries: importing the query modules fills the registry."""
+"""All registered queries: importing the query modules of this package fills the registry."""
 
 from __future__ import annotations
 
-from . import q_chunks, q_evaluation, q_extraction, q_graph, q_pipelines, q_runs, q_schema, q_sources, q_streams, q_terms, q_text  # noqa: F401
+import importlib
+import pkgutil
+
+from .. import plans
 from .registry import ORACLES, QUERIES, Query
 
+for _module in pkgutil.iter_modules(plans.__path__):
+    if _module.name.startswith("q_"):
+        importlib.import_module(f"{plans.__name__}.{_module.name}")
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
