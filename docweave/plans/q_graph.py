@@ -13,13 +13,9 @@ SEED_TYPES = ["Regulation", "Procedure"]
 WALK_TYPES = ["LIMITS", "EXCLUDES"]
 TOP_K, MIN_SCORE = 5, 0.3
 
-#: Words of the questions with an id divisible by 20 are the keywords of as many searches.
+#: Nodes with a number divisible by 20 make as many searches, with the first letters and an inflected form of their labels as keywords.
 KEYWORDS_SQL = """kw AS (
-  SELECT DISTINCT quote_id AS query_id, stem, t.type, w.keyword FROM (
-    SELECT quote_id, stem, unnest(string_split(replace(question, '?', ''), ' ')) AS keyword
-    FROM goldenset WHERE quote_id % 20 = 0 AND question IS NOT NULL) w,
-    (VALUES ('InsuranceProduct'), ('Coverage'), ('Benefit')) t(type)
-  WHERE length(w.keyword) >= 4)"""
+  SELECT node_no AS query_id, stem, type, unnest([left(label, 5), label || '은']) AS keyword FROM nodes WHERE node_no % 20 = 0 AND label IS NOT NULL)"""
 GRAPH_SQL = "g AS (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY node_no) = 1)"
 
 
@@ -35,10 +31,9 @@ def edges_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keywords_of(spark: SparkSession, d: str) -> DataFrame:
-    gold = table(spark, d, "goldenset").where("quote_id % 20 = 0 and question is not null")
-    words = gold.select(F.col("quote_id").alias("query_id"), "stem", F.explode(F.split(F.replace("question", F.lit("?"), F.lit("")), " ")).alias("keyword"))
-    types = F.explode(F.array(*map(F.lit, ("InsuranceProduct", "Coverage", "Benefit")))).alias("type")
-    return words.where(F.length("keyword") >= 4).select("query_id", "stem", "keyword", types).distinct()
+    asked = table(spark, d, "nodes").where("node_no % 20 = 0 and label is not null")
+    words = F.explode(F.array(F.substring("label", 1, 5), F.concat("label", F.lit("은")))).alias("keyword")
+    return asked.select(F.col("node_no").alias("query_id"), "stem", "type", words)
 
 
 def _versioned(spark: SparkSession, d: str, keywords: DataFrame) -> DataFrame:
