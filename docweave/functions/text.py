@@ -13,10 +13,10 @@ from pyspark.sql.types import StringType
 
 SPACES = r"(?U)\s+"
 # Heading forms of policy texts.
-ARTICLE = r"제\s*(\d+(?:-\d+)?)\s*조(?:\s*의\s*(\d+))?\s*"
+ARTICLE = r"제\s*(\p{Nd}+(?:-\p{Nd}+)?)\s*조(?:\s*의\s*(\p{Nd}+))?\s*"
 MARKED_ARTICLE = rf"^###\s*{ARTICLE}(?:\[(.+)\]|\(((?:[^()]|\([^()]*\))*)\))\s*$"
 PLAIN_ARTICLE = rf"^{ARTICLE}(?:\[([^\[\]]+)\]|\(((?:[^()]|\([^()]*\))*)\))\s*$"
-SECTION = r"^(?:##\s*)?제\s*(\d+)\s*(편|장|절|관)(?![\p{L}\p{N}_])\s*(.*?)\s*$"
+SECTION = r"^(?:##\s*)?제\s*(\p{Nd}+)\s*(편|장|절|관)(?![\p{L}\p{N}_])\s*(.*?)\s*$"
 CONTENTS_TAIL = r"\s\d{1,4}$|제\s*\d+(?:-\d+)?\s*조"
 FIGURE = r"[a-z]*\d[\d,.]*[a-z가-힣%]*"
 MIDDLE_DOTS = "∙ㆍ•‧·"

@@ -51,7 +51,7 @@ def policy_chunks(spark, d):
 
 
 @query("str11_articles_found", """WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
-  SELECT doc_id, count(*) AS n_articles FROM ln WHERE regexp_matches(trim(line), '^(?:###\\s*)?제\\s*(\\d+(?:-\\d+)?)\\s*조(?:\\s*의\\s*(\\d+))?\\s*\\(((?:[^()]|\\([^()]*\\))*)\\)\\s*$') GROUP BY doc_id""")
+  SELECT doc_id, count(*) AS n_articles FROM ln WHERE regexp_matches(trim(line), '^(?:###\\s*)?제\\s*(\\p{Nd}+(?:-\\p{Nd}+)?)\\s*조(?:\\s*의\\s*(\\p{Nd}+))?\\s*\\(((?:[^()]|\\([^()]*\\))*)\\)\\s*$') GROUP BY doc_id""")
 def articles_found(spark, d):
     """Article chunks per document, as the chunker finds them."""
     return K.policy_chunks(table(spark, d, "documents")).where("chunk_index > 0").groupBy("doc_id").agg(F.count("*").alias("n_articles"))
@@ -94,7 +94,7 @@ def hierarchy_jumps(spark, d):
     return K.hierarchy_jumps(table(spark, d, "chunks"), SEQ, "chunk_id").select("stem", "section_index", "level", "regressions", "skips")
 
 
-@query("win08_section_index", f"""WITH {LINE_SQL} SELECT doc_id, k - 1 AS line_no, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS section FROM ln""")
+@query("win08_section_index", f"""WITH {LINE_SQL} SELECT doc_id, k - 1 AS line_no, CAST(sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS BIGINT) AS section FROM ln""")
 def section_index(spark, d):
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -113,7 +113,6 @@ def carried_heading(spark, d):
   SELECT chunk_id, string_agg('제' || no || level, '/' ORDER BY CASE level WHEN '편' THEN 0 WHEN '장' THEN 1 WHEN '절' THEN 2 ELSE 3 END) AS stack FROM a GROUP BY chunk_id""")
 def hierarchy_stack(spark, d):
     """The stack rendered after popping same or deeper levels, by a fold over the ancestors."""
-    rank = lambda x: F.instr(F.lit("편장절관"), "level") if isinstance(x, str) else F.locate("관", F.lit("관"))  # noqa: E731, F841
     level_of = F.create_map(*(F.lit(x) for k, v in zip("편장절관", range(4)) for x in (k, v)))
     empty = F.array().cast("array<struct<level:string,no:string,title:string>>")
     fold = F.aggregate("ancestors", empty, lambda s, x: F.array_append(F.filter(s, lambda y: F.element_at(level_of, y["level"]) < F.element_at(level_of, x["level"])), x))
@@ -153,7 +152,7 @@ def rider_names(spark, d):
 
 
 @query("agg17_heading_coverage", f"""WITH {LINE_SQL}, c AS (SELECT doc_id, count(*) FILTER (starts_with(line, '### ')) AS candidates,
-    count(*) FILTER (regexp_matches(line, '^### 제\\s*\\d+(?:-\\d+)?\\s*조(?:\\s*의\\s*\\d+)?\\s*\\((?:[^()]|\\([^()]*\\))*\\)\\s*$')) AS matched FROM ln GROUP BY doc_id)
+    count(*) FILTER (regexp_matches(line, '^###\\s*제\\s*\\p{{Nd}}+(?:-\\p{{Nd}}+)?\\s*조(?:\\s*의\\s*\\p{{Nd}}+)?\\s*\\((?:[^()]|\\([^()]*\\))*\\)\\s*$')) AS matched FROM ln GROUP BY doc_id)
   SELECT doc_id, candidates, matched, candidates - matched AS missed FROM c WHERE candidates > 0""")
 def heading_coverage(spark, d):
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").startswith("### "))

@@ -8,7 +8,7 @@ from ..functions import text as T
 from .registry import query, table
 
 S = r"[\s\x{85}\x{a0}\x{1c}-\x{1f}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-ARTICLE_SQL = r"제\s*(\d+(?:-\d+)?)\s*조(?:\s*의\s*(\d+))?\s*\(((?:[^()]|\([^()]*\))*)\)\s*$"
+ARTICLE_SQL = r"제\s*(\p{Nd}+(?:-\p{Nd}+)?)\s*조(?:\s*의\s*(\p{Nd}+))?\s*\(((?:[^()]|\([^()]*\))*)\)\s*$"
 LINES_SQL = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
 
 
