@@ -1 +1,102 @@
-"""Composite pipelines (filled below)."""
+"""Composite pipelines: search with context, extraction, scoring, refinement."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import chunking as K
+from ..operators import rewriting as W
+from ..operators.search import Search, tiered_matches
+from .q_graph import GRAPH_SQL, edges_of, nodes_of
+from .registry import query, table
+
+#: (pos, type, keywords, property, operator, value), asked of every stem and version.
+ANALYSIS = [(0, "Coverage", ["암"], None, None, None), (1, "Premium", [], "amount", "gte", "500"), (2, "Regulation", [], None, None, None)]
+EDGE_TYPES = ["LIMITS", "EXCLUDES"]
+
+
+def analysis_of(nodes):
+    spark = nodes.sparkSession
+    rows = spark.createDataFrame(ANALYSIS, "pos int, type string, keywords array<string>, property string, operator string, value string")
+    scopes = nodes.select("stem", "version").distinct().withColumn("query_id", F.concat_ws("/", "stem", "version"))
+    return scopes.crossJoin(F.broadcast(rows))
+
+
+def edge_types_of(analysis):
+    return analysis.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, EDGE_TYPES))).alias("type"))
+
+
+def _search(spark, d):
+    n = nodes_of(spark, d)
+    analysis = analysis_of(n)
+    return Search(n, edges_of(spark, d), analysis, edge_types_of(analysis), hops=1, least_confidence="LOW")
+
+
+TIER_SQL = f"""{GRAPH_SQL}, hit AS (SELECT stem || '/' || version AS query_id, id, type, CASE
+    WHEN type = 'Coverage' AND contains(lower(label), '암') THEN 1
+    WHEN type = 'Premium' AND coalesce(try_cast(properties['amount'] AS DOUBLE) >= 500, false) THEN 2 ELSE 4 END AS tier FROM g WHERE type IN ('Coverage', 'Premium', 'Regulation')),
+  best AS (SELECT query_id, type, min(tier) AS tier FROM hit GROUP BY ALL), m AS (SELECT query_id, id, tier FROM hit JOIN best USING (query_id, type, tier))"""
+
+
+@query("pipe01_tiered_matches", f"WITH {TIER_SQL} SELECT query_id, id, tier FROM m")
+def matches(spark, d):
+    n = nodes_of(spark, d)
+    return tiered_matches(n, analysis_of(n)).select("query_id", "id", "tier")
+
+
+@query("pipe01_related_nodes", f"""WITH {TIER_SQL}, w AS (SELECT stem || '/' || version AS query_id, source, target FROM edges WHERE type IN ('LIMITS', 'EXCLUDES')),
+  t AS (SELECT query_id, source, target FROM w WHERE (query_id, source) IN (SELECT query_id, id FROM m) OR (query_id, target) IN (SELECT query_id, id FROM m) OR query_id NOT IN (SELECT query_id FROM m)),
+  s AS (SELECT query_id, id FROM m UNION SELECT query_id, source FROM t UNION SELECT query_id, target FROM t),
+  r AS (SELECT query_id, id FROM s UNION SELECT w.query_id, w.target FROM w JOIN s ON w.query_id = s.query_id AND w.source = s.id UNION SELECT w.query_id, w.source FROM w JOIN s ON w.query_id = s.query_id AND w.target = s.id)
+  SELECT DISTINCT r.query_id, r.id FROM r JOIN g ON r.id = g.id
+  WHERE (g.confidence IS NULL OR g.confidence IN ('LOW', 'MEDIUM', 'HIGH')) AND g.stem || '/' || g.version IN (SELECT DISTINCT stem || '/' || version FROM nodes)""")
+def related_nodes(spark, d):
+    return _search(spark, d).related_nodes.select("query_id", "id").distinct()
+
+
+@query("pipe01_search_context")
+def search_context(spark, d):
+    return _search(spark, d).context()
+
+
+@query("pipe02_discovery_reduce", "SELECT stem, type, min(node_no) AS first_seen, count(*) AS n FROM nodes WHERE type <> '' GROUP BY ALL")
+def discovery_reduce(spark, d):
+    """Ordered unique type lists of the groups of a document."""
+    return table(spark, d, "nodes").where("type <> ''").groupBy("stem", "type").agg(F.min("node_no").alias("first_seen"), F.count("*").alias("n"))
+
+
+@query("set10_discovery_terms", "SELECT stem, lower(trim(label)) AS term, arg_min(label, node_no) AS label FROM nodes WHERE label IS NOT NULL GROUP BY ALL")
+def discovery_terms(spark, d):
+    return table(spark, d, "nodes").where("label is not null").groupBy("stem", F.lower(F.trim("label")).alias("term")).agg(F.min_by("label", "node_no").alias("label"))
+
+
+@query("pipe04_extracted_graph")
+def extracted_graph(spark, d):
+    """Group replies verified against their texts, merged and anchored, as a graph of one version."""
+    n = table(spark, d, "nodes").where("version = 1").where(W.filled("id", "label", "type"))
+    texts = table(spark, d, "chunks").select("chunk_id", "text")
+    seen = n.join(texts, "chunk_id", "left").withColumn("s", W.evidence_span(F.col("evidence_text"), F.col("text")))
+    verified = seen.select("stem", "version", "id", "type", "label", "detail", W.known_confidence(F.col("confidence")).alias("confidence"), F.when(F.col("s").isNotNull(), F.col("evidence_text")).alias("evidence_text"), "s.start", "s.end", F.col("node_no").alias("seq"))
+    e = edges_of(spark, d).where("version = 1").where(W.filled("source", "target", "type")).select("stem", "version", "source", "target", "type", F.col("edge_no").alias("seq"))
+    merged, edges = W.merge_groups(verified, e, ["stem", "version"], "seq")
+    ends = edges.groupBy("stem", "version", F.col("source").alias("id")).agg(F.count("*").alias("n_out"))
+    return merged.join(ends, ["stem", "version", "id"], "left").select("id", "type", "label", "confidence", "evidence_text", "start", "end", F.coalesce("n_out", F.lit(0)).alias("n_out"))
+
+
+@query("pipe10_chunking_scores", """SELECT stem, count(*) AS n_chunks, count(*) FILTER (article_no IS NULL) AS n_unnumbered, count(DISTINCT rider_name) AS n_riders FROM chunks GROUP BY stem""")
+def chunking_scores(spark, d):
+    return table(spark, d, "chunks").groupBy("stem").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("article_no").isNull()).alias("n_unnumbered"), F.countDistinct("rider_name").alias("n_riders"))
+
+
+@query("set06_refine_counts", """SELECT stem, count(DISTINCT (type, label)) AS before FROM nodes GROUP BY stem""")
+def refine_counts(spark, d):
+    return table(spark, d, "nodes").groupBy("stem").agg(F.countDistinct(F.struct("type", "label")).alias("before"))
+
+
+@query("udf01_group_budget_report", """WITH c AS (SELECT stem, count(*) AS n, sum(length(coalesce(text, ''))) AS chars FROM chunks GROUP BY stem) SELECT stem, n, CAST(chars AS BIGINT) AS chars FROM c""")
+def group_budget_report(spark, d):
+    """Chunks and characters that the groups of a document carry; packing loses none."""
+    chunks = table(spark, d, "chunks")
+    groups = K.packed_groups(chunks, "stem", "chunk_id", 3000)
+    joined = groups.join(chunks.select("stem", "chunk_id", F.length(F.coalesce("text", F.lit(""))).alias("k")), ["stem", "chunk_id"])
+    return joined.groupBy("stem").agg(F.count("*").alias("n"), F.sum("k").cast("long").alias("chars"))
