@@ -1,12 +1,16 @@
 """Parquet store of versioned graphs and document artifacts.
 
-Graphs are partitioned by stem and version, so replacing or deleting one touches only its files. A marker table tells
-"extracted but empty" from "never extracted". One writer per scope is assumed, as Spark's commit protocol gives
-all-or-nothing writes per table but no locks.
+Writes append: rows carry the number of their write, and a marker row per stem and version says which write is the
+present one. Replacing a graph, emptying or deleting it is one small append that takes effect at once, no other graph's
+files are touched, and a marker without rows is "extracted but empty", unlike no marker at all. Rows are sorted by scope
+within the files instead of one folder a document, so the number of files does not grow with the number of documents.
+One writer per scope is assumed.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +23,7 @@ NODE_SCHEMA = (
     "source_section string, valid_from string, valid_to string, embedding array<float>, stem string, version long"
 )
 EDGE_SCHEMA = "source string, target string, type string, detail string, confidence string, stem string, version long"
-MARKER_SCHEMA = "stem string, version long"
+MARKER_SCHEMA = "stem string, version long, nodes_write long, edges_write long, deleted boolean, marked long"
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*\z"
 
 
@@ -63,6 +67,33 @@ class GraphStore:
 
     # Graphs -----------------------------------------------------------------------------------------------------------
 
+    def _heads(self) -> DataFrame:
+        """Per scope the last marker: which write its nodes and edges come from, and whether it was deleted."""
+        m = self.read("extracted", MARKER_SCHEMA)
+        return m.groupBy(*SCOPE).agg(F.max_by(F.struct("nodes_write", "edges_write", "deleted"), "marked").alias("h")).select(*SCOPE, "h.*")
+
+    def extracted(self) -> DataFrame:
+        """The scopes that have a graph, empty ones included."""
+        return self._heads().where("not deleted").select(*SCOPE)
+
+    def _current(self, name: str, schema: str) -> DataFrame:
+        heads = self._heads().where("not deleted").select(*SCOPE, F.col(f"{name}_write").alias("write_id"))
+        return self.read(name, f"{schema}, write_id long").join(heads, [*SCOPE, "write_id"], "left_semi").drop("write_id")
+
+    def nodes(self) -> DataFrame:
+        return self._current("nodes", NODE_SCHEMA)
+
+    def edges(self) -> DataFrame:
+        return self._current("edges", EDGE_SCHEMA)
+
+    def _append(self, name: str, rows: DataFrame, write: int) -> None:
+        """Rows sorted by scope, so that a read of one scope skips the files and row groups without it."""
+        rows.withColumn("write_id", F.lit(write).cast("long")).repartition("stem").sortWithinPartitions(*SCOPE).write.mode("append").parquet(self._path(name))
+
+    def _mark(self, heads: DataFrame) -> None:
+        """The commit: readers see a write once its markers are there."""
+        heads.withColumn("marked", F.lit(time.time_ns())).select(*SCOPE, "nodes_write", "edges_write", "deleted", "marked").write.mode("append").parquet(self._path("extracted"))
+
     def write_graphs(self, nodes: DataFrame, edges: DataFrame, scopes: DataFrame | None = None) -> None:
         """Replace the graphs of all given scopes. Invalid type names and dangling edges raise before anything is written.
 
@@ -76,47 +107,51 @@ class GraphStore:
         loose = G.dangling_edges(n, e).limit(1).collect()
         if loose:
             raise ValueError(f"edge {loose[0].source} -> {loose[0].target} has an end that is no node")
-        scopes = (n.select(*SCOPE) if scopes is None else scopes.select(*SCOPE)).distinct()
-        scopes = scopes.select(F.col("stem"), F.col("version").cast("long").alias("version"))
-        replaced = G.checkpointed(scopes)
-        for name, rows, schema in (("nodes", n, NODE_SCHEMA), ("edges", e, EDGE_SCHEMA)):
-            # Dynamic overwrite keeps the partitions of scopes that have no rows now: those are removed by name.
-            held = self.read(name, schema).select(*SCOPE).distinct()
-            for s in held.join(replaced, SCOPE).join(rows.select(*SCOPE).distinct(), SCOPE, "left_anti").toLocalIterator():
-                self._remove(f"{name}/stem={s.stem}/version={s.version}")
-            rows.repartition(*[F.col(c) for c in SCOPE]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SCOPE).parquet(self._path(name))
-        marked = self.read("extracted", MARKER_SCHEMA)
-        replaced.join(marked, SCOPE, "left_anti").write.mode("append").parquet(self._path("extracted"))
+        write = time.time_ns()
+        self._append("nodes", n, write)
+        self._append("edges", e, write)
+        scopes = (n if scopes is None else scopes).select("stem", F.col("version").cast("long").alias("version")).distinct()
+        self._mark(scopes.select(*SCOPE, F.lit(write).alias("nodes_write"), F.lit(write).alias("edges_write"), F.lit(False).alias("deleted")))
 
     def load_graph(self, stem: str, version: int = 1) -> tuple[DataFrame, DataFrame] | None:
         """Nodes by id and edges by type, source and target; None where the scope was never extracted."""
         if not self.has_graph(stem, version):
             return None
-        n = G.read_nodes(G.scoped(self.read("nodes", NODE_SCHEMA), stem, version)).orderBy("id")
-        return n, G.scoped(self.read("edges", EDGE_SCHEMA), stem, version).orderBy("type", "source", "target")
+        n = G.read_nodes(G.scoped(self.nodes(), stem, version)).orderBy("id")
+        return n, G.scoped(self.edges(), stem, version).orderBy("type", "source", "target")
 
     def has_graph(self, stem: str, version: int = 1) -> bool:
-        return not G.scoped(self.read("extracted", MARKER_SCHEMA), stem, version).isEmpty()
+        return not G.scoped(self.extracted(), stem, version).isEmpty()
+
+    def _delete(self, scopes: DataFrame) -> None:
+        none = F.lit(None).cast("long")
+        self._mark(scopes.select(*SCOPE, none.alias("nodes_write"), none.alias("edges_write"), F.lit(True).alias("deleted")))
 
     def delete_version(self, stem: str, version: int) -> None:
-        for name in ("nodes", "edges"):
-            self._remove(f"{name}/stem={stem}/version={version}")
-        self._rewrite("extracted", MARKER_SCHEMA, lambda m: m.where(~((F.col("stem") == stem) & (F.col("version") == version))))
+        self._delete(G.scoped(self.extracted(), stem, version))
 
     def delete_document(self, stem: str) -> None:
-        for name in ("nodes", "edges"):
-            self._remove(f"{name}/stem={stem}")
-        for name, schema in (("extracted", MARKER_SCHEMA), ("manifests", MANIFEST_SCHEMA), ("versions", VERSION_SCHEMA)):
+        self._delete(self.extracted().where(F.col("stem") == stem))
+        for name, schema in (("manifests", MANIFEST_SCHEMA), ("versions", VERSION_SCHEMA)):
             self._rewrite(name, schema, lambda t: t.where(F.col("stem") != stem))
 
     def update_embeddings(self, vectors: DataFrame) -> None:
         """New vectors (stem, version, id, embedding) replace old ones by id; running it again changes nothing."""
-        n = self.read("nodes", NODE_SCHEMA)
-        touched = n.join(vectors.select(*SCOPE).distinct(), SCOPE, "left_semi")
+        scopes = vectors.select(*SCOPE).distinct()
+        touched = self.nodes().join(scopes, SCOPE, "left_semi")
         new = vectors.select(*SCOPE, "id", F.col("embedding").alias("new"))
         joined = touched.join(new, [*SCOPE, "id"], "left").withColumn("embedding", F.coalesce("new", "embedding"))
-        rows = G.checkpointed(self._fit(joined, NODE_SCHEMA))
-        rows.repartition(*[F.col(c) for c in SCOPE]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SCOPE).parquet(self._path("nodes"))
+        write = time.time_ns()
+        self._append("nodes", self._fit(joined, NODE_SCHEMA), write)
+        self._mark(self._heads().where("not deleted").join(scopes, SCOPE, "left_semi").withColumn("nodes_write", F.lit(write)))
+
+    def compact(self) -> None:
+        """Drop replaced and deleted rows from the files. No other reader or writer may be at work."""
+        heads = G.checkpointed(self._heads())
+        for name, schema, live in (("nodes", NODE_SCHEMA, self.nodes()), ("edges", EDGE_SCHEMA, self.edges())):
+            kept = live.join(heads.select(*SCOPE, F.col(f"{name}_write").alias("write_id")), SCOPE)
+            G.checkpointed(self._fit(kept, f"{schema}, write_id long")).sortWithinPartitions(*SCOPE).write.mode("overwrite").parquet(self._path(name))
+        self._rewrite("extracted", MARKER_SCHEMA, lambda _: heads.where("not deleted").withColumn("marked", F.lit(0).cast("long")).select(*SCOPE, "nodes_write", "edges_write", "deleted", "marked"))
 
     def reset(self) -> None:
         for name in self.tables():
