@@ -34,13 +34,13 @@ def squashed(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines as in universal line splitting; a final line end opens no further line."""
-    parts = F.split(text, "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]")
+    parts = F.split(text, "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]")
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
 def clean_text(text: Column) -> Column:
     """No-break spaces become spaces, NULs go, runs of blanks become one, lines lose trailing blanks and the text outer white space."""
-    plain = F.replace(F.replace(text, F.lit(" "), F.lit(" ")), F.lit("\u0000"), F.lit(""))
+    plain = F.replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.lit("\u0000"), F.lit(""))
     return trimmed(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"(?m) +$", ""))
 
 

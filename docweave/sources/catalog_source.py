@@ -2,7 +2,8 @@
 
 The transport is given by name: `fixture` reads pages of a JSON file, so everything runs without a network; a service
 transport needs only fetch_page(category, page, name). One input partition is one page of one category; an equality
-filter on the name is pushed to the transport.
+filter on the name is pushed to the transport. Spark keeps a pushed filter with the loaded relation: load again for
+another filter.
 """
 
 from __future__ import annotations
@@ -88,6 +89,12 @@ class CatalogSource(DataSource):
         return CatalogReader(self.options)
 
 
+def register(spark) -> None:
+    """Make the source known to the session, with filters pushed down to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(CatalogSource)
+
+
 def store_download(content: bytes, target: Path) -> tuple[int, str]:
     """(size, sha256) of a PDF put in place in one step; anything that is no PDF raises and leaves nothing behind."""
     import hashlib

@@ -14,6 +14,7 @@ import time
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import graph as G
 
@@ -40,7 +41,7 @@ class GraphStore:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def read(self, name: str, schema: str) -> DataFrame:
+    def read(self, name: str, schema: str | StructType) -> DataFrame:
         """The table, or an empty one with the schema where nothing was ever written; older files lack newer columns."""
         try:
             return self.spark.read.schema(schema).parquet(self._path(name))
@@ -159,7 +160,7 @@ class GraphStore:
 
     # Artifacts --------------------------------------------------------------------------------------------------------
 
-    def _rewrite(self, name: str, schema: str, change) -> None:
+    def _rewrite(self, name: str, schema: str | StructType, change) -> None:
         rows = G.checkpointed(change(self.read(name, schema)))  # cut loose from the files it replaces
         rows.write.mode("overwrite").parquet(self._path(name))
 
@@ -204,7 +205,7 @@ class GraphStore:
 
     def save_goldenset(self, questions: DataFrame, stem: str) -> bool:
         """Replace a document's questions; the old set is archived only where it differs. True if it was archived."""
-        schema = questions.schema.simpleString().removeprefix("struct<").removesuffix(">")
+        schema = questions.schema
         old = self.read("goldenset", schema).where(F.col("stem") == stem)
         differs = not old.isEmpty() and not (old.exceptAll(questions).isEmpty() and questions.exceptAll(old).isEmpty())
         if differs:
