@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 LIMIT = 2000
 OVERLAP = 150
 PARAGRAPH, LINE, SENTENCE = 3, 2, 1
-_ENDS = re.compile(r"\n[^\S\n]*\n+|[\n\r\u0085  \v\f]|(?<![0-9０-９])[.．]+|[.．]+(?![0-9０-９])|[!?。！？…]+")
+_ENDS = re.compile(r"\n[^\S\n]*\n+|[\n\r\u0085\u2028\u2029\v\f]|(?<![0-9０-９])[.．]+|[.．]+(?![0-9０-９])|[!?。！？…]+")
 _CLOSERS = "\"'”’)]）］」』》〉"
 
 
@@ -34,7 +34,7 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     at, strength = [], []
     for m in _ENDS.finditer(text):
         end, first = m.end(), m.group()[0]
-        if first in "\n\r\u0085  \v\f":
+        if first in "\n\r\u0085\u2028\u2029\v\f":
             power = PARAGRAPH if m.group().count("\n") > 1 else LINE
         else:
             power = SENTENCE
