@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +59,17 @@ def compact_windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
+def kind_salt(kind: str) -> np.uint64:
+    """Keeps the hashes of one kind of record apart from those of another."""
+    return np.uint64(xxhash.xxh64_intdigest(kind))
+
+
 def _windows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
     least = span - gram + 1
     seen: set[bytes] = set()  # copies within a task give their windows once; one digest for each text of the task
     for batch in batches:
         classes, texts = batch.column("cls").to_pylist(), batch.column("text").to_pylist()
+        kinds = batch.column("rec_kind").to_pylist()
         fresh = []
         for k, c in enumerate(classes):
             if c not in seen and len(texts[k]) >= span:
@@ -76,7 +83,7 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterato
                 own = hashes[offsets[j] : offsets[j + 1] - gram + 1]
                 found = compact_windows(own, least)
                 w = np.array(found, dtype=np.int64)
-                keys.append(own[w[:, 1]])
+                keys.append(own[w[:, 1]] ^ kind_salt(kinds[fresh[first + j]]))
                 cls += [classes[fresh[first + j]]] * len(w)
                 centre.append(w[:, 1])
                 left.append(np.minimum(w[:, 1] - w[:, 0], least - 1))
@@ -142,7 +149,7 @@ def _full_grams(batches: Iterator[pa.RecordBatch], gram: int, span: int) -> Iter
             sums = [C.prefix_sums(points), C.prefix_sums(points ^ np.uint32(0x5BD1E995))]
             starts = sorted({s for c in r["centres"] for s in range(max(0, c - span + gram), min(c, len(points) - span) + 1)})
             if starts:
-                one, two = (C.gram_hashes(s, span)[starts].view(np.int64) for s in sums)
+                one, two = ((C.gram_hashes(s, span)[starts] ^ kind_salt(r["rec_kind"])).view(np.int64) for s in sums)
                 yield pa.RecordBatch.from_arrays([pa.array([r["cls"]] * len(starts), pa.binary()), pa.array(one), pa.array(two), pa.array(starts, pa.int32())], names=["cls", "g1", "g2", "start"])
 
 
@@ -183,7 +190,7 @@ class SharedSpans:
             .mapInArrow(lambda it: _verified(it, gram, span), "cls_a binary, cls_b binary, start_a int, start_b int, length int")
         )
         centres = hot_windows.groupBy("cls").agg(F.collect_set("centre").alias("centres"))
-        grams = texts.select("cls", "text").join(centres, "cls").dropDuplicates(["cls"]).mapInArrow(lambda it: _full_grams(it, gram, span), "cls binary, g1 long, g2 long, start int")
+        grams = texts.join(centres, "cls").dropDuplicates(["cls"]).mapInArrow(lambda it: _full_grams(it, gram, span), "cls binary, g1 long, g2 long, start int")
         groups = grams.groupBy("g1", "g2").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("g1", "g2")
         self.hot_grams = C.cut(grams.join(groups, ["g1", "g2"])) if not hot_windows.isEmpty() else None
 
