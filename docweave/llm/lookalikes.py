@@ -87,7 +87,7 @@ def quotes_of(nodes: DataFrame, goldenset: DataFrame) -> DataFrame:
 
 def found_only_alike(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     """rec_kind, rec_id of quotes that are no substring of their chunk's text but look the same as one."""
-    wanted = quotes.where((F.length("quote") > 0) & F.col("chunk_id").isNotNull())
+    wanted = quotes.select("rec_kind", "rec_id", "chunk_id", "quote").where((F.length("quote") > 0) & F.col("chunk_id").isNotNull())
     texts = chunks.select("chunk_id", "text").where(F.length("text") > 0)
     missed = wanted.join(texts, "chunk_id").where(~F.contains("text", "quote")).select("rec_kind", "rec_id", "quote", "text")
     return missed.mapInArrow(_found_again, "rec_kind string, rec_id long").distinct()
