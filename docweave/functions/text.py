@@ -61,6 +61,28 @@ def policy_headings(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), one), "\n")
 
 
+COVER_CODE = r"^[A-Z]{1,6}\d{3,}(?:\([0-9]{2,10}\))?$"
+COVER_END = r"^제\s*\d+\s*관(?![\p{L}\p{N}_])"
+
+
+def cover_page(lines: Column) -> Column:
+    """Lines with a mini cover styled: code, name as heading, description as quote, up to the first group heading.
+
+    A cover is a code line first, then a name, then lines from the first note mark on as description; lines without
+    this shape stay as they are.
+    """
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(COVER_END)), True).cast("int")
+    above = F.filter(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))), lambda x: x != "")
+    code, body = F.get(above, F.lit(0)), F.slice(above, F.lit(2), F.greatest(F.size(above) - 1, F.lit(0)))
+    note = F.array_position(F.transform(body, lambda x: x.startswith("※")), True).cast("int")
+    names = F.when(note > 0, F.slice(body, F.lit(1), note - 1)).otherwise(body)
+    notes = F.when(note > 0, F.slice(body, note, F.size(body))).otherwise(F.array().cast("array<string>"))
+    title = F.transform(names, lambda x, i: F.when(i == 0, F.concat(F.lit("# "), x)).otherwise(x))
+    quoted = F.when(F.size(notes) > 0, F.concat(F.array(F.lit("")), F.transform(notes, lambda x: F.concat(F.lit("> "), x)))).otherwise(notes)
+    styled = F.concat(F.array(F.concat(F.lit("**보험코드:** "), code), F.lit("")), title, quoted, F.array(F.lit("")), F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines)))
+    return F.when((at > 1) & F.coalesce(code.rlike(COVER_CODE), F.lit(False)) & (F.size(names) > 0), styled).otherwise(lines)
+
+
 def article_heading(line: Column) -> Column:
     """struct(article_no, sub_no, title) of an article heading, null for any other line."""
     bare = trimmed(line)

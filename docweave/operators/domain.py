@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .schema import apply_changes
+
 
 def utilization(types: DataFrame, instances: DataFrame, documents: DataFrame) -> DataFrame:
     """Share of documents with at least one instance, for every declared type. types: type; instances: stem, type; documents: stem."""
@@ -31,3 +33,21 @@ def consistency(types: DataFrame, counts: DataFrame, documents: DataFrame) -> Da
 def coverage(iterations: DataFrame) -> DataFrame:
     """Mean issue and missing-element counts; zeros without iterations. iterations: issue_count, missing_count."""
     return iterations.agg(*(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"mean_{c}") for c in ("issue_count", "missing_count")))
+
+
+#: Decisions that may be applied without review.
+APPLICABLE = ("ADD", "MODIFY", "MERGE", "DEPRECATE")
+
+
+def converge(seed: DataFrame, proposals: DataFrame, scope: list[str], documents: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(types, pending) after all proposals of the documents, folded in document order.
+
+    seed: scope, name, pos, description. proposals: scope, name, decision, element_type, description, position and the
+    `documents` columns that order documents. With the replies at hand the fold over documents is one ordered change
+    list per type, so it needs no loop; pending keeps what a person must review, with its document.
+    """
+    types = proposals.where(F.col("element_type").isin("node_type", "edge_type"))
+    order = F.struct(*documents, "position")
+    changes = types.where(F.col("decision").isin(*APPLICABLE)).select(*scope, "name", order.alias("seq"), "decision", "description")
+    merged = apply_changes(seed.withColumn("pos", F.struct(*(F.lit(None).cast(proposals.schema[c].dataType).alias(c) for c in documents), F.col("pos").cast(proposals.schema["position"].dataType).alias("position"))), changes, scope)
+    return merged, types.where(F.col("decision") == "NEEDS_HUMAN_REVIEW").select(*scope, *documents, "name", "position")

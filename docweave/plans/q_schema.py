@@ -212,3 +212,28 @@ def pending_review(spark, d):
     e = table(spark, d, "edges")
     queue, done = e.where("confidence is null").alias("q"), e.where("confidence = 'HIGH'").select("stem", "type").distinct().alias("r")
     return queue.join(done, (F.col("q.stem") == F.col("r.stem")) & F.col("q.type").eqNullSafe(F.col("r.type")), "left_anti").select("edge_no", "stem", "type")
+
+
+PROPOSAL_SQL = f"""{TYPES_SQL}, dm AS (SELECT lower(document_id) || '_raw' AS stem, min(coalesce(category, '-')) AS domain FROM samsung_life_term WHERE document_id IS NOT NULL GROUP BY 1),
+  p AS (SELECT domain, stem, name, min(pos) AS position FROM types JOIN dm USING (stem) WHERE kind = 'node_type' AND name <> '' GROUP BY ALL)"""
+
+
+def _proposals(spark, d):
+    dm = table(spark, d, "samsung_life_term").where("document_id is not null").groupBy(F.concat(F.lower("document_id"), F.lit("_raw")).alias("stem")).agg(F.min(F.coalesce("category", F.lit("-"))).alias("domain"))
+    t = types_of(spark, d).where("kind = 'node_type' and name <> ''").join(dm, "stem")
+    p = t.groupBy("domain", "stem", "name").agg(F.min("pos").alias("position"))
+    decision = F.when(F.lower("name") < "c", "NEEDS_HUMAN_REVIEW").when(F.lower("name") < "p", "ADD").otherwise("REJECT")
+    return p.withColumns({"decision": decision, "element_type": F.lit("node_type"), "description": F.concat_ws(" ", F.lit("from"), "stem")})
+
+
+@query("set11_converged_types", f"WITH {PROPOSAL_SQL} SELECT domain, name, 'from ' || max(stem) AS description FROM p WHERE lower(name) >= 'c' AND lower(name) < 'p' GROUP BY ALL")
+def converged_types(spark, d):
+    """Documents folded into their domain's schema in order: the last document to add a type describes it."""
+    seed = spark.createDataFrame([], "domain string, name string, pos long, description string")
+    return D.converge(seed, _proposals(spark, d), ["domain"], ["stem"])[0].select("domain", "name", "description")
+
+
+@query("set11_pending_types", f"WITH {PROPOSAL_SQL} SELECT domain, stem, name FROM p WHERE lower(name) < 'c'")
+def pending_types(spark, d):
+    seed = spark.createDataFrame([], "domain string, name string, pos long, description string")
+    return D.converge(seed, _proposals(spark, d), ["domain"], ["stem"])[1].select("domain", "stem", "name")

@@ -133,3 +133,9 @@ def markdown_lines(spark, d):
     bare = lines.withColumn("line", F.when(F.col("line").rlike(r"^\s*-?\s*\d{1,4}\s*-?\s*$"), "").otherwise(F.col("line")))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     return bare.withColumn("before", F.lag("line").over(w)).where((F.col("line") != "") | (F.col("before") != "")).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+@query("flt19_file_search", "SELECT DISTINCT stem FROM chunks WHERE contains(lower(stem || '.md'), '02_raw')")
+def file_search(spark, d):
+    """Case-insensitive part of a file name; a blank part gives all."""
+    return table(spark, d, "chunks").select("stem").distinct().where(F.contains(F.lower(F.concat("stem", F.lit(".md"))), F.lower(F.lit("02_RAW"))))

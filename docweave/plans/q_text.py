@@ -185,3 +185,12 @@ def length_guard(spark, d):
 def table_rows(spark, d):
     lines = table(spark, d, "chunks").select("chunk_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.where(F.col("line").rlike(r"^\|.*\|\s*$")).groupBy("chunk_id").agg(F.count("*").alias("n_rows"))
+
+
+@query("str05_cover_pages", """SELECT stem, '**보험코드:** ' || 'G' || min(chunk_id) || chr(10) || chr(10) || '# ' || min(section_label) || chr(10) || chr(10) || '> ※ 안내' || chr(10) || chr(10) || '제1관 목적' AS page
+  FROM chunks WHERE section_label IS NOT NULL GROUP BY stem HAVING min(chunk_id) >= 100""")
+def cover_pages(spark, d):
+    """A cover made of each document's first chunk number and section, styled."""
+    made = table(spark, d, "chunks").where("section_label is not null").groupBy("stem").agg(F.min("chunk_id").alias("k"), F.min("section_label").alias("name")).where("k >= 100")
+    lines = F.array(F.lit(""), F.concat(F.lit("G"), F.col("k").cast("string")), F.col("name"), F.lit(""), F.lit("※ 안내"), F.lit("제1관 목적"))
+    return made.select("stem", F.array_join(T.cover_page(lines), "\n").alias("page"))

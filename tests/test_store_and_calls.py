@@ -180,3 +180,19 @@ def test_type_changes(spark):
     c = spark.createDataFrame([("d", "A", 1, "DEPRECATE", None), ("d", "A", 2, "DEPRECATE", None), ("d", "B", 3, "MODIFY", "bb"), ("d", "B", 4, "DEPRECATE", None), ("d", "C", 5, "ADD", "c"), ("d", "D", 6, "DEPRECATE", None)], "stem string, name string, seq long, decision string, description string")
     got = {r.name: r.description for r in S.apply_changes(t, c, ["stem"]).collect()}
     assert got == {"A": "[DEPRECATED] [DEPRECATED] a", "B": "[DEPRECATED] bb", "C": "c"}
+
+
+def test_jobs(spark):
+    import threading
+
+    from docweave.streaming.jobs import Jobs
+
+    jobs, gate = Jobs(spark), threading.Event()
+    assert jobs.status("d") == ("idle", None)
+    assert jobs.start("d", lambda: gate.wait(20) and spark.range(3).count()) and not jobs.start("d", lambda: 1)
+    assert jobs.status("d")[0] == "running"
+    gate.set()
+    assert jobs.futures["d"].result(30) == 3 and jobs.status("d") == ("done", None)
+    assert jobs.start("d", lambda: 1 / 0)
+    jobs.futures["d"].exception(30)
+    assert jobs.status("d")[0] == "error"

@@ -125,3 +125,10 @@ def test_renumbering_keeps_four_digits(spark):
     df = spark.createDataFrame([("d", k, f"Q {k}") for k in range(1, 1002)] + [("d", 2000, " q  1 ")], "stem string, k int, question string")
     got = {r.k: r.new_id for r in E.renumbered(df, ["stem"], "k").collect()}
     assert got[1] == "q001" and got[1001] == "q1001" and 2000 not in got
+
+
+def test_cover_pages(spark):
+    style = lambda *x: one(spark, T.cover_page(F.col("t")), t=list(x))
+    assert style("", "LY0816002(260626)", "이름", "둘째 줄", "※ 설명", "더", "제 1 관 목적", "끝") == ["**보험코드:** LY0816002(260626)", "", "# 이름", "둘째 줄", "", "> ※ 설명", "> 더", "", "제 1 관 목적", "끝"]
+    for lines in (["이름", "제1관 목적"], ["LY0816002", "제1관 목적"], ["LY0816002", "이름"], ["LY0816002", "※ 설명", "제1관"]):
+        assert style(*lines) == lines
