@@ -57,7 +57,13 @@ def articles_found(spark, d):
     return K.policy_chunks(table(spark, d, "documents")).where("chunk_index > 0").groupBy("doc_id").agg(F.count("*").alias("n_articles"))
 
 
-@query("str12_legacy_chunks")
+LINE_SQL = "ln AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
+MARKED_SQL = r"^###\s*제\s*(\p{Nd}+(?:-\p{Nd}+)?)\s*조(?:\s*의\s*(\p{Nd}+))?\s*\(((?:[^()]|\([^()]*\))*)\)\s*$"
+
+
+@query("str12_legacy_chunks", f"""WITH {LINE_SQL}, h AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS line_no, regexp_extract(line, '{MARKED_SQL}', ['no', 'sub', 'title']) AS m FROM ln WHERE regexp_matches(line, '{MARKED_SQL}'))
+  SELECT doc_id, CAST(sum(CASE WHEN m.sub = '' AND (m.no = '1' OR regexp_full_match(m.no, '\\d+-1')) THEN 1 ELSE 0 END) OVER w - 1 AS BIGINT) AS section, m.no AS article_no, m.title AS title, line_no, lead(line_no) OVER w AS line_end
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)""")
 def legacy_chunks(spark, d):
     """Marked headings only; a rider begins where the numbering starts over."""
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -74,7 +80,6 @@ def contents_entries(spark, d):
 
 
 SEQ = ["stem", "section_index"]
-LINE_SQL = "ln AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
 
 
 @query("win02_article_sequence", """WITH v AS (SELECT *, CASE WHEN variant IS DISTINCT FROM lag(variant) OVER w THEN 1 ELSE 0 END AS c FROM chunks WHERE article_no IS NOT NULL WINDOW w AS (PARTITION BY stem, section_index ORDER BY chunk_id)),
@@ -176,7 +181,9 @@ def chunking_report(spark, d):
     return table(spark, d, "chunks").groupBy("stem").agg(F.count("*").alias("n_chunks"), F.countDistinct("section_index").alias("n_sections"), names.alias("names"))
 
 
-@query("str19_compact_documents")
+@query("str19_compact_documents", f"""WITH {LINE_SQL}, s AS (SELECT doc_id, k, line, CAST(sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS section FROM ln),
+  t AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY k) AS t FROM s GROUP BY ALL), n AS (SELECT *, 2000 // count(*) OVER (PARTITION BY doc_id) AS share FROM t)
+  SELECT doc_id, section, CASE WHEN length(t) > share THEN left(t, share) || chr(10) || '…' ELSE t END AS text FROM n""")
 def compact_documents(spark, d):
     """Headings of a document and, per section, as many characters of its text as an even share of the budget gives."""
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

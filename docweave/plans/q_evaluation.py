@@ -32,7 +32,11 @@ SPANS_SQL = """q AS (SELECT chunk_id, quote_id, strpos(text, quote) - 1 AS s, st
     AND least(q.e, n.e) > greatest(q.s, n.s) AND 2 * (least(q.e, n.e) - greatest(q.s, n.s)) >= least(q.e - q.s, n.e - n.s))"""
 
 
-@query("str16_evidence_spans")
+@query("str16_evidence_spans", """WITH l AS (SELECT quote_id, quote, c.text, string_split(c.text, chr(10)) AS ln, g.line_start AS ls, g.line_end AS le FROM goldenset g JOIN chunks c USING (chunk_id) WHERE quote <> ''),
+  r AS (SELECT *, least(greatest(ls, 1), len(ln)) AS a, least(greatest(le, 1), len(ln)) AS b FROM l),
+  i AS (SELECT *, CASE WHEN a > 1 THEN length(array_to_string(ln[1:a - 1], chr(10))) + 1 ELSE 0 END AS before, array_to_string(ln[a:greatest(a, b)], chr(10)) AS inside FROM r),
+  s AS (SELECT *, CASE WHEN strpos(inside, quote) > 0 THEN before + strpos(inside, quote) - 1 WHEN strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END AS start FROM i)
+  SELECT quote_id, start, start + length(quote) AS "end" FROM s WHERE start IS NOT NULL""")
 def evidence_spans(spark, d):
     found = _gold(spark, d).withColumn("s", E.evidence_span(F.col("text"), F.col("quote"), F.col("line_start"), F.col("line_end"))).where("s is not null")
     return found.select("quote_id", "s.start", "s.end")

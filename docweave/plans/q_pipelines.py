@@ -70,7 +70,15 @@ def discovery_terms(spark, d):
     return table(spark, d, "nodes").where("label is not null").groupBy("stem", F.lower(F.trim("label")).alias("term")).agg(F.min_by("label", "node_no").alias("label"))
 
 
-@query("pipe04_extracted_graph")
+@query("pipe04_extracted_graph", """WITH n AS (SELECT n.stem, n.id, n.type, n.label, node_no, CASE WHEN confidence IN ('HIGH', 'MEDIUM', 'LOW') THEN confidence END AS confidence,
+    CASE WHEN evidence_text <> '' AND strpos(c.text, evidence_text) > 0 THEN evidence_text END AS evidence_text, CASE WHEN evidence_text <> '' AND strpos(c.text, evidence_text) > 0 THEN strpos(c.text, evidence_text) - 1 END AS start
+    FROM nodes n LEFT JOIN chunks c USING (chunk_id) WHERE version = 1 AND n.id <> '' AND n.label <> '' AND n.type <> ''),
+  kept AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY stem, type, label ORDER BY node_no) = 1),
+  idm AS (SELECT n.stem, n.id, arg_max(k.id, n.node_no) AS kept_id FROM n JOIN kept k USING (stem, type, label) GROUP BY ALL),
+  e AS (SELECT DISTINCT e.stem, a.kept_id AS source, b.kept_id AS target, e.type FROM edges e JOIN idm a ON e.stem = a.stem AND e.source = a.id JOIN idm b ON e.stem = b.stem AND e.target = b.id
+    WHERE version = 1 AND source <> '' AND target <> '' AND e.type <> ''),
+  o AS (SELECT stem, source AS id, count(*) AS n_out FROM e GROUP BY ALL)
+  SELECT id, type, label, confidence, evidence_text, start, start + length(evidence_text) AS "end", coalesce(n_out, 0) AS n_out FROM kept LEFT JOIN o USING (stem, id)""")
 def extracted_graph(spark, d):
     """Group replies verified against their texts, merged and anchored, as a graph of one version."""
     n = table(spark, d, "nodes").where("version = 1").where(W.filled("id", "label", "type"))

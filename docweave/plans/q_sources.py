@@ -126,7 +126,14 @@ def bounded_partitions(spark, d):
     return table(spark, d, "chunks").groupBy((F.col("chunk_id") % 5).alias("slot")).agg(F.count("*").alias("n"))
 
 
-@query("str02_markdown_lines")
+SPACE = r"[\s\x{85}\x{a0}\x{1c}-\x{1f}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query("str02_markdown_lines", f"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \\t]+', ' ', 'g'), '(?m) +$', '', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+  l AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS k, unnest(string_split(t, chr(10))) AS line FROM c),
+  b AS (SELECT doc_id, k, CASE WHEN regexp_full_match(line, '\\s*-?\\s*\\d{{1,4}}\\s*-?\\s*') THEN '' ELSE line END AS line FROM l),
+  w AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM b)
+  SELECT doc_id, count(*) AS n_lines FROM w WHERE line <> '' OR before <> '' GROUP BY doc_id""")
 def markdown_lines(spark, d):
     """Text lines with standalone page numbers dropped and runs of blank lines made one."""
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(T.clean_text(F.col("text")), "\n")).alias("line_no", "line"))

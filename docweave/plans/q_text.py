@@ -105,7 +105,7 @@ def node_texts(spark, d):
     return table(spark, d, "nodes").select("node_no", T.node_text(F.col("label"), F.col("detail")).alias("text"))
 
 
-@query("str23_fingerprints")
+@query("str23_fingerprints", """SELECT chunk_id, sha256('{"operation":{"name":"extract_graph","max_tokens":8192},"stage":"extract"' || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || CAST(to_json(text) AS VARCHAR) END || '}') AS fingerprint FROM chunks""")
 def fingerprints(spark, d):
     parts = {"stage": F.lit("extract"), "operation": F.struct(F.lit("extract_graph").alias("name"), F.lit(8192).alias("max_tokens")), "text": F.col("text")}
     return table(spark, d, "chunks").select("chunk_id", T.fingerprint(parts).alias("fingerprint"))
