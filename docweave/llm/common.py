@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import checkpointed
+
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -21,14 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "docweave-checkpoints"))
-    return df.checkpoint()
+    """df written to the shared checkpoint folder and read from there, so that lost executors cost no recomputation."""
+    return checkpointed(df)
 
 
 def compact(text: str) -> str:
