@@ -11,7 +11,8 @@ A hash that very many windows share (a clause standing in many records) is not j
 the hashes of all runs of the full span length around the centre are grouped instead, which finds exactly the sharing
 records without any pair that does not share.
 
-Null and empty texts and texts shorter than the span share nothing. Records with the same text are one class until the
+Null and empty texts and texts shorter than the span form no pair. In the coverage every record has a row; a text shorter
+than the span stands in others only where another record has the same text. Records with the same text are one class until the
 end; each table (kind) is compared only with itself. Repeated rows of one id count once. Columns other than id and
 text are not read.
 """
@@ -166,8 +167,12 @@ class SharedSpans:
     def __init__(self, records: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT):
         least = span - gram + 1
         self.span = span
-        full = records.select("rec_kind", "rec_id", "text").where(F.length("text") >= span)
-        self.members = full.select("rec_kind", "rec_id", text_class(F.col("rec_kind"), F.col("text")).alias("cls"), F.length("text").alias("n_chars")).distinct()
+        records = records.select("rec_kind", "rec_id", "text")
+        full = records.where(F.length("text") >= span)
+        classed = lambda x: x.select("rec_kind", "rec_id", text_class(F.col("rec_kind"), F.col("text")).alias("cls"), F.length("text").alias("n_chars")).distinct()
+        self.members = classed(full)
+        self.written = classed(records.where(F.length("text") > 0))
+        self.blank = records.where(F.coalesce(F.length("text"), F.lit(0)) == 0).select("rec_kind", "rec_id").distinct()
         texts = full.select(text_class(F.col("rec_kind"), F.col("text")).alias("cls"), "rec_kind", "text")
         windows = texts.select("cls", "text", "rec_kind").mapInArrow(lambda it: _windows(it, span, gram), "key long, cls binary, centre int, room_left short, room_right short")
         shared = windows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
@@ -221,7 +226,10 @@ class SharedSpans:
         return across.where("id_a < id_b").union(within)
 
     def coverage(self) -> DataFrame:
-        """rec_kind, rec_id, n_chars, shared_chars, shared_share: how much of each record of span or more characters stands in others."""
+        """rec_kind, rec_id, n_chars, shared_chars, shared_share: how much of each record stands in others, in runs of `span` or as a copy.
+
+        Null and empty texts have 0 in all three.
+        """
         pieces = self.runs.select(F.col("cls_a").alias("cls"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).union(
             self.runs.select("cls_b", "start_b", F.col("start_b") + F.col("length"))
         )
@@ -239,13 +247,16 @@ class SharedSpans:
                 lambda acc: acc["total"],
             ).alias("covered")
         )
-        copies = self.members.groupBy("cls").agg(F.count("*").alias("n_copies"))
+        copies = self.written.groupBy("cls").agg(F.count("*").alias("n_copies"))
         shared = F.when(F.col("n_copies") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
-        return (
-            self.members.join(copies, "cls")
+        written = (
+            self.written.join(copies, "cls")
             .join(merged, "cls", "left")
             .select("rec_kind", "rec_id", F.col("n_chars").cast("long").alias("n_chars"), shared.cast("long").alias("shared_chars"), F.round(shared / F.col("n_chars"), 6).alias("shared_share"))
         )
+        nothing = self.blank.select("rec_kind", "rec_id", F.lit(0).cast("long").alias("n_chars"), F.lit(0).cast("long").alias("shared_chars"), F.lit(0.0).alias("shared_share"))
+        return written.union(nothing)
+
 
 
 def records_of(documents: DataFrame, chunks: DataFrame) -> DataFrame:

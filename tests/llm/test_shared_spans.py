@@ -59,6 +59,15 @@ def test_coverage(spark):
         assert got == {1: 26, 2: 26, 3: 0, 4: 30, 5: 30}
 
 
+def test_coverage_has_a_row_for_every_record(spark):
+    rows = [("doc", 1, "kurz"), ("doc", 2, "kurz"), ("doc", 3, "kur"), ("chunk", 1, "kurz"), ("doc", 4, ""), ("doc", 5, None), ("doc", 6, "allein" * 9)]
+    o = SharedSpans(spark.createDataFrame(rows, SCHEMA), SPAN, GRAM)
+    got = {(r.rec_kind, r.rec_id): (r.n_chars, r.shared_chars, r.shared_share) for r in o.coverage().collect()}
+    none = (0, 0, 0.0)
+    assert got == {("doc", 1): (4, 4, 1.0), ("doc", 2): (4, 4, 1.0), ("doc", 3): (3, 0, 0.0), ("chunk", 1): (4, 0, 0.0), ("doc", 4): none, ("doc", 5): none, ("doc", 6): (54, 0, 0.0)}
+    assert o.record_pairs().isEmpty()
+
+
 def test_empty_table(spark):
     o = SharedSpans(spark.createDataFrame([], SCHEMA))
     assert o.record_pairs().isEmpty() and o.coverage().isEmpty()
