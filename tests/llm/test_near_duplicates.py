@@ -61,6 +61,20 @@ def test_texts_equal_brute_force(spark):
     assert pairs(N.near_duplicate_texts(df, cap=2)) == want
 
 
+def test_scattered_edits_and_repeated_texts(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(40):
+        base = noise(rng, 1300)
+        rows += [(k, base), (100 + k, "".join("뷁" if rng.random() < 0.08 else c for c in base))]
+    base = noise(rng, 400)
+    rows += [(300, base), (301, base * 4)]
+    want = brute(rows)
+    assert len(want) > 35 and (300, 301) in want
+    got = pairs(N.near_duplicate_texts(spark.createDataFrame(rows, "id long, text string")))
+    assert got <= want and len(got) >= 0.97 * len(want) and (300, 301) in got
+
+
 def test_classes_and_links(spark):
     rng = random.Random(2)
     base = noise(rng, 300)
