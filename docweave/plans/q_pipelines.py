@@ -96,6 +96,12 @@ def chunking_scores(spark, d):
     return table(spark, d, "chunks").groupBy("stem").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("article_no").isNull()).alias("n_unnumbered"), F.countDistinct("rider_name").alias("n_riders"))
 
 
+@query("pipe10_document_scores")
+def document_scores(spark, d):
+    """All scores of PIPE-10, of every document; pipe10_chunking_scores counts the delivered chunks only."""
+    return K.chunking_scores(table(spark, d, "documents"))
+
+
 @query("set06_refine_counts", """SELECT stem, count(DISTINCT (type, label)) AS before FROM nodes GROUP BY stem""")
 def refine_counts(spark, d):
     return table(spark, d, "nodes").groupBy("stem").agg(F.countDistinct(F.struct("type", "label")).alias("before"))

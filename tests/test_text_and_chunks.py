@@ -101,6 +101,17 @@ def test_product_contents():
     assert K.product_contents("없음") == []
 
 
+def test_chunking_scores(spark):
+    toc = "상품 목차\n주계약 7\n특약\n암보장특약(무배당) 31\n없는특약 40\n본문이 시작됩니다.\n"
+    rows = [(1, toc + POLICY.replace("### 제2조(정의)", "### 제3조(정의)")), (2, POLICY), (3, None)]
+    got = {r.doc_id: r.asDict() for r in K.chunking_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pick = lambda k, *names: tuple(got[k][n] for n in names)
+    names = ("contents", "matched", "missing", "extra", "n_chunks", "n_sections", "n_appendix", "gaps", "duplicates", "heading_lines", "chunked", "missed")
+    assert pick(1, *names) == (True, 1, 1, 0, 6, 2, 1, 1, 0, 6, 6, 0)
+    assert pick(2, *names) == (False, None, None, None, 6, 2, 1, 0, 0, 6, 6, 0)
+    assert pick(3, "contents", "n_chunks", "missed") == (False, 0, 0)
+
+
 def test_article_sequence(spark):
     rows = [("d", 0, 1, "1", None, None, "main"), ("d", 0, 2, "3", None, None, "main"), ("d", 0, 3, "2", None, None, "main"), ("d", 0, 4, "2", None, None, "main"), ("d", 0, 5, "9", None, "가", "main")]
     df = spark.createDataFrame(rows, "stem string, section_index int, k int, article_no string, sub_no string, variant string, rider_type string")
