@@ -74,6 +74,15 @@ def keyword_matches(spark, d):
     return G.keyword_matches(nodes_of(spark, d), _versioned(spark, d, keywords_of(spark, d)))
 
 
+@query("flt03_keyword_matches_all_versions", f"""WITH {KEYWORDS_SQL}, {GRAPH_SQL}
+  SELECT DISTINCT k.query_id, g.id FROM kw k JOIN g ON g.stem = k.stem AND g.type = k.type
+  WHERE contains(lower(g.label), lower(k.keyword)) OR contains(lower(k.keyword), lower(g.label))""")
+def keyword_matches_all_versions(spark, d):
+    """The searches over every version there is; flt03_keyword_matches asks for versions 1 and 2, as its SQL does."""
+    n = nodes_of(spark, d)
+    return G.keyword_matches(n, keywords_of(spark, d).join(n.select("stem", "version").distinct(), "stem"))
+
+
 def _property_sql(test: str) -> str:
     return f"WITH {GRAPH_SQL} SELECT id, properties['amount'] AS amount FROM g WHERE properties IS NOT NULL AND {test}"
 

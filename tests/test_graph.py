@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import graph as G
 from docweave.operators.search import Search, tiered_matches
+from docweave.plans.q_graph import keyword_matches_all_versions
 
 NODE = "stem string, version long, id string, type string, label string, detail string, properties map<string,string>, confidence string, evidence_text string, start_offset long, end_offset long, source_section string"
 EDGE = "stem string, version long, source string, target string, type string, detail string, confidence string"
@@ -33,6 +34,13 @@ def test_keywords_match_both_ways_and_empty_ones_everything(spark, people):
     assert got == {("q", "a"), ("r", "a"), ("r", "b")}
 
 
+def test_keyword_searches_reach_every_version(spark, tmp_path):
+    rows = [(20, "n20", "d", 1, "Coverage", "암보장"), (21, "n21", "d", 2, "Coverage", "암보장"), (22, "n22", "d", 3, "Coverage", "암보장"), (23, "n23", "d", 7, "Coverage", "암보장")]
+    spark.createDataFrame(rows, "node_no long, id string, stem string, version long, type string, label string").write.parquet(f"{tmp_path}/nodes.parquet")
+    got = ids(keyword_matches_all_versions(spark, str(tmp_path)))
+    assert got == ["n20", "n21", "n22", "n23"]
+
+
 def test_property_operators(people):
     held = lambda op, v: ids(people[0].where(G.property_test(F.col("properties"), "age", op, v)))
     assert held("gte", "30") == ["a"]
