@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking as K
@@ -91,6 +92,38 @@ def extracted_graph(spark, d):
     return merged.join(ends, ["stem", "version", "id"], "left").select("id", "type", "label", "confidence", "evidence_text", "start", "end", F.coalesce("n_out", F.lit(0)).alias("n_out"))
 
 
+@query("pipe04_extracted_versions", """WITH c AS (SELECT chunk_id, text, section_label, coalesce(sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY stem ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM chunks),
+  n AS (SELECT n.stem, n.version, n.id, n.type, n.label, node_no, CASE WHEN confidence IN ('HIGH', 'MEDIUM', 'LOW') THEN confidence END AS confidence,
+    CASE WHEN evidence_text <> '' AND strpos(c.text, evidence_text) > 0 THEN evidence_text END AS evidence_text, CASE WHEN evidence_text <> '' AND strpos(c.text, evidence_text) > 0 THEN CAST(base + strpos(c.text, evidence_text) - 1 AS BIGINT) END AS start,
+    CASE WHEN list_contains(regexp_extract_all('[' || c.section_label || ']' || chr(10) || c.text, '(?m)^\\[(.+)\\]$', 1), source_section) THEN source_section END AS source_section,
+    CASE WHEN properties IS NOT NULL AND list_contains(map_keys(properties), 'amount') THEN coalesce(properties['amount'], '') END AS amount
+    FROM nodes n LEFT JOIN c USING (chunk_id) WHERE n.id <> '' AND n.label <> '' AND n.type <> ''),
+  kept AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY stem, version, type, label ORDER BY node_no) = 1),
+  idm AS (SELECT n.stem, n.version, n.id, arg_max(k.id, n.node_no) AS kept_id FROM n JOIN kept k USING (stem, version, type, label) GROUP BY ALL),
+  e AS (SELECT DISTINCT e.stem, e.version, a.kept_id AS source, b.kept_id AS target, e.type FROM edges e JOIN idm a ON e.stem = a.stem AND e.version = a.version AND e.source = a.id
+    JOIN idm b ON e.stem = b.stem AND e.version = b.version AND e.target = b.id WHERE source <> '' AND target <> '' AND e.type <> ''),
+  o AS (SELECT stem, version, source AS id, count(*) AS n_out FROM e GROUP BY ALL)
+  SELECT stem, version, id, type, label, confidence, evidence_text, start, start + length(evidence_text) AS "end", source_section, amount, coalesce(n_out, 0) AS n_out FROM kept LEFT JOIN o USING (stem, version, id)""")
+def extracted_versions(spark, d):
+    """Group replies of every stem and version: declared properties, known sections, evidence verified and anchored in the document, merged."""
+    chunks = table(spark, d, "chunks")
+    before = Window.partitionBy("stem").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    sized = chunks.select("chunk_id", "stem", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    bases = sized.select("chunk_id", F.coalesce(F.sum(F.col("n") + 2).over(before), F.lit(0)).alias("base"))
+    texts = chunks.select("chunk_id", "text", F.concat(F.lit("["), "section_label", F.lit("]\n"), "text").alias("headed"))
+    n = table(spark, d, "nodes").where(W.filled("id", "label", "type"))
+    seen = n.join(texts, "chunk_id", "left").join(bases, "chunk_id", "left").withColumn("s", W.evidence_span(F.col("evidence_text"), F.col("text")))
+    verified = seen.select(
+        "stem", "version", "id", "type", "label", W.known_confidence(F.col("confidence")).alias("confidence"), F.when(F.col("s").isNotNull(), F.col("evidence_text")).alias("evidence_text"),
+        (F.col("base") + F.col("s.start")).alias("start"), (F.col("base") + F.col("s.end")).alias("end"), F.when(F.array_contains(W.section_labels(F.col("headed")), F.col("source_section")), F.col("source_section")).alias("source_section"),
+        F.try_element_at(W.declared_properties(F.col("properties"), {"amount": "amount"}), F.lit("amount")).alias("amount"), F.col("node_no").alias("seq"),
+    )
+    e = edges_of(spark, d).where(W.filled("source", "target", "type")).select("stem", "version", "source", "target", "type", F.col("edge_no").alias("seq"))
+    merged, edges = W.merge_groups(verified, e, ["stem", "version"], "seq")
+    ends = edges.groupBy("stem", "version", F.col("source").alias("id")).agg(F.count("*").alias("n_out"))
+    return merged.drop("seq").join(ends, ["stem", "version", "id"], "left").select("*", F.coalesce("n_out", F.lit(0)).alias("n")).drop("n_out").withColumnRenamed("n", "n_out")
+
+
 @query("pipe10_chunking_scores", """SELECT stem, count(*) AS n_chunks, count(*) FILTER (article_no IS NULL) AS n_unnumbered, count(DISTINCT rider_name) AS n_riders FROM chunks GROUP BY stem""")
 def chunking_scores(spark, d):
     return table(spark, d, "chunks").groupBy("stem").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("article_no").isNull()).alias("n_unnumbered"), F.countDistinct("rider_name").alias("n_riders"))

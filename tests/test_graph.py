@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from docweave.operators import graph as G
 from docweave.operators.search import Search, tiered_matches
 from docweave.plans.q_graph import keyword_matches_all_versions
+from docweave.plans.q_pipelines import extracted_versions
+
+from .conftest import SMALL
 
 NODE = "stem string, version long, id string, type string, label string, detail string, properties map<string,string>, confidence string, evidence_text string, start_offset long, end_offset long, source_section string"
 EDGE = "stem string, version long, source string, target string, type string, detail string, confidence string"
@@ -104,3 +107,11 @@ def test_search_falls_back_to_all_edges_of_the_types(spark, people):
     analysis = spark.createDataFrame([("q", "d", 1, 0, "Nothing", [], None, None, None)], schema)
     s = Search(people[0], G.resolved_edges(*people), analysis, spark.createDataFrame([("q", "KNOWS")], "query_id string, type string"))
     assert ids(s.related_nodes) == ["a", "b"]
+
+
+def test_extraction_covers_every_version(spark):
+    nodes = spark.read.parquet(f"{SMALL}/nodes.parquet")
+    got = extracted_versions(spark, SMALL)
+    assert {r.version for r in got.select("version").distinct().collect()} == {r.version for r in nodes.select("version").distinct().collect()} >= {1, 2, 3}
+    assert {"source_section", "amount", "start", "end"} <= set(got.columns)
+    assert not got.where("amount is not null").isEmpty() and not got.where("source_section is not null").isEmpty()
