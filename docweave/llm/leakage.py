@@ -8,8 +8,8 @@ the least total weight of the grams in any run of `share` of it, so no passage t
 what is retrieved the longest common run of the passage and of the whole document is measured exactly; of the item's
 question the share found in the document is reported too.
 
-Folding keeps letters and digits, in lower case and normal width. Items whose folded passage is shorter than a gram
-are found by their whole passage; empty ones are no items. The index is refused above MAX_INDEX_CHARS characters:
+Folding keeps letters and digits, in lower case and normal width. Items of which the needed run is shorter than a
+gram are found by all runs of that length; empty ones are no items. The index is refused above MAX_INDEX_CHARS characters:
 evaluation sets are bounded, and a larger one is to be searched in parts.
 """
 
@@ -42,7 +42,8 @@ class ItemIndex:
         self.ids, self.texts, self.questions = [k[0] for k in kept], [k[1] for k in kept], [k[2] for k in kept]
         self.share, self.gram, n = share, gram, len(kept)
         self.need = [max(1, int(np.ceil(round(share * len(x), 6)))) for x in self.texts]
-        self.short = [k for k in range(n) if self.need[k] < gram]
+        #: Runs of the needed length of items for which that is less than a gram.
+        self.short = {k: {x[j : j + self.need[k]] for j in range(len(x) - self.need[k] + 1)} for k, x in enumerate(self.texts) if self.need[k] < gram}
         self.overlap = max([gram, *(len(x) for x in self.texts)])
         hashes = [C.gram_hashes(C.prefix_sums(C.code_points(x)), gram) for x in self.texts]
         every = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
@@ -163,7 +164,7 @@ def _leaks(batches: Iterator[pa.RecordBatch], index: ItemIndex, passage: int, qu
                 hits.append((base[owner[more]] + last[more] - back, gram[more]))
             found, item = index.retrieve(np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
             pairs = {(int(k), int(i)) for k, i in zip(np.searchsorted(base, found, side="right") - 1, item)}
-            pairs |= {(k, i) for i in index.short for k, text in enumerate(held) if index.texts[i] in text}
+            pairs |= {(k, i) for i, runs in index.short.items() for k, text in enumerate(held) if any(x in text for x in runs)}
             for k, i in pairs:
                 run = longest_run(index.texts[i], held[k])
                 if run >= index.need[i]:

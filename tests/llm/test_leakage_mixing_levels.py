@@ -134,3 +134,9 @@ def test_monotone_fit():
 
     x, y = R.monotone_fit(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 5]))
     assert (x, y) == ([1.0, 1.0, 2.0, 3.0, 4.0, 4.0], [1.0, 1.0, 2.5, 2.5, 5.0, 5.0])
+
+
+def test_part_of_a_short_item(spark):
+    d = spark.createDataFrame([(1, "앞 가나다라마바 뒤"), (2, "가나다라마"), (3, "아자차카타파하거")], "doc_id long, text string")
+    i = spark.createDataFrame([(7, "가나다라마바사아자차", "")], "item_id long, passage string, question string")
+    assert {(r.doc_id, r.item_id, r.passage_share) for r in K.leaked_items(d, i).collect()} == {(1, 7, 0.6)}
