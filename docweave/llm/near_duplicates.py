@@ -1,7 +1,7 @@
 """Problem 3: near-duplicate records with small edits, insertions or reordering.
 
-Method: each text becomes a fingerprint of 128 bits (one bit of each of the first 128 of 256 min-hashes over its character
-runs), whose Hamming distance falls with the share of text in common. Fingerprints are partitioned into shards: the min-hash bands
+Method: each text becomes a fingerprint of 256 bits, one bit of each of 256 min-hashes over its character runs, whose
+Hamming distance falls with the share of text in common. Fingerprints are partitioned into shards: bands of min-hashes
 give the outer shards, and a shard with more than CAP members is split again and again by the Hamming distance to a
 vantage point; members within the search radius of the boundary go to both sides (owners on their own side, guests on
 the other). In each shard a vantage-point tree answers, for every owner, which members lie within the radius, pruning
@@ -10,7 +10,13 @@ unrelated texts to any vantage point lie close together and the radius is wider
 A shard that splitting does not make smaller is compared in blocks, so none is cut short. The pairs found are then
 checked exactly on the whole texts.
 
+What two texts have in common counts where it stands in runs of RUN characters or more. Texts of one language also have
+many short runs in common by chance, a third of their length in runs of LONG_RUN at most; edits scattered at random
+that leave 0.7 of a text in runs of RUN leave half of it in runs of LONG_RUN. So LONG_SHARE must stand in those as well.
+
 Names are searched the same way, with the edit distance of the letters as metric and day and plan as outer shards.
+Bracketed marks are dropped where they stand in brackets; those that make up at least MARK_SHARE of all marks of the
+table (hence at most 1 / MARK_SHARE of them) are dropped without brackets as well.
 
 Rows equal up to normalization are one class until the end. Null and empty texts, and names or dates without content,
 match nothing. Texts shorter than one run are compared as a whole. Only the named columns are read.
@@ -18,7 +24,11 @@ match nothing. Texts shorter than one run are compared as a whole. Only the name
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +43,16 @@ from . import common as C
 GRAM = 4
 BINS = 256
 ROWS = 4
-RADIUS = 50
+BANDS = 56
+RADIUS = 80
 CAP = 1500
 ROUNDS = 6
 SHARE = 0.7
 RUN = 10
+LONG_RUN, LONG_SHARE = 16, 0.45
 EDITS = 2
+MARK_SHARE = 0.001
+WORDS = ["w0", "w1", "w2", "w3"]
 
 
 # Vantage-point trees ------------------------------------------------------------------------------------------------
@@ -90,9 +104,8 @@ class VantageTree:
 
 
 def hamming_metric(prints: list[int]) -> Callable[[int, np.ndarray], np.ndarray]:
-    low = np.array([x & C.MASK for x in prints], dtype=np.uint64)
-    high = np.array([x >> 64 for x in prints], dtype=np.uint64)
-    return lambda i, idx: np.bitwise_count(low[idx] ^ low[i]).astype(np.int64) + np.bitwise_count(high[idx] ^ high[i])
+    words = np.array([[(x >> (64 * k)) & C.MASK for k in range(len(WORDS))] for x in prints], dtype=np.uint64)
+    return lambda i, idx: np.bitwise_count(words[idx] ^ words[i]).sum(axis=1, dtype=np.int64)
 
 
 def edit_metric(names: list[str]) -> Callable[[int, np.ndarray], np.ndarray]:
@@ -179,24 +192,26 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, one: Callable, many:
 
 
 def _prints(c: dict) -> list[int]:
-    return [((h & C.MASK) << 64) | (l & C.MASK) for l, h in zip(c["low"], c["high"])]
+    return [sum((w & C.MASK) << (64 * k) for k, w in enumerate(ws)) for ws in zip(*(c[w] for w in WORDS))]
 
 
 def range_pairs(
-    members: DataFrame, radius: int, distance: Callable[[str, str], Column], values: list[str], one: Callable, many: Callable, read: Callable, cap: int = CAP, rounds: int = ROUNDS
+    shards: DataFrame, points: DataFrame, radius: int, distance: Callable[[str, str], Column], one: Callable, many: Callable, read: Callable, cap: int = CAP, rounds: int = ROUNDS
 ) -> DataFrame:
-    """Distinct pairs a < b of ids within `radius` that share a shard. members: shard LONG, id LONG and the value columns.
+    """Distinct pairs a < b of ids within `radius` that share a shard. shards: shard LONG, id LONG. points: id and the value columns.
 
-    distance(prefix_a, prefix_b) is the metric as a Column over value columns with those prefixes.
+    distance(prefix_a, prefix_b) is the metric as a Column over value columns with those prefixes. Most shards have one
+    member, so values are joined only to the memberships that can pair.
     """
-    members = members.withColumn("owner", F.lit(True))
-    sizes = members.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    sized = C.cut(members.join(sizes, "shard"))
+    values = [c for c in points.columns if c != "id"]
     columns = ["shard", "id", "owner", *values]
-    ready = sized.where(F.col("n") <= cap).select(columns)
-    hot = sized.where(F.col("n") > cap).select(columns)
+    sizes = C.cut(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
+    filled = lambda x: shards.join(sizes.where(x).select("shard"), "shard").join(points, "id").withColumn("owner", F.lit(True)).select(columns)
+    ready = filled(F.col("n") <= cap)
+    hot = C.cut(filled(F.col("n") > cap)) if not sizes.where(F.col("n") > cap).isEmpty() else None
     for k in range(rounds):
-        if hot.isEmpty():
+        if hot is None or hot.isEmpty():
+            hot = None
             break
         first = F.min_by(F.struct(*values), F.xxhash64("id", F.lit(k)))
         vantage = hot.groupBy("shard").agg(first.alias("v"))
@@ -211,7 +226,7 @@ def range_pairs(
         both = C.cut(both.join(counts, "shard"))
         ready = ready.union(both.where(F.col("n") <= cap).select(columns))
         hot = both.where(F.col("n") > cap).select(columns)
-    if not hot.isEmpty():
+    if hot is not None and not hot.isEmpty():
         count = hot.groupBy("shard").agg(F.ceil(F.count("*") / (cap // 2)).cast("int").alias("k"))
         block = hot.join(count, "shard").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
         as_owner = block.where("owner").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -230,7 +245,7 @@ def range_pairs(
 # Texts --------------------------------------------------------------------------------------------------------------
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], gram: int, bins: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], gram: int, bins: int, rows: int, n_bands: int) -> Iterator[pa.RecordBatch]:
     width = np.uint64(64 - bins.bit_length() + 1)
     # A bin left empty takes the value of another bin in a fixed random order, the same for every text.
     order = np.random.default_rng(7).permuted(np.tile(np.arange(bins), (bins, 1)), axis=1)
@@ -254,15 +269,16 @@ def _signatures(batches: Iterator[pa.RecordBatch], gram: int, bins: int, rows: i
                     donors = order[empty, filled[order[empty]].argmax(axis=1)]
                     mins[empty] = mins[donors] + empty.astype(np.uint64) * np.uint64(C.BASE)
                 mins = C.mix(mins)
-                bits = np.packbits((mins & np.uint64(1)).astype(np.uint8)).view(np.uint64)
-                bands = C.mix(mins.reshape(-1, rows) @ np.array([C.BASE, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0x8CB92BA72F3D8DD7], dtype=np.uint64)[:rows] + np.arange(bins // rows, dtype=np.uint64))
-                out.append((ids[first + j], xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), bits[:2].view(np.int64), bands.view(np.int64)))
+                bits = np.packbits((mins & np.uint64(1)).astype(np.uint8)).view(np.int64)
+                rows_of = mins[: n_bands * rows].reshape(-1, rows)
+                bands = C.mix(rows_of @ C.mix(np.arange(1, rows + 1, dtype=np.uint64)) + np.arange(n_bands, dtype=np.uint64))
+                out.append((ids[first + j], xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), bits, bands.view(np.int64)))
         if out:
             i, cls, bits, bands = zip(*out)
-            low_high = np.array(bits)
+            words = np.array(bits)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i, pa.int64()), pa.array(cls, pa.binary()), pa.array(low_high[:, 0]), pa.array(low_high[:, 1]), pa.array(list(bands), pa.list_(pa.int64()))],
-                names=["id", "cls", "low", "high", "bands"],
+                [pa.array(i, pa.int64()), pa.array(cls, pa.binary()), *(pa.array(words[:, k]) for k in range(len(WORDS))), pa.array(list(bands), pa.list_(pa.int64()))],
+                names=["id", "cls", *WORDS, "bands"],
             )
 
 
@@ -270,20 +286,34 @@ def covered(a: np.ndarray, b: np.ndarray, run: int) -> float:
     """Share of text a (code points) that stands in runs of at least `run` characters also found in b."""
     if len(a) < run or len(b) < run:
         return float(len(a) == len(b) and bool((a == b).all()))
-    hit = np.isin(C.gram_hashes(C.prefix_sums(a), run), C.gram_hashes(C.prefix_sums(b), run))
-    edge = np.zeros(len(a) + 1, dtype=np.int64)
-    at = np.flatnonzero(hit)
+    return _share(len(a), C.gram_hashes(C.prefix_sums(a), run), C.gram_hashes(C.prefix_sums(b), run), run)
+
+
+def _share(n: int, own: np.ndarray, other: np.ndarray, run: int) -> float:
+    at = np.flatnonzero(np.isin(own, other))
+    edge = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + run, -1)
     return float((np.cumsum(edge[:-1]) > 0).mean())
 
 
-def _checked(batches: Iterator[pa.RecordBatch], share: float, run: int) -> Iterator[pa.RecordBatch]:
+def _checked(batches: Iterator[pa.RecordBatch], share: float, run: int, long_run: int, long_share: float) -> Iterator[pa.RecordBatch]:
+    @lru_cache(maxsize=256)
+    def runs(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+        x = C.compact(text)
+        sums = C.prefix_sums(C.code_points(x))
+        return x, C.gram_hashes(sums, run), C.gram_hashes(sums, long_run)
+
+    def alike(x: str, y: str) -> bool:
+        (p, p1, p2), (q, q1, q2) = runs(x), runs(y)
+        if len(p) < run or len(q) < run:
+            return p == q
+        if _share(len(p), p1, q1, run) < share or _share(len(q), q1, p1, run) < share:
+            return False
+        return min(len(p), len(q)) < long_run or (_share(len(p), p2, q2, long_run) >= long_share and _share(len(q), q2, p2, long_run) >= long_share)
+
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-            p, q = C.code_points(C.compact(x)), C.code_points(C.compact(y))
-            keep.append(covered(p, q, run) >= share and covered(q, p, run) >= share)
+        keep = [alike(x, y) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
 
@@ -324,50 +354,78 @@ class NearDuplicates:
         )
 
 
-def near_duplicate_texts(records: DataFrame, share: float = SHARE, radius: int = RADIUS, cap: int = CAP) -> NearDuplicates:
+def near_duplicate_texts(records: DataFrame, share: float = SHARE, radius: int = RADIUS, cap: int = CAP, run: int = RUN) -> NearDuplicates:
     """records: id LONG, text STRING. Links rows of which at least `share` of each one's text stands in the other."""
     texts = records.select("id", "text").where(F.length("text") > 0)
-    found = C.cut(texts.mapInArrow(lambda it: _signatures(it, GRAM, BINS, ROWS), "id long, cls binary, low long, high long, bands array<long>"))
+    schema = f"id long, cls binary, {', '.join(f'{w} long' for w in WORDS)}, bands array<long>"
+    found = C.cut(texts.mapInArrow(lambda it: _signatures(it, GRAM, BINS, ROWS, BANDS), schema))
     reps = found.groupBy("cls").agg(F.min("id").alias("rep"))
     members = C.cut(found.select("id", "cls").join(reps, "cls").select("id", "rep").distinct())
     single = found.join(members.where("id = rep").select("id"), "id").dropDuplicates(["id"])
-    shards = single.select(F.explode("bands").alias("shard"), "id", "low", "high")
-    pairs = range_pairs(
-        shards, radius, lambda p, q: F.bit_count(F.col(f"{p}low").bitwiseXOR(F.col(f"{q}low"))) + F.bit_count(F.col(f"{p}high").bitwiseXOR(F.col(f"{q}high"))),
-        ["low", "high"], one_hamming, hamming_metric, _prints, cap,
-    )
-    pairs = C.cut(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    some = C.cut(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    far = lambda p, q: sum((F.bit_count(F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))) for w in WORDS[1:]), F.bit_count(F.col(f"{p}{WORDS[0]}").bitwiseXOR(F.col(f"{q}{WORDS[0]}"))))
+    shards = single.select(F.explode("bands").alias("shard"), "id")
+    pairs = C.cut(range_pairs(shards, single.select("id", *WORDS), radius, far, one_hamming, hamming_metric, _prints, cap))
+    # One of the two texts travels to the other; equal ids of repeated rows are one record.
+    once = texts.dropDuplicates(["id"])
     links = (
-        pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .mapInArrow(lambda it: _checked(it, share, RUN), "a long, b long")
+        pairs.join(once.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(once.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        .mapInArrow(lambda it: _checked(it, share, run, LONG_RUN, LONG_SHARE), "a long, b long")
     )
     return NearDuplicates(C.cut(links), members)
 
 
 # Names --------------------------------------------------------------------------------------------------------------
 
-# Words of the bracketed marks that come and go in front of, behind or without brackets.
-MARK_WORDS = ("비갱신형", "갱신형", "무배당", "보증비용부과형", "약관")
+BRACKETED = re.compile(r"[(\[{<〈《「『【〔]([^)\]}>〉》」』】〕]*)[)\]}>〉》」』】〕]")
+ISSUE, PLAN = re.compile(r"(?<![0-9])[0-9]{4}(?![0-9])"), re.compile(r"([0-9]+)\s*종(?![가-힣])")
+# Fixed value: the word that stands for the document itself.
+TERMS_WORD = "약관"
+
+
+def _letters(text: str) -> str:
+    return "".join(filter(str.isalnum, text)).casefold()
+
+
+def calendar_day(text: str | None) -> str:
+    """yyyymmdd of a date written in any of the usual ways, else empty."""
+    groups = re.findall(r"[0-9]+", unicodedata.normalize("NFKC", text or ""))
+    if groups and len(groups[0]) >= 8:
+        return groups[0][:8]
+    if len(groups) >= 3 and len(groups[0]) == 4 and max(len(groups[1]), len(groups[2])) <= 2:
+        return groups[0] + groups[1].zfill(2) + groups[2].zfill(2)
+    return ""
+
+
+def marks_in(name: str) -> list[str]:
+    """The marks that stand in brackets: what is between commas, letters only. Issue and plan numbers are no marks."""
+    bare = PLAN.sub(" ", ISSUE.sub(" ", name))
+    return [x for inner in BRACKETED.findall(bare) for part in re.split(r"[,/·、;]", inner) if (x := _letters(part))]
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = Counter(m for name in batch.column("name").to_pylist() for m in marks_in(unicodedata.normalize("NFKC", name or "")))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["mark", "n"])
+
 
+def usual_marks(records: DataFrame, least: float = MARK_SHARE) -> list[str]:
+    """Marks that make up at least `least` of all bracketed marks, so at most 1 / least of them; longest first."""
+    counts = C.cut(records.select("name").where("name is not null").mapInArrow(_marks, "mark string, n long").groupBy("mark").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return sorted((r.mark for r in counts.where(F.col("n") >= least * total).collect()), key=lambda m: (-len(m), m))
 
-def _listing_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import re
-    import unicodedata
 
-    issue_at, plan_at = re.compile(r"(?<![0-9])[0-9]{4}(?![0-9])"), re.compile(r"([0-9]+)\s*종(?![가-힣])")
-    marks = re.compile("|".join(MARK_WORDS))
+def _listing_keys(batches: Iterator[pa.RecordBatch], usual: list[str]) -> Iterator[pa.RecordBatch]:
+    bare = re.compile("|".join(map(re.escape, [*usual, TERMS_WORD])))
     for batch in batches:
         out = []
         for i, name, date in zip(*(batch.column(c).to_pylist() for c in ("id", "name", "sale_date"))):
-            day = "".join(filter(str.isdigit, unicodedata.normalize("NFKC", date or "")))
-            text = unicodedata.normalize("NFKC", name or "")
-            issue, plan = issue_at.findall(text), plan_at.findall(text)
-            core = "".join(filter(str.isalnum, marks.sub("", plan_at.sub(" ", issue_at.sub(" ", text))))).casefold()
-            if core and len(day) >= 8:
-                out.append((i, day[:8], ",".join(plan), ",".join(issue), core))
+            day, text = calendar_day(date), unicodedata.normalize("NFKC", name or "")
+            issue, plan = ISSUE.findall(text), PLAN.findall(text)
+            core = bare.sub("", _letters(BRACKETED.sub(" ", PLAN.sub(" ", ISSUE.sub(" ", text)))))
+            if core and day:
+                out.append((i, day, ",".join(plan), ",".join(issue), core))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), *[pa.string()] * 4))], names=["id", "day", "plan", "issue", "core"])
 
@@ -377,12 +435,13 @@ def near_duplicate_names(records: DataFrame, edits: int = EDITS, cap: int = CAP)
 
     Names with two different issue numbers are never linked; a missing number goes with any.
     """
-    keys = C.cut(records.select("id", "name", "sale_date").mapInArrow(_listing_keys, "id long, day string, plan string, issue string, core string"))
+    usual = usual_marks(records)
+    keys = C.cut(records.select("id", "name", "sale_date").mapInArrow(lambda it: _listing_keys(it, usual), "id long, day string, plan string, issue string, core string"))
     same = ["day", "plan", "issue", "core"]
     reps = keys.groupBy(same).agg(F.min("id").alias("rep"))
     members = C.cut(keys.join(reps, same).select("id", "rep").distinct())
-    shards = reps.select(F.xxhash64("day", "plan").alias("shard"), F.col("rep").alias("id"), "core")
-    pairs = range_pairs(shards, edits, lambda p, q: F.levenshtein(f"{p}core", f"{q}core"), ["core"], one_edit, edit_metric, lambda c: c["core"], cap)
+    shards, points = reps.select(F.xxhash64("day", "plan").alias("shard"), F.col("rep").alias("id")), reps.select(F.col("rep").alias("id"), "core")
+    pairs = range_pairs(shards, points, edits, lambda p, q: F.levenshtein(f"{p}core", f"{q}core"), one_edit, edit_metric, lambda c: c["core"], cap)
     a, b = (reps.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("day", "plan", "issue"))) for x in "ab")
     agree = (F.col("day_a") == F.col("day_b")) & (F.col("plan_a") == F.col("plan_b")) & ((F.col("issue_a") == F.col("issue_b")) | (F.col("issue_a") == "") | (F.col("issue_b") == ""))
     return NearDuplicates(C.cut(pairs.join(a, "a").join(b, "b").where(agree).select("a", "b")), members)

@@ -127,3 +127,21 @@ def test_edit_distances_agree():
     many = N.edit_metric(names)
     for i in range(0, 50, 7):
         assert many(i, np.arange(50)).tolist() == [N.one_edit(names[i], x) for x in names]
+
+
+def test_marks_are_learnt_and_dates_read(spark):
+    rows = [(k, f"가나다라건강보험{k}(1011)(신상품,우대형)", "20101101") for k in range(40)]
+    rows += [(100, "우대형 가나다라건강보험3(1011)신상품", "2010-11-1"), (101, "가나다라건강보험3(1011)", "2010년 11월 1일"), (102, "가나다라건강보험3", "2010"), (103, "가나다라건강보험3", "10-11-1")]
+    df = spark.createDataFrame(rows, "id long, name string, sale_date string")
+    assert N.usual_marks(df) == ["신상품", "우대형"]
+    got = pairs(N.near_duplicate_names(df))
+    assert {(3, 100), (3, 101), (100, 101)} <= got and not any(102 in p or 103 in p for p in got)
+    assert [N.calendar_day(x) for x in ("2010.1.5", "２０１０/01/05", "20100105120000", None, "", "5.1.2010")] == ["20100105"] * 3 + [""] * 3
+
+
+def test_short_runs_alike_by_chance_are_no_copy():
+    rng = random.Random(3)
+    stock = [noise(rng, 12) for _ in range(30)]
+    one, two = ("".join(rng.choice(stock) for _ in range(60)) for _ in range(2))
+    a, b = C.code_points(one), C.code_points(two)
+    assert N.covered(a, b, N.RUN) > N.SHARE and N.covered(a, b, N.LONG_RUN) < N.LONG_SHARE
