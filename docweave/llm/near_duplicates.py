@@ -44,7 +44,7 @@ GRAM = 4
 BINS = 256
 ROWS = 4
 BANDS = 56
-RADIUS = 80
+RADIUS = 76
 CAP = 1500
 ROUNDS = 6
 SHARE = 0.7
@@ -282,35 +282,54 @@ def _signatures(batches: Iterator[pa.RecordBatch], gram: int, bins: int, rows: i
             )
 
 
+def _covered(n: int, hit: np.ndarray, run: int) -> float:
+    """Share of n characters that lie in a run that begins where `hit` holds."""
+    upto = np.zeros(n + 1, dtype=np.int32)
+    np.cumsum(hit, out=upto[1 : len(hit) + 1])
+    upto[len(hit) + 1 :] = upto[len(hit)]
+    return float(np.count_nonzero(upto[1:] - np.concatenate([np.zeros(run, dtype=np.int32), upto[1 : n - run + 1]]))) / n
+
+
 def covered(a: np.ndarray, b: np.ndarray, run: int) -> float:
     """Share of text a (code points) that stands in runs of at least `run` characters also found in b."""
     if len(a) < run or len(b) < run:
         return float(len(a) == len(b) and bool((a == b).all()))
-    return _share(len(a), C.gram_hashes(C.prefix_sums(a), run), C.gram_hashes(C.prefix_sums(b), run), run)
+    return _covered(len(a), np.isin(C.gram_hashes(C.prefix_sums(a), run), C.gram_hashes(C.prefix_sums(b), run)), run)
 
 
-def _share(n: int, own: np.ndarray, other: np.ndarray, run: int) -> float:
-    at = np.flatnonzero(np.isin(own, other))
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + run, -1)
-    return float((np.cumsum(edge[:-1]) > 0).mean())
+class _Runs:
+    """A text's runs of each width asked for: distinct hashes in order, and which of them begins at each position."""
+
+    def __init__(self, text: str):
+        self.text = C.compact(text)
+        self.sums = C.prefix_sums(C.code_points(self.text))
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in self.by_width:
+            self.by_width[width] = np.unique(C.gram_hashes(self.sums, width), return_inverse=True)
+        return self.by_width[width]
+
+    def both_covered(self, other: _Runs, width: int, share: float) -> bool:
+        (own, at), (theirs, there) = self.of(width), other.of(width)
+        place = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
+        same = theirs[place] == own
+        if _covered(len(self.text), same[at], width) < share:
+            return False
+        back = np.zeros(len(theirs), dtype=bool)
+        back[place[same]] = True
+        return _covered(len(other.text), back[there], width) >= share
 
 
 def _checked(batches: Iterator[pa.RecordBatch], share: float, run: int, long_run: int, long_share: float) -> Iterator[pa.RecordBatch]:
-    @lru_cache(maxsize=256)
-    def runs(text: str) -> tuple[str, np.ndarray, np.ndarray]:
-        x = C.compact(text)
-        sums = C.prefix_sums(C.code_points(x))
-        return x, C.gram_hashes(sums, run), C.gram_hashes(sums, long_run)
+    runs = lru_cache(maxsize=256)(_Runs)
 
     def alike(x: str, y: str) -> bool:
-        (p, p1, p2), (q, q1, q2) = runs(x), runs(y)
-        if len(p) < run or len(q) < run:
-            return p == q
-        if _share(len(p), p1, q1, run) < share or _share(len(q), q1, p1, run) < share:
-            return False
-        return min(len(p), len(q)) < long_run or (_share(len(p), p2, q2, long_run) >= long_share and _share(len(q), q2, p2, long_run) >= long_share)
+        p, q = runs(x), runs(y)
+        least = min(len(p.text), len(q.text))
+        if least < run:
+            return p.text == q.text
+        return p.both_covered(q, run, share) and (least < long_run or p.both_covered(q, long_run, long_share))
 
     for batch in batches:
         keep = [alike(x, y) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
