@@ -3,13 +3,15 @@
 Method: dependent fields form *bundles*, taken whole from one row. A functional dependency between two bundles says
 that the value of the first fixes the value of the second (the most trusted one stated beside it). The assignment of
 one candidate value to each bundle with the highest total trust that keeps all dependencies is found by branch and
-bound. The root of the search, each bundle's best value by itself, is one aggregation without Python; where it keeps
-all dependencies, which without dependencies is always, its bound is reached and nothing is left to search. Only
-groups whose root breaks a dependency are branched, over candidates none of which another one dominates, best bound
-first.
+bound, in Arrow batches, for every group. A candidate enters the search unless another one dominates it: of values
+that imply the same and are implied alike only the most trusted can be in a best assignment, and where the best values
+of all bundles keep the dependencies among them nothing else can be. So a group brings to its search what its
+dependencies leave open, never its rows; dominated candidates are left out by aggregations.
 
 A group with one row is no duplicate group. A bundle none of whose rows is usable has no survivor. Trust is the rank
-of the confidence, then the time, then the length of the value, then the smaller row number; nulls rank last.
+of the confidence, then the time, then the length of the value, then the smaller row number; nulls rank last. Ranks
+add up over the bundles; of assignments with equal sums the one wins whose first bundle has the more trusted value, then
+whose second has, and so on, so the order of the rows never matters.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from . import common as C
 STAND_INS = ("", "-", "--", "na", "n/a", "nan", "null", "nil", "none", "tbd", "tba", "unknown", "undefined", "없음", "해당없음", "미상", "미정", "알수없음", "?", ".")
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000\u00a0"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + "  "
-#: A trust score's place value: ranks outweigh any position in the order of candidates.
-STEP = 1e-6
+CANDIDATE = "array<struct<bundle:int,rank:int,when:timestamp_ntz,length:int,no:bigint,value:string>>"
+IMPLIED = "array<struct<rule:int,x:string,y:string>>"
 
 
 def usable(value: Column) -> Column:
@@ -58,37 +60,64 @@ class Bundle:
         return F.when(self.usable(), parts)
 
 
+def best_assignment(options: list[list[tuple]], rules: list[tuple[int, int]], implied: dict[tuple[int, str], str]) -> list[tuple]:
+    """options: for each bundle (rank, when, length, no, value), in any order; the candidate chosen for each bundle, None where it has none.
+
+    implied: the value of the second bundle that a rule and a value of its first bundle allow; without entry any.
+    """
+    scored = []
+    for own in options:
+        # Later, longer and smaller-numbered first; null times last.
+        ranked = sorted(own, key=lambda c: (c[0], c[1] is not None, c[1] or 0, c[2] or 0, -c[3]), reverse=True)
+        scored.append([(c[0] + 1, c) for c in ranked] or [(0, None)])
+    rest = [0]
+    for own in reversed(scored):
+        rest.append(rest[-1] + own[0][0])
+    rest.reverse()
+    best: list = [-1, []]
+    chosen: list = []
+
+    def keeps(k: int) -> bool:
+        for r, (x, y) in enumerate(rules):
+            if k == max(x, y) and chosen[x] is not None:
+                allowed = implied.get((r, chosen[x][4]))
+                if allowed is not None and chosen[y] is not None and chosen[y][4] != allowed:
+                    return False
+        return True
+
+    def search(k: int, score: int) -> None:
+        if k == len(scored):
+            best[:] = [score, list(chosen)]
+            return
+        for gain, c in scored[k]:
+            if score + gain + rest[k + 1] <= best[0]:
+                break  # bound: no candidate after this one can do better, and of equals the first found is the more trusted
+            chosen.append(c)
+            if keeps(k):
+                search(k + 1, score + gain)
+            chosen.pop()
+
+    search(0, 0)
+    return best[1]
+
+
 def _branch(batches: Iterator[pa.RecordBatch], names: list[str], rules: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        groups = batch.column("group_no").to_pylist()
+        listed, implied = batch.column("candidates"), batch.column("implied")
+        c, cut_at = listed.flatten(), listed.offsets.to_pylist()
+        i, implied_at = implied.flatten(), implied.offsets.to_pylist()
+        parts = [c.field(f) for f in ("rank", "when", "length", "no", "value")]
+        bundle, values = c.field("bundle").to_pylist(), list(zip(*(x.cast(pa.int64()).to_pylist() if pa.types.is_timestamp(x.type) else x.to_pylist() for x in parts)))
+        stated = list(zip(*(i.field(f).to_pylist() for f in ("rule", "x", "y"))))
+        first, first_implied = cut_at[0], implied_at[0]
         out = []
-        for row in batch.to_pylist():
-            options = [[(c["score"], c["no"], c["value"]) for c in row["candidates"] if c["bundle"] == n] or [(0.0, None, None)] for n in names]
-            for o in options:
-                o.sort(key=lambda c: -c[0])
-            implied = {(r["rule"], r["x"]): r["y"] for r in row["implied"]}
-            best = [-1.0, None]
-            rest = [sum(o[0][0] for o in options[k:]) for k in range(len(options) + 1)]
-
-            def search(k: int, chosen: list, score: float) -> None:
-                if score + rest[k] <= best[0]:
-                    return
-                if k == len(options):
-                    best[:] = [score, list(chosen)]
-                    return
-                for c in options[k]:
-                    if score + c[0] + rest[k + 1] <= best[0]:
-                        break
-                    chosen.append(c)
-                    if all(
-                        implied.get((r, chosen[x][2]), chosen[y][2]) == chosen[y][2]
-                        for r, (x, y) in enumerate(rules)
-                        if k in (x, y) and max(x, y) <= k and chosen[x][1] is not None
-                    ):
-                        search(k + 1, chosen, score + c[0])
-                    chosen.pop()
-
-            search(0, [], 0.0)
-            out += [(row["group_no"], n, c[1]) for n, c in zip(names, best[1] or []) if c[1] is not None]
+        for k, group in enumerate(groups):
+            options: list[list[tuple]] = [[] for _ in names]
+            for j in range(cut_at[k] - first, cut_at[k + 1] - first):
+                options[bundle[j]].append(values[j])
+            known = {(r, x): y for r, x, y in stated[implied_at[k] - first_implied : implied_at[k + 1] - first_implied]}
+            out += [(group, n, x[3]) for n, x in zip(names, best_assignment(options, rules, known)) if x is not None]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64()))], names=["group_no", "bundle", "from_no"])
 
@@ -99,14 +128,21 @@ def best_bundles(rows: DataFrame, group: list[str], number: str, confidence: str
     rules: pairs of bundle names, the first of which determines the second.
     """
     rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for x in ("HIGH", 3, "MEDIUM", 2, "LOW", 1))), F.upper(F.trim(F.col(confidence)))), F.lit(0))
-    base = rows.withColumn("no_", F.col(number)).withColumn("rank_", rank).withColumn("when_", F.col(time))
+    base = rows.withColumn("no_", F.col(number)).withColumn("rank_", rank).withColumn("when_", F.col(time).cast("timestamp_ntz"))
     base = base.select(*dict.fromkeys([*group, "no_", "rank_", "when_", *(f for b in bundles for f in b.fields)]))
-    root = base.groupBy(*group).agg(F.min("no_").alias("group_no"), F.count("*").alias("n_"), *(F.max(b.trust()).alias(f"best_{b.name}") for b in bundles)).where("n_ > 1")
-    long = lambda df: df.select("group_no", F.explode(F.array(*(F.struct(F.lit(b.name).alias("bundle"), (-F.col(f"best_{b.name}.no")).alias("from_no")) for b in bundles))).alias("x")).select("group_no", "x.*").where("from_no is not null")
-    if not rules:
-        return long(root)
     names = [b.name for b in bundles]
     index = [(names.index(x), names.index(y)) for x, y in rules]
+    root = base.groupBy(*group).agg(F.min("no_").alias("group_no"), F.count("*").alias("n_"), *(F.max(b.trust()).alias(f"best_{b.name}") for b in bundles)).where("n_ > 1")
+
+    def entry(k: int, trust: Column, value: Column) -> Column:
+        return F.struct(F.lit(k).alias("bundle"), trust["rank_"].alias("rank"), trust["when_"].alias("when"), trust["length"].alias("length"), (-trust["no"]).alias("no"), value.alias("value"))
+
+    # The best value of every bundle dominates all others of a group in which these values keep the rules.
+    tops = F.filter(F.array(*(F.when(F.col(f"best_{n}").isNotNull(), entry(k, F.col(f"best_{n}"), F.lit(None).cast("string"))) for k, n in enumerate(names))), lambda x: x.isNotNull())
+    free = lambda df: df.select("group_no", tops.cast(CANDIDATE).alias("candidates"), F.array().cast(IMPLIED).alias("implied"))
+    searched = lambda df: df.mapInArrow(lambda it: _branch(it, names, index), "group_no long, bundle string, from_no long")
+    if not rules:
+        return searched(free(root))
     root = C.cut(root)
     # The value each left side implies: the most trusted right side stated beside it in the group.
     keys = root.select(*group, "group_no", *(F.col(f"best_{b.name}") for b in bundles))
@@ -119,37 +155,32 @@ def best_bundles(rows: DataFrame, group: list[str], number: str, confidence: str
         stated = pairs if stated is None else stated.union(pairs)
     stated = C.cut(stated)
     candidates = None
-    for b in bundles:
-        own = tied.where(b.usable()).groupBy("group_no", F.lit(b.name).alias("bundle"), b.value().alias("value")).agg(F.max(b.trust()).alias("trust"), F.first(f"best_{b.name}").alias("top"))
-        # Distance from the best of its bundle: whole ranks, and one step for any later place.
-        score = F.col("trust.rank_") + 1 - F.when(F.col("trust") == F.col("top"), 0.0).otherwise(STEP)
-        own = own.select("group_no", "bundle", "value", "trust", (-F.col("trust.no")).alias("no"), score.alias("score"), (F.col("trust") == F.col("top")).alias("is_top"))
+    for k, b in enumerate(bundles):
+        own = tied.where(b.usable()).groupBy("group_no", F.lit(k).alias("bundle"), b.value().alias("value")).agg(F.max(b.trust()).alias("trust"), F.first(f"best_{b.name}").alias("top"))
+        own = own.select("group_no", "bundle", "value", "trust", (F.col("trust") == F.col("top")).alias("is_top"))
         candidates = own if candidates is None else candidates.union(own)
     candidates = C.cut(candidates)
-    tops = candidates.where("is_top").groupBy("group_no").agg(F.map_from_entries(F.collect_list(F.struct("bundle", "value"))).alias("tops"))
-    pick = lambda k: F.element_at("tops", F.element_at(F.array(*(F.lit(names[i[k]]) for i in index)), F.col("rule") + 1))
-    broken = stated.join(tops, "group_no").where((pick(0) == F.col("x")) & pick(1).isNotNull() & (pick(1) != F.col("y"))).select("group_no").distinct()
-    # Of values that imply the same and are implied alike only the most trusted can be in a best assignment, so what a
-    # group brings to its search is bounded by the distinct right sides of its rules, not by its rows.
+    best = candidates.where("is_top").groupBy("group_no").agg(F.map_from_entries(F.collect_list(F.struct("bundle", "value"))).alias("tops"))
+    side = lambda k: F.element_at("tops", F.element_at(F.array(*(F.lit(i[k]) for i in index)), F.col("rule") + 1))
+    broken = C.cut(stated.join(best, "group_no").where((side(0) == F.col("x")) & side(1).isNotNull() & (side(1) != F.col("y"))).select("group_no").distinct())
     kept = None
-    for k, b in enumerate(bundles):
-        own = candidates.where(F.col("bundle") == b.name).join(broken, "group_no", "left_semi")
+    for k in range(len(bundles)):
+        own = candidates.where(F.col("bundle") == k).join(broken, "group_no", "left_semi")
         alike = []
         for r, (x, y) in enumerate(index):
             if x == k:
-                side = stated.where(F.col("rule") == r).select("group_no", F.col("x").alias("value"), F.col("y").alias(f"implies_{r}"))
-                own, alike = own.join(side, ["group_no", "value"], "left"), [*alike, f"implies_{r}"]
+                implies = stated.where(F.col("rule") == r).select("group_no", F.col("x").alias("value"), F.col("y").alias(f"implies_{r}"))
+                own, alike = own.join(implies, ["group_no", "value"], "left"), [*alike, f"implies_{r}"]
         if any(y == k for _, y in index):
             own, alike = own.withColumn("itself", F.col("value")), [*alike, "itself"]
-        best = own.groupBy("group_no", "bundle", *alike).agg(F.max_by(F.struct("value", "no", "score"), "trust").alias("c")).select("group_no", "bundle", "c.*")
-        kept = best if kept is None else kept.union(best)
+        most = own.groupBy("group_no", "bundle", *alike).agg(F.max_by(F.struct("value", "trust"), "trust").alias("c")).select("group_no", "bundle", "c.*")
+        kept = most if kept is None else kept.union(most)
     kept = C.cut(kept)
     used = kept.select("group_no", F.col("value").alias("x")).distinct()
-    implied = stated.join(used, ["group_no", "x"], "left_semi").groupBy("group_no").agg(F.collect_list(F.struct("rule", "x", "y")).alias("implied"))
-    listed = kept.groupBy("group_no").agg(F.collect_list(F.struct("bundle", "value", "no", "score")).alias("candidates"))
-    branch = listed.join(implied, "group_no")
-    solved = branch.mapInArrow(lambda it: _branch(it, names, index), "group_no long, bundle string, from_no long")
-    return long(root.join(broken, "group_no", "left_anti")).union(solved)
+    implied = stated.join(used, ["group_no", "x"], "left_semi").groupBy("group_no").agg(F.collect_list(F.struct("rule", "x", "y")).cast(IMPLIED).alias("implied"))
+    entries = F.struct("bundle", F.col("trust.rank_").alias("rank"), F.col("trust.when_").alias("when"), F.col("trust.length").alias("length"), (-F.col("trust.no")).alias("no"), "value")
+    listed = kept.groupBy("group_no").agg(F.collect_list(entries).cast(CANDIDATE).alias("candidates"))
+    return searched(free(root.join(broken, "group_no", "left_anti")).unionByName(listed.join(implied, "group_no")))
 
 
 def with_thing_keys(nodes: DataFrame) -> DataFrame:
