@@ -8,7 +8,8 @@ falls in the last epoch: a document is taken there while the running total stays
 
 Null and empty texts have size 0 and are used like any other. Documents without a source, or of a source that is not
 listed, are not used. A listed source without documents has size 0. Null weights count as 0, null repeats as 1; a
-source listed twice keeps the larger weight. Repeated documents count as they stand.
+source listed twice keeps the larger weight. Repeated documents count as they stand. A source falls short if the mix
+holds every document of it max_repeats times and still less than its share.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-tokenizing pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_VOCABULARY_BYTES = 50_000_000
-MAX_SOURCES = 100_000
 BUCKET_ROWS = 100_000
 SEED = 20
 
@@ -56,19 +56,15 @@ class Mix:
         plan = targets.where("source is not null").groupBy("source").agg(
             F.coalesce(F.max("target_weight"), F.lit(0.0)).alias("target_weight"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("max_repeats")
         )
-        if plan.count() > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources are listed")
-        listed = documents.join(F.broadcast(plan.select("source")), "source", "left_semi")
+        listed = documents.join(plan.select("source"), "source", "left_semi")
         self.sizes = C.cut(token_sizes(listed, tokenizer))
         own = self.sizes.groupBy("source").agg(F.sum("tokens").alias("size"), F.count("*").alias("n_docs"))
-        whole = Window.partitionBy(F.lit(0))  # one row a listed source
+        total = self.sizes.agg(F.sum("tokens")).first()[0] or 0
         budget = (
             plan.join(own, "source", "left")
             .fillna(0, ["size", "n_docs"])
-            .withColumn("total", F.sum("size").over(whole))
-            .withColumn("wanted", F.col("target_weight") * F.col("total"))
+            .withColumn("wanted", F.col("target_weight") * F.lit(float(total)))
             .withColumn("available", F.col("size") * F.col("max_repeats"))
-            .withColumn("short", F.col("available") < F.col("wanted"))
             .withColumn("budget", F.least("wanted", F.col("available").cast("double")))
         )
         epochs = F.when(F.col("size") > 0, F.floor(F.col("budget") / F.col("size"))).otherwise(0)
@@ -80,7 +76,7 @@ class Mix:
 
     def uses(self) -> DataFrame:
         """doc_id, source, tokens, n_uses of every document used at least once."""
-        keyed = self.sizes.join(F.broadcast(self.budgets.select("source", "epochs", "rest", "buckets")), "source")
+        keyed = self.sizes.join(self.budgets.select("source", "epochs", "rest", "buckets"), "source")
         # 32 random bits, cut into equal ranges of keys.
         key = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 32)
         keyed = keyed.withColumn("key", key).withColumn("bucket", F.floor(F.col("key") * F.col("buckets") / F.lit(1 << 32)))
@@ -93,11 +89,12 @@ class Mix:
 
     def shares(self) -> DataFrame:
         """One row a source: what was wanted, what could be had and what the mix reached."""
-        used = self.uses().groupBy("source").agg(F.sum(F.col("tokens") * F.col("n_uses")).alias("reached"), F.max("n_uses").alias("most_uses"))
-        whole = Window.partitionBy(F.lit(0))
+        used = C.cut(self.uses().groupBy("source").agg(F.sum(F.col("tokens") * F.col("n_uses")).alias("reached"), F.max("n_uses").alias("most_uses")))
+        whole = used.agg(F.sum("reached")).first()[0] or 1
         return (
             self.budgets.join(used, "source", "left")
             .fillna(0, ["reached", "most_uses"])
-            .withColumn("share", F.col("reached") / F.greatest(F.sum("reached").over(whole), F.lit(1)))
+            .withColumn("short", (F.col("reached") >= F.col("available")) & (F.col("reached") < F.col("wanted")))
+            .withColumn("share", F.col("reached") / F.lit(whole))
             .select("source", "target_weight", "max_repeats", "n_docs", "size", "wanted", "available", "short", "reached", "most_uses", "share")
         )
