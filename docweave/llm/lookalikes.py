@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 # Cyrillic and Greek letters and the Latin letters they look like.
 CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХԚԜаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXQWaesijopcyxhdqwl"
 GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονρϲϳι", "ABEZHIKMNOPTYXCJovpcji"
-OTHER, OTHER_AS = "ɑɡıſ՝‐‑−", "agis`---"
+OTHER, OTHER_AS = "ɑɡıſ՝‐‑−〜∼∶∕⁄‚", "agis`---~~://,"
+# Fixed value: signs that look like the middle dot.
+MIDDLE_DOTS = "\u0387\u2027\u2219\u22c5\u30fb\uff65\u318d\u119e"
+MIDDLE_DOT = "·"
 INVISIBLE = r"[\p{Cf}\x00-\x08\x0e-\x1b\x7f-\x{84}\x{86}-\x{9f}\x{034f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{3164}\x{ffa0}\x{fe00}-\x{fe0f}]"
 SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}\x{2800}]+"
 
 
 def alphabet() -> tuple[str, str]:
     """Characters to translate and what they become: the letters above, also with accents, and wide, narrow and styled forms of one character."""
-    table = dict(zip(CYRILLIC + GREEK + OTHER, CYRILLIC_AS + GREEK_AS + OTHER_AS))
+    table = dict(zip(CYRILLIC + GREEK + OTHER + MIDDLE_DOTS, CYRILLIC_AS + GREEK_AS + OTHER_AS + MIDDLE_DOT * len(MIDDLE_DOTS)))
     plain = dict(table)
     for cp in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
         form = unicodedata.normalize("NFD", chr(cp))

@@ -73,6 +73,7 @@ CASES = [
     ("회사는 보험금", "회사는 보험금", True), ("회사는 보험금", "회사는　 보험금", True), ("보험금", "보​험﻿금", True), ("보험금", unicodedata.normalize("NFD", "보험금"), True),
     ("Orléa 12%", "Ｏrlе́а １２％", True), ("CT 기준", "СТ 기준", True), ("CT 기준", "ϹΤ 기준", True), ("① 회사", "1 회사", False), ("① 회사", "(1) 회사", False), ("1. 가", "２. 가", False), ("가 나", "가나", False),
     ("줄\n바꿈", "줄 바꿈", True), ("a", "​", False), ("보험금", "보험금", False), ("m²", "m2", False), ("quote's", "quоtе's", True),
+    ("사망·상해", "사망‧상해", True), ("사망·상해", "사망ㆍ상해", True), ("사망·상해", "사망・상해", True), ("사망·상해", "사망･상해", True), ("사망·상해", "사망.상해", False), ("1∼2", "1~2", True),
 ]
 
 
