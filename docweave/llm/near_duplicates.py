@@ -7,8 +7,8 @@ vantage point; members within the search radius of the boundary go to both sides
 the other). In each shard a vantage-point tree answers, for every owner, which members lie within the radius, pruning
 branches by the triangle inequality. A vantage-point tree over all fingerprints alone would not prune: the distances of
 unrelated texts to any vantage point lie close together and the radius is wider than their spread; hence the bands.
-A shard that splitting does not make smaller is compared in blocks, so none is cut short. The pairs found are then
-checked exactly on the whole texts.
+A shard that splitting does not make smaller is compared in blocks, so none is cut short. A second bit of each min-hash
+then leaves out pairs that only many single bits made look alike, and the rest is checked exactly on the whole texts.
 
 What two texts have in common counts where it stands in runs of RUN characters or more. Texts of one language also have
 many short runs in common by chance, a third of their length in runs of LONG_RUN at most; edits scattered at random
@@ -28,7 +28,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,10 @@ RUN = 10
 LONG_RUN, LONG_SHARE = 16, 0.45
 EDITS = 2
 MARK_SHARE = 0.001
+#: Of the 256 min-hashes so many must agree in both bits: 128 of them would by chance where a third are the same.
+AGREE = 140
 WORDS = ["w0", "w1", "w2", "w3"]
+SECOND = ["v0", "v1", "v2", "v3"]
 
 
 # Vantage-point trees ------------------------------------------------------------------------------------------------
@@ -269,19 +272,31 @@ def _signatures(batches: Iterator[pa.RecordBatch], gram: int, bins: int, rows: i
                     donors = order[empty, filled[order[empty]].argmax(axis=1)]
                     mins[empty] = mins[donors] + empty.astype(np.uint64) * np.uint64(C.BASE)
                 mins = C.mix(mins)
-                bits = np.packbits((mins & np.uint64(1)).astype(np.uint8)).view(np.int64)
+                one, two = (np.packbits((mins >> np.uint64(k) & np.uint64(1)).astype(np.uint8)).view(np.int64) for k in (0, 1))
                 rows_of = mins[: n_bands * rows].reshape(-1, rows)
                 bands = C.mix(rows_of @ C.mix(np.arange(1, rows + 1, dtype=np.uint64)) + np.arange(n_bands, dtype=np.uint64))
-                out.append((ids[first + j], xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), bits, bands.view(np.int64)))
+                out.append((ids[first + j], _digest(text), np.concatenate([one, two]), bands.view(np.int64)))
         if out:
             i, cls, bits, bands = zip(*out)
             words = np.array(bits)
+            names = [*WORDS, *SECOND]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i, pa.int64()), pa.array(cls, pa.binary()), *(pa.array(words[:, k]) for k in range(len(WORDS))), pa.array(list(bands), pa.list_(pa.int64()))],
-                names=["id", "cls", *WORDS, "bands"],
+                [pa.array(i, pa.int64()), pa.array(cls, pa.binary()), *(pa.array(words[:, k]) for k in range(len(names))), pa.array(list(bands), pa.list_(pa.int64()))],
+                names=["id", "cls", *names, "bands"],
             )
 
 
+def _digest(compact: str) -> bytes:
+    return xxhash.xxh3_128_digest(compact.encode("utf-8", "surrogatepass"))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [(i, _digest(x)) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) if (x := C.compact(t))]
+        ids, cls = zip(*held) if held else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.binary())], names=["id", "cls"])
+
+
 def _covered(n: int, hit: np.ndarray, run: int) -> float:
     """Share of n characters that lie in a run that begins where `hit` holds."""
     upto = np.zeros(n + 1, dtype=np.int32)
@@ -376,14 +391,19 @@ class NearDuplicates:
 def near_duplicate_texts(records: DataFrame, share: float = SHARE, radius: int = RADIUS, cap: int = CAP, run: int = RUN) -> NearDuplicates:
     """records: id LONG, text STRING. Links rows of which at least `share` of each one's text stands in the other."""
     texts = records.select("id", "text").where(F.length("text") > 0)
-    schema = f"id long, cls binary, {', '.join(f'{w} long' for w in WORDS)}, bands array<long>"
-    found = C.cut(texts.mapInArrow(lambda it: _signatures(it, GRAM, BINS, ROWS, BANDS), schema))
-    reps = found.groupBy("cls").agg(F.min("id").alias("rep"))
-    members = C.cut(found.select("id", "cls").join(reps, "cls").select("id", "rep").distinct())
-    single = found.join(members.where("id = rep").select("id"), "id").dropDuplicates(["id"])
-    far = lambda p, q: sum((F.bit_count(F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))) for w in WORDS[1:]), F.bit_count(F.col(f"{p}{WORDS[0]}").bitwiseXOR(F.col(f"{q}{WORDS[0]}"))))
-    shards = single.select(F.explode("bands").alias("shard"), "id")
-    pairs = C.cut(range_pairs(shards, single.select("id", *WORDS), radius, far, one_hamming, hamming_metric, _prints, cap))
+    words = [*WORDS, *SECOND]
+    schema = f"id long, cls binary, {', '.join(f'{w} long' for w in words)}, bands array<long>"
+    signed = texts.mapInArrow(lambda it: _signatures(it, GRAM, BINS, ROWS, BANDS), schema)
+    # Rows of one class have one signature, so copies end in the map-side part of this aggregation.
+    single = C.cut(signed.groupBy("cls").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in (*words, "bands"))))
+    digests = texts.mapInArrow(_digests, "id long, cls binary")
+    members = C.cut(digests.join(single.select("cls", F.col("id").alias("rep")), "cls").select("id", "rep").distinct())
+    differ = lambda p, q, w: F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))
+    far = lambda p, q: reduce(Column.__add__, (F.bit_count(differ(p, q, w)) for w in WORDS))
+    close = range_pairs(single.select(F.explode("bands").alias("shard"), "id"), single.select("id", *WORDS), radius, far, one_hamming, hamming_metric, _prints, cap)
+    a, b = (single.select(F.col("id").alias(x), *(F.col(w).alias(f"{x}_{w}") for w in words)) for x in "ab")
+    unlike = reduce(Column.__add__, (F.bit_count(differ("a_", "b_", w).bitwiseOR(differ("a_", "b_", v))) for w, v in zip(WORDS, SECOND)))
+    pairs = C.cut(close.join(a, "a").join(b, "b").where(BINS - unlike >= AGREE).select("a", "b"))
     # One of the two texts travels to the other; equal ids of repeated rows are one record.
     once = texts.dropDuplicates(["id"])
     links = (
