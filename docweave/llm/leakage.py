@@ -9,8 +9,9 @@ what is retrieved the longest common run of the passage and of the whole documen
 question the share found in the document is reported too.
 
 Folding keeps letters and digits, in lower case and normal width. Items of which the needed run is shorter than a
-gram are found by all runs of that length; empty ones are no items. The index is refused above MAX_INDEX_CHARS characters:
-evaluation sets are bounded, and a larger one is to be searched in parts.
+gram are indexed by grams of that length, one of which alone makes a candidate; empty ones are no items. Items of more
+than PART_CHARS characters together are indexed and searched in parts, each by a hash of the item's id: an index of any
+one part fits a task, and the parts together answer for all items.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ SHARE = 0.55
 GRAM = 8
 PASSAGE = 1024
 BLOCK_ITEMS = 8
-MAX_INDEX_CHARS = 20_000_000
+PART_CHARS = 4_000_000
 K1, B = 1.2, 0.75
 FILTER_BITS = 22
 
@@ -42,8 +43,6 @@ class ItemIndex:
         self.ids, self.texts, self.questions = [k[0] for k in kept], [k[1] for k in kept], [k[2] for k in kept]
         self.share, self.gram, n = share, gram, len(kept)
         self.need = [max(1, int(np.ceil(round(share * len(x), 6)))) for x in self.texts]
-        #: Runs of the needed length of items for which that is less than a gram.
-        self.short = {k: {x[j : j + self.need[k]] for j in range(len(x) - self.need[k] + 1)} for k, x in enumerate(self.texts) if self.need[k] < gram}
         self.overlap = max([gram, *(len(x) for x in self.texts)])
         hashes = [C.gram_hashes(C.prefix_sums(C.code_points(x)), gram) for x in self.texts]
         every = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
@@ -55,18 +54,16 @@ class ItemIndex:
         size = np.array([len(h) for h in hashes] or [1], dtype=float)
         weight = idf[pair[:, 0]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[pair[:, 1]] / max(1.0, size.mean())))
         self.by_item = (np.searchsorted(pair[:, 0], np.arange(len(self.grams) + 1)), pair[:, 1], weight)
-        # The least total weight of distinct grams in any run of the needed length, item by item.
-        self.threshold = np.full(n, np.inf)
-        start = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(int)
-        lookup = {(g, i): w for g, i, w in zip(pair[:, 0].tolist(), pair[:, 1].tolist(), weight.tolist())}
-        for k in range(n):
-            own, width = number[start[k] : start[k + 1]], self.need[k] - gram + 1
-            if width < 1:
-                continue
-            sums = []
-            for s in range(len(own) - width + 1):
-                sums.append(sum(lookup[g, k] for g in set(own[s : s + width].tolist())))
-            self.threshold[k] = min(sums) * (1 - 1e-9)
+        own_weight = weight[np.searchsorted(pair[:, 0] * n + pair[:, 1], number * n + item)] if len(number) else np.empty(0)
+        self.threshold = self._thresholds(number, item, own_weight, np.array([len(h) for h in hashes], dtype=np.int64))
+        #: By length, the hashes of all grams of the items whose needed run is that short, and the item of each.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in sorted({x for x in self.need if x < gram}):
+            few = [k for k in range(n) if self.need[k] == width]
+            grams = [np.unique(C.gram_hashes(C.prefix_sums(C.code_points(self.texts[k])), width)) for k in few]
+            every, of = np.concatenate(grams), np.repeat(few, [len(x) for x in grams])
+            order = np.argsort(every, kind="stable")
+            self.short[width] = every[order], of[order]
         block = pair[:, 1] // BLOCK_ITEMS
         at = pair[:, 0] * (n // BLOCK_ITEMS + 1) + block
         order = np.lexsort((-weight, at))
@@ -80,6 +77,44 @@ class ItemIndex:
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[self.grams >> np.uint64(64 - FILTER_BITS)] = True
 
+    def _thresholds(self, number: np.ndarray, item: np.ndarray, weight: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each item the least total weight of the distinct grams in any run of the needed length; infinite for shorter runs.
+
+        A gram at place j counts in a window that begins at s if s <= j < s + width and it did not stand between s and j
+        before, so it adds its weight to one interval of s, and all windows are summed in one pass.
+        """
+        out = np.full(len(size), np.inf)
+        if not len(number):
+            return out
+        place, begin = np.arange(len(number)), np.concatenate([[0], np.cumsum(size)])
+        width = (np.array(self.need) - self.gram + 1)[item]
+        order = np.lexsort((place, number, item))
+        same = (number[order][1:] == number[order][:-1]) & (item[order][1:] == item[order][:-1])
+        before = np.full(len(number), -1)
+        before[order[1:][same]] = order[:-1][same]
+        low = np.maximum(np.maximum(before + 1, place - width + 1), begin[item])
+        weight = np.where(width >= 1, weight, 0.0)
+        low = np.minimum(low, len(number))
+        edge = np.bincount(low, weight, minlength=len(number) + 1) - np.bincount(place + 1, weight, minlength=len(number) + 1)
+        sums = np.cumsum(edge[:-1])
+        whole = (width >= 1) & (place + width <= begin[item + 1])
+        np.minimum.at(out, item[whole], sums[whole])
+        return out - 1e-6
+
+    def short_items(self, sums: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) of texts that hold a gram of an item's needed length, for items whose needed run is less than a gram."""
+        out: set[tuple[int, int]] = set()
+        for width, (grams, items) in self.short.items():
+            hashes = C.gram_hashes(sums, width)
+            at = np.flatnonzero(np.isin(hashes, grams))
+            text = np.searchsorted(offsets, at, side="right") - 1
+            inside = at + width <= offsets[text + 1]
+            at, text = at[inside], text[inside]
+            low, high = np.searchsorted(grams, hashes[at], side="left"), np.searchsorted(grams, hashes[at], side="right")
+            for k, i, j in zip(text.tolist(), low.tolist(), high.tolist()):
+                out.update((k, int(x)) for x in items[i:j])
+        return out
+
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose gram occurs in the index, and the grams' numbers."""
         at = np.flatnonzero(self.filter[hashes >> np.uint64(64 - FILTER_BITS)])
@@ -147,8 +182,8 @@ def _leaks(batches: Iterator[pa.RecordBatch], index: ItemIndex, passage: int, qu
         out = []
         for first, held in C.blocks(C.letters_only(x) for x in texts):
             points, offsets = C.joined(held)
-            hashes = C.gram_hashes(C.prefix_sums(points), index.gram)
-            at, gram = index.numbers(hashes)
+            sums = C.prefix_sums(points)
+            at, gram = index.numbers(C.gram_hashes(sums, index.gram))
             owner = np.searchsorted(offsets, at, side="right") - 1
             inside = at + index.gram <= offsets[owner + 1]
             at, gram, owner = at[inside], gram[inside], owner[inside]
@@ -164,7 +199,7 @@ def _leaks(batches: Iterator[pa.RecordBatch], index: ItemIndex, passage: int, qu
                 hits.append((base[owner[more]] + last[more] - back, gram[more]))
             found, item = index.retrieve(np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
             pairs = {(int(k), int(i)) for k, i in zip(np.searchsorted(base, found, side="right") - 1, item)}
-            pairs |= {(k, i) for i, runs in index.short.items() for k, text in enumerate(held) if any(x in text for x in runs)}
+            pairs |= index.short_items(sums, offsets)
             for k, i in pairs:
                 run = longest_run(index.texts[i], held[k])
                 if run >= index.need[i]:
@@ -177,19 +212,25 @@ def _leaks(batches: Iterator[pa.RecordBatch], index: ItemIndex, passage: int, qu
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=["doc_id", "item_id", "passage_share", "question_share"])
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, item_id, passage_share (longest run over the passage's length), question_share; one row a pair.
 
-    documents: doc_id, text. items: item_id, passage, question; read to the driver after a check of their size.
+    documents: doc_id, text. items: item_id, passage, question; read to the driver part by part.
     """
     spark = documents.sparkSession
-    size = items.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.length("question")), F.lit(0)).alias("q")).first()
-    if size.n + size.q > MAX_INDEX_CHARS:
-        raise ValueError(f"the items hold {size.n + size.q} characters; search them in parts of at most {MAX_INDEX_CHARS}")
-    rows = items.select("item_id", "passage", "question").where("passage is not null").toPandas()
-    index = spark.sparkContext.broadcast(ItemIndex(rows.item_id.tolist(), rows.passage.tolist(), rows.question.tolist(), share))
-    passage = max(PASSAGE, 4 * index.value.overlap)
-    found = documents.select(F.col("doc_id").alias("id"), "text").where(F.length("text") > 0).mapInArrow(
-        lambda it: _leaks(it, index.value, passage), "doc_id long, item_id long, passage_share double, question_share double"
-    )
+    texts = documents.select(F.col("doc_id").alias("id"), "text").where(F.length("text") > 0)
+    wanted = items.select("item_id", "passage", "question").where("passage is not null")
+    size = wanted.agg(F.coalesce(F.sum(F.length("passage") + F.coalesce(F.length("question"), F.lit(0))), F.lit(0))).first()[0]
+    parts = max(1, -(-size // part_chars))
+    part_of = F.pmod(F.xxhash64("item_id", "passage"), F.lit(parts))
+    found = None
+    for k in range(parts):
+        rows = wanted.where(part_of == k).toPandas()
+        index = ItemIndex(rows.item_id.tolist(), rows.passage.tolist(), rows.question.tolist(), share)
+        sent, passage = spark.sparkContext.broadcast(index), max(PASSAGE, 4 * index.overlap)
+        one = texts.mapInArrow(lambda it, sent=sent, passage=passage: _leaks(it, sent.value, passage), "doc_id long, item_id long, passage_share double, question_share double")
+        if parts > 1:
+            one = C.cut(one)
+            sent.destroy()
+        found = one if found is None else found.union(one)
     return found.groupBy("doc_id", "item_id").agg(F.max("passage_share").alias("passage_share"), F.max("question_share").alias("question_share"))

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import random
+import time
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from docweave.llm import common as C
@@ -49,13 +50,36 @@ def test_leaks_equal_brute_force(spark):
     assert all(r.passage_share >= K.SHARE for r in got)
 
 
-def test_leaks_of_empty_tables_and_the_size_check(spark, monkeypatch):
+def test_leaks_of_empty_tables(spark):
     d = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     i = spark.createDataFrame([(1, "passage", "q")], "item_id long, passage string, question string")
     assert K.leaked_items(d, i.limit(0)).isEmpty() and K.leaked_items(d.limit(0), i).isEmpty()
-    monkeypatch.setattr(K, "MAX_INDEX_CHARS", 3)
-    with pytest.raises(ValueError):
-        K.leaked_items(d, i)
+
+
+def test_parts_of_the_items_give_the_same_leaks(spark):
+    rng = random.Random(5)
+    items = [(k, noise(rng, rng.randrange(1, 90)), None) for k in range(60)]
+    docs = [(k, noise(rng, 200) + items[k][1][: len(items[k][1]) * 2 // 3 + 1] + noise(rng, 50)) for k in range(60)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string, question string")
+    want = brute(docs, items)
+    for chars in (K.PART_CHARS, 900):
+        assert {(r.doc_id, r.item_id) for r in K.leaked_items(d, i, part_chars=chars).collect()} == want
+
+
+def test_thresholds_are_the_least_of_all_windows_and_long_items_are_quick():
+    rng = random.Random(2)
+    passages = ["".join(rng.choice("가나다") for _ in range(rng.randrange(1, 120))) for _ in range(25)]
+    index = K.ItemIndex(list(range(25)), passages, [""] * 25)
+    first, item, weight = index.by_item
+    for k, x in enumerate(index.texts):
+        numbers = index.numbers(C.gram_hashes(C.prefix_sums(C.code_points(x)), index.gram))[1].tolist()
+        own = {g: w for g in set(numbers) for i, w in zip(item[first[g] : first[g + 1]], weight[first[g] : first[g + 1]]) if i == k}
+        width = index.need[k] - index.gram + 1
+        sums = [sum(own[g] for g in set(numbers[s : s + width])) for s in range(len(numbers) - width + 1)] if width > 0 else []
+        assert abs(index.threshold[k] - min(sums)) < 1e-5 if sums else np.isinf(index.threshold[k])
+    began = time.time()
+    K.ItemIndex(list(range(50)), [noise(rng, 4000) for _ in range(50)], [""] * 50)
+    assert time.time() - began < 10
 
 
 DOCS = "doc_id long, source string, text string"
@@ -130,8 +154,6 @@ def test_levels_without_grades_or_documents(spark):
 
 
 def test_monotone_fit():
-    import numpy as np
-
     x, y = R.monotone_fit(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 5]))
     assert (x, y) == ([1.0, 1.0, 2.0, 3.0, 4.0, 4.0], [1.0, 1.0, 2.5, 2.5, 5.0, 5.0])
 
