@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.graph import checkpointed
 
@@ -25,6 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def pairs_within(rows: DataFrame, keys: list[str], value: str, block: int = 1000) -> DataFrame:
+    """keys, a < b for every two rows of equal keys and different `value`.
+
+    A key with n rows is salted over n / block tasks: each row goes to one of them and meets a copy of all in each.
+    """
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
+    held = rows.select(*keys, value).join(blocks, keys)
+    one = held.select(*keys, F.col(value).alias("a"), F.pmod(F.xxhash64(value), F.col("blocks_")).cast("int").alias("salt_"))
+    two = held.select(*keys, F.col(value).alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)).alias("salt_"))
+    return one.join(two, [*keys, "salt_"]).where("a < b").select(*keys, "a", "b")
+
+
 def compact(text: str) -> str:
     """Compatibility form without white space."""
     return "".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split())

@@ -7,9 +7,10 @@ tokens leaves about 2n/t of them. Two texts that share a span of t tokens have w
 it, under any hash function, so one function already finds every exact span; windows of equal hash are joined with
 the condition that their intervals leave room for t tokens, and the texts around the centres are then compared.
 
-A hash that very many windows share (a clause standing in many records) is not joined with itself: for those windows
-the hashes of all runs of the full span length around the centre are grouped instead, which finds exactly the sharing
-records without any pair that does not share.
+The interval join of a hash that very many windows share (a clause standing in many records) would form all their
+pairs, most of which leave room and yet do not share. Its intervals are therefore cut further, into all their runs of the
+full span length, which are joined by their own hashes: equal runs are exactly the spans sought, so no pair is formed
+that does not share, and joins of large groups are salted. Both ways are exact; HOT only chooses the cheaper one.
 
 Null and empty texts and texts shorter than the span form no pair. In the coverage every record has a row; a text shorter
 than the span stands in others only where another record has the same text. Records with the same text are one class until the
@@ -67,15 +68,10 @@ def kind_salt(kind: str) -> np.uint64:
 
 def _windows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
     least = span - gram + 1
-    seen: set[bytes] = set()  # copies within a task give their windows once; one digest for each text of the task
     for batch in batches:
         classes, texts = batch.column("cls").to_pylist(), batch.column("text").to_pylist()
         kinds = batch.column("rec_kind").to_pylist()
-        fresh = []
-        for k, c in enumerate(classes):
-            if c not in seen and len(texts[k]) >= span:
-                seen.add(c)
-                fresh.append(k)
+        fresh = list({c: k for k, c in enumerate(classes) if len(texts[k]) >= span}.values())  # copies within a batch give their windows once
         for first, held in C.blocks(texts[k] for k in fresh):
             points, offsets = C.joined(held)
             hashes = C.gram_hashes(C.prefix_sums(points), gram)
@@ -174,9 +170,11 @@ class SharedSpans:
         self.written = classed(records.where(F.length("text") > 0))
         self.blank = records.where(F.coalesce(F.length("text"), F.lit(0)) == 0).select("rec_kind", "rec_id").distinct()
         texts = full.select(text_class(F.col("rec_kind"), F.col("text")).alias("cls"), "rec_kind", "text")
-        windows = texts.select("cls", "text", "rec_kind").mapInArrow(lambda it: _windows(it, span, gram), "key long, cls binary, centre int, room_left short, room_right short")
-        shared = windows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
-        held = C.cut(windows.join(shared, "key").dropDuplicates(["key", "cls", "centre"]))
+        windows = C.cut(texts.select("cls", "text", "rec_kind").mapInArrow(lambda it: _windows(it, span, gram), "key long, cls binary, centre int, room_left short, room_right short"))
+        mark = F.xxhash64("cls")
+        shared = windows.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+        # Spread by more than the key, so that the join before may split a hot key.
+        held = C.cut(windows.join(shared, "key").repartition("key", "cls", "centre").dropDuplicates(["key", "cls", "centre"]))
         usual, hot_windows = held.where(F.col("n") <= hot), held.where(F.col("n") > hot)
         a, b = (usual.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "centre", "room_left", "room_right"))) for x in "ab")
         room = F.least("room_left_a", "room_left_b") + F.least("room_right_a", "room_right_b") + 1
@@ -206,10 +204,8 @@ class SharedSpans:
             # Runs of one length with the same members differ by position only: one of them gives the pairs.
             same = once.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sig"))
             keep = same.groupBy("n", "sig").agg(F.min(F.struct("g1", "g2")).alias("g")).select("g.*")
-            kept = once.join(keep, ["g1", "g2"])
-            pairs = pairs.union(
-                kept.withColumnRenamed("cls", "cls_a").join(kept.withColumnRenamed("cls", "cls_b"), ["g1", "g2"]).where("cls_a < cls_b").select("cls_a", "cls_b")
-            )
+            same_run = C.pairs_within(once.join(keep, ["g1", "g2"]), ["g1", "g2"], "cls")
+            pairs = pairs.union(same_run.select("a", "b"))
         return pairs.distinct()
 
     def record_pairs(self) -> DataFrame:
@@ -220,9 +216,7 @@ class SharedSpans:
         one = m.select(F.col("cls").alias("cls_a"), "rec_kind", F.col("rec_id").alias("x"))
         two = m.select(F.col("cls").alias("cls_b"), F.col("rec_id").alias("y"))
         across = pairs.join(one, "cls_a").join(two, "cls_b").select("rec_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-        several = self.members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-        copies = self.members.join(several, "cls").select("cls", "rec_kind", "rec_id")
-        within = copies.withColumnRenamed("rec_id", "id_a").join(copies.select("cls", F.col("rec_id").alias("id_b")), "cls").where("id_a < id_b").select("rec_kind", "id_a", "id_b")
+        within = C.pairs_within(self.members, ["cls", "rec_kind"], "rec_id").select("rec_kind", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
         return across.where("id_a < id_b").union(within)
 
     def coverage(self) -> DataFrame:
