@@ -360,9 +360,7 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """id_a < id_b of every pair of rows: copies among each other and across linked representatives."""
         m = self.members
-        several = m.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
-        copies = m.join(several, "rep")
-        within = copies.withColumnRenamed("id", "id_a").join(copies.withColumnRenamed("id", "id_b"), "rep").where("id_a < id_b").select("id_a", "id_b")
+        within = C.pairs_within(m, ["rep"], "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
         x, y = m.select(F.col("rep").alias("a"), F.col("id").alias("x")), m.select(F.col("rep").alias("b"), F.col("id").alias("y"))
         across = self.links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         return within.union(across)
