@@ -53,7 +53,7 @@ LONG_RUN, LONG_SHARE = 16, 0.45
 EDITS = 2
 MARK_SHARE = 0.001
 #: Of the 256 min-hashes so many must agree in both bits: 128 of them would by chance where a third are the same.
-AGREE = 140
+AGREE = 144
 WORDS = ["w0", "w1", "w2", "w3"]
 SECOND = ["v0", "v1", "v2", "v3"]
 
