@@ -80,7 +80,7 @@ POLICY = """표지
 
 
 def test_policy_chunks():
-    chunks = list(K.PolicyText(POLICY).chunks())
+    chunks = list(K.PolicyFold(POLICY).chunks())
     assert chunks[0]["chunk_index"] == 0 and chunks[0]["text"].startswith("표지")
     got = {c["id"]: c for c in chunks[1:]}
     assert list(got) == ["0::제1조", "0::제2조", "1::제1조", "1::제2조@가입형", "1::제2조@비가입형", "2::제1조"]
@@ -92,17 +92,43 @@ def test_policy_chunks():
 
 
 def test_policy_text_without_articles():
-    assert [c["chunk_index"] for c in K.PolicyText("").chunks()] == [0]
+    assert [c["chunk_index"] for c in K.PolicyFold("").chunks()] == [0]
 
 
 def test_product_contents():
-    text = "상품 목차\n주계약 7\n특약\n암보장특약(갱신형,\n무배당) 31\n유첨\n별표 90\n본문이 시작됩니다.\n다른 줄 3"
-    assert K.product_contents(text) == [("main", "주계약"), ("rider", "암보장특약(갱신형,무배당)"), ("attachment", "별표")]
-    assert K.product_contents("없음") == []
+    text = "상품 목차\n주계약\n가나종신보험(2601) 7\n특약\n암보장특약(갱신형,\n무배당) 31\n유첨\n별표 90"
+    assert K.product_contents(text) == [("main", "가나종신보험(2601)"), ("rider", "암보장특약(갱신형,무배당)"), ("attachment", "별표")]
+    assert K.product_contents("없음") == [] and K.product_contents("상품 목차\n특약\n암특약 3") == []
+
+
+def test_product_contents_over_pages():
+    lines = [
+        "상품 목차", "안내", "상품 목차", "", "주계약", "가나보험(무배당) 1", "특약일반사항", "[특약약관]제1편일반사항 5", "특약 ※납입한 경우에만 적용합니다.", "다라특약C(무배당) 10", "---", "<!-- page: 37 -->", "",
+        "마바사특약(상급", "병원,무배당) 462", "---", "아자특약(갱신형)", "※ 참고", "부록", "[부록]인용된법령내용 600", "---", "<!-- page: 38 -->", "주계약 약관", "차카특약 700",
+    ]
+    assert K.product_contents("\n".join(lines)) == [
+        ("main", "가나보험(무배당)"), ("general", "[특약약관]제1편일반사항"), ("rider", "다라특약C(무배당)"), ("rider", "마바사특약(상급병원,무배당)"), ("rider", "아자특약(갱신형)"), ("appendix", "[부록]인용된법령내용"),
+    ]
+    # A name that is being read goes on over the page break.
+    assert K.product_contents("상품 목차\n주계약\n가 1\n특약\n나특약(다\n---\n라) 9") == [("main", "가"), ("rider", "나특약(다라)")]
+
+
+def test_titles_wrapped_guessed_and_contracts():
+    text = "\n".join([
+        "### 제1조(목적)", "가", "### 제2조(정의)", "나", "라마특약 안내", "(무배당)", "### 제1조(목적)", "다", "사아보험 2종 약관", "### 제1조(목적)", "라", "### 제3조(지급)", "마", "### 제1조(목적)", "바",
+    ])
+    got = [(c["rider_name"], c["rider_name_source"], c["rider_type"]) for c in K.PolicyFold(text).chunks() if c["chunk_index"]]
+    assert got == [("주계약", "main", "main")] * 2 + [("라마특약 안내(무배당)", "guess", "rider")] + got[3:]
+    assert [g[1] for g in got[3:]] == ["title", "title", "fallback"]
+
+
+def test_contents_blocks_hold_no_articles():
+    text = "상황별 목차\n제2조(정의)\n제3조(지급)\n암특약(무배당) 약관\n### 제1조(목적)\n가\n### 제2조(정의)\n나"
+    assert [c["id"] for c in K.PolicyFold(text).chunks() if c["chunk_index"]] == ["0::제1조", "0::제2조"]
 
 
 def test_chunking_scores(spark):
-    toc = "상품 목차\n주계약 7\n특약\n암보장특약(무배당) 31\n없는특약 40\n본문이 시작됩니다.\n"
+    toc = "상품 목차\n주계약\n가나보험 7\n특약\n암보장특약(무배당) 31\n없는특약 40\n---\n본문이 시작됩니다.\n"
     rows = [(1, toc + POLICY.replace("### 제2조(정의)", "### 제3조(정의)")), (2, POLICY), (3, None)]
     got = {r.doc_id: r.asDict() for r in K.chunking_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     pick = lambda k, *names: tuple(got[k][n] for n in names)
