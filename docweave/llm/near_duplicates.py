@@ -106,8 +106,8 @@ class VantageTree:
         return out
 
 
-def hamming_metric(prints: list[int]) -> Callable[[int, np.ndarray], np.ndarray]:
-    words = np.array([[(x >> (64 * k)) & C.MASK for k in range(len(WORDS))] for x in prints], dtype=np.uint64)
+def hamming_metric(prints: list[tuple[int, ...]]) -> Callable[[int, np.ndarray], np.ndarray]:
+    words = np.array([[(x >> (64 * k)) & C.MASK for k in range(len(WORDS))] for x, *_ in prints], dtype=np.uint64)
     return lambda i, idx: np.bitwise_count(words[idx] ^ words[i]).sum(axis=1, dtype=np.int64)
 
 
@@ -134,8 +134,13 @@ def edit_metric(names: list[str]) -> Callable[[int, np.ndarray], np.ndarray]:
     return distance
 
 
-def one_hamming(a: int, b: int) -> int:
-    return (a ^ b).bit_count()
+def one_hamming(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    return (a[0] ^ b[0]).bit_count()
+
+
+def agree(a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """Enough min-hashes are equal in both of their bits."""
+    return BINS - ((a[0] ^ b[0]) | (a[1] ^ b[1])).bit_count() >= AGREE
 
 
 def one_edit(a: str, b: str) -> int:
@@ -147,24 +152,24 @@ def one_edit(a: str, b: str) -> int:
     return row[-1]
 
 
-def shard_pairs(ids: list[int], values: list, owner: list[bool], radius: int, one: Callable, many: Callable) -> Iterator[tuple[int, int]]:
-    """Pairs (smaller id, larger id) within the radius with at least one owner."""
+def shard_pairs(ids: list[int], values: list, owner: list[bool], radius: int, one: Callable, many: Callable, also: Callable | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs (smaller id, larger id) within the radius with at least one owner, of which `also` holds."""
     n = len(ids)
     if n <= VantageTree.LEAF:
         for i in range(n):
             for j in range(i + 1, n):
-                if (owner[i] or owner[j]) and ids[i] != ids[j] and one(values[i], values[j]) <= radius:
+                if (owner[i] or owner[j]) and ids[i] != ids[j] and one(values[i], values[j]) <= radius and (also is None or also(values[i], values[j])):
                     yield min(ids[i], ids[j]), max(ids[i], ids[j])
         return
     tree = VantageTree(n, many(values))
     for i in range(n):
         if owner[i]:
             for j in tree.within(i, radius):
-                if ids[j] > ids[i] or (not owner[j] and ids[j] != ids[i]):
+                if (ids[j] > ids[i] or (not owner[j] and ids[j] != ids[i])) and (also is None or also(values[i], values[j])):
                     yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int, one: Callable, many: Callable, read: Callable) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], radius: int, one: Callable, many: Callable, read: Callable, also: Callable | None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard: shard, id, owner and the value's columns. A shard has at most CAP rows or two blocks of them."""
     held: list[tuple] = []
     found: set[tuple[int, int]] = set()
@@ -172,7 +177,7 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, one: Callable, many:
     def flush() -> None:
         if len(held) > 1:
             ids, owner, values = zip(*held)
-            found.update(shard_pairs(list(ids), list(values), list(owner), radius, one, many))
+            found.update(shard_pairs(list(ids), list(values), list(owner), radius, one, many, also))
         held.clear()
 
     def out() -> pa.RecordBatch:
@@ -194,12 +199,13 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, one: Callable, many:
     yield out()
 
 
-def _prints(c: dict) -> list[int]:
-    return [sum((w & C.MASK) << (64 * k) for k, w in enumerate(ws)) for ws in zip(*(c[w] for w in WORDS))]
+def _prints(c: dict) -> list[tuple[int, int]]:
+    whole = lambda names: [sum((w & C.MASK) << (64 * k) for k, w in enumerate(ws)) for ws in zip(*(c[w] for w in names))]
+    return list(zip(whole(WORDS), whole(SECOND)))
 
 
 def range_pairs(
-    shards: DataFrame, points: DataFrame, radius: int, distance: Callable[[str, str], Column], one: Callable, many: Callable, read: Callable, cap: int = CAP, rounds: int = ROUNDS
+    shards: DataFrame, points: DataFrame, radius: int, distance: Callable[[str, str], Column], one: Callable, many: Callable, read: Callable, cap: int = CAP, rounds: int = ROUNDS, also: Callable | None = None,
 ) -> DataFrame:
     """Distinct pairs a < b of ids within `radius` that share a shard. shards: shard LONG, id LONG. points: id and the value columns.
 
@@ -240,7 +246,7 @@ def range_pairs(
         ready.select(columns)
         .repartition("shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(lambda it: _search(it, radius, one, many, read), "a long, b long")
+        .mapInArrow(lambda it: _search(it, radius, one, many, read, also), "a long, b long")
         .distinct()
     )
 
@@ -398,10 +404,7 @@ def near_duplicate_texts(records: DataFrame, share: float = SHARE, radius: int =
     members = C.cut(digests.join(single.select("cls", F.col("id").alias("rep")), "cls").select("id", "rep").distinct())
     differ = lambda p, q, w: F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))
     far = lambda p, q: reduce(Column.__add__, (F.bit_count(differ(p, q, w)) for w in WORDS))
-    close = range_pairs(single.select(F.explode("bands").alias("shard"), "id"), single.select("id", *WORDS), radius, far, one_hamming, hamming_metric, _prints, cap)
-    a, b = (single.select(F.col("id").alias(x), *(F.col(w).alias(f"{x}_{w}") for w in words)) for x in "ab")
-    unlike = reduce(Column.__add__, (F.bit_count(differ("a_", "b_", w).bitwiseOR(differ("a_", "b_", v))) for w, v in zip(WORDS, SECOND)))
-    pairs = C.cut(close.join(a, "a").join(b, "b").where(BINS - unlike >= AGREE).select("a", "b"))
+    pairs = C.cut(range_pairs(single.select(F.explode("bands").alias("shard"), "id"), single.select("id", *words), radius, far, one_hamming, hamming_metric, _prints, cap, also=agree))
     # One of the two texts travels to the other; equal ids of repeated rows are one record.
     once = texts.dropDuplicates(["id"])
     links = (

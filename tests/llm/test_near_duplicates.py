@@ -115,7 +115,7 @@ def test_tree_finds_what_a_scan_finds(seed):
         low, high = map(int, centres[rng.integers(9)])
         for bit in rng.integers(0, 64, rng.integers(0, 9)):
             low ^= 1 << int(bit)
-        prints.append((high << 64) | low)
+        prints.append(((high << 64) | low,))
     tree = N.VantageTree(len(prints), N.hamming_metric(prints))
     for q in range(0, 300, 17):
         assert sorted(tree.within(q, 12)) == [k for k, p in enumerate(prints) if N.one_hamming(p, prints[q]) <= 12]
