@@ -87,14 +87,29 @@ class Spread:
 
     def __init__(self, w: np.ndarray, s: np.ndarray, q: np.ndarray, mean: float):
         self.w, self.s, self.mean = w, s, mean
-        self.mu = (s + PRIOR * mean) / (w + PRIOR)
-        variance = (q + PRIOR * (mean * mean + 2)) / (w + PRIOR) - self.mu * self.mu
+        mu = self.mu()
+        variance = (q + PRIOR * (mean * mean + 2)) / (w + PRIOR) - mu * mu
         self.weight = np.where(w > 0, 1 / (np.maximum(variance, 0) + LEAST_VARIANCE), 0.0)
         self.fits: dict[bool, tuple[list[float], list[float]]] = {}
 
+    def mu(self) -> np.ndarray:
+        return (self.s + PRIOR * self.mean) / (self.w + PRIOR)
+
+    def __getstate__(self) -> dict:
+        """Only the word nodes in use are sent to the tasks."""
+        at = np.flatnonzero(self.w).astype(np.int32)
+        return {"at": at, "mean": self.mean, "fits": self.fits} | {k: getattr(self, k)[at].astype(np.float32) for k in ("w", "s", "weight")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.mean, self.fits = state["mean"], state["fits"]
+        for k in ("w", "s", "weight"):
+            whole = np.zeros(NODES)
+            whole[state["at"]] = state[k]
+            setattr(self, k, whole)
+
     def raw(self, g: "_Documents") -> np.ndarray:
         """Weighted mean of each document's words; a graded document's own grade is first taken off its words."""
-        mu = self.mu[g.nodes]
+        mu = self.mu()[g.nodes]
         own = g.graded[g.owner]
         if own.any():
             at, add = g.nodes[own], _units(g.share[own])
@@ -193,7 +208,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
     for _ in range(rounds):
         before, sent = sent, spark.sparkContext.broadcast(spread)
         if before is not None:
-            before.unpersist()
+            before.destroy()
         sums = graph.select("nodes", "counts", "latin", "grade").mapInArrow(lambda it, b=sent: _sums(it, b.value), "node int, w long, s long, q long")
         table = sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in "wsq")).toPandas()  # at most NODES rows
         w, s, q = (np.zeros(NODES) for _ in range(3))
@@ -205,11 +220,13 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
         bare.destroy()
         spread.fits = _fits(points)
         if last is not None:
-            change = float((w * np.abs(spread.mu - last.mu)).sum() / max(w.sum(), 1e-12))
+            change = float((w * np.abs(spread.mu() - last.mu())).sum() / max(w.sum(), 1e-12))
             if residuals is not None:
                 residuals.append(change)
             if change < TOLERANCE:
                 break
+    if sent is not None:
+        sent.destroy()
     final = spark.sparkContext.broadcast(spread)
     return graph.mapInArrow(lambda it: _levels(it, final.value, False), "doc_id long, level double, latin boolean, grade double").select("doc_id", "level")
 
