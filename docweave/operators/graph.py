@@ -7,27 +7,19 @@ queries (query_id, stem, version, ...) and answer all of them in one plan.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
+
 SCOPE = ["stem", "version"]
 MAX_HOPS = 5
 RANKS = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint in the session's shared folder (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "docweave-checkpoints"))
-    return df.checkpoint()
-
-
 def scoped(df: DataFrame, stem: str, version: int = 1) -> DataFrame:
     return df.where((F.col("stem") == stem) & (F.col("version") == version))
 

@@ -14,10 +14,12 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
+from ..shared import is_missing
 
 
 @dataclass(frozen=True)
@@ -145,8 +147,8 @@ def run_groups(groups: DataFrame, provider: Provider, operation: Operation, cach
     spark = groups.sparkSession
     try:
         cache = spark.read.schema(REPLIES).parquet(cache_path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if not is_missing(e):
             raise
         cache = spark.createDataFrame([], REPLIES)
     map_groups(groups, provider, operation, cache, at_once, pause).write.mode("append").parquet(cache_path)

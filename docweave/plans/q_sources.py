@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..shared import shared_folder
 from ..sources import files as X
 from ..sources.store import GraphStore, with_envelope
 from .providers import OPERATIONS, run_groups, unbundled, with_fingerprints
 from .q_graph import GRAPH_SQL, edges_of, nodes_of
-from .q_streams import shared_folder
 from .registry import query, table
 
 #: The graph as it can be stored: valid type names and resolved edges only.

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
 from ..streaming import progress as P
 from .registry import query, table
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder in the shared checkpoint folder (a temporary one only where none is set)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "docweave-checkpoints")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark, d):
     return P.parquet_stream(spark, d, "events")
 

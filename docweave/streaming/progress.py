@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import is_missing
+
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
     """The Parquet file or folder `name` of `folder` as a stream."""
@@ -66,8 +69,8 @@ def new_items(stream: DataFrame, cache_path: str, key: str, work: Callable[[Data
         spark = batch.sparkSession
         try:
             known = spark.read.parquet(cache_path).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if not is_missing(e):
                 raise
             known = spark.createDataFrame([], batch.select(key).schema)
         work(batch.dropDuplicates([key]).join(known, key, "left_anti")).write.mode("append").parquet(cache_path)
