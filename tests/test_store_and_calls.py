@@ -61,13 +61,60 @@ def test_schema_versions_and_manifests(spark, tmp_path):
     assert store.active_version("d") == 2
     store.save_manifest("d", original_filename="x.pdf", converter="c")
     store.save_manifest("d", converter="e")
-    row = store.read("manifests", "stem string, original_filename string, converter string").first()
-    assert tuple(row) == ("d", "x.pdf", "e")
+    assert [tuple(r) for r in store.manifests().collect()] == [("d", "x.pdf", "e")]
     q = spark.createDataFrame([("d", "q1", "a?")], "stem string, id string, question string")
     assert not store.save_goldenset(q, "d") and not store.save_goldenset(q, "d")
     assert store.save_goldenset(q.withColumn("question", F.lit("b?")), "d")
 
 
+def test_bulk_versions_manifests_and_question_sets(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path))
+    schemas = spark.createDataFrame([("a", "legal", "x"), ("b", "general", "y")], "stem string, document_type string, digest string")
+    for _ in range(2):
+        store.create_schema_versions(schemas)
+    scopes = lambda *x: spark.createDataFrame(x, "stem string, version long")
+    store.activate_versions(scopes(("a", 1)))
+    store.delete_schema_versions(scopes(("b", 2), ("nobody", 1)))
+    state = lambda: {(r.stem, r.version): r.is_active for r in store.schema_versions().collect()}
+    assert state() == {("a", 1): True, ("a", 2): False, ("b", 1): True}
+    with pytest.raises(NotFound):
+        store.activate_versions(scopes(("b", 2)))
+    q = spark.createDataFrame([("a", "q1"), ("a", "q1"), ("b", "q1")], "stem string, id string")
+    assert store.save_goldensets(q).isEmpty()
+    assert [r.stem for r in store.save_goldensets(q.dropDuplicates()).collect()] == ["a"]
+    assert store.goldensets(q.schema).count() == 2
+    store.save_manifests(spark.createDataFrame([("a", "f"), ("b", "g")], "stem string, original_filename string"))
+    store.delete_document("b")
+    assert [r.stem for r in store.manifests().collect()] == ["a"] and state() == {("a", 1): True, ("a", 2): False}
+    store.compact()
+    assert [r.stem for r in store.manifests().collect()] == ["a"] and state() == {("a", 1): True, ("a", 2): False} and store.goldensets(q.schema).count() == 2
+
+
+def test_a_failed_compaction_leaves_the_old_rows(spark, tmp_path, monkeypatch):
+    store = GraphStore(spark, str(tmp_path))
+    store.write_graphs(*graph(spark, [("d", 1, "a", "a", "A", "T"), ("d", 1, "b", "b", "B", "T")], [("d", 1, "a", "b", "R")]))
+    store.write_graphs(*graph(spark, [("d", 1, "c", "c", "C", "T")]))
+    renew = GraphStore._renew
+
+    def fails(self, name, rows):
+        if name == "edges":
+            rows.write.parquet(f"{self.root}/{name}/{9:020d}")
+            (tmp_path / name / f"{9:020d}" / "_SUCCESS").unlink()
+            raise OSError("disk full")
+        renew(self, name, rows)
+
+    monkeypatch.setattr(GraphStore, "_renew", fails)
+    with pytest.raises(OSError):
+        store.compact()
+    assert [r.id for r in store.nodes().collect()] == ["c"] and store.edges().isEmpty() and store.has_graph("d")
+    store.write_graphs(*graph(spark, [("d", 1, "a", "a", "A", "T"), ("d", 1, "b", "b", "B", "T")], [("d", 1, "a", "b", "R")]))
+    assert store.edges().count() == 1
+    monkeypatch.undo()
+    store.compact()
+    store.compact()
+    assert store.edges().count() == 1 and store.nodes().count() == 2
+
+
 def test_old_layouts(spark):
     got = with_envelope(spark.createDataFrame([("d::v1::n7", "L")], "id string, label string")).first()
     assert got.original_id == "n7" and got.detail is None
