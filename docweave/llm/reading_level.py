@@ -83,22 +83,30 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Spread:
-    """Sums of every word node, its mean difficulty and weight, and the fits from spread difficulty to the grading scale."""
+    """Sums and weight of every word node, and the fits from spread difficulty to the grading scale.
 
-    def __init__(self, w: np.ndarray, s: np.ndarray, q: np.ndarray, mean: float):
-        self.w, self.s, self.mean = w, s, mean
+    The driver holds the nodes in use only (`at`, ascending), and only these are sent; a task spreads them over all numbers.
+    """
+
+    def __init__(self, at: np.ndarray, w: np.ndarray, s: np.ndarray, q: np.ndarray, mean: float):
+        self.at, self.w, self.s, self.mean = at, w, s, mean
         mu = self.mu()
         variance = (q + PRIOR * (mean * mean + 2)) / (w + PRIOR) - mu * mu
-        self.weight = np.where(w > 0, 1 / (np.maximum(variance, 0) + LEAST_VARIANCE), 0.0)
+        self.weight = 1 / (np.maximum(variance, 0) + LEAST_VARIANCE)
         self.fits: dict[bool, tuple[list[float], list[float]]] = {}
 
     def mu(self) -> np.ndarray:
         return (self.s + PRIOR * self.mean) / (self.w + PRIOR)
 
+    def change(self, last: "Spread") -> float:
+        """Mean change of the difficulty of the words, by how often they occur; a word not met before had the mean."""
+        before = np.full(len(self.at), self.mean)
+        same, mine, theirs = np.intersect1d(self.at, last.at, assume_unique=True, return_indices=True)
+        before[mine] = last.mu()[theirs]
+        return float((self.w * np.abs(self.mu() - before)).sum() / max(self.w.sum(), 1e-12))
+
     def __getstate__(self) -> dict:
-        """Only the word nodes in use are sent to the tasks."""
-        at = np.flatnonzero(self.w).astype(np.int32)
-        return {"at": at, "mean": self.mean, "fits": self.fits} | {k: getattr(self, k)[at].astype(np.float32) for k in ("w", "s", "weight")}
+        return {"at": self.at, "mean": self.mean, "fits": self.fits} | {k: getattr(self, k).astype(np.float32) for k in ("w", "s", "weight")}
 
     def __setstate__(self, state: dict) -> None:
         self.mean, self.fits = state["mean"], state["fits"]
@@ -210,17 +218,14 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
         if before is not None:
             before.destroy()
         sums = graph.select("nodes", "counts", "latin", "grade").mapInArrow(lambda it, b=sent: _sums(it, b.value), "node int, w long, s long, q long")
-        table = sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in "wsq")).toPandas()  # at most NODES rows
-        w, s, q = (np.zeros(NODES) for _ in range(3))
-        at = table.node.to_numpy()
-        w[at], s[at], q[at] = (table[c].to_numpy() / UNIT for c in "wsq")
-        last, spread = spread, Spread(w, s, q, mean)
+        table = sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in "wsq")).toArrow().sort_by("node")  # at most NODES rows
+        last, spread = spread, Spread(table["node"].to_numpy(), *(table[c].to_numpy() / UNIT for c in "wsq"), mean)
         bare = spark.sparkContext.broadcast(spread)
         points = fit_docs.mapInArrow(lambda it, b=bare: _levels(it, b.value, True), "doc_id long, level double, latin boolean, grade double").toPandas()
         bare.destroy()
         spread.fits = _fits(points)
         if last is not None:
-            change = float((w * np.abs(spread.mu() - last.mu())).sum() / max(w.sum(), 1e-12))
+            change = spread.change(last)
             if residuals is not None:
                 residuals.append(change)
             if change < TOLERANCE:
