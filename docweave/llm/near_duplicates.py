@@ -214,10 +214,12 @@ def range_pairs(
     """
     values = [c for c in points.columns if c != "id"]
     columns = ["shard", "id", "owner", *values]
-    sizes = C.cut(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
-    filled = lambda x: shards.join(sizes.where(x).select("shard"), "shard").join(points, "id").withColumn("owner", F.lit(True)).select(columns)
+    # One exchange serves both sides: the sizes are counted where the memberships already lie.
+    placed = shards.repartition("shard")
+    shared = C.cut(placed.join(placed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shard").select("shard", "id", "n"))
+    filled = lambda x: shared.where(x).join(points, "id").withColumn("owner", F.lit(True)).select(columns)
     ready = filled(F.col("n") <= cap)
-    hot = C.cut(filled(F.col("n") > cap)) if not sizes.where(F.col("n") > cap).isEmpty() else None
+    hot = C.cut(filled(F.col("n") > cap)) if not shared.where(F.col("n") > cap).isEmpty() else None
     for k in range(rounds):
         if hot is None or hot.isEmpty():
             hot = None
@@ -281,13 +283,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], gram: int, bins: int, rows: i
                 one, two = (np.packbits((mins >> np.uint64(k) & np.uint64(1)).astype(np.uint8)).view(np.int64) for k in (0, 1))
                 rows_of = mins[: n_bands * rows].reshape(-1, rows)
                 bands = C.mix(rows_of @ C.mix(np.arange(1, rows + 1, dtype=np.uint64)) + np.arange(n_bands, dtype=np.uint64))
-                out.append((ids[first + j], _digest(text), np.concatenate([one, two]), bands.view(np.int64)))
+                out.append((ids[first + j], _digest(text), np.concatenate([one, two]), (bands >> np.uint64(32)).astype(np.uint32).view(np.int32)))
         if out:
             i, cls, bits, bands = zip(*out)
             words = np.array(bits)
             names = [*WORDS, *SECOND]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i, pa.int64()), pa.array(cls, pa.binary()), *(pa.array(words[:, k]) for k in range(len(names))), pa.array(list(bands), pa.list_(pa.int64()))],
+                [pa.array(i, pa.int64()), pa.array(cls, pa.binary()), *(pa.array(words[:, k]) for k in range(len(names))), pa.array(list(bands), pa.list_(pa.int32()))],
                 names=["id", "cls", *names, "bands"],
             )
 
@@ -396,7 +398,7 @@ def near_duplicate_texts(records: DataFrame, share: float = SHARE, radius: int =
     """records: id LONG, text STRING. Links rows of which at least `share` of each one's text stands in the other."""
     texts = records.select("id", "text").where(F.length("text") > 0)
     words = [*WORDS, *SECOND]
-    schema = f"id long, cls binary, {', '.join(f'{w} long' for w in words)}, bands array<long>"
+    schema = f"id long, cls binary, {', '.join(f'{w} long' for w in words)}, bands array<int>"
     signed = texts.mapInArrow(lambda it: _signatures(it, GRAM, BINS, ROWS, BANDS), schema)
     # Rows of one class have one signature, so copies end in the map-side part of this aggregation.
     single = C.cut(signed.groupBy("cls").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in (*words, "bands"))))
@@ -404,7 +406,10 @@ def near_duplicate_texts(records: DataFrame, share: float = SHARE, radius: int =
     members = C.cut(digests.join(single.select("cls", F.col("id").alias("rep")), "cls").select("id", "rep").distinct())
     differ = lambda p, q, w: F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))
     far = lambda p, q: reduce(Column.__add__, (F.bit_count(differ(p, q, w)) for w in WORDS))
-    pairs = C.cut(range_pairs(single.select(F.explode("bands").alias("shard"), "id"), single.select("id", *words), radius, far, one_hamming, hamming_metric, _prints, cap, also=agree))
+    # A band is kept as 32 bits; with its number it names the shard. That two bands meet by chance costs a comparison.
+    bands = single.select(F.posexplode("bands").alias("band", "key"), "id")
+    shards = bands.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("shard"), "id")
+    pairs = C.cut(range_pairs(shards, single.select("id", *words), radius, far, one_hamming, hamming_metric, _prints, cap, also=agree))
     # One of the two texts travels to the other; equal ids of repeated rows are one record.
     once = texts.dropDuplicates(["id"])
     links = (
