@@ -22,6 +22,11 @@ FIGURE = r"[a-z]*\d[\d,.]*[a-z가-힣%]*"
 MIDDLE_DOTS = "∙ㆍ•‧·"
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -83,6 +88,37 @@ def cover_page(lines: Column) -> Column:
     return F.when((at > 1) & F.coalesce(code.rlike(COVER_CODE), F.lit(False)) & (F.size(names) > 0), styled).otherwise(lines)
 
 
+# Lines of converted pages that become headings, lists and paragraphs, and standalone page numbers.
+MARKDOWN_SECTION = r"(?U)^제\s*\d+\s*[장편관](?:$|[^\p{L}\p{N}_])"
+MARKDOWN_ARTICLE = r"(?U)^제\s*\d+\s*조(?:\s*의\s*\d+)?(?:\s*[(\[][^)\]]*[)\]])?\s*$"
+BULLET = r"(?U)^[●■◆▶▣□◦ㆍ∙]\s*"
+NUMBERED = r"(?U)^(?:㈜\s*)?\d+\.\s+\S"
+CIRCLED = "^[①-⑳]"
+PAGE_NUMBER = r"(?U)^(?:[-–—]?\s*\d+\s*[-–—]?|\d+\s*/\s*\d+)$"
+
+
+def markdown_lines(text: Column) -> Column:
+    """Lines of a converted text as Markdown: cover page, headings, lists, a paragraph for every circled number; page numbers go, blanks collapse."""
+    lines = cover_page(F.transform(lines_of(clean_text(text)), trimmed))
+
+    def tokens(x: Column) -> Column:
+        item = lambda y: F.array(F.concat(F.lit("- "), y))
+        head = lambda mark: F.array(F.concat(F.lit(mark), x), F.lit(""))
+        return (
+            F.when((x == "") | x.rlike(PAGE_NUMBER), F.array(F.lit("")))
+            .when(x.rlike(MARKDOWN_SECTION), head("## "))
+            .when(x.rlike(MARKDOWN_ARTICLE), head("### "))
+            .when(x.rlike(CIRCLED), F.array(F.lit(""), x))
+            .when(x.rlike(NUMBERED), item(x))
+            .when(x.rlike(BULLET), item(F.regexp_replace(x, BULLET, "")))
+            .otherwise(F.array(x))
+        )
+
+    # Of a run of blanks the first stays, none at either end.
+    once = let(F.flatten(F.transform(lines, tokens)), lambda flat: F.filter(flat, lambda x, i: (x != "") | F.coalesce(F.get(flat, i - 1) != "", F.lit(False))))
+    return let(once, lambda o: F.when(F.try_element_at(o, F.lit(-1)) == "", F.slice(o, F.lit(1), F.size(o) - 1)).otherwise(o))
+
+
 def article_heading(line: Column) -> Column:
     """struct(article_no, sub_no, title) of an article heading, null for any other line."""
     bare = trimmed(line)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from ..functions.vectors import dot, unit
 
 OUTCOMES = ("hit", "retrieval_miss", "extraction_miss", "unanswerable", "unscorable")
 HIT = 0.5
+PART_GRAM, PART_WINDOW = 12, 13
 BUCKET = 512
 
 
@@ -63,20 +68,122 @@ def question_outcomes(items: DataFrame, questions: DataFrame) -> DataFrame:
     return questions.join(per, "question_id", "left").select(*questions.columns, "recall", outcome.alias("outcome"))
 
 
-def outcome_summary(scored: DataFrame) -> DataFrame:
-    """One row: a count for each outcome, zeros included, the number scored, the hit rate and the mean recall."""
+def outcome_summary(scored: DataFrame, by: list[str] = ()) -> DataFrame:
+    """One row (for each of `by`): a count for each outcome, zeros included, the number scored, the hit rate and the mean recall."""
     is_scored = F.col("outcome").isin("hit", "retrieval_miss", "extraction_miss")
     n, hits = F.count_if(is_scored), F.count_if(F.col("outcome") == "hit")
-    return scored.agg(
+    return scored.groupBy(*by).agg(
         *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES), n.alias("scored"), F.round(F.when(n > 0, hits / n), 6).alias("hit_rate"), F.round(F.avg(F.when(is_scored, F.col("recall"))), 6).alias("mean_recall")
     )
 
 
+def probe_summary(missed: DataFrame, passages: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: of the missed questions (question_id) how many a second extraction recovers, still misses, or cannot be located.
+
+    passages: question_id, chunk_id, a_id, s, e; found: chunk_id, b_id, s, e, what the second extraction cites. A question
+    is recovered from a recall of one half on.
+    """
+    own = passages.join(missed, "question_id", "left_semi")
+    hit = overlap_pairs(own.select("chunk_id", "a_id", "s", "e"), found, ["chunk_id"]).select("a_id").distinct().withColumn("hit", F.lit(True))
+    recall = own.join(hit, "a_id", "left").groupBy("question_id").agg(F.avg(F.coalesce("hit", F.lit(False)).cast("int")).alias("recall"))
+    r = F.col("recall")
+    return missed.join(recall, "question_id", "left").agg(F.count("*").alias("probed"), F.count_if(r >= HIT).alias("recovered"), F.count_if(r < HIT).alias("still_missed"), F.count_if(r.isNull()).alias("not_locatable"))
+
+
 def by_question_type(scored: DataFrame) -> DataFrame:
     is_scored = F.col("outcome").isin("hit", "retrieval_miss", "extraction_miss")
     return scored.groupBy(F.coalesce("question_type", F.lit("unknown")).alias("question_type")).agg(F.count_if(is_scored).alias("scored"), F.count_if(F.col("outcome") == "hit").alias("hits"))
 
 
+def _gram_hashes(text: str, width: int) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = len(points) - width + 1
+    h = np.full(max(n, 0), width, dtype=np.uint64)
+    for j in range(width if n > 0 else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[j : j + n]
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def _part_key(part: str) -> int:
+    h = _gram_hashes(part, min(len(part), PART_GRAM))
+    return int(h[:PART_WINDOW].min().astype(np.int64))
+
+
+def _text_keys(text: str, short: list[int]) -> np.ndarray:
+    """Keys under which parts of the text are filed: minimizers, and all grams of the widths of short parts."""
+    h = _gram_hashes(text, PART_GRAM)
+    keys = [np.lib.stride_tricks.sliding_window_view(h, PART_WINDOW).min(axis=1)] if len(h) >= PART_WINDOW else []
+    for n in short:
+        own = _gram_hashes(text, min(n, PART_GRAM))
+        width = max(1, n - PART_GRAM + 1)
+        keys.append(np.lib.stride_tricks.sliding_window_view(own, width).min(axis=1) if len(own) >= width else own[:0])
+    return np.unique(np.concatenate(keys)) if keys else h[:0]
+
+
+def containing_texts(parts: DataFrame, texts: DataFrame, scope: str) -> DataFrame:
+    """part_id, text_id of texts that hold a part (scope, part_id, part; scope, text_id, text) of their scope.
+
+    A part is filed under the least hash of its first grams, a text under the least of every window of as many grams, so
+    a text that holds a part shares its key; a seventh of a text's grams are keys. Parts shorter than a window are filed
+    by the window they fill. What meets is compared.
+    """
+    full = PART_GRAM + PART_WINDOW - 1
+    known = parts.where(F.length("part") > 0).select(F.col(scope).alias("scope"), "part_id", "part")
+    short = known.where(F.length("part") < full).groupBy("scope").agg(F.collect_set(F.length("part")).alias("short"))
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.array([_part_key(x) for x in b.column("part").to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("scope"), b.column("part_id"), pa.array(keys)], names=["scope", "part_id", "key"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_text_keys(x, s or []) for x, s in zip(b.column("text").to_pylist(), b.column("short").to_pylist())]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            every = np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("scope").take(at), b.column("text_id").take(at), pa.array(every)], names=["scope", "text_id", "key"])
+
+    own = texts.where(F.length("text") > 0).select(F.col(scope).alias("scope"), "text_id", "text")
+    a = known.mapInArrow(filed, "scope string, part_id long, key long")
+    b = own.join(known.select("scope").distinct(), "scope", "left_semi").join(short, "scope", "left").mapInArrow(held, "scope string, text_id long, key long")
+    near = a.join(b, ["scope", "key"]).select("part_id", "text_id").distinct()
+    met = near.join(known.select("part_id", "part"), "part_id").join(own.select("text_id", "text"), "text_id")
+    return met.where(F.contains("text", "part")).select("part_id", "text_id").distinct()
+
+
+def answer_facts(facts: Column, answer: Column) -> Column:
+    """Objects of the answer's facts (array of struct with `object`), else the answer itself, else nothing."""
+    objects = F.filter(F.transform(F.coalesce(facts, F.array().cast("array<struct<subject:string,predicate:string,object:string>>")), lambda x: x["object"]), lambda x: F.coalesce(x != "", F.lit(False)))
+    whole = F.when(F.coalesce(answer != "", F.lit(False)), F.array(answer)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(objects) > 0, objects).otherwise(whole)
+
+
+def judged(questions: DataFrame, verdicts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """key, answerable of questions (key, question, context): without context not answerable and not asked.
+
+    verdicts: asked rows to key, answerable; a question without verdict is null.
+    """
+    asks = F.coalesce(F.col("context") != "", F.lit(False))
+    asked = verdicts(questions.where(asks))
+    told = questions.withColumn("asks", asks).join(asked.select("key", F.col("answerable").alias("told")), "key", "left")
+    return told.select("key", F.when(~F.col("asks"), F.lit(False)).otherwise(F.col("told")).alias("answerable"))
+
+
+def score_readings(questions: DataFrame, parts: DataFrame, readings: list[str]) -> DataFrame:
+    """question_id, reading, recall, outcome: the golden questions under each reading.
+
+    parts: question_id, reading, part_id, cited, in_graph; the passages of a question under the strict and the semantic
+    reading, the facts of its answer under the answer reading. A question without parts is unscorable under it.
+    """
+    out = None
+    for reading in readings:
+        own = parts.where(F.col("reading") == reading)
+        scored = question_outcomes(own, questions).withColumn("reading", F.lit(reading))
+        out = scored if out is None else out.union(scored)
+    return out
+
+
 def occurrences(text: Column, part: Column) -> Column:
     """Occurrences that do not overlap; 0 for an empty part."""
     return F.when(F.length(part) > 0, ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("int")).otherwise(0)

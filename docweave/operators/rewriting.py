@@ -5,7 +5,7 @@ Order is carried by a sequence column, and "first" always means least in it, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -74,8 +74,8 @@ def repoint(edges: DataFrame, id_map: DataFrame, scope: list[str], seq: str, kee
 
 
 def mapped(value: str, kind: str, mapping: DataFrame) -> tuple[DataFrame, Column]:
-    """The broadcast side and the mapped value; a null target means removal, no row means unchanged."""
-    side = F.broadcast(mapping.where(F.col("kind") == kind).select(F.col("old").alias(value), F.col("new"), F.lit(True).alias("listed")))
+    """The side to join and the mapped value; a null target means removal, no row means unchanged."""
+    side = mapping.where(F.col("kind") == kind).select(F.col("old").alias(value), F.col("new"), F.lit(True).alias("listed"))
     return side, F.when(F.col("listed"), F.col("new")).otherwise(F.col(value))
 
 
@@ -83,8 +83,7 @@ def apply_mapping(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, scope:
     """Retype by mapping (kind, old, new or null), merge nodes of equal type and label, let edges follow.
 
     Of merged nodes the first stays, its empty `fill` columns taken from the next that has them. Types mapped to null
-    are removed. Self-loops that the merge makes are removed, those that were there stay. The mapping is a reviewed
-    list of type names, sent to every task.
+    are removed. Self-loops that the merge makes are removed, those that were there stay.
     """
     side, new_type = mapped("type", "node_type", mapping)
     retyped = nodes.join(side, "type", "left").withColumn("new_type", new_type).where("new_type is not null")
@@ -103,17 +102,73 @@ def apply_mapping(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, scope:
     return merged, repoint(moved, id_map, scope, seq, keep_made_loops=False)
 
 
-def supplement(base: DataFrame, extra: DataFrame, scope: list[str], seq: str) -> DataFrame:
-    """Rows of extra whose type and label the base lacks, the first of each, under ids of the form s<n>_<id> that are free in the base."""
-    known = base.select(*scope, "type", "label").distinct()
-    fresh = extra.join(known, [*scope, "type", "label"], "left_anti")
-    rest = [c for c in extra.columns if c not in (*scope, "type", "label")]
-    first = fresh.groupBy(*scope, "type", "label").agg(F.min_by(F.struct(*rest), seq).alias("n")).select(*scope, "type", "label", "n.*")
-    # The number is one more than the highest already used before this id in the scope.
-    used = base.where(F.col("id").rlike(r"^s\d+_")).select(*scope, F.regexp_extract("id", r"^s\d+_(.*)$", 1).alias("id"), F.regexp_extract("id", r"^s(\d+)_", 1).cast("int").alias("k"))
-    highest = used.groupBy(*scope, "id").agg(F.max("k").alias("k"))
-    made = F.concat(F.lit("s"), (F.coalesce("k", F.lit(0)) + 1).cast("string"), F.lit("_"), "id")
-    return first.join(highest, [*scope, "id"], "left").withColumn("new_id", made).drop("k")
+def supplement(base: DataFrame, extra: DataFrame, scope: list[str], seq: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of extra whose type and label the base lacks, the first of each, and where every id of extra went (scope, id, kept_id).
+
+    A new row keeps its id in `new_id` if the base has no such id, else it becomes s<n>_<id> with the least n that is
+    free; of several new rows of one id each takes the next free one.
+    """
+    key = [*scope, "type", "label"]
+    known = base.groupBy(*key).agg(F.max_by("id", seq).alias("known_id"))
+    rest = [c for c in extra.columns if c not in key]
+    fresh = extra.join(known, key, "left_anti").groupBy(*key).agg(F.min_by(F.struct(*rest), seq).alias("n")).select(*key, "n.*")
+    # Names taken by the base: 0 is the id itself, n is s<n>_<id>.
+    prefixed = base.where(F.col("id").rlike(r"^s\d+_")).select(*scope, F.regexp_extract("id", r"^s\d+_(.*)$", 1).alias("id"), F.regexp_extract("id", r"^s(\d+)_", 1).cast("int").alias("k"))
+    taken = base.select(*scope, "id", F.lit(0).alias("k")).union(prefixed).groupBy(*scope, "id").agg(F.collect_set("k").alias("taken"))
+    turn = F.row_number().over(Window.partitionBy(*scope, "id").orderBy(seq))
+    named = fresh.withColumn("turn", turn).join(taken, [*scope, "id"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
+    free = F.filter(F.sequence(F.lit(0), F.size("taken") + F.col("turn")), lambda k: ~F.array_contains("taken", k))
+    n = F.element_at(free, F.col("turn").cast("int"))
+    added = named.withColumn("new_id", F.when(n == 0, F.col("id")).otherwise(F.concat(F.lit("s"), n.cast("string"), F.lit("_"), "id"))).select(*fresh.columns, "new_id")
+    went = extra.join(known.select(*key, F.col("known_id").alias("kept_id")).union(added.select(*key, "new_id")), key)
+    return added, went.groupBy(*scope, "id").agg(F.max_by("kept_id", seq).alias("kept_id"))
+
+
+def supplemented_edges(base: DataFrame, extra: DataFrame, id_map: DataFrame, scope: list[str], seq: str) -> DataFrame:
+    """Edges of extra with their ends where their nodes went, ends it did not declare as they are; the first of each that the base lacks."""
+    for end in ("source", "target"):
+        side = id_map.select(*scope, F.col("id").alias(end), "kept_id")
+        extra = extra.join(side, [*scope, end], "left").withColumn(end, F.coalesce("kept_id", end)).drop("kept_id")
+    key = [*scope, "source", "target", "type"]
+    rest = [c for c in extra.columns if c not in key]
+    new = extra.join(base.select(*key), key, "left_anti")
+    return new.groupBy(*key).agg(F.min_by(F.struct(*rest), seq).alias("e")).select(*key, "e.*")
+
+
+def evolved_nodes(nodes: DataFrame, changes: DataFrame, scope: list[str]) -> DataFrame:
+    """Nodes after ordered changes (scope, seq, decision and the node's columns): the last change of an id replaces, adds or, deprecating, removes it."""
+    rest = [c for c in nodes.columns if c not in (*scope, "id")]
+    last = changes.groupBy(*scope, "id").agg(F.max_by(F.struct("decision", *rest), "seq").alias("c"))
+    stays = nodes.join(last.select(*scope, "id"), [*scope, "id"], "left_anti")
+    return stays.unionByName(last.where("c.decision <> 'DEPRECATE'").select(*scope, "id", *(F.col(f"c.{c}").alias(c) for c in rest)))
+
+
+def evolved_edges(edges: DataFrame, changes: DataFrame, scope: list[str]) -> DataFrame:
+    """Edges after ordered changes: deprecating removes all edges of that source, target and type so far, any other decision appends one."""
+    key = [*scope, "source", "target", "type"]
+    gone = changes.where("decision = 'DEPRECATE'").groupBy(*key).agg(F.max("seq").alias("gone"))
+    stays = edges.join(gone, key, "left_anti")
+    added = changes.where("decision <> 'DEPRECATE'").join(gone, key, "left").where("gone is null or seq > gone")
+    return stays.unionByName(added.select(edges.columns))
+
+
+def verified(nodes: DataFrame, texts: DataFrame, declared: dict[str, str]) -> DataFrame:
+    """Extracted nodes with what their text bears out: complete ones, with declared properties, known confidence, verbatim evidence and known section.
+
+    nodes: text_id and the node's columns; texts: text_id, text, headed (the text under its section label), base (its
+    place in the document). start and end are places in the document.
+    """
+    seen = nodes.where(filled("id", "label", "type")).join(texts, "text_id", "left").withColumn("span_", evidence_span(F.col("evidence_text"), F.col("text")))
+    return seen.withColumns({
+        "confidence": known_confidence(F.col("confidence")), "evidence_text": F.when(F.col("span_").isNotNull(), F.col("evidence_text")),
+        "start": F.col("base") + F.col("span_.start"), "end": F.col("base") + F.col("span_.end"), "properties": declared_properties(F.col("properties"), declared),
+        "source_section": F.when(F.array_contains(section_labels(F.col("headed")), F.col("source_section")), F.col("source_section")),
+    }).drop("text", "headed", "base", "span_")
+
+
+def extracted(nodes: DataFrame, edges: DataFrame, texts: DataFrame, declared: dict[str, str], scope: list[str], seq: str) -> tuple[DataFrame, DataFrame]:
+    """Replies of all groups as one graph a scope: verified nodes, complete edges with known ends, merged over the groups."""
+    return merge_groups(verified(nodes, texts, declared), edges.where(filled("source", "target", "type")), scope, seq)
 
 
 def _null_safe(a: str, b: str, names: list[str]) -> Column:

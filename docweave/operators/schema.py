@@ -43,21 +43,50 @@ def normalized(types: DataFrame) -> DataFrame:
     return types.withColumns({"description": F.coalesce("description", F.lit("")), "category": F.col("category"), "properties": F.coalesce("properties", F.create_map().cast("map<string,string>"))})
 
 
+def goals(names: DataFrame, mapping: DataFrame, kind: str, column: str = "name") -> DataFrame:
+    """names with `goal`, what the mapping (kind, old, new or null) makes of the column: null is removed, unlisted names stay."""
+    side = mapping.where(F.col("kind") == kind).select(F.col("old").alias(column), "new", F.lit(True).alias("listed"))
+    return names.join(side, column, "left").withColumn("goal", F.when(F.col("listed"), F.col("new")).otherwise(F.col(column))).drop("new", "listed")
+
+
 def merged_types(types: DataFrame, mapping: DataFrame, scope: list[str]) -> DataFrame:
-    """Node types under the mapping (old, new or null): descriptions joined with " / " in order, the target's own first."""
-    side = F.broadcast(mapping.select(F.col("old").alias("name"), "new", F.lit(True).alias("listed")))
-    new = F.when(F.col("listed"), F.col("new")).otherwise(F.col("name"))
-    joined = types.join(side, "name", "left").withColumn("goal", new).where("goal is not null")
-    own = F.when(F.col("name") == F.col("goal"), 0).otherwise(1)
-    parts = F.array_sort(F.collect_list(F.struct(own.alias("o"), F.col("pos"), F.col("description").alias("d"))))
+    """Node types (scope, name, pos, description, properties) under the mapping.
+
+    Descriptions are joined with " / " in order, the target's own first. Properties are united; on a clash the target's
+    own declaration wins, then that of the earlier type.
+    """
+    joined = goals(types, mapping, "node_type").where("goal is not null").withColumn("o", F.when(F.col("name") == F.col("goal"), 0).otherwise(1))
+    parts = F.array_sort(F.collect_list(F.struct("o", "pos", F.col("description").alias("d"))))
     text = F.array_join(F.filter(F.transform(parts, lambda x: x["d"]), lambda x: F.coalesce(x != "", F.lit(False))), " / ")
-    return joined.groupBy(*scope, F.col("goal").alias("name")).agg(F.min("pos").alias("pos"), text.alias("description"))
+    merged = joined.groupBy(*scope, F.col("goal").alias("name")).agg(F.min("pos").alias("pos"), text.alias("description"))
+    if "properties" not in types.columns:
+        return merged
+    each = joined.select(*scope, F.col("goal").alias("name"), "o", "pos", F.explode("properties").alias("key", "value"))
+    first = each.groupBy(*scope, "name", "key").agg(F.min_by("value", F.struct("o", "pos")).alias("value"))
+    united = first.groupBy(*scope, "name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
+    return merged.join(united, [*scope, "name"], "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
+
+
+def merged_edge_types(types: DataFrame, mapping: DataFrame, scope: list[str]) -> DataFrame:
+    """Edge types under the mapping: merged and removed ones go, the ends of the others follow the node types."""
+    stays = types.join(mapping.where("kind = 'edge_type'").select(F.col("old").alias("name")), "name", "left_anti")
+    for end in ("source", "target"):
+        stays = goals(stays, mapping, "node_type", end).drop(end).withColumnRenamed("goal", end)
+    return stays.select(types.columns)
 
 
 def mapping_problems(mapping: DataFrame, names: DataFrame) -> DataFrame:
-    """kind, old, problem: unknown old or new names, a name merged into itself, chains of merges."""
-    known_old = names.select("kind", F.col("name").alias("old"), F.lit(True).alias("has_old"))
-    known_new = names.select("kind", F.col("name").alias("new"), F.lit(True).alias("has_new"))
+    """kind, old, problem: unknown old or new names, a name merged into itself, chains of merges, edge types whose ends differ.
+
+    names: kind, name and, of edge types, source and target; the ends of two merged edge types are compared after the
+    node types are mapped.
+    """
+    own = names.select("kind", "name", *((F.col(c) if c in names.columns else F.lit(None).cast("string")).alias(c) for c in ("source", "target"))).distinct()
+    for end in ("source", "target"):
+        own = goals(own, mapping, "node_type", end).drop(end).withColumnRenamed("goal", end)
+    ends = own.groupBy("kind", "name").agg(F.array_sort(F.collect_set(F.struct("source", "target"))).alias("ends"))
+    known_old = ends.select("kind", F.col("name").alias("old"), F.col("ends").alias("old_ends"), F.lit(True).alias("has_old"))
+    known_new = ends.select("kind", F.col("name").alias("new"), F.col("ends").alias("new_ends"), F.lit(True).alias("has_new"))
     targets = mapping.select("kind", F.col("old").alias("new"), F.lit(True).alias("is_old")).distinct()
     m = mapping.join(known_old, ["kind", "old"], "left").join(known_new, ["kind", "new"], "left").join(targets, ["kind", "new"], "left")
     tests = {
@@ -65,6 +94,7 @@ def mapping_problems(mapping: DataFrame, names: DataFrame) -> DataFrame:
         "unknown_new": F.col("new").isNotNull() & F.col("has_new").isNull(),
         "self_merge": F.coalesce(F.col("old") == F.col("new"), F.lit(False)),
         "chain": F.coalesce(F.col("is_old"), F.lit(False)) & (F.col("old") != F.col("new")),
+        "ends_differ": (F.col("kind") == "edge_type") & F.coalesce(F.col("old_ends") != F.col("new_ends"), F.lit(False)),
     }
     found = F.filter(F.array(*(F.when(t, F.lit(p)) for p, t in tests.items())), lambda x: x.isNotNull())
     return m.select("kind", "old", F.explode(found).alias("problem"))

@@ -38,7 +38,9 @@ def tiered_matches(nodes: DataFrame, analysis: DataFrame, vectors: DataFrame | N
     tier = F.when(by_keyword, KEYWORD).when(_property_hits(), PROPERTY).otherwise(EVERY)
     hits = joined.select("query_id", "stem", "version", "type", "id", "pos", tier.alias("tier"))
     if vectors is not None and questions is not None:
-        scored = hits.join(vectors.withColumnRenamed("vector", "v"), "id").join(questions.withColumnRenamed("vector", "q"), "query_id").withColumn("score", F.round(cosine(F.col("q"), F.col("v")), 6))
+        # Only types that neither keywords nor a property answer are compared by vector.
+        open_types = hits.groupBy("query_id", *scope).agg(F.min("tier").alias("least")).where(F.col("least") == EVERY).drop("least")
+        scored = hits.join(open_types, ["query_id", *scope], "left_semi").join(vectors.withColumnRenamed("vector", "v"), "id").join(questions.withColumnRenamed("vector", "q"), "query_id").withColumn("score", F.round(cosine(F.col("q"), F.col("v")), 6))
         place = F.row_number().over(Window.partitionBy("query_id", "stem", "version", "type").orderBy(F.desc("score"), "id"))
         near = scored.withColumn("k", place).where((F.col("k") <= top_k) & (F.col("score") >= min_score))
         hits = hits.union(near.select("query_id", "stem", "version", "type", "id", "pos", F.lit(VECTOR).alias("tier")))
@@ -53,11 +55,12 @@ class Search:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, analysis: DataFrame, edge_types: DataFrame, hops: int = 1, least_confidence: str | None = None, **tiers):
         scope = ["query_id", "stem", "version"]
-        self.nodes = nodes
+        nodes = G.checkpointed(nodes.select("stem", "version", "id", "type", "label", "detail", "properties", "confidence", "evidence_text", "source_section"))
+        self.nodes = nodes.select("stem", "version", "id", "label")
         matches = G.checkpointed(tiered_matches(nodes, analysis, **tiers))
         self.matches = matches
         scopes = analysis.select(*scope).distinct()
-        wanted = edges.join(edge_types.join(scopes, "query_id"), ["stem", "version", "type"])
+        wanted = G.checkpointed(edges.join(edge_types.join(scopes, "query_id"), ["stem", "version", "type"]))
         seeds = matches.select(*scope, "id").distinct()
         touched = [wanted.join(seeds.withColumnRenamed("id", s), [*scope, s], "left_semi") for s in ("source", "target")]
         columns = [*scope, "source", "target", "type"]
@@ -94,7 +97,7 @@ class Search:
         detail = F.when(F.length("detail") > 0, F.concat(F.lit(": "), "detail")).otherwise("")
         line = F.concat(F.lit("- "), "label", F.lit(" ("), F.coalesce("type", F.lit("")), F.lit(")"), detail, noted)
         n = self.related_nodes.select("query_id", F.struct(F.lit(0).alias("part"), F.coalesce("rank", F.lit(1 << 30)).alias("rank"), F.col("id").alias("key"), line.alias("line")).alias("x"))
-        labels = self.nodes.select("stem", "version", "id", "label")
+        labels = self.nodes
         e = self.edges.join(labels.withColumnsRenamed({"id": "source", "label": "a"}), ["stem", "version", "source"]).join(labels.withColumnsRenamed({"id": "target", "label": "b"}), ["stem", "version", "target"])
         relation = F.concat(F.lit("- "), "a", F.lit(" --"), "type", F.lit("--> "), "b", detail)
         r = e.select("query_id", F.struct(F.lit(1).alias("part"), F.lit(0).alias("rank"), F.concat_ws("|", "type", "source", "target").alias("key"), relation.alias("line")).alias("x"))

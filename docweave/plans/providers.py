@@ -132,6 +132,38 @@ def with_fingerprints(groups: DataFrame, operation: Operation, stage: str, input
     return groups.withColumn("fingerprint", fingerprint(parts))
 
 
+def _parsed(batches: Iterator[pa.RecordBatch], required: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values, errors = [], []
+        for reply in batch.column("reply").to_pylist():
+            try:
+                values.append(json.dumps(parse_reply(reply or "", required), ensure_ascii=False))
+                errors.append(None)
+            except MalformedReply as e:
+                values.append(None)
+                errors.append(str(e))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(values, pa.string()), pa.array(errors, pa.string())], names=["key", "value", "error"])
+
+
+def parsed_replies(replies: DataFrame, key: str, required: tuple[str, ...]) -> DataFrame:
+    """key, value (JSON of the first complete object), error of replies (key LONG, reply): one of the two is null."""
+    rows = replies.select(F.col(key).cast("long").alias("key"), "reply")
+    return rows.mapInArrow(lambda it: _parsed(it, required), "key long, value string, error string").withColumnRenamed("key", key)
+
+
+def map_concurrently(items: DataFrame, key: str, text: str, function: Callable[[str], str], at_once: int = 5) -> DataFrame:
+    """key and `reply`, function of the text, of every item; `at_once` partitions bound the calls in flight, equal texts are asked once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            replies = [function(x) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(replies, pa.string())], names=["digest", "reply"])
+
+    named = items.select(key, F.sha2(text, 256).alias("digest"), F.col(text).alias("text"))
+    replies = named.select("digest", "text").dropDuplicates(["digest"]).repartition(at_once).mapInArrow(run, "digest string, reply string")
+    return named.select(key, "digest").join(replies, "digest").select(key, "reply")
+
+
 def map_groups(groups: DataFrame, provider: Provider, operation: Operation, cache: DataFrame, at_once: int = 5, pause: float = 1.0) -> DataFrame:
     """fingerprint, reply, error, seconds of the groups not in the cache; `at_once` partitions bound the calls in flight.
 

@@ -131,23 +131,6 @@ def chunk_ends(spark, d):
     return table(spark, d, "chunks").select("chunk_id", F.coalesce(after - 1, "line_end").alias("end_line"))
 
 
-PAGE = 40
-
-
-@query("win12_line_pages", f"SELECT chunk_id, coalesce(last_value(CASE WHEN line_start % {PAGE} < 8 THEN line_start // {PAGE} END IGNORE NULLS) OVER (PARTITION BY stem ORDER BY line_start, chunk_id ROWS UNBOUNDED PRECEDING), 1) AS page FROM chunks")
-def line_pages(spark, d):
-    """The last page mark at or before each chunk; chunks that begin near the top of a page carry its mark."""
-    mark = F.when(F.col("line_start") % PAGE < 8, F.floor(F.col("line_start") / PAGE).cast("int"))
-    w = Window.partitionBy("stem").orderBy("line_start", "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "chunks").select("chunk_id", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(1)).alias("page"))
-
-
-@query("win13_page_lines", f"SELECT stem, line_start // {PAGE} AS page, min(line_start) AS first_line, max(line_end) AS last_line FROM chunks GROUP BY ALL")
-def page_lines(spark, d):
-    page = F.floor(F.col("line_start") / PAGE).cast("int").alias("page")
-    return table(spark, d, "chunks").groupBy("stem", page).agg(F.min("line_start").alias("first_line"), F.max("line_end").alias("last_line"))
-
-
 @query("agg16_rider_names", """WITH k AS (SELECT stem, regexp_replace(regexp_replace(rider_name, '\\s+', '', 'g'), '약관$', '') AS key, rider_name_source FROM chunks WHERE rider_name IS NOT NULL)
   SELECT stem, count(DISTINCT key) AS n_names, count(*) FILTER (rider_name_source = 'fallback') AS n_fallback, count(*) FILTER (regexp_matches(key, '다\\.?$')) AS n_suspicious FROM k GROUP BY stem""")
 def rider_names(spark, d):
@@ -193,3 +176,25 @@ def compact_documents(spark, d):
     share = F.floor(F.lit(2000) / F.count("*").over(Window.partitionBy("doc_id")))
     cutoff = F.when(F.length("t") > share, F.concat(F.substr("t", F.lit(1), share.cast("int")), F.lit("\n…"))).otherwise(F.col("t"))
     return joined.select("doc_id", F.col("section").cast("long").alias("section"), cutoff.alias("text"))
+
+
+#: Texts with a page marker after every line, whose number comes from the line's length.
+PAGED_SQL = """ln AS (SELECT chunk_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM chunks WHERE text IS NOT NULL),
+  pg AS (SELECT chunk_id, 2 * k - 1 AS line_no, NULL AS mark FROM ln UNION ALL SELECT chunk_id, 2 * k, CAST(length(line) % 50 + 1 AS INT) FROM ln),
+  lp AS (SELECT chunk_id, line_no, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 1) AS page FROM pg)"""
+
+
+def _paged(spark, d):
+    marked = F.flatten(F.transform(F.split("text", "\n"), lambda x: F.array(x, F.concat(F.lit("<!-- page: "), (F.length(x) % 50 + 1).cast("string"), F.lit(" -->")))))
+    lines = table(spark, d, "chunks").where("text is not null").select("chunk_id", F.posexplode(marked).alias("k", "line"))
+    return K.line_pages(lines.select("chunk_id", (F.col("k") + 1).alias("line_no"), "line"), ["chunk_id"])
+
+
+@query("win12_line_pages", f"WITH {PAGED_SQL} SELECT chunk_id, line_no, page FROM lp")
+def line_pages(spark, d):
+    return _paged(spark, d)
+
+
+@query("win13_page_lines", f"WITH {PAGED_SQL} SELECT chunk_id, page, min(line_no) AS first_line, max(page) OVER (PARTITION BY chunk_id) AS n_pages FROM lp GROUP BY chunk_id, page")
+def page_lines(spark, d):
+    return K.page_starts(_paged(spark, d), ["chunk_id"])

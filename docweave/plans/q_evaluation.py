@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
+from .providers import map_concurrently, parsed_replies
 from .registry import query, table
 
 
@@ -66,13 +67,6 @@ def question_answers(spark, d):
     return asked.join(given, ["stem", "id"])
 
 
-@query("join14_quotes_in_groups", """SELECT quote_id, count(DISTINCT c.chunk_id) AS n_chunks FROM goldenset g JOIN chunks c ON c.stem = g.stem WHERE g.quote_id % 20 = 0 AND g.quote <> '' AND contains(c.text, g.quote) GROUP BY quote_id""")
-def quotes_in_groups(spark, d):
-    g = table(spark, d, "goldenset").where("quote_id % 20 = 0 and quote <> ''").select("quote_id", "stem", "quote")
-    hit = table(spark, d, "chunks").select("stem", "chunk_id", "text").join(g, "stem").where(F.contains("text", "quote"))
-    return hit.groupBy("quote_id").agg(F.countDistinct("chunk_id").alias("n_chunks"))
-
-
 OUTCOME_SQL = f"""{SPANS_SQL}, item AS (SELECT g.quote_id, g.stem || '/' || g.id AS question_id, EXISTS (SELECT 1 FROM o WHERE o.quote_id = g.quote_id) AS cited,
     EXISTS (SELECT 1 FROM n WHERE n.chunk_id = g.chunk_id) AS in_graph FROM goldenset g WHERE quote <> ''),
   per AS (SELECT question_id, avg(CAST(cited AS INT)) AS recall, bool_or(NOT cited AND in_graph) AS held FROM item GROUP BY 1),
@@ -112,18 +106,6 @@ def repeated_passages(spark, d):
     return _gold(spark, d).select("quote_id", E.occurrences(F.col("text"), F.col("quote")).cast("long").alias("n")).where("n > 1")
 
 
-@query("agg10_judge_rate", "SELECT question_type, round(avg(CAST(answerable AS INT)), 6) AS rate FROM goldenset WHERE answerable IS NOT NULL GROUP BY 1")
-def judge_rate(spark, d):
-    return table(spark, d, "goldenset").where("answerable is not null").groupBy("question_type").agg(F.round(F.avg(F.col("answerable").cast("int")), 6).alias("rate"))
-
-
-@query("agg18_probe_summary", f"""WITH {OUTCOME_SQL} SELECT count(*) FILTER (outcome = 'extraction_miss') AS probed, count(*) FILTER (outcome = 'extraction_miss' AND recall > 0) AS recovered,
-  count(*) FILTER (outcome = 'extraction_miss' AND recall = 0) AS still_missed, count(*) FILTER (outcome = 'unscorable') AS not_locatable FROM sc""")
-def probe_summary(spark, d):
-    miss = F.col("outcome") == "extraction_miss"
-    return scored_questions(spark, d).agg(F.count_if(miss).alias("probed"), F.count_if(miss & (F.col("recall") > 0)).alias("recovered"), F.count_if(miss & (F.col("recall") == 0)).alias("still_missed"), F.count_if(F.col("outcome") == "unscorable").alias("not_locatable"))
-
-
 ARM_SQL = "s AS (SELECT CASE WHEN quote_id % 4 < 2 THEN 'control' ELSE 'arm' || (quote_id % 4) END AS arm, quote_id % 4 AS run, stem || '/' || id AS question_id, bool_or(answerable) AS hit FROM goldenset GROUP BY ALL)"
 
 
@@ -188,13 +170,105 @@ def scoring_report(spark, d):
     return t.agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("report"))
 
 
-@query("msc07_answer_facts", "SELECT quote_id, CASE WHEN answer <> '' THEN answer ELSE '' END AS facts FROM goldenset")
+@query("join14_quotes_in_groups", """SELECT quote_id, count(DISTINCT c.chunk_id) AS n_chunks FROM goldenset g JOIN chunks c ON c.stem = g.stem WHERE g.quote_id % 20 = 0 AND g.quote <> '' AND contains(c.text, g.quote) GROUP BY quote_id""")
+def quotes_in_groups(spark, d):
+    g = table(spark, d, "goldenset").where("quote_id % 20 = 0").select("stem", F.col("quote_id").alias("part_id"), F.col("quote").alias("part"))
+    texts = table(spark, d, "chunks").select("stem", F.col("chunk_id").alias("text_id"), "text")
+    return E.containing_texts(g, texts, "stem").groupBy(F.col("part_id").alias("quote_id")).agg(F.count("*").alias("n_chunks"))
+
+
+@query("msc07_answer_facts", """SELECT quote_id, CASE WHEN question_type = 'list' AND len(list_filter(string_split(coalesce(answer, ''), ','), lambda x: x <> '')) > 0 THEN array_to_string(list_filter(string_split(answer, ','), lambda x: x <> ''), ';')
+  WHEN answer <> '' THEN answer ELSE '' END AS facts FROM goldenset""")
 def answer_facts(spark, d):
-    facts = F.filter(F.array("answer"), lambda x: F.coalesce(x != "", F.lit(False)))
-    return table(spark, d, "goldenset").select("quote_id", F.array_join(facts, "; ").alias("facts"))
+    """Answers of list questions carry a fact for each part; other questions have no facts of their own."""
+    g = table(spark, d, "goldenset")
+    parts = F.transform(F.split("answer", ","), lambda x: F.struct(F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("predicate"), x.alias("object")))
+    facts = F.when(F.col("question_type") == "list", parts)
+    return g.select("quote_id", F.array_join(E.answer_facts(facts, F.col("answer")), ";").alias("facts"))
+
 
+def _judge(prompt: str) -> str:
+    """A deterministic stand-in for a judging model."""
+    return '```json\n{"answerable": ' + ("true" if len(prompt) % 3 else "false") + ', "reason": "length"}\n```'
 
-@query("msc08_judge_needed", """SELECT quote_id, chunk_id IS NOT NULL AND question IS NOT NULL AS needs_call FROM goldenset""")
-def judge_needed(spark, d):
-    """Questions without context are not answerable and need no model call."""
-    return table(spark, d, "goldenset").select("quote_id", (F.col("chunk_id").isNotNull() & F.col("question").isNotNull()).alias("needs_call"))
+
+def _verdicts(asked):
+    replies = map_concurrently(asked.withColumn("prompt", F.concat("question", F.lit("\n"), "context")), "key", "prompt", _judge)
+    told = parsed_replies(replies, "key", ("answerable",))
+    return told.select("key", F.get_json_object("value", "$.answerable").cast("boolean").alias("answerable"))
+
+
+JUDGED_SQL = """j AS (SELECT quote_id, question_type, CASE WHEN coalesce(text, '') = '' THEN false ELSE length(coalesce(question, '') || chr(10) || text) % 3 <> 0 END AS judged FROM goldenset LEFT JOIN (SELECT chunk_id, text FROM chunks) USING (chunk_id))"""
+
+
+def _judged(spark, d):
+    texts = table(spark, d, "chunks").select("chunk_id", F.col("text").alias("context"))
+    q = table(spark, d, "goldenset").select(F.col("quote_id").alias("key"), F.coalesce("question", F.lit("")).alias("question"), "question_type", "chunk_id").join(texts, "chunk_id", "left")
+    return q.select("key", "question_type").join(E.judged(q, _verdicts), "key")
+
+
+@query("msc08_judged", f"WITH {JUDGED_SQL} SELECT quote_id, judged FROM j")
+def judged(spark, d):
+    """Questions with the chunk of their quote as context, judged; without context they are not answerable and not asked."""
+    return _judged(spark, d).select(F.col("key").alias("quote_id"), F.col("answerable").alias("judged"))
+
+
+@query("agg10_judge_rate", f"WITH {JUDGED_SQL} SELECT question_type, count(*) AS scored, count(*) FILTER (judged) AS answerable, round(avg(CAST(judged AS INT)), 6) AS rate FROM j GROUP BY question_type")
+def judge_rate(spark, d):
+    return _judged(spark, d).groupBy("question_type").agg(F.count("*").alias("scored"), F.count_if("answerable").alias("answerable"), F.round(F.avg(F.col("answerable").cast("int")), 6).alias("rate"))
+
+
+#: Nodes cite with the evidence verified in their chunk; a search returns those of high confidence.
+READINGS_SQL = f"""{SPANS_SQL}, qs AS (SELECT stem || '/' || id AS question_id, bool_or(answerable) AS answerable, min(question_type) AS question_type FROM goldenset GROUP BY 1),
+  told AS (SELECT node_no, chunk_id, lower(regexp_replace(coalesce(label, '') || ' ' || coalesce(detail, '') || ' ' || coalesce(evidence_text, ''), '\\s+', '', 'g')) AS t, coalesce(confidence, '') = 'HIGH' AS returned FROM nodes WHERE chunk_id IS NOT NULL),
+  strict AS (SELECT g.stem || '/' || g.id AS question_id, g.quote_id AS part_id, coalesce(bool_or(told.returned), false) AS cited, count(told.node_no) > 0 AS in_graph FROM goldenset g JOIN q USING (quote_id) LEFT JOIN o USING (quote_id) LEFT JOIN told ON told.node_no = o.node_no GROUP BY ALL),
+  fact AS (SELECT DISTINCT stem || '/' || id AS question_id, chunk_id, lower(regexp_replace(answer, '\\s+', '', 'g')) AS f FROM goldenset WHERE answer <> '' AND chunk_id IS NOT NULL),
+  answer AS (SELECT question_id, hash(f) AS part_id, coalesce(bool_or(contains(t, f) AND returned), false) AS cited, coalesce(bool_or(contains(t, f)), false) AS in_graph FROM fact LEFT JOIN told USING (chunk_id) GROUP BY question_id, f),
+  parts AS (SELECT 'strict' AS reading, * FROM strict UNION ALL SELECT 'answer', * FROM answer),
+  per AS (SELECT reading, question_id, avg(CAST(cited AS INT)) AS recall, bool_or(NOT cited AND in_graph) AS held FROM parts GROUP BY ALL),
+  sc AS (SELECT r.reading, qs.question_id, recall, CASE WHEN NOT answerable THEN 'unanswerable' WHEN recall IS NULL THEN 'unscorable' WHEN recall >= 0.5 THEN 'hit' WHEN held THEN 'retrieval_miss' ELSE 'extraction_miss' END AS outcome
+    FROM qs CROSS JOIN (VALUES ('strict'), ('answer')) r(reading) LEFT JOIN per ON per.question_id = qs.question_id AND per.reading = r.reading)"""
+
+
+def golden_readings(spark, d):
+    """Every golden question under the strict reading (evidence of returned nodes overlaps its passages) and the answer reading (their text states its answer)."""
+    g = table(spark, d, "goldenset").withColumn("question_id", F.concat_ws("/", "stem", "id"))
+    questions = g.groupBy("question_id").agg(F.bool_or("answerable").alias("answerable"), F.min("question_type").alias("question_type"))
+    nodes = table(spark, d, "nodes").where("chunk_id is not null")
+    returned = F.coalesce(F.col("confidence") == "HIGH", F.lit(False))
+    flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    told = nodes.select(F.col("node_no").alias("b_id"), "chunk_id", returned.alias("returned"), flat(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("detail", F.lit("")), F.coalesce("evidence_text", F.lit("")))).alias("t"))
+    spans = _quotes(spark, d)
+    cites = E.overlap_pairs(spans, _cited(spark, d), ["chunk_id"]).join(told.select("b_id", "returned"), "b_id").groupBy("a_id").agg(F.bool_or("returned").alias("cited"))
+    passages = spans.select(F.col("a_id").alias("quote_id")).join(g.select("quote_id", "question_id"), "quote_id").join(cites.withColumnRenamed("a_id", "quote_id"), "quote_id", "left")
+    strict = passages.select("question_id", F.lit("strict").alias("reading"), F.coalesce("cited", F.lit(False)).alias("cited"), F.col("cited").isNotNull().alias("in_graph"))
+    fact = g.where("answer <> '' and chunk_id is not null").select("question_id", "chunk_id", flat("answer").alias("f")).distinct()
+    stated = fact.join(told, "chunk_id", "left").withColumn("says", F.coalesce(F.contains("t", "f"), F.lit(False)))
+    answer = stated.groupBy("question_id", "f").agg(F.coalesce(F.bool_or(F.col("says") & F.col("returned")), F.lit(False)).alias("cited"), F.bool_or("says").alias("in_graph"))
+    parts = strict.union(answer.select("question_id", F.lit("answer"), "cited", "in_graph"))
+    return E.score_readings(questions, parts, ["strict", "answer"])
+
+
+@query("pipe07_golden_scores", f"WITH {READINGS_SQL} SELECT reading, question_id, round(recall, 6) AS recall, outcome FROM sc")
+def golden_scores(spark, d):
+    return golden_readings(spark, d).select("reading", "question_id", F.round("recall", 6).alias("recall"), "outcome")
+
+
+@query("pipe07_golden_summary", f"""WITH {READINGS_SQL} SELECT reading, count(*) FILTER (outcome = 'hit') AS hit, count(*) FILTER (outcome = 'retrieval_miss') AS retrieval_miss, count(*) FILTER (outcome = 'extraction_miss') AS extraction_miss,
+  count(*) FILTER (outcome = 'unanswerable') AS unanswerable, count(*) FILTER (outcome = 'unscorable') AS unscorable, count(*) FILTER (outcome IN ('hit', 'retrieval_miss', 'extraction_miss')) AS scored,
+  round(count(*) FILTER (outcome = 'hit') / nullif(count(*) FILTER (outcome IN ('hit', 'retrieval_miss', 'extraction_miss')), 0), 6) AS hit_rate,
+  round(avg(recall) FILTER (outcome IN ('hit', 'retrieval_miss', 'extraction_miss')), 6) AS mean_recall FROM sc GROUP BY reading""")
+def golden_summary(spark, d):
+    return E.outcome_summary(golden_readings(spark, d), ["reading"])
+
+
+@query("agg18_probe_summary", f"""WITH {READINGS_SQL}, miss AS (SELECT question_id FROM sc WHERE reading = 'strict' AND outcome = 'extraction_miss'),
+  again AS (SELECT s.question_id, avg(CAST(coalesce(strpos(c.text, g.quote), 0) > 0 AND length(g.quote) % 2 = 0 AS INT)) AS recall FROM miss s JOIN goldenset g ON g.stem || '/' || g.id = s.question_id JOIN q USING (quote_id) JOIN chunks c ON c.chunk_id = g.chunk_id GROUP BY s.question_id)
+  SELECT count(*) AS probed, count(*) FILTER (recall >= 0.5) AS recovered, count(*) FILTER (recall < 0.5) AS still_missed, count(*) FILTER (recall IS NULL) AS not_locatable FROM miss LEFT JOIN again USING (question_id)""")
+def probe_summary(spark, d):
+    """Questions missed in extraction asked of their chunks alone by a deterministic second extraction, which cites passages of even length."""
+    missed = golden_readings(spark, d).where("reading = 'strict' and outcome = 'extraction_miss'").select("question_id")
+    g = table(spark, d, "goldenset").select("quote_id", "quote", "chunk_id", F.concat_ws("/", "stem", "id").alias("question_id"))
+    spans = _quotes(spark, d).withColumnRenamed("a_id", "quote_id").join(g.select("quote_id", "question_id", "quote"), "quote_id")
+    found = spans.where(F.length("quote") % 2 == 0).select("chunk_id", F.col("quote_id").alias("b_id"), "s", "e")
+    return E.probe_summary(missed, spans.select("question_id", "chunk_id", F.col("quote_id").alias("a_id"), "s", "e"), found)

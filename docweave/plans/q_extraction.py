@@ -6,8 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import refinement as R
 from ..operators import rewriting as W
-from .q_graph import GRAPH_SQL, edges_of, nodes_of
+from ..shared import shared_folder
+from ..sources.store import GraphStore
+from .providers import parsed_replies
+from .q_graph import GRAPH_SQL, STORED_SQL, edges_of, nodes_of, storable
 from .registry import query, table
 
 SCOPE = ["stem", "version"]
@@ -136,37 +140,116 @@ def retyped_counts(spark, d):
     return hit.groupBy(F.concat(F.col("old"), F.lit(" -> "), F.coalesce("new", F.lit("(removed)"))).alias("change")).agg(F.count("*").alias("n"))
 
 
-@query("set09_supplement", """WITH f AS (SELECT x.* FROM nodes x WHERE version = 2 AND NOT EXISTS (SELECT 1 FROM nodes b WHERE b.version = 1 AND b.stem = x.stem AND b.type = x.type AND b.label = x.label))
-  SELECT stem, type, label, 's1_' || arg_min(original_id, node_no) AS new_id FROM f GROUP BY stem, type, label""")
-def supplement(spark, d):
-    rows = table(spark, d, "nodes").select("stem", "version", F.col("original_id").alias("id"), "type", "label", "node_no")
-    base, extra = (rows.where(F.col("version") == v).drop("version") for v in (1, 2))
-    return W.supplement(base, extra, ["stem"], "node_no").select("stem", "type", "label", "new_id")
+OWN_IDS = "regexp_replace({}, '^.*::', '')"
 
 
-@query("set08_evolved_graph", f"""WITH {GRAPH_SQL}, base AS (SELECT stem, original_id, label, node_no FROM g WHERE version = 1), change AS (SELECT stem, original_id, label, node_no, confidence FROM g WHERE version = 2)
-  SELECT stem, original_id, label FROM base b WHERE NOT EXISTS (SELECT 1 FROM change c WHERE c.stem = b.stem AND c.original_id = b.original_id)
-  UNION ALL SELECT stem, original_id, label FROM change WHERE confidence IS DISTINCT FROM 'LOW'""")
-def evolved_graph(spark, d):
-    """Second versions replace first ones by id; changes of low confidence are deletions."""
-    n = nodes_of(spark, d).select("stem", "version", "original_id", "label", "confidence")
-    base, change = n.where("version = 1"), n.where("version = 2")
-    stays = base.join(change.select("stem", "original_id"), ["stem", "original_id"], "left_anti")
-    return stays.select("stem", "original_id", "label").union(change.where(~F.col("confidence").eqNullSafe(F.lit("LOW"))).select("stem", "original_id", "label"))
+def _own_ids(spark, d):
+    """Nodes and edges under the ids they have within their document."""
+    n = nodes_of(spark, d).select("stem", "version", F.col("original_id").alias("id"), "type", "label", "confidence", F.col("node_no").alias("seq"))
+    bare = lambda c: F.regexp_replace(c, "^.*::", "").alias(c)
+    e = edges_of(spark, d).select("stem", "version", bare("source"), bare("target"), "type", "confidence", F.col("edge_no").alias("seq"))
+    return n, e
 
 
-@query("src18_update_embeddings", """WITH n AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 3 > 0), u AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 3 <> 1)
-  SELECT vec_id, round(coalesce(u.embedding[1], n.embedding[1])::DOUBLE, 5) AS first FROM n LEFT JOIN u USING (vec_id)""")
-def update_embeddings(spark, d):
-    """New vectors replace old ones by id; rows without a new vector keep theirs."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    old, new = e.where("vec_id % 3 > 0"), e.where("vec_id % 3 <> 1").withColumnRenamed("embedding", "new")
-    return old.join(new, "vec_id", "left").select("vec_id", F.round(F.coalesce("new", "embedding")[0].cast("double"), 5).alias("first"))
+SUPPLEMENT_SQL = f"""{GRAPH_SQL}, b AS (SELECT stem, original_id AS id, type, label, node_no FROM g WHERE version = 1), x AS (SELECT stem, original_id AS id, type, label, node_no FROM g WHERE version = 2),
+  known AS (SELECT stem, type, label, arg_max(id, node_no) AS kept FROM b GROUP BY ALL),
+  fresh AS (SELECT stem, type, label, arg_min(id, node_no) AS id, min(node_no) AS node_no FROM x ANTI JOIN known USING (stem, type, label) GROUP BY ALL),
+  named AS (SELECT f.*, row_number() OVER (PARTITION BY f.stem, f.id ORDER BY f.node_no) - CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.stem = f.stem AND b.id = f.id) THEN 0 ELSE 1 END AS k FROM fresh f),
+  added AS (SELECT *, CASE WHEN k = 0 THEN id ELSE 's' || k || '_' || id END AS new_id FROM named),
+  went AS (SELECT x.stem, x.id, arg_max(coalesce(known.kept, added.new_id), x.node_no) AS kept FROM x LEFT JOIN known USING (stem, type, label) LEFT JOIN added USING (stem, type, label)
+    WHERE known.kept IS NOT NULL OR added.new_id IS NOT NULL GROUP BY ALL)"""
+
 
+def _supplement(spark, d):
+    n, e = _own_ids(spark, d)
+    (base, extra), (old, new) = (tuple(rows.where(F.col("version") == v).drop("version") for v in (1, 2)) for rows in (n, e))
+    added, went = W.supplement(base, extra, ["stem"], "seq")
+    return added, W.supplemented_edges(old, new, went, ["stem"], "seq")
 
-@query("jsn01_lenient_replies", """SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events WHERE props IS NOT NULL""")
+
+@query("set09_supplement", f"WITH {SUPPLEMENT_SQL} SELECT stem, type, label, new_id FROM added")
+def supplement(spark, d):
+    """Second versions as a second pass over the first: the nodes it adds."""
+    return _supplement(spark, d)[0].select("stem", "type", "label", "new_id")
+
+
+@query("set09_supplement_edges", f"""WITH {SUPPLEMENT_SQL}, e AS (SELECT stem, version, edge_no, type, {OWN_IDS.format("source")} AS source, {OWN_IDS.format("target")} AS target FROM edges),
+  m AS (SELECT e.stem, coalesce(a.kept, source) AS source, coalesce(b.kept, target) AS target, type, edge_no FROM e LEFT JOIN went a ON a.stem = e.stem AND a.id = source LEFT JOIN went b ON b.stem = e.stem AND b.id = target WHERE version = 2)
+  SELECT stem, source, target, type, min(edge_no) AS seq FROM m WHERE source IS NOT NULL AND target IS NOT NULL AND type IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e o WHERE o.version = 1 AND o.stem = m.stem AND o.source = m.source AND o.target = m.target AND o.type = m.type) GROUP BY ALL""")
+def supplement_edges(spark, d):
+    """The edges it adds, between the nodes where its own went."""
+    return _supplement(spark, d)[1].where("source is not null and target is not null and type is not null").select("stem", "source", "target", "type", "seq")
+
+
+@query("set08_evolved_version", f"""WITH {GRAPH_SQL}, v AS (SELECT stem, max(version) + 1 AS next FROM g GROUP BY stem HAVING min(version) = 1),
+  n AS (SELECT stem, version, original_id AS id, label, coalesce(confidence, '') = 'LOW' AS gone, node_no FROM g), c AS (SELECT stem, id, arg_max(label, node_no) AS label, arg_max(gone, node_no) AS gone FROM n WHERE version = 2 GROUP BY ALL),
+  nn AS (SELECT stem, id, label FROM n WHERE version = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.stem = n.stem AND c.id = n.id) UNION ALL SELECT stem, id, label FROM c WHERE NOT gone),
+  e AS (SELECT stem, version, {OWN_IDS.format("source")} AS source, {OWN_IDS.format("target")} AS target, type, coalesce(confidence, '') = 'LOW' AS gone, edge_no FROM edges WHERE type IS NOT NULL),
+  d AS (SELECT stem, source, target, type, max(edge_no) AS last FROM e WHERE version = 2 AND gone GROUP BY ALL),
+  ee AS (SELECT stem, source, target, type FROM e ANTI JOIN d USING (stem, source, target, type) WHERE version = 1 UNION ALL SELECT e.stem, source, target, type FROM e LEFT JOIN d USING (stem, source, target, type) WHERE version = 2 AND NOT gone AND (last IS NULL OR edge_no > last)),
+  t AS (SELECT stem, type AS name, min(node_no) AS pos FROM g WHERE version = 1 AND type IS NOT NULL GROUP BY ALL), tc AS (SELECT DISTINCT stem, type AS name FROM g WHERE version = 2 AND type IS NOT NULL),
+  tt AS (SELECT coalesce(t.stem, tc.stem) AS stem, coalesce(t.name, tc.name) AS name, CASE WHEN tc.name IS NULL THEN t.name WHEN lower(tc.name) < 'e' THEN 'new ' || tc.name ELSE '[DEPRECATED] ' || t.name END AS description
+    FROM t FULL JOIN tc ON t.stem = tc.stem AND t.name = tc.name WHERE t.name IS NOT NULL OR lower(tc.name) < 'e'),
+  a AS (SELECT 'node' AS part, stem, id AS a, label AS b FROM nn UNION ALL SELECT 'edge', stem, source || '>' || target, type FROM ee UNION ALL SELECT 'node_type', stem, name, description FROM tt)
+  SELECT part, stem, next AS version, a, b FROM a JOIN v USING (stem)""")
+def evolved_version(spark, d):
+    """Second versions as reviewed changes to the first: those of low confidence deprecate, the others add or replace; the result is a new version."""
+    n, e = _own_ids(spark, d)
+    e = e.where("type is not null")
+    numbers = n.groupBy("stem").agg(F.min("version").alias("version"), (F.max("version") + 1).alias("next")).where("version = 1")
+    types = n.where("type is not null").groupBy("stem", "version", F.col("type").alias("name")).agg(F.min("seq").alias("pos")).withColumn("description", F.col("name"))
+    decision = F.when(F.col("confidence") == "LOW", "DEPRECATE").otherwise("ADD")
+    told = lambda rows: rows.where("version = 2").withColumns({"version": F.lit(1).cast("long"), "decision": decision})
+    changed = types.where("version = 2").select("stem", F.lit(1).cast("long").alias("version"), F.lit("node_type").alias("kind"), "name", F.col("pos").alias("seq"), F.when(F.lower("name") < "e", "ADD").otherwise("DEPRECATE").alias("decision"), F.concat(F.lit("new "), "name").alias("description"))
+    old = R.Version(types, types.limit(0), n.select("stem", "version", "id", "label"), e.select("stem", "version", "source", "target", "type"))
+    new = R.evolved(old, numbers, changed, told(n).select("stem", "version", "seq", "decision", "id", "label"), told(e).select("stem", "version", "seq", "decision", "source", "target", "type"))
+    parts = (("node", new.nodes, "id", "label"), ("edge", new.edges, F.concat("source", F.lit(">"), "target"), "type"), ("node_type", new.node_types, "name", "description"))
+    rows = [x.select(F.lit(part).alias("part"), "stem", "version", (F.col(a) if isinstance(a, str) else a).alias("a"), F.col(b).alias("b")) for part, x, a, b in parts]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+REFINEMENT = [("node_type", "Coverage", "Benefit"), ("node_type", "Rider", "InsuranceProduct"), ("edge_type", "REQUIRES", None)]
+REFINEMENT_SQL = "map AS (SELECT * FROM (VALUES {}) m(kind, old, new))".format(", ".join(f"('{k}', '{o}', {'NULL' if n is None else repr(n)})" for k, o, n in REFINEMENT))
+
+
+@query("set06_refined_version", f"""WITH {STORED_SQL}, {REFINEMENT_SQL}, v AS (SELECT stem, max(version) AS version FROM n GROUP BY stem),
+  an AS (SELECT n.stem, id, label, node_no, CASE WHEN m.old IS NOT NULL THEN m.new ELSE type END AS goal, type FROM n SEMI JOIN v USING (stem, version) LEFT JOIN map m ON m.kind = 'node_type' AND m.old = n.type),
+  mer AS (SELECT stem, goal, label, arg_min(id, node_no) AS kept FROM an GROUP BY ALL), idm AS (SELECT an.stem, an.id, kept FROM an JOIN mer ON an.stem = mer.stem AND an.goal = mer.goal AND an.label IS NOT DISTINCT FROM mer.label),
+  ae AS (SELECT e.stem, source, target, e.type, CASE WHEN m.old IS NOT NULL THEN m.new ELSE e.type END AS goal FROM e SEMI JOIN v USING (stem, version) LEFT JOIN map m ON m.kind = 'edge_type' AND m.old = e.type),
+  re AS (SELECT DISTINCT ae.stem, a.kept AS source, b.kept AS target, goal FROM ae JOIN idm a ON a.stem = ae.stem AND a.id = source JOIN idm b ON b.stem = ae.stem AND b.id = target WHERE goal IS NOT NULL AND (source = target OR a.kept <> b.kept)),
+  c AS (SELECT stem, 'nodes' AS part, count(*) AS before, (SELECT count(*) FROM mer WHERE mer.stem = an.stem) AS after FROM an GROUP BY stem
+    UNION ALL SELECT stem, 'node_types', count(DISTINCT type), count(DISTINCT goal) FROM an GROUP BY stem
+    UNION ALL SELECT stem, 'edge_types', count(DISTINCT type), count(DISTINCT type) FILTER (type NOT IN (SELECT old FROM map WHERE kind = 'edge_type')) FROM ae GROUP BY stem
+    UNION ALL SELECT stem, 'edges', count(*), (SELECT count(*) FROM re WHERE re.stem = ae.stem) FROM ae GROUP BY stem)
+  SELECT stem, version + 1 AS version, part, before, after FROM c JOIN v USING (stem)""")
+def refined_version(spark, d):
+    """The newest version of every document refined into the next one, written to the store and counted there."""
+    n, e = storable(spark, d)
+    own = lambda rows, kind: rows.select(*SCOPE, F.col("type").alias("name")).distinct().withColumns({"pos": F.lit(0), "description": F.lit(""), "kind": F.lit(kind), "source": F.lit(None).cast("string"), "target": F.lit(None).cast("string")})
+    old = R.Version(own(n, "node_type"), own(e, "edge_type"), n.select(*SCOPE, "id", "type", "label", "detail", F.col("node_no").alias("seq")), e.select(*SCOPE, "source", "target", "type", F.col("edge_no").alias("seq")))
+    numbers = n.groupBy("stem").agg(F.max("version").alias("version")).withColumn("next", F.col("version") + 1)
+    new = R.refined(old, numbers, spark.createDataFrame(REFINEMENT, "kind string, old string, new string"), "seq", ["detail"])
+    store = GraphStore(spark, shared_folder(spark, "graph"))
+    store.write_graphs(new.nodes, new.edges)
+    return R.size_changes(old, R.Version(new.node_types, new.edge_types, store.nodes(), store.edges()), numbers)
+
+
+@query("src18_update_embeddings", "SELECT vec_id, round((CASE WHEN embedding[1] > 0 THEN -embedding[1] ELSE embedding[1] END)::DOUBLE, 5) AS first FROM embeddings")
+def update_embeddings(spark, d):
+    """New vectors for rows whose first value is positive replace old ones in the store, twice over; the other rows keep theirs."""
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("l"), F.col("label").cast("string")).alias("stem"), F.lit(1).cast("long").alias("version"), F.col("vec_id").cast("string").alias("id"), "embedding")
+    store = GraphStore(spark, shared_folder(spark, "vectors"))
+    n = e.withColumns({"type": F.lit("Vector"), "label": F.col("id")})
+    store.write_graphs(n, spark.createDataFrame([], "stem string, version long, source string, target string, type string"))
+    new = e.where(F.col("embedding")[0] > 0).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    for _ in range(2):
+        store.update_embeddings(new)
+    return store.nodes().select(F.col("id").cast("long").alias("vec_id"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+@query("jsn01_lenient_replies", """SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, props IS NULL AS malformed FROM events""")
 def lenient_replies(spark, d):
-    """Replies wrapped in a code fence, with text behind the value, parse to the first complete value."""
-    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    bare = F.regexp_extract(fenced, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    return table(spark, d, "events").where("props is not null").select("event_id", F.from_json(bare, "k long")["k"].alias("k"))
+    """Replies wrapped in a code fence, with text behind the value, parse to the first complete value; a reply without one is malformed."""
+    fenced = F.concat(F.lit("```json\n"), F.coalesce("props", F.lit("nothing")), F.lit(" and more\n```"))
+    got = parsed_replies(table(spark, d, "events").select("event_id", fenced.alias("reply")), "event_id", ("k",))
+    return got.select("event_id", F.get_json_object("value", "$.k").cast("long").alias("k"), F.col("error").isNotNull().alias("malformed"))

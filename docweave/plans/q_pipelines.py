@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking as K
+from ..operators import discovery as D
 from ..operators import rewriting as W
 from ..operators.search import Search, tiered_matches
 from .q_graph import GRAPH_SQL, edges_of, nodes_of
@@ -60,38 +61,6 @@ def search_context(spark, d):
     return _search(spark, d).context()
 
 
-@query("pipe02_discovery_reduce", "SELECT stem, type, min(node_no) AS first_seen, count(*) AS n FROM nodes WHERE type <> '' GROUP BY ALL")
-def discovery_reduce(spark, d):
-    """Ordered unique type lists of the groups of a document."""
-    return table(spark, d, "nodes").where("type <> ''").groupBy("stem", "type").agg(F.min("node_no").alias("first_seen"), F.count("*").alias("n"))
-
-
-@query("set10_discovery_terms", "SELECT stem, lower(trim(label)) AS term, arg_min(label, node_no) AS label FROM nodes WHERE label IS NOT NULL GROUP BY ALL")
-def discovery_terms(spark, d):
-    return table(spark, d, "nodes").where("label is not null").groupBy("stem", F.lower(F.trim("label")).alias("term")).agg(F.min_by("label", "node_no").alias("label"))
-
-
-@query("pipe04_extracted_graph", """WITH n AS (SELECT n.stem, n.id, n.type, n.label, node_no, CASE WHEN confidence IN ('HIGH', 'MEDIUM', 'LOW') THEN confidence END AS confidence,
-    CASE WHEN evidence_text <> '' AND strpos(c.text, evidence_text) > 0 THEN evidence_text END AS evidence_text, CASE WHEN evidence_text <> '' AND strpos(c.text, evidence_text) > 0 THEN strpos(c.text, evidence_text) - 1 END AS start
-    FROM nodes n LEFT JOIN chunks c USING (chunk_id) WHERE version = 1 AND n.id <> '' AND n.label <> '' AND n.type <> ''),
-  kept AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY stem, type, label ORDER BY node_no) = 1),
-  idm AS (SELECT n.stem, n.id, arg_max(k.id, n.node_no) AS kept_id FROM n JOIN kept k USING (stem, type, label) GROUP BY ALL),
-  e AS (SELECT DISTINCT e.stem, a.kept_id AS source, b.kept_id AS target, e.type FROM edges e JOIN idm a ON e.stem = a.stem AND e.source = a.id JOIN idm b ON e.stem = b.stem AND e.target = b.id
-    WHERE version = 1 AND source <> '' AND target <> '' AND e.type <> ''),
-  o AS (SELECT stem, source AS id, count(*) AS n_out FROM e GROUP BY ALL)
-  SELECT id, type, label, confidence, evidence_text, start, start + length(evidence_text) AS "end", coalesce(n_out, 0) AS n_out FROM kept LEFT JOIN o USING (stem, id)""")
-def extracted_graph(spark, d):
-    """Group replies verified against their texts, merged and anchored, as a graph of one version."""
-    n = table(spark, d, "nodes").where("version = 1").where(W.filled("id", "label", "type"))
-    texts = table(spark, d, "chunks").select("chunk_id", "text")
-    seen = n.join(texts, "chunk_id", "left").withColumn("s", W.evidence_span(F.col("evidence_text"), F.col("text")))
-    verified = seen.select("stem", "version", "id", "type", "label", "detail", W.known_confidence(F.col("confidence")).alias("confidence"), F.when(F.col("s").isNotNull(), F.col("evidence_text")).alias("evidence_text"), "s.start", "s.end", F.col("node_no").alias("seq"))
-    e = edges_of(spark, d).where("version = 1").where(W.filled("source", "target", "type")).select("stem", "version", "source", "target", "type", F.col("edge_no").alias("seq"))
-    merged, edges = W.merge_groups(verified, e, ["stem", "version"], "seq")
-    ends = edges.groupBy("stem", "version", F.col("source").alias("id")).agg(F.count("*").alias("n_out"))
-    return merged.join(ends, ["stem", "version", "id"], "left").select("id", "type", "label", "confidence", "evidence_text", "start", "end", F.coalesce("n_out", F.lit(0)).alias("n_out"))
-
-
 @query("pipe04_extracted_versions", """WITH c AS (SELECT chunk_id, text, section_label, coalesce(sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY stem ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM chunks),
   n AS (SELECT n.stem, n.version, n.id, n.type, n.label, node_no, CASE WHEN confidence IN ('HIGH', 'MEDIUM', 'LOW') THEN confidence END AS confidence,
     CASE WHEN evidence_text <> '' AND strpos(c.text, evidence_text) > 0 THEN evidence_text END AS evidence_text, CASE WHEN evidence_text <> '' AND strpos(c.text, evidence_text) > 0 THEN CAST(base + strpos(c.text, evidence_text) - 1 AS BIGINT) END AS start,
@@ -109,24 +78,15 @@ def extracted_versions(spark, d):
     chunks = table(spark, d, "chunks")
     before = Window.partitionBy("stem").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
     sized = chunks.select("chunk_id", "stem", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    bases = sized.select("chunk_id", F.coalesce(F.sum(F.col("n") + 2).over(before), F.lit(0)).alias("base"))
-    texts = chunks.select("chunk_id", "text", F.concat(F.lit("["), "section_label", F.lit("]\n"), "text").alias("headed"))
-    n = table(spark, d, "nodes").where(W.filled("id", "label", "type"))
-    seen = n.join(texts, "chunk_id", "left").join(bases, "chunk_id", "left").withColumn("s", W.evidence_span(F.col("evidence_text"), F.col("text")))
-    verified = seen.select(
-        "stem", "version", "id", "type", "label", W.known_confidence(F.col("confidence")).alias("confidence"), F.when(F.col("s").isNotNull(), F.col("evidence_text")).alias("evidence_text"),
-        (F.col("base") + F.col("s.start")).alias("start"), (F.col("base") + F.col("s.end")).alias("end"), F.when(F.array_contains(W.section_labels(F.col("headed")), F.col("source_section")), F.col("source_section")).alias("source_section"),
-        F.try_element_at(W.declared_properties(F.col("properties"), {"amount": "amount"}), F.lit("amount")).alias("amount"), F.col("node_no").alias("seq"),
-    )
-    e = edges_of(spark, d).where(W.filled("source", "target", "type")).select("stem", "version", "source", "target", "type", F.col("edge_no").alias("seq"))
-    merged, edges = W.merge_groups(verified, e, ["stem", "version"], "seq")
+    bases = sized.select(F.col("chunk_id").alias("text_id"), F.coalesce(F.sum(F.col("n") + 2).over(before), F.lit(0)).alias("base"))
+    texts = chunks.select(F.col("chunk_id").alias("text_id"), "text", F.concat(F.lit("["), "section_label", F.lit("]\n"), "text").alias("headed")).join(bases, "text_id")
+    n = table(spark, d, "nodes").select("stem", "version", "id", "type", "label", "confidence", "evidence_text", "source_section", "properties", F.col("chunk_id").alias("text_id"), F.col("node_no").alias("seq"))
+    e = edges_of(spark, d).select("stem", "version", "source", "target", "type", F.col("edge_no").alias("seq"))
+    merged, edges = W.extracted(n, e, texts, {"amount": "amount"}, ["stem", "version"], "seq")
     ends = edges.groupBy("stem", "version", F.col("source").alias("id")).agg(F.count("*").alias("n_out"))
-    return merged.drop("seq").join(ends, ["stem", "version", "id"], "left").select("*", F.coalesce("n_out", F.lit(0)).alias("n")).drop("n_out").withColumnRenamed("n", "n_out")
-
-
-@query("pipe10_chunking_scores", """SELECT stem, count(*) AS n_chunks, count(*) FILTER (article_no IS NULL) AS n_unnumbered, count(DISTINCT rider_name) AS n_riders FROM chunks GROUP BY stem""")
-def chunking_scores(spark, d):
-    return table(spark, d, "chunks").groupBy("stem").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("article_no").isNull()).alias("n_unnumbered"), F.countDistinct("rider_name").alias("n_riders"))
+    amount = F.try_element_at("properties", F.lit("amount")).alias("amount")
+    counted = merged.join(ends, ["stem", "version", "id"], "left")
+    return counted.select("stem", "version", "id", "type", "label", "confidence", "evidence_text", "start", "end", "source_section", amount, F.coalesce("n_out", F.lit(0)).alias("n_out"))
 
 
 @query("pipe10_document_scores")
@@ -135,11 +95,6 @@ def document_scores(spark, d):
     return K.chunking_scores(table(spark, d, "documents"))
 
 
-@query("set06_refine_counts", """SELECT stem, count(DISTINCT (type, label)) AS before FROM nodes GROUP BY stem""")
-def refine_counts(spark, d):
-    return table(spark, d, "nodes").groupBy("stem").agg(F.countDistinct(F.struct("type", "label")).alias("before"))
-
-
 @query("udf01_group_budget_report", """WITH c AS (SELECT stem, count(*) AS n, sum(length(coalesce(text, ''))) AS chars FROM chunks GROUP BY stem) SELECT stem, n, CAST(chars AS BIGINT) AS chars FROM c""")
 def group_budget_report(spark, d):
     """Chunks and characters that the groups of a document carry; packing loses none."""
@@ -147,3 +102,25 @@ def group_budget_report(spark, d):
     groups = K.packed_groups(chunks, "stem", "chunk_id", 3000)
     joined = groups.join(chunks.select("stem", "chunk_id", F.length(F.coalesce("text", F.lit(""))).alias("k")), ["stem", "chunk_id"])
     return joined.groupBy("stem").agg(F.count("*").alias("n"), F.sum("k").cast("long").alias("chars"))
+
+
+@query("pipe02_discovered", """WITH n AS (SELECT n.stem, n.chunk_id, node_no, label, type, confidence FROM nodes n JOIN chunks c ON c.chunk_id = n.chunk_id AND c.stem = n.stem WHERE label <> '' AND type <> ''),
+  i AS (SELECT stem, 'attributes' AS field, label || '|' || type AS item, min((chunk_id, node_no)) AS place FROM n GROUP BY ALL
+    UNION ALL SELECT stem, 'terminology', label, min((chunk_id, node_no)) FROM n GROUP BY ALL UNION ALL SELECT stem, 'warnings', type, min((chunk_id, node_no)) FROM n GROUP BY ALL)
+  SELECT stem, field, row_number() OVER (PARTITION BY stem, field ORDER BY place) AS position, item FROM i
+  UNION ALL SELECT stem, 'domain', 1, arg_min(label, (chunk_id, node_no)) FROM n GROUP BY stem""")
+def discovered(spark, d):
+    """Chunks packed to groups of 12,000 characters, a report for each made of what was extracted there, the reports reduced to one a document."""
+    chunks = table(spark, d, "chunks")
+    groups = K.packed_groups(chunks, "stem", "chunk_id", 12_000)
+    n = table(spark, d, "nodes").where("label <> '' and type <> ''").select("stem", "chunk_id", "node_no", "label", "type")
+    own = n.join(groups, ["stem", "chunk_id"]).groupBy("stem", "group_index").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "node_no", "label", "type"))).alias("n"))
+    report = F.struct(
+        F.struct(F.get("n", F.lit(0))["label"].alias("domain")).alias("domain_model"),
+        F.transform("n", lambda x: F.struct(x["label"].alias("name"), x["type"].alias("defined_on"))).alias("attributes"),
+        F.transform("n", lambda x: F.struct(x["label"].alias("canonical_term"))).alias("terminology"),
+        F.transform("n", lambda x: x["type"]).alias("warnings"),
+    )
+    reduced = D.reduced_reports(own.select("stem", "group_index", F.to_json(report).alias("report")), ["stem"], "group_index")
+    told = F.when(F.col("field") == "attributes", F.concat_ws("|", F.get_json_object("item", "$.name"), F.get_json_object("item", "$.defined_on"))).when(F.col("field") == "terminology", F.get_json_object("item", "$.canonical_term"))
+    return reduced.select("stem", "field", "position", F.coalesce(told, "item").alias("item"))

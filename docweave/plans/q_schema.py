@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import domain as D
 from ..operators import evaluation as E
 from ..operators import schema as S
-from .q_extraction import MAPPING
+from .q_extraction import MAPPING, MAPPING_SQL
 from .registry import query, table
 
 SCOPE = ["stem", "version"]
@@ -22,37 +22,109 @@ def types_of(spark, d):
     return n.select(*SCOPE, F.lit("node_type").alias("kind"), "name", "pos").union(e.select(*SCOPE, F.lit("edge_type"), "name", "pos"))
 
 
-@query("val01_schema_issues", f"""WITH {TYPES_SQL}, ends AS (SELECT DISTINCT e.stem, e.version, t.type AS "end" FROM edges e JOIN nodes t ON (t.id = e.source OR t.id = e.target) WHERE t.type IS NOT NULL AND e.version = 1)
-  SELECT stem, version, 'invalid_identifier' AS rule, name AS element FROM types WHERE NOT regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*')
+#: Edge types with the types of the nodes they were seen between.
+ENDS_SQL = """kinds AS (SELECT id, min(type) AS t FROM nodes GROUP BY id),
+  ends AS (SELECT DISTINCT e.stem, e.version, e.type AS name, s.t AS source, t.t AS target FROM edges e JOIN kinds s ON s.id = e.source JOIN kinds t ON t.id = e.target WHERE e.type IS NOT NULL)"""
+ISSUES_SQL = f"""{TYPES_SQL}, {ENDS_SQL}, declared AS (SELECT DISTINCT stem, version, lower(name) AS name FROM types WHERE kind = 'node_type'), used AS (SELECT stem, version, source AS "end" FROM ends UNION SELECT stem, version, target FROM ends),
+  issues AS (SELECT DISTINCT stem, version, 'invalid_identifier' AS rule, name AS element FROM types WHERE NOT regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*')
   UNION ALL SELECT stem, version, 'duplicate_type', lower(name) FROM types WHERE kind = 'node_type' GROUP BY stem, version, lower(name) HAVING count(*) > 1
-  UNION ALL SELECT stem, version, 'unknown_endpoint', "end" FROM ends WHERE NOT EXISTS (SELECT 1 FROM types t WHERE t.stem = ends.stem AND t.version = ends.version AND t.kind = 'node_type' AND lower(t.name) = lower(ends."end"))""")
-def schema_issues(spark, d):
+  UNION ALL SELECT stem, version, 'unknown_endpoint', "end" FROM used WHERE "end" IS NOT NULL AND NOT EXISTS (SELECT 1 FROM declared t WHERE t.stem = used.stem AND t.version = used.version AND t.name = lower(used."end")))"""
+
+
+def edge_types_of(spark, d):
     kinds = table(spark, d, "nodes").groupBy("id").agg(F.min("type").alias("t"))
     a, b = (kinds.select(F.col("id").alias(c), F.col("t").alias(f"{c}_type")) for c in ("source", "target"))
-    ends = table(spark, d, "edges").where("version = 1").join(a, "source").join(b, "target").select(*SCOPE, F.lit("edge_type").alias("kind"), "type", F.col("source_type").alias("source"), F.col("target_type").alias("target")).distinct()
-    nodes = types_of(spark, d).select(*SCOPE, "kind", "name", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"))
-    edges = ends.select(*SCOPE, "kind", F.lit("X").alias("name"), "source", "target")
-    return S.validate_types(nodes.union(edges), SCOPE).select(*SCOPE, "rule", "element")
+    seen = table(spark, d, "edges").where("type is not null").join(a, "source").join(b, "target")
+    return seen.select(*SCOPE, F.col("type").alias("name"), F.col("source_type").alias("source"), F.col("target_type").alias("target")).distinct()
 
 
-@query("val01_property_issues", """WITH p AS (SELECT DISTINCT stem, type, unnest(map_keys(properties)) AS name FROM nodes WHERE properties IS NOT NULL)
-  SELECT stem, 'invalid_property' AS rule, concat_ws('.', type, name) AS element FROM p WHERE NOT regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*')
-  UNION ALL SELECT stem, 'duplicate_property', concat_ws('.', type, lower(name)) FROM p GROUP BY stem, type, lower(name) HAVING count(*) > 1""")
-def property_issues(spark, d):
-    p = table(spark, d, "nodes").where("properties is not null").select("stem", "type", F.explode(F.map_keys("properties")).alias("name")).distinct().withColumn("datatype", F.lit("string"))
-    return S.validate_properties(p, ["stem"]).select("stem", "rule", "element")
+def _issues(spark, d):
+    none = F.lit(None).cast("string")
+    nodes = types_of(spark, d).select(*SCOPE, "kind", "name", none.alias("source"), none.alias("target"))
+    ends = edge_types_of(spark, d).select(*SCOPE, F.lit("edge_type").alias("kind"), "name", "source", "target")
+    return S.validate_types(nodes.union(ends), SCOPE).distinct()
 
 
-@query("agg13_issue_counts", f"WITH {TYPES_SQL} SELECT stem, version, count(*) AS n_errors FROM types WHERE NOT regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') GROUP BY ALL")
+@query("val01_schema_issues", f"WITH {ISSUES_SQL} SELECT stem, version, rule, element FROM issues")
+def schema_issues(spark, d):
+    return _issues(spark, d).select(*SCOPE, "rule", "element")
+
+
+@query("agg13_issue_counts", f"WITH {ISSUES_SQL} SELECT stem, version, 'error' AS severity, count(*) AS n FROM issues GROUP BY stem, version")
 def issue_counts(spark, d):
-    t = types_of(spark, d).withColumns({"source": F.lit(None).cast("string"), "target": F.lit(None).cast("string")})
-    return S.validate_types(t, SCOPE).where("rule = 'invalid_identifier'").groupBy(*SCOPE).agg(F.count("*").alias("n_errors"))
+    return _issues(spark, d).groupBy(*SCOPE, "severity").agg(F.count("*").alias("n"))
 
 
-@query("join15_undeclared_ends", """SELECT edge_no FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = e.target AND n.type IS NOT NULL)""")
+@query("join15_undeclared_ends", f"""WITH {TYPES_SQL}, {ENDS_SQL}, own AS (SELECT DISTINCT stem, version, lower(name) AS name FROM types WHERE kind = 'node_type'), u AS (SELECT stem, version, name, source AS "end" FROM ends UNION SELECT stem, version, name, target FROM ends)
+  SELECT stem, version, name, "end" FROM u WHERE "end" IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own WHERE own.stem = u.stem AND own.version = u.version AND own.name = lower(u."end"))""")
 def undeclared_ends(spark, d):
-    typed = table(spark, d, "nodes").where("type is not null").select(F.col("id").alias("target")).distinct()
-    return table(spark, d, "edges").join(typed, "target", "left_anti").select("edge_no")
+    """Ends of edge types, source or target, that the schema of their version does not declare, whatever their case."""
+    declared = types_of(spark, d).where("kind = 'node_type'").select(*SCOPE, F.lower("name").alias("key")).distinct()
+    ends = edge_types_of(spark, d).select(*SCOPE, "name", F.explode(F.array("source", "target")).alias("end")).where("end is not null").distinct()
+    return ends.withColumn("key", F.lower("end")).join(declared, [*SCOPE, "key"], "left_anti").select(*SCOPE, "name", "end")
+
+
+@query("prj04_schema_preview", f"""WITH {TYPES_SQL}, {ENDS_SQL} SELECT stem, version, 'node' AS part, name AS id, NULL AS source, NULL AS target FROM types WHERE kind = 'node_type' UNION ALL SELECT stem, version, 'edge', name, source, target FROM ends""")
+def schema_preview(spark, d):
+    """A schema as a graph: its node types are nodes, its edge types edges between them."""
+    none = F.lit(None).cast("string")
+    nodes = types_of(spark, d).where("kind = 'node_type'").select(*SCOPE, F.lit("node").alias("part"), F.col("name").alias("id"), none.alias("source"), none.alias("target"))
+    return nodes.union(edge_types_of(spark, d).select(*SCOPE, F.lit("edge"), "name", "source", "target"))
+
+
+MERGED_SQL = f"""{MAPPING_SQL}, {TYPES_SQL}, {ENDS_SQL}, j AS (SELECT stem, version, CASE WHEN m.old IS NOT NULL THEN m.new ELSE name END AS goal, name, pos FROM types LEFT JOIN map m ON m.kind = 'node_type' AND m.old = name WHERE types.kind = 'node_type' AND name <> '')"""
+
+
+def _mapping(spark):
+    return spark.createDataFrame(MAPPING, "kind string, old string, new string")
+
+
+@query("set04_merged_schema", f"""WITH {MERGED_SQL}, keys AS (SELECT DISTINCT stem, version, type AS name, unnest(map_keys(properties)) AS key FROM nodes WHERE type <> ''),
+  first AS (SELECT stem, version, goal, key, arg_min(name, (CASE WHEN name = goal THEN 0 ELSE 1 END, pos)) AS origin FROM keys JOIN j USING (stem, version, name) WHERE goal IS NOT NULL GROUP BY ALL),
+  p AS (SELECT stem, version, goal, string_agg(key || '=' || origin, ';' ORDER BY key) AS properties FROM first GROUP BY ALL)
+  SELECT stem, version, goal AS name, min(pos) AS pos, string_agg(name, ' / ' ORDER BY CASE WHEN name = goal THEN 0 ELSE 1 END, pos) AS description, coalesce(any_value(p.properties), '') AS properties
+  FROM j LEFT JOIN p USING (stem, version, goal) WHERE goal IS NOT NULL GROUP BY stem, version, goal""")
+def merged_schema(spark, d):
+    """Node types merged; a property says which type's declaration it is."""
+    types = types_of(spark, d).where("kind = 'node_type' and name <> ''").withColumn("description", F.col("name"))
+    keys = table(spark, d, "nodes").where("type <> ''").select(*SCOPE, F.col("type").alias("name"), F.explode(F.map_keys("properties")).alias("key")).distinct()
+    held = keys.groupBy(*SCOPE, "name").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("name").alias("origin")))).alias("properties"))
+    merged = S.merged_types(types.join(held, [*SCOPE, "name"], "left"), _mapping(spark), SCOPE)
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return merged.select(*SCOPE, "name", "pos", "description", told.alias("properties"))
+
+
+@query("set04_merged_edge_types", f"""WITH {MERGED_SQL} SELECT stem, version, name, CASE WHEN a.old IS NOT NULL THEN a.new ELSE source END AS source, CASE WHEN b.old IS NOT NULL THEN b.new ELSE target END AS target
+  FROM ends LEFT JOIN map a ON a.kind = 'node_type' AND a.old = source LEFT JOIN map b ON b.kind = 'node_type' AND b.old = target WHERE name NOT IN (SELECT old FROM map WHERE kind = 'edge_type')""")
+def merged_edge_types(spark, d):
+    return S.merged_edge_types(edge_types_of(spark, d), _mapping(spark), SCOPE)
+
+
+PROBE = [("node_type", "Coverage", "Benefit"), ("node_type", "Benefit", "Benefit"), ("node_type", "Nothing", "Rider"), ("edge_type", "LIMITS", "NOWHERE"), ("edge_type", "EXCLUDES", "LIMITS"), ("edge_type", "REQUIRES", "EXCLUDES")]
+
+
+@query("set05_mapping_problems", f"""WITH m AS (SELECT * FROM (VALUES {", ".join(str(p) for p in PROBE)}) m(kind, old, new)), {TYPES_SQL}, {ENDS_SQL},
+  n AS (SELECT DISTINCT 'node_type' AS kind, name FROM types WHERE kind = 'node_type' UNION SELECT 'edge_type', name FROM ends),
+  g AS (SELECT DISTINCT name, coalesce((SELECT new FROM m WHERE kind = 'node_type' AND old = source), source) AS source, coalesce((SELECT new FROM m WHERE kind = 'node_type' AND old = target), target) AS target FROM ends),
+  l AS (SELECT name, list_sort(list(coalesce(source, '') || '>' || coalesce(target, ''))) AS ends FROM g GROUP BY name)
+  SELECT kind, old, 'unknown_old' AS problem FROM m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kind = m.kind AND n.name = m.old)
+  UNION ALL SELECT kind, old, 'unknown_new' FROM m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kind = m.kind AND n.name = m.new)
+  UNION ALL SELECT kind, old, 'self_merge' FROM m WHERE old = new
+  UNION ALL SELECT kind, old, 'ends_differ' FROM m JOIN l a ON a.name = old JOIN l b ON b.name = new WHERE kind = 'edge_type' AND a.ends <> b.ends
+  UNION ALL SELECT kind, old, 'chain' FROM m WHERE old <> new AND EXISTS (SELECT 1 FROM m x WHERE x.kind = m.kind AND x.old = m.new)""")
+def mapping_problems(spark, d):
+    none = F.lit(None).cast("string")
+    nodes = types_of(spark, d).where("kind = 'node_type'").select("kind", "name", none.alias("source"), none.alias("target"))
+    edges = edge_types_of(spark, d).select(F.lit("edge_type").alias("kind"), "name", "source", "target")
+    return S.mapping_problems(spark.createDataFrame(PROBE, "kind string, old string, new string"), nodes.union(edges).distinct())
+
+
+@query("val01_property_issues", """WITH p AS (SELECT DISTINCT stem, type, unnest(map_keys(properties)) AS name FROM nodes WHERE properties IS NOT NULL)
+  SELECT stem, 'invalid_property' AS rule, concat_ws('.', type, name) AS element FROM p WHERE NOT regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*')
+  UNION ALL SELECT stem, 'duplicate_property', concat_ws('.', type, lower(name)) FROM p GROUP BY stem, type, lower(name) HAVING count(*) > 1""")
+def property_issues(spark, d):
+    p = table(spark, d, "nodes").where("properties is not null").select("stem", "type", F.explode(F.map_keys("properties")).alias("name")).distinct().withColumn("datatype", F.lit("string"))
+    return S.validate_properties(p, ["stem"]).select("stem", "rule", "element")
 
 
 @query("prj03_normalized_schema", f"WITH {TYPES_SQL} SELECT stem, version, kind, name, '' AS description, 0 AS n_properties FROM types")
@@ -61,11 +133,6 @@ def normalized_schema(spark, d):
     return S.normalized(S.normalized(bare)).select(*SCOPE, "kind", "name", "description", F.size("properties").alias("n_properties"))
 
 
-@query("prj04_schema_preview", f"WITH {TYPES_SQL} SELECT stem, version, count(*) FILTER (kind = 'node_type') AS n_nodes, count(*) FILTER (kind = 'edge_type') AS n_edges FROM types GROUP BY ALL")
-def schema_preview(spark, d):
-    return types_of(spark, d).groupBy(*SCOPE).agg(F.count_if(F.col("kind") == "node_type").alias("n_nodes"), F.count_if(F.col("kind") == "edge_type").alias("n_edges"))
-
-
 @query("join16_identical_schemas", f"""WITH {TYPES_SQL}, k AS (SELECT stem, version, sha256(string_agg(DISTINCT kind || ':' || name, chr(10) ORDER BY kind || ':' || name)) AS digest FROM types GROUP BY ALL)
   SELECT a.stem, a.version, max(b.version) AS copy_of FROM k a JOIN k b ON a.stem = b.stem AND a.digest = b.digest AND b.version < a.version GROUP BY ALL""")
 def identical_schemas(spark, d):
@@ -89,12 +156,6 @@ def next_versions(spark, d):
     return S.next_versions(table(spark, d, "nodes"))
 
 
-@query("src22_version_list", "SELECT stem, version, count(*) AS n_nodes, version = max(version) OVER (PARTITION BY stem) AS is_active FROM nodes GROUP BY stem, version")
-def version_list(spark, d):
-    v = table(spark, d, "nodes").groupBy(*SCOPE).agg(F.count("*").alias("n_nodes"))
-    return v.withColumn("is_active", F.col("version") == F.max("version").over(Window.partitionBy("stem")))
-
-
 @query("agg14_type_stability", """WITH s AS (SELECT stem, version, list(DISTINCT type) AS names FROM nodes WHERE type IS NOT NULL GROUP BY ALL)
   SELECT a.stem, round(avg(len(list_intersect(a.names, b.names)) / len(list_distinct(list_concat(a.names, b.names)))), 6) AS stability FROM s a JOIN s b ON a.stem = b.stem AND a.version < b.version GROUP BY a.stem""")
 def type_stability(spark, d):
@@ -102,37 +163,6 @@ def type_stability(spark, d):
     return E.pairwise_jaccard(sets, ["stem"], "version", "names")
 
 
-@query("join10_redundant_types", """WITH n AS (SELECT label AS kind, vec_id AS pos, embedding::DOUBLE[] AS v FROM embeddings)
-  SELECT a.pos AS a, b.pos AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM n a JOIN n b ON a.kind = b.kind AND a.pos < b.pos
-  WHERE round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) >= 0.4""")
-def redundant_types(spark, d):
-    types = table(spark, d, "embeddings").select(F.col("label").alias("kind"), F.col("vec_id").alias("pos"), F.col("vec_id").alias("name"), F.col("embedding").alias("vector"))
-    return S.redundant_types(types, 0.4).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "score")
-
-
-NODE_MAP = [(o, n) for k, o, n in MAPPING if k == "node_type"]
-NODE_MAP_SQL = "m AS (SELECT * FROM (VALUES {}) m(old, new))".format(", ".join(f"('{o}', {'NULL' if n is None else repr(n)})" for o, n in NODE_MAP))
-
-
-@query("set04_merged_schema", f"""WITH {TYPES_SQL}, {NODE_MAP_SQL}, j AS (SELECT stem, version, CASE WHEN m.old IS NOT NULL THEN m.new ELSE name END AS goal, name, pos FROM types LEFT JOIN m ON m.old = name WHERE kind = 'node_type')
-  SELECT stem, version, goal AS name, min(pos) AS pos, string_agg(name, ' / ' ORDER BY CASE WHEN name = goal THEN 0 ELSE 1 END, pos) AS description FROM j WHERE goal IS NOT NULL AND name <> '' GROUP BY stem, version, goal""")
-def merged_schema(spark, d):
-    types = types_of(spark, d).where("kind = 'node_type' and name <> ''").withColumn("description", F.col("name"))
-    return S.merged_types(types, spark.createDataFrame(NODE_MAP, "old string, new string"), SCOPE).select(*SCOPE, "name", "pos", "description")
-
-
-PROBE = [("node_type", "Coverage", "Benefit"), ("node_type", "Benefit", "Benefit"), ("node_type", "Nothing", "Rider"), ("edge_type", "LIMITS", "NOWHERE"), ("edge_type", "EXCLUDES", "LIMITS")]
-
-
-@query("set05_mapping_problems", f"""WITH m AS (SELECT * FROM (VALUES {", ".join(str(p) for p in PROBE)}) m(kind, old, new)), {TYPES_SQL}, n AS (SELECT DISTINCT kind, name FROM types)
-  SELECT kind, old, 'unknown_old' AS problem FROM m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kind = m.kind AND n.name = m.old)
-  UNION ALL SELECT kind, old, 'unknown_new' FROM m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kind = m.kind AND n.name = m.new)
-  UNION ALL SELECT kind, old, 'self_merge' FROM m WHERE old = new
-  UNION ALL SELECT kind, old, 'chain' FROM m WHERE old <> new AND EXISTS (SELECT 1 FROM m x WHERE x.kind = m.kind AND x.old = m.new)""")
-def mapping_problems(spark, d):
-    return S.mapping_problems(spark.createDataFrame(PROBE, "kind string, old string, new string"), types_of(spark, d).select("kind", "name").distinct())
-
-
 @query("set07_type_changes", f"""WITH {TYPES_SQL}, t AS (SELECT stem, name, min(pos) AS pos FROM types WHERE kind = 'node_type' AND version = 1 GROUP BY ALL),
   c AS (SELECT stem, name, min(pos) AS seq FROM types WHERE kind = 'node_type' AND version = 2 GROUP BY ALL)
   SELECT coalesce(t.stem, c.stem) AS stem, coalesce(t.name, c.name) AS name, CASE WHEN t.name IS NULL THEN 'new ' || c.name WHEN c.name IS NULL THEN t.name WHEN lower(c.name) < 'e' THEN 'new ' || c.name ELSE '[DEPRECATED] ' || t.name END AS description
@@ -237,3 +267,16 @@ def converged_types(spark, d):
 def pending_types(spark, d):
     seed = spark.createDataFrame([], "domain string, name string, pos long, description string")
     return D.converge(seed, _proposals(spark, d), ["domain"], ["stem"])[1].select("domain", "stem", "name")
+
+
+TYPE_VECTORS_SQL = """dims AS (SELECT label, unnest(range(1, 65)) AS k, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT label, k, avg(x) AS x FROM dims GROUP BY ALL), tv AS (SELECT label, list(x ORDER BY k) AS v FROM m GROUP BY label)"""
+
+
+@query("join10_redundant_types", f"""WITH {TYPE_VECTORS_SQL} SELECT a.label AS a, b.label AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM tv a JOIN tv b ON a.label < b.label
+  WHERE round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) >= 0.05""")
+def redundant_types(spark, d):
+    """Types, each the mean of its members' vectors, compared with each other."""
+    dims = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    vectors = dims.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("vector"))
+    types = vectors.select(F.lit("node_type").alias("kind"), F.col("label").alias("pos"), F.col("label").alias("name"), "vector")
+    return S.redundant_types(types, 0.05).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "score")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,19 +9,12 @@ from ..operators import graph as G
 from ..shared import shared_folder
 from ..sources import files as X
 from ..sources.store import GraphStore, with_envelope
-from .providers import OPERATIONS, run_groups, unbundled, with_fingerprints
-from .q_graph import GRAPH_SQL, edges_of, nodes_of
+from .providers import OPERATIONS, map_concurrently, run_groups, unbundled, with_fingerprints
+from .q_graph import STORED_SQL, storable
 from .registry import query, table
 
-#: The graph as it can be stored: valid type names and resolved edges only.
-STORED_SQL = f"""{GRAPH_SQL}, n AS (SELECT * FROM g WHERE regexp_full_match(type, '[A-Za-z_][A-Za-z0-9_]*')),
-  e AS (SELECT * FROM edges WHERE regexp_full_match(type, '[A-Za-z_][A-Za-z0-9_]*') AND source IN (SELECT id FROM n) AND target IN (SELECT id FROM n))"""
-
-
-def storable(spark, d):
-    n = nodes_of(spark, d).where(F.col("type").rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z"))
-    e = edges_of(spark, d).where(F.col("type").rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z"))
-    return n, G.resolved_edges(n, e)
+SPACE = r"[\s\x{85}\x{a0}\x{1c}-\x{1f}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CLEAN_SQL = f"regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \\t]+', ' ', 'g'), '(?m) +$', '', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 @query("src14_written_graph", f"WITH {STORED_SQL} SELECT 'node' AS kind, stem, version, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT 'edge', stem, version, count(*) FROM e GROUP BY ALL")
@@ -34,17 +26,6 @@ def written_graph(spark, d):
     return count(store.nodes(), "node").union(count(store.edges(), "edge"))
 
 
-@query("src17_deleted_version", f"WITH {STORED_SQL} SELECT stem, version, count(*) AS n FROM n WHERE version <> 2 GROUP BY ALL")
-def deleted_version(spark, d):
-    """Second versions replaced by empty graphs leave the others."""
-    store = GraphStore(spark, shared_folder(spark, "graph"))
-    n, e = storable(spark, d)
-    store.write_graphs(n, e)
-    second = n.where("version = 2")
-    store.write_graphs(second.limit(0), e.limit(0), scopes=second)
-    return store.nodes().groupBy("stem", "version").agg(F.count("*").alias("n"))
-
-
 @query("src12_document_list", """WITH t AS (SELECT stem, max(loaded_at) AS m FROM chunks GROUP BY stem), p AS (SELECT lower(document_id) || '_raw' AS stem, max(loaded_at) AS m FROM samsung_life_term WHERE document_id IS NOT NULL GROUP BY 1)
   SELECT stem, t.stem IS NOT NULL AS has_text, p.stem IS NOT NULL AS has_pdf, stem IN (SELECT stem FROM nodes) AS has_graph FROM t FULL JOIN p USING (stem)""")
 def document_list(spark, d):
@@ -85,25 +66,6 @@ def migrated_ids(spark, d):
     return with_envelope(old).select(F.col("detail").cast("long").alias("node_no"), "original_id")
 
 
-@query("src20_table_names", "SELECT unnest(['edges', 'extracted', 'nodes']) AS name")
-def table_names(spark, d):
-    store = GraphStore(spark, shared_folder(spark, "graph"))
-    n, e = storable(spark, d)
-    store.write_graphs(n, e)
-    return spark.createDataFrame([(x,) for x in store.tables()], "name string")
-
-
-@query("src24_manifests", "SELECT DISTINCT stem, stem || '.md' AS original_filename FROM chunks")
-def manifests(spark, d):
-    return table(spark, d, "chunks").select("stem", F.concat("stem", F.lit(".md")).alias("original_filename")).distinct()
-
-
-@query("src25_changed_sets", "SELECT stem, count(*) AS n FROM goldenset WHERE loaded_at > generated_at GROUP BY stem")
-def changed_sets(spark, d):
-    """Documents whose replaced question sets differ from the earlier ones and so are archived."""
-    return table(spark, d, "goldenset").where("loaded_at > generated_at").groupBy("stem").agg(F.count("*").alias("n"))
-
-
 def echo_provider(operation: str, prompt: str) -> str:
     """A deterministic stand-in for a model: one node named by the first characters of the text."""
     import json
@@ -121,28 +83,82 @@ def extract_replies(spark, d):
     return unbundled(bare, "nodes").select(F.sha2("text", 256).alias("digest"), "label", "type")
 
 
-@query("udf05_bounded_partitions", "SELECT chunk_id % 5 AS slot, count(*) AS n FROM chunks GROUP BY ALL")
-def bounded_partitions(spark, d):
-    return table(spark, d, "chunks").groupBy((F.col("chunk_id") % 5).alias("slot")).agg(F.count("*").alias("n"))
-
-
-SPACE = r"[\s\x{85}\x{a0}\x{1c}-\x{1f}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-@query("str02_markdown_lines", f"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \\t]+', ' ', 'g'), '(?m) +$', '', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
-  l AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS k, unnest(string_split(t, chr(10))) AS line FROM c),
-  b AS (SELECT doc_id, k, CASE WHEN regexp_full_match(line, '\\s*-?\\s*\\d{{1,4}}\\s*-?\\s*') THEN '' ELSE line END AS line FROM l),
-  w AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM b)
-  SELECT doc_id, count(*) AS n_lines FROM w WHERE line <> '' OR before <> '' GROUP BY doc_id""")
-def markdown_lines(spark, d):
-    """Text lines with standalone page numbers dropped and runs of blank lines made one."""
-    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(T.clean_text(F.col("text")), "\n")).alias("line_no", "line"))
-    bare = lines.withColumn("line", F.when(F.col("line").rlike(r"^\s*-?\s*\d{1,4}\s*-?\s*$"), "").otherwise(F.col("line")))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    return bare.withColumn("before", F.lag("line").over(w)).where((F.col("line") != "") | (F.col("before") != "")).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
 @query("flt19_file_search", "SELECT DISTINCT stem FROM chunks WHERE contains(lower(stem || '.md'), '02_raw')")
 def file_search(spark, d):
     """Case-insensitive part of a file name; a blank part gives all."""
     return table(spark, d, "chunks").select("stem").distinct().where(F.contains(F.lower(F.concat("stem", F.lit(".md"))), F.lower(F.lit("02_RAW"))))
+
+
+@query("src17_deleted_version", f"WITH {STORED_SQL} SELECT stem, version, count(*) AS n FROM n WHERE version <> 2 GROUP BY ALL")
+def deleted_version(spark, d):
+    """Second versions deleted leave the others."""
+    store = GraphStore(spark, shared_folder(spark, "graph"))
+    n, e = storable(spark, d)
+    store.write_graphs(n, e)
+    store.delete_graphs(n.where("version = 2"))
+    return store.nodes().groupBy("stem", "version").agg(F.count("*").alias("n"))
+
+
+@query("src20_table_columns", """SELECT 'edges' AS name, unnest(['source', 'target', 'type', 'detail', 'confidence', 'stem', 'version', 'write_id']) AS column_name
+  UNION ALL SELECT 'extracted', unnest(['stem', 'version', 'nodes_write', 'edges_write', 'deleted', 'marked'])
+  UNION ALL SELECT 'nodes', unnest(['id', 'original_id', 'label', 'type', 'detail', 'properties', 'confidence', 'evidence_text', 'start_offset', 'end_offset', 'source_section', 'valid_from', 'valid_to', 'embedding', 'stem', 'version', 'write_id'])""")
+def table_columns(spark, d):
+    """The catalogue of a store after a graph is written: its tables and their columns."""
+    store = GraphStore(spark, shared_folder(spark, "graph"))
+    store.write_graphs(*storable(spark, d))
+    return spark.createDataFrame([(n, c) for n, columns in store.table_columns().items() for c in columns], "name string, column_name string")
+
+
+@query("src22_schema_versions", """WITH v AS (SELECT stem, count(DISTINCT version) AS c FROM nodes WHERE stem IS NOT NULL GROUP BY stem), r AS (SELECT stem, c, unnest(range(1, c + 1)) AS version FROM v)
+  SELECT stem, version, CASE WHEN c > 2 THEN version = 1 WHEN c = 2 THEN version = 1 ELSE true END AS is_active FROM r WHERE c <> 2 OR version <> 2""")
+def schema_versions(spark, d):
+    """As many versions created as a document has; of three or more the first is activated, of two the second, active one is deleted."""
+    v = G.checkpointed(table(spark, d, "nodes").where("stem is not null").groupBy("stem").agg(F.countDistinct("version").alias("c")))
+    store = GraphStore(spark, shared_folder(spark, "versions"))
+    for k in range(1, (v.agg(F.max("c")).first()[0] or 0) + 1):
+        store.create_schema_versions(v.where(F.col("c") >= k).select("stem", F.lit("general").alias("document_type"), F.lit(str(k)).alias("digest")))
+    store.activate_versions(v.where("c > 2").select("stem", F.lit(1).cast("long").alias("version")))
+    store.delete_schema_versions(v.where("c = 2").select("stem", F.col("c").alias("version")))
+    return store.schema_versions().select("stem", "version", "is_active")
+
+
+@query("src24_manifests", "SELECT DISTINCT stem, stem || '.md' AS original_filename, 'converter' AS converter FROM chunks WHERE stem IN (SELECT stem FROM nodes)")
+def manifests(spark, d):
+    """Manifests created, then updated in one field; documents without a graph are deleted again."""
+    stems = table(spark, d, "chunks").select("stem").distinct()
+    store = GraphStore(spark, shared_folder(spark, "manifests"))
+    store.save_manifests(stems.withColumn("original_filename", F.concat("stem", F.lit(".md"))))
+    store.save_manifests(stems.withColumn("converter", F.lit("converter")))
+    store.delete_documents(stems.join(table(spark, d, "nodes").select("stem").distinct(), "stem", "left_anti"))
+    return store.manifests()
+
+
+@query("src25_changed_sets", "SELECT stem FROM goldenset GROUP BY stem HAVING count(*) FILTER (answerable) > 0 AND count(*) FILTER (NOT coalesce(answerable, false)) > 0")
+def changed_sets(spark, d):
+    """Answerable questions saved first and all of them later: the sets that differ are archived."""
+    q = table(spark, d, "goldenset").select("stem", "quote_id", "question", "answer", "answerable")
+    store = GraphStore(spark, shared_folder(spark, "goldenset"))
+    store.save_goldensets(q.where("answerable"))
+    return store.save_goldensets(q)
+
+
+@query("udf05_mapped_in_order", "SELECT chunk_id, CAST(length(text) AS VARCHAR) AS reply FROM chunks WHERE length(text) > 0")
+def mapped_in_order(spark, d):
+    """A function over all texts, at most five calls in flight; results come back to their items."""
+    items = table(spark, d, "chunks").where("length(text) > 0").select("chunk_id", "text")
+    return map_concurrently(items, "chunk_id", "text", lambda text: str(len(text)), at_once=5)
+
+
+@query("str02_markdown_text", f"""WITH c AS (SELECT doc_id, {CLEAN_SQL} AS t FROM documents WHERE text IS NOT NULL),
+  l AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS k, regexp_replace(unnest(string_split(t, chr(10))), '^{SPACE}+|{SPACE}+$', '', 'g') AS line FROM c),
+  t AS (SELECT doc_id, k, CASE WHEN line = '' OR regexp_full_match(line, '[-–—]?\\s*\\d+\\s*[-–—]?|\\d+\\s*/\\s*\\d+') THEN [''] WHEN regexp_matches(line, '^제\\s*\\d+\\s*[장편관]($|[^\\p{{L}}\\p{{N}}_])') THEN ['## ' || line, '']
+    WHEN regexp_full_match(line, '제\\s*\\d+\\s*조(\\s*의\\s*\\d+)?(\\s*[(\\[][^)\\]]*[)\\]])?\\s*') THEN ['### ' || line, ''] WHEN regexp_matches(line, '^[①-⑳]') THEN ['', line]
+    WHEN regexp_matches(line, '^(㈜\\s*)?\\d+\\.\\s+\\S') THEN ['- ' || line] WHEN regexp_matches(line, '^[●■◆▶▣□◦ㆍ∙]') THEN ['- ' || regexp_replace(line, '^[●■◆▶▣□◦ㆍ∙]\\s*', '')] ELSE [line] END AS tokens FROM l),
+  u AS (SELECT doc_id, k, generate_subscripts(tokens, 1) AS j, unnest(tokens) AS token FROM t), w AS (SELECT *, coalesce(lag(token) OVER (PARTITION BY doc_id ORDER BY k, j), '') AS before FROM u)
+  SELECT doc_id, sha256(rtrim(coalesce(string_agg(token, chr(10) ORDER BY k, j) FILTER (token <> '' OR before <> ''), ''), chr(10))) AS digest FROM w GROUP BY doc_id""")
+def markdown_text(spark, d):
+    """Whole texts as Markdown: headings, lists and paragraphs of circled numbers; page numbers and runs of blanks go."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", T.markdown_lines(F.col("text")).alias("lines"))
+    return rows.select("doc_id", F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,15 +37,16 @@ def registered_uploads(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
 
 def _converted(batches: Iterator[pa.RecordBatch], convert: Converter) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, errors = [], []
+        texts, errors, digests = [], [], []
         for content in batch.column("content").to_pylist():
+            digests.append(hashlib.sha256(content).hexdigest())
             try:
                 texts.append(convert(content))
                 errors.append(None)
             except Exception as e:  # one bad file must not end the scan
                 texts.append(None)
                 errors.append(f"{type(e).__name__}: {e}"[:500])
-        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "size_bytes", "text", "error"])
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(texts, pa.string()), pa.array(errors, pa.string()), pa.array(digests)], names=["path", "size_bytes", "text", "error", "sha256"])
 
 
 def converted_files(spark: SparkSession, folder: str, pattern: str, convert: Converter, done: DataFrame | None = None) -> DataFrame:
@@ -55,9 +57,7 @@ def converted_files(spark: SparkSession, folder: str, pattern: str, convert: Con
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     if done is not None:
         raw = raw.join(done.select("stem").distinct(), file_stem(F.col("path")) == F.col("stem"), "left_anti")
-    digests = raw.select("path", F.sha2("content", 256).alias("sha256"))
-    made = raw.select("path", "length", "content").mapInArrow(lambda it: _converted(it, convert), "path string, size_bytes long, text string, error string")
-    return made.join(digests, "path")
+    return raw.select("path", "length", "content").mapInArrow(lambda it: _converted(it, convert), "path string, size_bytes long, text string, error string, sha256 string")
 
 
 def paged_markdown(pages: DataFrame) -> DataFrame:
@@ -73,17 +73,16 @@ def paged_markdown(pages: DataFrame) -> DataFrame:
 def table_markdown(cells) -> F.Column:
     """A table (array of rows of cells, nulls allowed) as Markdown; null unless two rows and columns and three cells hold text.
 
-    Rows are padded, columns and rows without text dropped; the header names are numbered columns.
+    Rows are padded, columns and rows without text dropped; the first row left is the header.
     """
     clean = F.transform(cells, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", "<br>"))))
     rows = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
     width = F.aggregate(rows, F.lit(0), lambda m, r: F.greatest(m, F.size(r)))
     columns = F.filter(F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.exists(rows, lambda r: F.coalesce(F.get(r, k), F.lit("")) != ""))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(columns, lambda k: F.coalesce(F.get(r, k), F.lit(""))), " | "), F.lit(" |"))
-    head = F.concat(F.lit("| "), F.array_join(F.transform(columns, lambda k, i: F.concat(F.lit("열 "), (i + 1).cast("string"))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.array_join(F.transform(columns, lambda k: F.lit(" --- ")), "|"), F.lit("|"))
     filled = F.aggregate(rows, F.lit(0), lambda n, r: n + F.size(F.filter(r, lambda c: c != "")))
-    whole = F.array_join(F.concat(F.array(head, rule), F.transform(rows, line)), "\n")
+    whole = F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0))), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")
     return F.when((F.size(rows) >= 2) & (F.size(columns) >= 2) & (filled >= 3), whole)
 
 

@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.operators import discovery as D
+from docweave.operators import refinement as R
 from docweave.operators import rewriting as W
 from docweave.operators import schema as S
 from docweave.plans import providers as M
@@ -207,11 +209,61 @@ def test_mapping_fills_gaps_and_drops_made_loops(spark):
     assert [(r.source, r.target) for r in edges.collect()] == [("c", "c")]
 
 
-def test_supplement_ids_are_free(spark):
-    base = spark.createDataFrame([("d", "s1_n", "T", "old", 1)], "stem string, id string, type string, label string, seq long")
-    extra = spark.createDataFrame([("d", "n", "T", "new", 1), ("d", "m", "T", "old", 2)], "stem string, id string, type string, label string, seq long")
-    got = W.supplement(base, extra, ["stem"], "seq").collect()
-    assert [(r.id, r.new_id) for r in got] == [("n", "s2_n")]
+def test_supplement_ids_are_free_and_edges_follow(spark):
+    node, edge = "stem string, id string, type string, label string, seq long", "stem string, source string, target string, type string, seq long"
+    base = spark.createDataFrame([("d", "n", "T", "one", 1), ("d", "s1_n", "T", "old", 2)], node)
+    extra = spark.createDataFrame([("d", "n", "T", "new", 1), ("d", "m", "T", "old", 2), ("d", "n", "T", "newer", 3), ("d", "k", "T", "new", 4), ("d", "f", "T", "free", 5)], node)
+    added, went = W.supplement(base, extra, ["stem"], "seq")
+    assert {(r.label, r.new_id) for r in added.collect()} == {("new", "s2_n"), ("newer", "s3_n"), ("free", "f")}
+    assert {(r.id, r.kept_id) for r in went.collect()} == {("n", "s3_n"), ("m", "s1_n"), ("k", "s2_n"), ("f", "f")}
+    old = spark.createDataFrame([("d", "n", "s1_n", "R", 1)], edge)
+    more = spark.createDataFrame([("d", "k", "m", "R", 1), ("d", "k", "m", "R", 2), ("d", "outside", "m", "R", 3), ("d", "f", "f", "R", 4)], edge)
+    got = {(r.source, r.target, r.seq) for r in W.supplemented_edges(old, more, went, ["stem"], "seq").collect()}
+    assert got == {("s2_n", "s1_n", 1), ("outside", "s1_n", 3), ("f", "f", 4)}
+
+
+def test_refinement_refuses_and_unites(spark):
+    kinds = spark.createDataFrame([("d", 1, "A", 1, "a", {"x": "string"}), ("d", 1, "B", 2, "b", {"x": "number", "y": "date"})], "stem string, version long, name string, pos int, description string, properties map<string,string>")
+    links = spark.createDataFrame([("d", 1, "R", "A", "B"), ("d", 1, "Q", "B", "B"), ("d", 1, "S", "A", "C")], "stem string, version long, name string, source string, target string")
+    n = spark.createDataFrame([("d", 1, "i", "A", "L", 1), ("d", 1, "j", "B", "L", 2)], "stem string, version long, id string, type string, label string, seq long")
+    e = spark.createDataFrame([("d", 1, "i", "j", "R", 1), ("d", 1, "j", "j", "Q", 2)], "stem string, version long, source string, target string, type string, seq long")
+    numbers = spark.createDataFrame([("d", 1, 2)], "stem string, version long, next long")
+    m = lambda *x: spark.createDataFrame(x, "kind string, old string, new string")
+    old = R.Version(kinds, links, n, e)
+    new = R.refined(old, numbers, m(("node_type", "A", "B"), ("edge_type", "R", "Q")), "seq", [])
+    assert [(r.version, r.name, r.description, r.properties) for r in new.node_types.collect()] == [(2, "B", "b / a", {"x": "number", "y": "date"})]
+    assert {(r.name, r.source, r.target) for r in new.edge_types.collect()} == {("Q", "B", "B"), ("S", "B", "C")}
+    assert [(r.id, r.type) for r in new.nodes.collect()] == [("i", "B")] and [(r.source, r.target, r.type) for r in new.edges.collect()] == [("i", "i", "Q")]
+    changes = {r.part: (r.before, r.after) for r in R.size_changes(old, new, numbers).collect()}
+    assert changes == {"node_types": (2, 1), "edge_types": (3, 2), "nodes": (2, 1), "edges": (2, 1)}
+    for bad in (("node_type", "Z", "A"), ("node_type", "A", "A"), ("edge_type", "R", "S"), ("edge_type", "R", "Nope")):
+        with pytest.raises(ValueError):
+            R.refined(old, numbers, m(bad), "seq", [])
+
+
+def test_evolution_in_order(spark):
+    kinds = spark.createDataFrame([("d", 1, "A", 1, "a")], "stem string, version long, name string, pos long, description string")
+    n = spark.createDataFrame([("d", 1, "i", "L"), ("d", 1, "j", "M")], "stem string, version long, id string, label string")
+    e = spark.createDataFrame([("d", 1, "i", "j", "R"), ("d", 1, "j", "i", "R")], "stem string, version long, source string, target string, type string")
+    numbers = spark.createDataFrame([("d", 1, 2)], "stem string, version long, next long")
+    nodes = spark.createDataFrame([("d", 1, 1, "MODIFY", "i", "new"), ("d", 1, 2, "DEPRECATE", "j", None), ("d", 1, 3, "ADD", "k", "K")], "stem string, version long, seq long, decision string, id string, label string")
+    edges = spark.createDataFrame([("d", 1, 1, "ADD", "i", "j", "R"), ("d", 1, 2, "DEPRECATE", "i", "j", "R"), ("d", 1, 3, "ADD", "i", "k", "R")], "stem string, version long, seq long, decision string, source string, target string, type string")
+    types = spark.createDataFrame([("d", 1, 1, "DEPRECATE", "node_type", "A", None)], "stem string, version long, seq long, decision string, kind string, name string, description string")
+    new = R.evolved(R.Version(kinds, kinds.limit(0), n, e), numbers, types, nodes, edges)
+    assert {(r.version, r.id, r.label) for r in new.nodes.collect()} == {(2, "i", "new"), (2, "k", "K")}
+    assert {(r.source, r.target) for r in new.edges.collect()} == {("j", "i"), ("i", "k")}
+    assert [(r.version, r.description) for r in new.node_types.collect()] == [(2, "[DEPRECATED] a")] and new.edge_types.isEmpty()
+
+
+def test_discovery_reports(spark):
+    one = {"domain_model": {"domain": "", "subdomains": ["s"]}, "classes": [{"name": "C", "definition": "d", "noise": 1}], "attributes": [{"name": "a", "defined_on": "X"}, {"name": "a", "defined_on": "Y"}], "warnings": ["w", "w"]}
+    two = {"domain_model": {"domain": "insurance", "subdomains": ["t", "s"]}, "attributes": [{"name": "a", "defined_on": "X", "later": True}], "terminology": [{"canonical_term": "T"}], "competency_questions": ["q?"]}
+    rows = spark.createDataFrame([("d", 1, json.dumps(one)), ("d", 2, json.dumps(two)), ("x", 1, "{}")], "stem string, k int, report string")
+    got = {(r.stem, r.field, r.position): r.item for r in D.reduced_reports(rows, ["stem"], "k").collect()}
+    assert got[("d", "domain", 1)] == "insurance" and [got[("d", "subdomains", k)] for k in (1, 2)] == ["s", "t"] and got[("d", "warnings", 1)] == "w"
+    assert json.loads(got[("d", "attributes", 1)]) == {"name": "a", "defined_on": "X"} and len(got) == 8
+    sent = {r.stem: json.loads(r.payload) for r in D.consolidation_payloads(rows, ["stem"], "k").collect()}
+    assert sent["d"][0] == {"group": 1, "classes": [{"name": "C", "definition": "d"}], "relationships": []} and len(sent["d"]) == 2
 
 
 def test_schema_rules(spark):

@@ -39,7 +39,10 @@ def test_lines_and_cells(spark):
     assert tuple(one(spark, T.line_span(F.col("t"), F.lit("c\nd")), t="a\nc\nd\ne")) == (2, 3)
     table = spark.createDataFrame([([["a", None, "b"], ["c", "", "d|e"], ["", "", ""]],), ([["a"], ["b"]],)], "c array<array<string>>")
     got = [r[0] for r in table.select(table_markdown(F.col("c"))).collect()]
-    assert got[0].splitlines()[2:] == ["| a | b |", "| c | d\\|e |"] and got[1] is None
+    assert got[0].splitlines() == ["| a | b |", "| --- | --- |", "| c | d\\|e |"] and got[1] is None
+    page = "제1관 목적\n제1조(목적)\n① 첫째\n② 둘째\n 12 \n\n㈜ 1. 항목\n● 표시\n3 / 9\n제3조(보상) 및 제4조에 따라\n\n- 7 -"
+    assert one(spark, T.markdown_lines(F.col("t")), t=page) == ["## 제1관 목적", "", "### 제1조(목적)", "", "① 첫째", "", "② 둘째", "", "- ㈜ 1. 항목", "- 표시", "", "제3조(보상) 및 제4조에 따라"]
+    assert one(spark, T.markdown_lines(F.col("t")), t="") == [] and one(spark, T.markdown_lines(F.col("t")), t="3\n\n4") == []
 
 
 def test_name_key_and_cosine(spark):
@@ -48,8 +51,18 @@ def test_name_key_and_cosine(spark):
 
 
 def test_packing(spark):
-    lengths = spark.createDataFrame([([10, 10, 10],), ([50, 5, 20, 0],), ([0, 0, 21],), ([],)], "n array<int>")
-    assert [r[0] for r in lengths.select(K.pack(F.col("n"), 20)).collect()] == [[1, 1, 2], [1, 2, 3, 3], [1, 1, 2], []]
+    assert [K.pack(x, 20) for x in ([10, 10, 1], [15, 30, 5, 15], [10, None, 15], [])] == [[1, 1, 2], [1, 2, 3, 3], [1, 1, 2], []]
+    rows = [("d", k, "x" * n) for k, n in ((3, 5), (1, 15), (2, 30), (4, 15))] + [("e", 1, None)]
+    got = {(r.stem, r.k): r.group_index for r in K.packed_groups(spark.createDataFrame(rows, "stem string, k long, text string"), "stem", "k", 20).collect()}
+    assert got == {("d", 1): 1, ("d", 2): 2, ("d", 3): 3, ("d", 4): 3, ("e", 1): 1}
+
+
+def test_pages_of_lines(spark):
+    lines = ["a", "<!-- page: 3 -->", "b", "<!-- page: 3 -->", "<!-- page: 2 -->", "c"]
+    df = spark.createDataFrame([("d", k, x) for k, x in enumerate(lines, 1)] + [("e", 1, "only")], "stem string, line_no int, line string")
+    pages = K.line_pages(df, ["stem"])
+    assert [r.page for r in pages.where("stem = 'd'").orderBy("line_no").collect()] == [1, 3, 3, 3, 2, 2]
+    assert {(r.stem, r.page, r.first_line, r.n_pages) for r in K.page_starts(pages, ["stem"]).collect()} == {("d", 1, 1, 3), ("d", 3, 2, 3), ("d", 2, 5, 3), ("e", 1, 1, 1)}
 
 
 POLICY = """표지
