@@ -225,6 +225,22 @@ def node_text(label: Column, detail: Column) -> Column:
     return F.when(F.length(detail) > 0, F.concat(label, F.lit(": "), detail)).otherwise(label)
 
 
+def item_text(said: Column, properties: Column, evidence: Column) -> Column:
+    """What an item says with its property values and the wording it quotes."""
+    values = F.coalesce(F.map_values(properties), F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(F.coalesce(said, F.lit(""))), F.transform(values, lambda v: F.coalesce(v, F.lit("None"))), F.array(F.coalesce(evidence, F.lit("")))), " ")
+
+
+def edge_text(detail: Column, source_label: Column, type_: Column, target_label: Column) -> Column:
+    """The detail of an edge, else its two ends and its type."""
+    return F.when(F.length(detail) > 0, detail).otherwise(F.concat(F.coalesce(source_label, F.lit("")), F.lit(" "), F.coalesce(type_, F.lit("")), F.lit(" "), F.coalesce(target_label, F.lit(""))))
+
+
+def length_guarded(text: Column, most: int = 1_000_000) -> Column:
+    """The text; one longer than `most` characters raises."""
+    return F.when(F.length(text) > most, F.raise_error(F.concat(F.lit("text too long: "), F.length(text).cast("string")))).otherwise(text)
+
+
 def file_stem(name: Column) -> Column:
     """File name without directory and last extension, in lower case."""
     return F.lower(F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", ""))

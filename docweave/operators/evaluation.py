@@ -225,3 +225,49 @@ def renumbered(questions: DataFrame, scope: list[str], order: str) -> DataFrame:
     once = keyed.groupBy(*scope, "key").agg(F.min_by(F.struct(*rest), order).alias("q")).select(*scope, "q.*")
     k = F.row_number().over(Window.partitionBy(*scope).orderBy(order))
     return once.withColumn("new_id", F.format_string("q%03d", k))
+
+
+#: Kinds of golden questions.
+QUESTION_TYPES = ("entity", "attribute", "relation", "multi_hop", "list", "boolean", "unanswerable")
+
+
+def question_problems(questions: DataFrame, expected: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, position, problem of generated questions: `count` (no position), `text`, `type`, `duplicate` of an earlier one up to case and spaces.
+
+    questions: scope, position, question, question_type; expected: scope, n.
+    """
+    counted = expected.join(questions.groupBy(*scope).agg(F.count("*").alias("given")), scope, "left").where(F.coalesce("given", F.lit(0)) != F.col("n"))
+    count = counted.select(*scope, F.lit(None).cast("long").alias("position"), F.lit("count").alias("problem"))
+    q = questions.select(*scope, F.col("position").cast("long").alias("position"), "question", "question_type")
+    empty = ~F.coalesce(F.col("question") != "", F.lit(False))
+    text = q.where(empty).select(*scope, "position", F.lit("text"))
+    kind = q.where(~F.coalesce(F.col("question_type").isin(*QUESTION_TYPES), F.lit(False))).select(*scope, "position", F.lit("type"))
+    keyed = q.where(~empty).withColumn("key", T.question_key(F.col("question")))
+    first = keyed.groupBy(*scope, "key").agg(F.min("position").alias("first"))
+    again = keyed.join(first, [*scope, "key"]).where("position > first").select(*scope, "position", F.lit("duplicate"))
+    return count.union(text).union(kind).union(again)
+
+
+def matched_answers(questions: DataFrame, answers: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """questions with their answers by key, the last of repeated ones. Raises where the keys of the two are not the same."""
+    values = [c for c in answers.columns if c not in (*keys, seq)]
+    last = latest(answers, keys, seq, values)
+    asked = questions.select(*keys).distinct()
+    apart = asked.join(last.select(*keys), keys, "left_anti").limit(1).collect() or last.select(*keys).join(asked, keys, "left_anti").limit(1).collect()
+    if apart:
+        raise ValueError(f"answers and questions differ at {tuple(apart[0])}")
+    return questions.join(last, keys)
+
+
+def scoring_report(scored: DataFrame) -> DataFrame:
+    """part, name, line: shares of the outcomes, hits by question type, and one line a question.
+
+    scored: question_id, question_type, recall, outcome.
+    """
+    total = F.sum("n").over(Window.partitionBy("part"))
+    outcomes = scored.groupBy(F.lit("outcome").alias("part"), F.col("outcome").alias("name")).agg(F.count("*").alias("n"))
+    share = F.format_string("%d (%.1f %%)", F.col("n"), F.col("n") * 100.0 / total)
+    kinds = by_question_type(scored).select(F.lit("type").alias("part"), F.col("question_type").alias("name"), F.format_string("%d/%d", "hits", "scored").alias("line"))
+    recall = F.when(F.col("recall").isNull(), "-").otherwise(F.format_string("%.2f", F.col("recall")))
+    each = scored.select(F.lit("question"), "question_id", F.concat_ws(" ", "outcome", recall))
+    return outcomes.select("part", "name", share.alias("line")).union(kinds).union(each)

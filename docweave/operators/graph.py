@@ -78,7 +78,8 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def matching_edges(edges: DataFrame, seeds: DataFrame, types: DataFrame) -> DataFrame:
     """Edges of a query's types with either end among its seeds. seeds: query_id, stem, version, id; types: query_id, type."""
-    wanted = edges.join(types, "type")
+    scopes = seeds.select("query_id", *SCOPE).distinct()
+    wanted = edges.join(types.join(scopes, "query_id"), [*SCOPE, "type"])
     at_source = wanted.join(seeds.withColumnRenamed("id", "source"), ["query_id", *SCOPE, "source"], "left_semi")
     at_target = wanted.join(seeds.withColumnRenamed("id", "target"), ["query_id", *SCOPE, "target"], "left_semi")
     return at_source.unionByName(at_target).distinct()

@@ -139,3 +139,40 @@ def redundant_types(types: DataFrame, threshold: float = 0.9) -> DataFrame:
     a, b = (v.select("kind", *(F.col(c).alias(f"{c}_{x}") for c in ("pos", "name", "vector", "norm"))) for x in "ab")
     scored = a.join(b, "kind").where("pos_a < pos_b").withColumn("score", F.round(cosine(F.col("vector_a"), F.col("vector_b"), F.col("norm_a"), F.col("norm_b")), 6))
     return scored.where(F.col("score") >= threshold).select("kind", "name_a", "name_b", "score")
+
+
+#: Operators a property filter may use.
+FILTER_OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte")
+
+
+def valid_analyses(analyses: DataFrame, types: DataFrame, properties: DataFrame, scope: list[str]) -> DataFrame:
+    """Question analyses reduced to what the schema of their scope has.
+
+    analyses: key, scope, node_types, edge_types (arrays), keywords (map of type to array), property_filters (map of type
+    to struct of property, operator, value). types: scope, kind, name; properties: scope, type, name. Types keep their
+    order and repeats; keywords stay for chosen node types only, filters for chosen types with a declared property, a
+    known operator and a value.
+    """
+    names = lambda kind, out: types.where(F.col("kind") == kind).groupBy(*scope).agg(F.collect_set("name").alias(out))
+    declared = properties.groupBy(*scope).agg(F.collect_set(F.struct("type", "name")).alias("declared"))
+    a = analyses.join(names("node_type", "own_nodes"), scope, "left").join(names("edge_type", "own_edges"), scope, "left").join(declared, scope, "left")
+    known = lambda own: F.coalesce(F.col(own), F.array().cast("array<string>"))
+    keep = lambda c, own: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.array_contains(known(own), t)).alias(c)
+    a = a.select("key", *scope, keep("node_types", "own_nodes"), keep("edge_types", "own_edges"), "keywords", "property_filters", "declared")
+    chosen = lambda t: F.array_contains("node_types", t)
+    passes = lambda t, f: chosen(t) & f["operator"].isin(*FILTER_OPERATORS) & f["value"].isNotNull() & F.exists(F.coalesce("declared", F.array().cast("array<struct<type:string,name:string>>")), lambda p: (p["type"] == t) & (p["name"] == f["property"]))
+    return a.select(
+        "key", *scope, "node_types", "edge_types",
+        F.map_filter("keywords", lambda t, k: chosen(t) & k.isNotNull()).alias("keywords"), F.map_filter("property_filters", lambda t, f: F.coalesce(passes(t, f), F.lit(False))).alias("property_filters"),
+    )
+
+
+def unfinished_copies(types: DataFrame, active: DataFrame, graphs: DataFrame) -> DataFrame:
+    """stem, version, copy_of: active versions without a graph and the newest other version of the same schema.
+
+    types: stem, version, kind, name; active and graphs: stem, version.
+    """
+    key = content_key(types, ["stem", "version"])
+    bare = active.join(graphs.select("stem", "version").distinct(), ["stem", "version"], "left_anti").join(key, ["stem", "version"])
+    other = key.select("stem", "digest", F.col("version").alias("other"))
+    return bare.join(other, ["stem", "digest"]).where("other <> version").groupBy("stem", "version").agg(F.max("other").alias("copy_of"))

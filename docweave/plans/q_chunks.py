@@ -39,11 +39,6 @@ def group_texts(spark, d):
     return K.group_texts(chunks, groups, "stem", "chunk_id").select("stem", F.col("group_index").cast("long").alias("group_index"), F.md5("text").alias("digest"))
 
 
-@query("src31_chunk_items", "SELECT chunk_id, stem, CASE WHEN length(text) > 0 THEN length(text) ELSE 0 END AS n_chars FROM chunks")
-def chunk_items(spark, d):
-    return table(spark, d, "chunks").select("chunk_id", "stem", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-
-
 @query("str11_policy_chunks")
 def policy_chunks(spark, d):
     made = K.policy_chunks(table(spark, d, "documents"))
@@ -158,26 +153,6 @@ def contents_sets(spark, d):
     return both.groupBy("stem").agg(F.count_if(F.col("a") & F.col("b")).alias("matched"), F.count_if(F.col("b").isNull()).alias("missing"), F.count_if(F.col("a").isNull()).alias("extra"))
 
 
-@query("msc04_chunking_report", "SELECT stem, count(*) AS n_chunks, count(DISTINCT section_index) AS n_sections, count(DISTINCT rider_name) || '/' || count(DISTINCT section_label) AS names FROM chunks GROUP BY stem")
-def chunking_report(spark, d):
-    names = F.concat_ws("/", F.countDistinct("rider_name").cast("string"), F.countDistinct("section_label").cast("string"))
-    return table(spark, d, "chunks").groupBy("stem").agg(F.count("*").alias("n_chunks"), F.countDistinct("section_index").alias("n_sections"), names.alias("names"))
-
-
-@query("str19_compact_documents", f"""WITH {LINE_SQL}, s AS (SELECT doc_id, k, line, CAST(sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS section FROM ln),
-  t AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY k) AS t FROM s GROUP BY ALL), n AS (SELECT *, 2000 // count(*) OVER (PARTITION BY doc_id) AS share FROM t)
-  SELECT doc_id, section, CASE WHEN length(t) > share THEN left(t, share) || chr(10) || '…' ELSE t END AS text FROM n""")
-def compact_documents(spark, d):
-    """Headings of a document and, per section, as many characters of its text as an even share of the budget gives."""
-    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    sections = lines.withColumn("section", F.sum(F.col("line").startswith("#").cast("int")).over(w))
-    joined = sections.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("t"))
-    share = F.floor(F.lit(2000) / F.count("*").over(Window.partitionBy("doc_id")))
-    cutoff = F.when(F.length("t") > share, F.concat(F.substr("t", F.lit(1), share.cast("int")), F.lit("\n…"))).otherwise(F.col("t"))
-    return joined.select("doc_id", F.col("section").cast("long").alias("section"), cutoff.alias("text"))
-
-
 #: Texts with a page marker after every line, whose number comes from the line's length.
 PAGED_SQL = """ln AS (SELECT chunk_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM chunks WHERE text IS NOT NULL),
   pg AS (SELECT chunk_id, 2 * k - 1 AS line_no, NULL AS mark FROM ln UNION ALL SELECT chunk_id, 2 * k, CAST(length(line) % 50 + 1 AS INT) FROM ln),
@@ -198,3 +173,33 @@ def line_pages(spark, d):
 @query("win13_page_lines", f"WITH {PAGED_SQL} SELECT chunk_id, page, min(line_no) AS first_line, max(page) OVER (PARTITION BY chunk_id) AS n_pages FROM lp GROUP BY chunk_id, page")
 def page_lines(spark, d):
     return K.page_starts(_paged(spark, d), ["chunk_id"])
+
+
+@query("src31_chunk_items", """WITH w AS (SELECT goods_code || '_none' AS stem, min(text) AS text FROM documents WHERE text <> '' AND goods_code IS NOT NULL GROUP BY 1)
+  SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY chunk_id) - 1 AS item_index, length(text) AS n_chars FROM chunks UNION ALL SELECT stem, 0, length(text) FROM w""")
+def chunk_items(spark, d):
+    """Documents with chunks give these in order; documents without give their whole text as one item."""
+    whole = table(spark, d, "documents").where("text <> '' and goods_code is not null").groupBy(F.concat("goods_code", F.lit("_none")).alias("stem")).agg(F.min("text").alias("text"))
+    items = K.chunk_items(table(spark, d, "chunks"), whole, "stem", "chunk_id")
+    return items.select("stem", F.col("item_index").cast("long").alias("item_index"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("msc04_chunking_report")
+def chunking_report(spark, d):
+    return K.chunking_report(K.chunking_scores(table(spark, d, "documents")))
+
+
+CUT_TAIL = "chr(10) || '[section content truncated]'"
+
+
+@query("str19_compact_documents", f"""WITH long AS (SELECT doc_id, regexp_replace(text, '\\n$', '') AS t FROM documents WHERE length(text) > 2000),
+  ln AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS k, unnest(string_split(t, chr(10))) AS line FROM long),
+  h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+') AS head, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS sec FROM ln),
+  s AS (SELECT doc_id, sec, coalesce(max(line) FILTER (head), '') AS heading, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT head), '') AS body FROM h GROUP BY ALL),
+  n AS (SELECT *, count(*) OVER w AS n, sum(length(heading)) OVER w AS heads, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS idx FROM s WINDOW w AS (PARTITION BY doc_id)),
+  r AS (SELECT *, CAST(2000 - heads - 2 * (n - 1) AS BIGINT) AS rest FROM n), sh AS (SELECT *, rest // n + CASE WHEN idx < rest % n THEN 1 ELSE 0 END AS share FROM r),
+  b AS (SELECT *, CASE WHEN length(body) <= share THEN body WHEN share <= 28 THEN left(body, share) ELSE left(body, share - 28) || {CUT_TAIL} END AS cut FROM sh),
+  d AS (SELECT doc_id, left(CASE WHEN any_value(rest) <= 0 THEN string_agg(heading, chr(10) || chr(10) ORDER BY sec) FILTER (heading <> '') ELSE string_agg(heading || CASE WHEN heading <> '' AND cut <> '' THEN chr(10) ELSE '' END || cut, chr(10) || chr(10) ORDER BY sec) END, 2000) AS text FROM b GROUP BY doc_id)
+  SELECT doc_id, md5(text) AS digest FROM d UNION ALL SELECT doc_id, md5(text) FROM documents WHERE length(text) <= 2000""")
+def compact_documents(spark, d):
+    return K.compact_documents(table(spark, d, "documents"), 2000).select("doc_id", F.md5("text").alias("digest"))

@@ -58,15 +58,6 @@ def similarity_join(spark, d):
     return E.similar_pairs(a, e.withColumnRenamed("vec_id", "b_id"), ["label"], 0.3).where("a_id <> b_id").select("a_id", "b_id", "score")
 
 
-@query("join11_question_answers", """WITH a AS (SELECT stem, id, arg_max(answer, quote_id) AS answer FROM goldenset GROUP BY ALL), q AS (SELECT DISTINCT stem, id, arg_min(question, quote_id) AS question FROM goldenset GROUP BY ALL)
-  SELECT q.stem, q.id, q.question, a.answer FROM q JOIN a USING (stem, id)""")
-def question_answers(spark, d):
-    g = table(spark, d, "goldenset")
-    asked = g.groupBy("stem", "id").agg(F.min_by("question", F.when(F.col("question").isNotNull(), F.col("quote_id"))).alias("question"))
-    given = g.groupBy("stem", "id").agg(F.max_by("answer", F.when(F.col("answer").isNotNull(), F.col("quote_id"))).alias("answer"))
-    return asked.join(given, ["stem", "id"])
-
-
 OUTCOME_SQL = f"""{SPANS_SQL}, item AS (SELECT g.quote_id, g.stem || '/' || g.id AS question_id, EXISTS (SELECT 1 FROM o WHERE o.quote_id = g.quote_id) AS cited,
     EXISTS (SELECT 1 FROM n WHERE n.chunk_id = g.chunk_id) AS in_graph FROM goldenset g WHERE quote <> ''),
   per AS (SELECT question_id, avg(CAST(cited AS INT)) AS recall, bool_or(NOT cited AND in_graph) AS held FROM item GROUP BY 1),
@@ -120,13 +111,6 @@ def experiment_arms(spark, d):
     return E.arm_verdicts(scores)
 
 
-@query("flt15_question_problems", """SELECT stem, key, count(DISTINCT id) AS n_ids FROM (SELECT stem, id, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS key FROM goldenset WHERE question IS NOT NULL) GROUP BY ALL HAVING count(DISTINCT id) > 1""")
-def question_problems(spark, d):
-    """Questions of one document that are equal up to case and white space."""
-    keyed = table(spark, d, "goldenset").where("question is not null").select("stem", "id", T.question_key(F.col("question")).alias("key"))
-    return keyed.groupBy("stem", "key").agg(F.countDistinct("id").alias("n_ids")).where("n_ids > 1")
-
-
 @query("flt16_verified_answers", """SELECT stem, id, bool_or(answerable) AND count(*) FILTER (strpos(c.text, quote) > 0 AND quote <> '') > 0 AS answerable,
   count(*) FILTER (quote <> '' AND coalesce(strpos(c.text, quote), 0) = 0) AS n_unverified FROM goldenset g LEFT JOIN (SELECT chunk_id, text FROM chunks) c USING (chunk_id) GROUP BY ALL""")
 def verified_answers(spark, d):
@@ -162,14 +146,6 @@ def batch_windows(spark, d):
     return b.select("stem", F.col("batch").cast("long").alias("batch"), F.floor(F.col("batch") * F.col("windows") / F.col("batches")).alias("window_index"), (F.floor(F.lit(45) / F.col("batches")) + extra).alias("n_questions"))
 
 
-@query("msc05_scoring_report", f"""WITH {OUTCOME_SQL}, t AS (SELECT coalesce(question_type, 'unknown') AS question_type, count(*) AS n, count(*) FILTER (outcome = 'hit') AS hits FROM sc GROUP BY 1)
-  SELECT string_agg(question_type || ' ' || hits || '/' || n, '; ' ORDER BY question_type) AS report FROM t""")
-def scoring_report(spark, d):
-    t = scored_questions(spark, d).groupBy(F.coalesce("question_type", F.lit("unknown")).alias("question_type")).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "hit").alias("hits"))
-    line = F.concat("question_type", F.lit(" "), F.col("hits").cast("string"), F.lit("/"), F.col("n").cast("string"))
-    return t.agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("report"))
-
-
 @query("join14_quotes_in_groups", """SELECT quote_id, count(DISTINCT c.chunk_id) AS n_chunks FROM goldenset g JOIN chunks c ON c.stem = g.stem WHERE g.quote_id % 20 = 0 AND g.quote <> '' AND contains(c.text, g.quote) GROUP BY quote_id""")
 def quotes_in_groups(spark, d):
     g = table(spark, d, "goldenset").where("quote_id % 20 = 0").select("stem", F.col("quote_id").alias("part_id"), F.col("quote").alias("part"))
@@ -272,3 +248,30 @@ def probe_summary(spark, d):
     spans = _quotes(spark, d).withColumnRenamed("a_id", "quote_id").join(g.select("quote_id", "question_id", "quote"), "quote_id")
     found = spans.where(F.length("quote") % 2 == 0).select("chunk_id", F.col("quote_id").alias("b_id"), "s", "e")
     return E.probe_summary(missed, spans.select("question_id", "chunk_id", F.col("quote_id").alias("a_id"), "s", "e"), found)
+
+
+@query("flt15_question_problems", """WITH q AS (SELECT stem, quote_id, question, question_type, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS key FROM goldenset)
+  SELECT stem, NULL::BIGINT AS position, 'count' AS problem FROM q GROUP BY stem HAVING count(*) <> 5 UNION ALL SELECT stem, quote_id, 'text' FROM q WHERE coalesce(question, '') = ''
+  UNION ALL SELECT stem, quote_id, 'type' FROM q WHERE question_type IS NULL OR question_type NOT IN ('entity', 'attribute', 'relation', 'multi_hop', 'list', 'boolean', 'unanswerable')
+  UNION ALL SELECT stem, quote_id, 'duplicate' FROM q WHERE question <> '' AND quote_id > (SELECT min(x.quote_id) FROM q x WHERE x.stem = q.stem AND x.key = q.key AND x.question <> '')""")
+def question_problems(spark, d):
+    """All rows of a document as its generated questions, of which five are expected."""
+    q = table(spark, d, "goldenset").select("stem", F.col("quote_id").alias("position"), "question", "question_type")
+    return E.question_problems(q, q.select("stem").distinct().withColumn("n", F.lit(5)), ["stem"])
+
+
+@query("join11_question_answers", """WITH a AS (SELECT stem, id, arg_max(coalesce(answer, ''), quote_id) AS answer FROM goldenset GROUP BY ALL), q AS (SELECT stem, id, arg_min(coalesce(question, ''), quote_id) AS question FROM goldenset GROUP BY ALL)
+  SELECT q.stem, q.id, q.question, a.answer FROM q JOIN a USING (stem, id)""")
+def question_answers(spark, d):
+    """First questions with last answers; both sides must have the same ids."""
+    g = table(spark, d, "goldenset")
+    asked = g.groupBy("stem", "id").agg(F.min_by(F.coalesce("question", F.lit("")), "quote_id").alias("question"))
+    return E.matched_answers(asked, g.select("stem", "id", F.coalesce("answer", F.lit("")).alias("answer"), "quote_id"), ["stem", "id"], "quote_id")
+
+
+@query("msc05_scoring_report", f"""WITH {OUTCOME_SQL}, oc AS (SELECT outcome, count(*) AS k FROM sc GROUP BY outcome)
+  SELECT 'outcome' AS part, outcome AS name, printf('%d (%.1f %%)', k, k * 100.0::DOUBLE / (SELECT sum(k) FROM oc)) AS line FROM oc
+  UNION ALL SELECT 'type', coalesce(question_type, 'unknown'), count(*) FILTER (outcome = 'hit') || '/' || count(*) FILTER (outcome IN ('hit', 'retrieval_miss', 'extraction_miss')) FROM sc GROUP BY 2
+  UNION ALL SELECT 'question', question_id, outcome || ' ' || CASE WHEN recall IS NULL THEN '-' ELSE printf('%.2f', recall::DOUBLE) END FROM sc""")
+def scoring_report(spark, d):
+    return E.scoring_report(scored_questions(spark, d))

@@ -171,11 +171,8 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
 def matching_edges(spark, d):
     seeds = _seeds(spark, d)
     types = seeds.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, WALK_TYPES))).alias("type"))
-    scopes = seeds.select("query_id", "stem", "version").distinct()
-    edges = edges_of(spark, d).select("stem", "version", "source", "target", "type", "edge_no").join(scopes, ["stem", "version"]).drop("query_id")
-    wanted = G.of_types(edges, WALK_TYPES).withColumn("query_id", F.concat_ws("/", "stem", "version"))
-    sides = [wanted.join(seeds.withColumnRenamed("id", s), ["query_id", "stem", "version", s], "left_semi") for s in ("source", "target")]
-    return sides[0].union(sides[1].select(sides[0].columns)).select("query_id", "edge_no").distinct()
+    edges = edges_of(spark, d).select("stem", "version", "source", "target", "type", "edge_no")
+    return G.matching_edges(edges, seeds, types).select("query_id", "edge_no")
 
 
 @query("join03_edges_of_types", "SELECT edge_no, type FROM edges WHERE type IN ('LIMITS', 'EXCLUDES')")

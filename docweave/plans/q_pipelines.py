@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking as K
 from ..operators import discovery as D
+from ..operators import evaluation as E
 from ..operators import rewriting as W
 from ..operators.search import Search, tiered_matches
+from ..shared import shared_folder
+from . import pipelines as P
 from .q_graph import GRAPH_SQL, edges_of, nodes_of
 from .registry import query, table
 
@@ -124,3 +129,69 @@ def discovered(spark, d):
     reduced = D.reduced_reports(own.select("stem", "group_index", F.to_json(report).alias("report")), ["stem"], "group_index")
     told = F.when(F.col("field") == "attributes", F.concat_ws("|", F.get_json_object("item", "$.name"), F.get_json_object("item", "$.defined_on"))).when(F.col("field") == "terminology", F.get_json_object("item", "$.canonical_term"))
     return reduced.select("stem", "field", "position", F.coalesce(told, "item").alias("item"))
+
+
+def _schema_model(operation: str, prompt: str) -> str:
+    """A deterministic stand-in: a type named by a group's length; consolidation keeps the first of equal names."""
+    if operation == "generate_schema":
+        return json.dumps({"node_types": [{"name": f"T{len(prompt) % 5}", "description": "d"}], "edge_types": []})
+    names = dict.fromkeys(t["name"] for s in json.loads(prompt) for t in json.loads(s)["node_types"])
+    return "```json\n" + json.dumps({"node_types": [{"name": n} for n in names], "edge_types": []}) + "\n```"
+
+
+@query("pipe03_document_schemas", """WITH RECURSIVE c AS (SELECT stem, chunk_id, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY stem ORDER BY chunk_id) AS k FROM chunks),
+  p AS (SELECT stem, chunk_id, k, 1 AS g, n AS used FROM c WHERE k = 1
+    UNION ALL SELECT c.stem, c.chunk_id, c.k, CASE WHEN p.used + c.n > 12000 THEN p.g + 1 ELSE p.g END, CASE WHEN p.used + c.n > 12000 THEN c.n ELSE p.used + c.n END FROM p JOIN c ON c.stem = p.stem AND c.k = p.k + 1),
+  t AS (SELECT stem, g, length(string_agg(CASE WHEN length(path) > 0 THEN '[' || path || ']' || chr(10) ELSE '' END || coalesce(text, ''), chr(10) || chr(10) ORDER BY chunk_id)) AS n FROM p JOIN chunks USING (stem, chunk_id) GROUP BY ALL),
+  f AS (SELECT stem, 'T' || (n % 5) AS name, min(g) AS first FROM t GROUP BY ALL)
+  SELECT stem, 'node_type' AS kind, row_number() OVER (PARTITION BY stem ORDER BY first) - 1 AS pos, name FROM f""")
+def document_schemas(spark, d):
+    """Groups of 12,000 characters asked for a schema each, consolidated to one a document."""
+    made = P.schema_for_documents(table(spark, d, "chunks"), _schema_model, shared_folder(spark, "schemas"))
+    return made.select("stem", "kind", F.col("pos").cast("long").alias("pos"), "name")
+
+
+@query("pipe05_proposed_changes", """SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY edge_no) - 1 AS seq, CASE WHEN confidence = 'LOW' THEN 'DEPRECATE' ELSE 'ADD' END AS decision, type AS element FROM edges WHERE type IS NOT NULL AND version = (SELECT max(version) FROM edges x WHERE x.stem = edges.stem)""")
+def proposed_changes(spark, d):
+    """Proposals made of the newest edges of a document, read from fenced replies."""
+    e = table(spark, d, "edges")
+    newest = e.groupBy("stem").agg(F.max("version").alias("version"))
+    change = F.struct(F.col("edge_no"), F.when(F.col("confidence") == "LOW", "DEPRECATE").otherwise("ADD").alias("decision"), F.lit("edge").alias("element_type"), F.struct("type").alias("element"))
+    listed = e.where("type is not null").join(newest, ["stem", "version"], "left_semi").groupBy("stem").agg(F.array_sort(F.collect_list(change)).alias("changes"))
+    replies = listed.select(F.col("stem").alias("key"), F.concat(F.lit("```json\n"), F.to_json(F.struct("changes")), F.lit("\n```")).alias("reply"))
+    rows = P.proposed_changes(replies)
+    return rows.select(F.col("key").alias("stem"), F.col("seq").cast("long").alias("seq"), "decision", F.get_json_object("element", "$.type").alias("element"))
+
+
+@query("pipe08_golden_sets", """WITH g AS (SELECT stem, quote_id, question, CASE WHEN question_type IN ('entity', 'attribute', 'relation', 'multi_hop', 'list', 'boolean', 'unanswerable') THEN question_type ELSE 'entity' END AS question_type, answer, answerable, quote, chunk_id FROM goldenset WHERE question <> ''),
+  c AS (SELECT g.*, coalesce(quote <> '' AND contains(t.text, quote), false) AS good FROM g LEFT JOIN (SELECT stem, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY chunk_id) AS text FROM chunks GROUP BY stem) t USING (stem)),
+  k AS (SELECT stem, arg_min(quote_id, quote_id) AS quote_id FROM (SELECT stem, quote_id, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS key FROM c) GROUP BY stem, key)
+  SELECT c.stem, 'q' || CASE WHEN row_number() OVER w < 1000 THEN lpad(CAST(row_number() OVER w AS VARCHAR), 3, '0') ELSE CAST(row_number() OVER w AS VARCHAR) END AS new_id, coalesce(answerable, false) AND good AS answerable, CASE WHEN good THEN quote END AS evidence
+  FROM k JOIN c USING (stem, quote_id) WINDOW w AS (PARTITION BY c.stem ORDER BY quote_id)""")
+def golden_sets(spark, d):
+    """Delivered questions as generated ones, each with its own answer, checked against the text of the document."""
+    g = table(spark, d, "goldenset").where("question <> ''")
+    kind = F.when(F.col("question_type").isin(*E.QUESTION_TYPES), F.col("question_type")).otherwise("entity")
+    questions = g.select("stem", F.col("quote_id").alias("position"), F.col("quote_id").cast("string").alias("id"), "question", kind.alias("question_type"))
+    answers = g.select("stem", F.col("quote_id").cast("string").alias("id"), F.lit(0).alias("seq"), "answer", "answerable", "quote")
+    part = F.struct("chunk_id", F.coalesce("text", F.lit("")).alias("t"))
+    documents = table(spark, d, "chunks").groupBy("stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("text"))
+    made = P.golden_sets(questions, answers, documents, questions.groupBy("stem").agg(F.count("*").alias("n")))
+    return made.select("stem", "new_id", "answerable", "evidence")
+
+
+VECTOR_SQL = f"""{GRAPH_SQL}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e FROM v WHERE vec_id = 0),
+  s AS (SELECT stem || '/' || version AS query_id, id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS score FROM g JOIN v ON v.vec_id = g.node_no CROSS JOIN q WHERE type = 'Regulation'),
+  near AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) WHERE k <= 5 AND score >= 0.05)"""
+
+
+@query("pipe01_vector_tier", f"""WITH {VECTOR_SQL} SELECT query_id, id, 3 AS tier FROM near UNION ALL SELECT stem || '/' || version, id, 4 FROM g WHERE type = 'Regulation' AND stem || '/' || version NOT IN (SELECT query_id FROM near)""")
+def vector_tier(spark, d):
+    """Questions that neither keywords nor a property answer, by the vectors that the first nodes of the table have."""
+    n = nodes_of(spark, d)
+    analysis = analysis_of(n).where("type = 'Regulation'")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    vectors = n.select("id", "node_no").join(e, F.col("vec_id") == F.col("node_no")).select("id", F.col("embedding").alias("vector"))
+    asked = e.where("vec_id = 0").select(F.col("embedding").alias("vector"))
+    questions = analysis.select("query_id").distinct().withColumn("k", F.lit(0)).join(asked.withColumn("k", F.lit(0)), "k").select("query_id", "vector")
+    return tiered_matches(n, analysis, vectors, questions, min_score=0.05).select("query_id", "id", "tier")

@@ -133,14 +133,6 @@ def normalized_schema(spark, d):
     return S.normalized(S.normalized(bare)).select(*SCOPE, "kind", "name", "description", F.size("properties").alias("n_properties"))
 
 
-@query("join16_identical_schemas", f"""WITH {TYPES_SQL}, k AS (SELECT stem, version, sha256(string_agg(DISTINCT kind || ':' || name, chr(10) ORDER BY kind || ':' || name)) AS digest FROM types GROUP BY ALL)
-  SELECT a.stem, a.version, max(b.version) AS copy_of FROM k a JOIN k b ON a.stem = b.stem AND a.digest = b.digest AND b.version < a.version GROUP BY ALL""")
-def identical_schemas(spark, d):
-    k = S.content_key(types_of(spark, d), SCOPE)
-    b = k.select("stem", "digest", F.col("version").alias("other"))
-    return k.join(b, ["stem", "digest"]).where("other < version").groupBy(*SCOPE).agg(F.max("other").alias("copy_of"))
-
-
 @query("join17_version_states", """WITH v AS (SELECT DISTINCT stem, version FROM nodes), a AS (SELECT stem, max(version) AS version FROM v GROUP BY stem), g AS (SELECT DISTINCT stem, version FROM edges)
   SELECT v.stem, v.version, a.version IS NOT NULL AS is_active, g.version IS NOT NULL AS has_edges FROM v LEFT JOIN a USING (stem, version) LEFT JOIN g ON g.stem = v.stem AND g.version = v.version""")
 def version_states(spark, d):
@@ -226,16 +218,6 @@ def question_success(spark, d):
     return q.agg(F.count("*").alias("n"), F.round(F.avg(F.col("a").cast("int")), 6).alias("success"))
 
 
-@query("flt14_valid_analysis", f"""WITH {TYPES_SQL}, want AS (SELECT DISTINCT stem, unnest(['Coverage', 'Invented', 'Benefit', 'coverage']) AS name FROM nodes)
-  SELECT DISTINCT w.stem, w.name FROM want w JOIN types t ON t.stem = w.stem AND t.name = w.name AND t.kind = 'node_type'""")
-def valid_analysis(spark, d):
-    """Types a question analysis names are kept only where the schema has them, in exactly that spelling."""
-    stems = table(spark, d, "nodes").select("stem").distinct()
-    want = stems.select("stem", F.explode(F.array(*map(F.lit, ("Coverage", "Invented", "Benefit", "coverage")))).alias("name"))
-    known = types_of(spark, d).where("kind = 'node_type'").select("stem", "name").distinct()
-    return want.join(known, ["stem", "name"], "left_semi")
-
-
 @query("set12_pending_review", """SELECT edge_no, stem, type FROM edges e WHERE confidence IS NULL AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.stem = e.stem AND r.type IS NOT DISTINCT FROM e.type AND r.confidence = 'HIGH')""")
 def pending_review(spark, d):
     """Queued changes leave the queue once resolved; a null id only matches a null id."""
@@ -280,3 +262,34 @@ def redundant_types(spark, d):
     vectors = dims.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("vector"))
     types = vectors.select(F.lit("node_type").alias("kind"), F.col("label").alias("pos"), F.col("label").alias("name"), "vector")
     return S.redundant_types(types, 0.05).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "score")
+
+
+@query("flt14_valid_analysis", f"""WITH {TYPES_SQL}, nt AS (SELECT DISTINCT stem, version, name FROM types WHERE kind = 'node_type'), et AS (SELECT DISTINCT stem, version, name FROM types WHERE kind = 'edge_type'), sc AS (SELECT DISTINCT stem, version FROM nodes),
+  pr AS (SELECT DISTINCT stem, version, type FROM nodes WHERE properties IS NOT NULL AND list_contains(map_keys(properties), 'amount')),
+  has AS (SELECT sc.*, EXISTS (SELECT 1 FROM nt WHERE nt.stem = sc.stem AND nt.version = sc.version AND name = 'Coverage') AS c, EXISTS (SELECT 1 FROM nt WHERE nt.stem = sc.stem AND nt.version = sc.version AND name = 'Benefit') AS b,
+    EXISTS (SELECT 1 FROM et WHERE et.stem = sc.stem AND et.version = sc.version AND name = 'LIMITS') AS l, EXISTS (SELECT 1 FROM pr WHERE pr.stem = sc.stem AND pr.version = sc.version AND type = 'Benefit') AS p FROM sc)
+  SELECT stem, version, concat_ws(',', CASE WHEN c THEN 'Coverage' END, CASE WHEN b THEN 'Benefit' END, CASE WHEN EXISTS (SELECT 1 FROM nt WHERE nt.stem = has.stem AND nt.version = has.version AND name = 'coverage') THEN 'coverage' END, CASE WHEN c THEN 'Coverage' END) AS node_types, CASE WHEN l THEN 'LIMITS' ELSE '' END AS edge_types,
+    CASE WHEN c THEN 'Coverage' ELSE '' END AS keyword_types, CASE WHEN b AND p THEN 'Benefit' ELSE '' END AS filter_types FROM has""")
+def valid_analysis(spark, d):
+    """One analysis, invented names and all, asked of every stem and version."""
+    t = types_of(spark, d)
+    p = table(spark, d, "nodes").where("properties is not null").select(*SCOPE, "type", F.explode(F.map_keys("properties")).alias("name")).distinct()
+    lists = F.array(*map(F.lit, ("Coverage", "Invented", "Benefit", "coverage", "Coverage")))
+    words = F.create_map(F.lit("Coverage"), F.array(F.lit("암")), F.lit("Invented"), F.array(F.lit("x")), F.lit("Premium"), F.array(F.lit("y")))
+    told = lambda prop, op, value: F.struct(F.lit(prop).alias("property"), F.lit(op).alias("operator"), F.lit(value).cast("string").alias("value"))
+    filters = F.create_map(F.lit("Benefit"), told("amount", "gte", 5), F.lit("Coverage"), told("nothing", "gte", 5), F.lit("Invented"), told("amount", "like", 5))
+    scopes = table(spark, d, "nodes").select(*SCOPE).distinct()
+    asked = scopes.select(F.concat_ws("/", *SCOPE).alias("key"), *SCOPE, lists.alias("node_types"), F.array(F.lit("LIMITS"), F.lit("INVENTS")).alias("edge_types"), words.alias("keywords"), filters.alias("property_filters"))
+    kept = S.valid_analyses(asked, t, p, SCOPE)
+    flat = lambda c: F.array_join(c, ",")
+    return kept.select(*SCOPE, flat("node_types").alias("node_types"), flat("edge_types").alias("edge_types"), flat(F.array_sort(F.map_keys("keywords"))).alias("keyword_types"), flat(F.array_sort(F.map_keys("property_filters"))).alias("filter_types"))
+
+
+@query("join16_unfinished_copies", f"""WITH {TYPES_SQL}, k AS (SELECT stem, version, sha256(string_agg(DISTINCT kind || ':' || name, chr(10) ORDER BY kind || ':' || name)) AS digest FROM types GROUP BY ALL),
+  nx AS (SELECT stem, max(version) + 1 AS version, arg_max(digest, version) AS digest FROM k GROUP BY stem) SELECT nx.stem, nx.version, max(k.version) AS copy_of FROM nx JOIN k USING (stem, digest) GROUP BY nx.stem, nx.version""")
+def unfinished_copies(spark, d):
+    """The newest schema of every document copied as its active next version, which has no graph yet."""
+    t = types_of(spark, d)
+    newest = t.groupBy("stem").agg(F.max("version").alias("version"))
+    copies = t.join(newest, SCOPE, "left_semi").withColumn("version", F.col("version") + 1)
+    return S.unfinished_copies(t.unionByName(copies), copies.select(*SCOPE).distinct(), table(spark, d, "nodes").select(*SCOPE))

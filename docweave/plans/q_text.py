@@ -100,11 +100,6 @@ def cited_spans(spark, d):
     return cited.where("at is not null").select("node_no", F.col("at").cast("long").alias("start_at"), (F.col("at") + F.length("evidence_text")).cast("long").alias("end_at"))
 
 
-@query("str20_node_texts", "SELECT node_no, CASE WHEN length(detail) > 0 THEN label || ': ' || detail ELSE label END AS text FROM nodes")
-def node_texts(spark, d):
-    return table(spark, d, "nodes").select("node_no", T.node_text(F.col("label"), F.col("detail")).alias("text"))
-
-
 @query("str23_fingerprints", """SELECT chunk_id, sha256('{"operation":{"name":"extract_graph","max_tokens":8192},"stage":"extract"' || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || CAST(to_json(text) AS VARCHAR) END || '}') AS fingerprint FROM chunks""")
 def fingerprints(spark, d):
     parts = {"stage": F.lit("extract"), "operation": F.struct(F.lit("extract_graph").alias("name"), F.lit(8192).alias("max_tokens")), "text": F.col("text")}
@@ -156,11 +151,6 @@ def question_keys(spark, d):
     return table(spark, d, "goldenset").select("quote_id", T.question_key(F.col("question")).alias("key"))
 
 
-@query("map01_property_pairs", "SELECT node_no, unnest(map_keys(properties)) AS name, unnest(map_values(properties)) AS value FROM nodes WHERE properties IS NOT NULL")
-def property_pairs(spark, d):
-    return table(spark, d, "nodes").where("properties is not null").select("node_no", F.explode("properties").alias("name", "value"))
-
-
 @query("mth02_arithmetic", """SELECT lang, CAST(ceil(count(*) / 7) AS BIGINT) AS batches, count(*) // 7 AS whole, count(*) % 7 AS rest,
   round(avg(length(text)), 4) AS mean_chars, round(stddev_pop(length(text)), 4) AS spread FROM documents WHERE text IS NOT NULL GROUP BY lang""")
 def arithmetic(spark, d):
@@ -175,11 +165,6 @@ def stamps(spark, d):
     return table(spark, d, "chunks").select("chunk_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"), F.date_format("created_at", "yyyyMMdd'T'HHmmss").alias("archive"))
 
 
-@query("flt22_length_guard", "SELECT doc_id, length(text) AS n_chars, length(text) > 5000 AS too_long FROM documents WHERE text IS NOT NULL")
-def length_guard(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.length("text") > 5000).alias("too_long"))
-
-
 @query("str04_table_rows", """SELECT chunk_id, count(*) AS n_rows FROM (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line FROM chunks)
   WHERE regexp_matches(line, '^\\|.*\\|\\s*$') GROUP BY chunk_id""")
 def table_rows(spark, d):
@@ -194,3 +179,32 @@ def cover_pages(spark, d):
     made = table(spark, d, "chunks").where("section_label is not null").groupBy("stem").agg(F.min("chunk_id").alias("k"), F.min("section_label").alias("name")).where("k >= 100")
     lines = F.array(F.lit(""), F.concat(F.lit("G"), F.col("k").cast("string")), F.col("name"), F.lit(""), F.lit("※ 안내"), F.lit("제1관 목적"))
     return made.select("stem", F.array_join(T.cover_page(lines), "\n").alias("page"))
+
+
+@query("flt22_length_guard", "SELECT doc_id, length(text) AS n_chars FROM documents WHERE text IS NOT NULL")
+def length_guard(spark, d):
+    """Lengths of all texts behind the guard; one over the limit would end the query."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(T.length_guarded(F.col("text"))).cast("long").alias("n_chars"))
+
+
+@query("str20_item_texts", f"""WITH g AS (SELECT id, label FROM nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY node_no) = 1)
+  SELECT 'node' AS kind, node_no AS no, md5(coalesce(CASE WHEN length(detail) > 0 THEN label || ': ' || detail ELSE label END, '') || ' ' || CASE WHEN len(map_values(coalesce(properties, MAP {{}}))) > 0 THEN array_to_string(list_transform(map_values(properties), lambda v: coalesce(v, 'None')), ' ') || ' ' ELSE '' END || coalesce(evidence_text, '')) AS digest FROM nodes
+  UNION ALL SELECT 'edge', edge_no, md5(CASE WHEN length(e.detail) > 0 THEN e.detail ELSE coalesce(s.label, '') || ' ' || coalesce(e.type, '') || ' ' || coalesce(t.label, '') END || ' ') FROM edges e LEFT JOIN g s ON s.id = e.source LEFT JOIN g t ON t.id = e.target""")
+def item_texts(spark, d):
+    """Nodes with property values and evidence, edges by their detail or their ends."""
+    n = table(spark, d, "nodes")
+    nodes = n.select(F.lit("node").alias("kind"), F.col("node_no").alias("no"), T.item_text(T.node_text(F.col("label"), F.col("detail")), F.col("properties"), F.col("evidence_text")).alias("text"))
+    labels = n.groupBy("id").agg(F.min_by("label", "node_no").alias("label"))
+    a, b = (labels.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label")) for x in ("source", "target"))
+    e = table(spark, d, "edges").join(a, "source", "left").join(b, "target", "left")
+    said = T.edge_text(F.col("detail"), F.col("source_label"), F.col("type"), F.col("target_label"))
+    edges = e.select(F.lit("edge"), "edge_no", T.item_text(said, F.create_map().cast("map<string,string>"), F.lit(None).cast("string")))
+    return nodes.union(edges).select("kind", "no", F.md5("text").alias("digest"))
+
+
+@query("map01_property_maps", "SELECT node_no, properties['amount'] AS amount, len(map_keys(properties)) AS n FROM nodes WHERE properties IS NOT NULL")
+def property_maps(spark, d):
+    """Property maps taken apart into keys and values and built again, and read by key."""
+    rebuilt = F.map_from_arrays(F.map_keys("properties"), F.transform(F.map_values("properties"), lambda v: v.cast("string")))
+    n = table(spark, d, "nodes").where("properties is not null").select("node_no", rebuilt.alias("p"))
+    return n.select("node_no", F.try_element_at("p", F.lit("amount")).alias("amount"), F.size("p").cast("long").alias("n"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
@@ -182,3 +183,24 @@ def test_cover_pages(spark):
     assert style("", "LY0816002(260626)", "이름", "둘째 줄", "※ 설명", "더", "제 1 관 목적", "끝") == ["**보험코드:** LY0816002(260626)", "", "# 이름", "둘째 줄", "", "> ※ 설명", "> 더", "", "제 1 관 목적", "끝"]
     for lines in (["이름", "제1관 목적"], ["LY0816002", "제1관 목적"], ["LY0816002", "이름"], ["LY0816002", "※ 설명", "제1관"]):
         assert style(*lines) == lines
+
+
+def test_compact_documents():
+    text = "intro\n# A\n" + "a" * 50 + "\n## B\n" + "b" * 400
+    got = K.compact_document(text, 150)
+    assert len(got) <= 150 and got.startswith("intro\n\n# A\n") and "## B\n" in got and got.endswith(K.TRUNCATED)
+    assert K.compact_document(text, 1000) == text and K.compact_document(text, 5) == "# A\n\n"
+    assert K.compact_document(text, 150, 1) != got and "# A" in K.compact_document(text, 150, 1)
+    with pytest.raises(ValueError):
+        K.compact_document("x", 0)
+
+
+def test_items_guard_and_report(spark):
+    chunks = spark.createDataFrame([("a", 5, "two"), ("a", 3, "one")], "stem string, k long, text string")
+    whole = spark.createDataFrame([("a", "whole"), ("b", "whole")], "stem string, text string")
+    assert {tuple(r) for r in K.chunk_items(chunks, whole, "stem", "k").collect()} == {("a", 0, "one"), ("a", 1, "two"), ("b", 0, "whole")}
+    with pytest.raises(Exception, match="text too long"):
+        whole.select(T.length_guarded(F.col("text"), 3)).collect()
+    scores = K.chunking_scores(spark.createDataFrame([(2, POLICY)], "doc_id long, text string"))
+    r = K.chunking_report(scores).first()
+    assert (r.sections, r.match, r.coverage) == ("2/?", "no-toc", "6/6")
