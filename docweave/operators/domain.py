@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed, is_missing
 from .schema import apply_changes
 
 
@@ -51,3 +55,49 @@ def converge(seed: DataFrame, proposals: DataFrame, scope: list[str], documents:
     changes = types.where(F.col("decision").isin(*APPLICABLE)).select(*scope, "name", order.alias("seq"), "decision", "description")
     merged = apply_changes(seed.withColumn("pos", F.struct(*(F.lit(None).cast(proposals.schema[c].dataType).alias(c) for c in documents), F.col("pos").cast(proposals.schema["position"].dataType).alias("position"))), changes, scope)
     return merged, types.where(F.col("decision") == "NEEDS_HUMAN_REVIEW").select(*scope, *documents, "name", "position")
+
+
+class DomainStore:
+    """What convergence runs leave behind per domain: the stems it was calibrated on, the history of documents, the queue for review.
+
+    All are appended; a resolution is a row of its own and takes what was queued for its change before it.
+    """
+
+    TABLES = {"stems": "domain string, stem string", "history": "domain string, stem string, at long", "pending": "domain string, change_id string, at long", "resolved": "domain string, change_id string, at long"}
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def _read(self, name: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if not is_missing(e):
+                raise
+            return self.spark.createDataFrame([], self.TABLES[name])
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def append_run(self, stems: DataFrame, documents: DataFrame, pending: DataFrame) -> None:
+        """stems and documents: domain, stem; pending: domain, change_id, one row a queued change."""
+        at = F.lit(time.time_ns()).alias("at")
+        self._append("stems", checkpointed(stems.select("domain", "stem").distinct().join(self._read("stems"), ["domain", "stem"], "left_anti")))
+        self._append("history", documents.select("domain", "stem", at))
+        self._append("pending", pending.select("domain", "change_id", at))
+
+    def resolve(self, changes: DataFrame) -> None:
+        self._append("resolved", changes.select("domain", "change_id", F.lit(time.time_ns()).alias("at")))
+
+    def stems(self) -> DataFrame:
+        return self._read("stems").distinct()
+
+    def history(self) -> DataFrame:
+        return self._read("history")
+
+    def pending(self) -> DataFrame:
+        """Queued changes not resolved since; a null id only matches a null id."""
+        done = self._read("resolved").groupBy("domain", "change_id").agg(F.max("at").alias("done_at")).alias("r")
+        queue = self._read("pending").alias("q")
+        same = (F.col("q.domain") == F.col("r.domain")) & F.col("q.change_id").eqNullSafe(F.col("r.change_id")) & (F.col("q.at") < F.col("r.done_at"))
+        return queue.join(done, same, "left_anti")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import checkpointed
+from .spreading import salted_join
 
 SCOPE = ["stem", "version"]
 MAX_HOPS = 5
@@ -38,7 +39,7 @@ def keyword_hit(label: Column, keyword: Column) -> Column:
 def keyword_matches(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
     """query_id, id of nodes whose label matches a keyword given for their type. keywords: query_id, stem, version, type, keyword."""
     k = keywords.select("query_id", "stem", "version", "type", "keyword")
-    joined = nodes.select(*SCOPE, "type", "id", "label").join(k, [*SCOPE, "type"])
+    joined = salted_join(nodes.select(*SCOPE, "type", "id", "label"), k, [*SCOPE, "type"], "id")
     return joined.where(keyword_hit(F.col("label"), F.col("keyword"))).select("query_id", "id").distinct()
 
 

@@ -176,3 +176,14 @@ def unfinished_copies(types: DataFrame, active: DataFrame, graphs: DataFrame) ->
     bare = active.join(graphs.select("stem", "version").distinct(), ["stem", "version"], "left_anti").join(key, ["stem", "version"])
     other = key.select("stem", "digest", F.col("version").alias("other"))
     return bare.join(other, ["stem", "digest"]).where("other <> version").groupBy("stem", "version").agg(F.max("other").alias("copy_of"))
+
+
+def reused_schemas(types: DataFrame, active: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The active schema of `source` as the next version of `stem`, for every pair (stem, source); sources without one give nothing.
+
+    types: stem, version and a schema's columns; active: stem, version.
+    """
+    rest = [c for c in types.columns if c not in ("stem", "version")]
+    own = types.join(active.select("stem", "version"), ["stem", "version"], "left_semi").select(F.col("stem").alias("source"), *rest)
+    last = types.groupBy("stem").agg(F.max("version").alias("last"))
+    return pairs.join(own, "source").join(last, "stem", "left").select("stem", (F.coalesce("last", F.lit(0)) + 1).alias("version"), *rest)

@@ -121,12 +121,6 @@ def verified_answers(spark, d):
     return rows.groupBy("stem", "id").agg((F.bool_or("answerable") & (F.count_if(good) > 0)).alias("answerable"), F.count_if(given & ~good).alias("n_unverified"))
 
 
-@query("win04_latest_answers", "SELECT stem, id, arg_max(quote_id, quote_id) AS quote_id, arg_max(coalesce(answer, ''), quote_id) AS answer FROM goldenset GROUP BY ALL")
-def latest_answers(spark, d):
-    rows = table(spark, d, "goldenset").select("stem", "id", "quote_id", F.coalesce("answer", F.lit("")).alias("answer"))
-    return E.latest(rows.withColumn("seq", F.col("quote_id")), ["stem", "id"], "seq", ["quote_id", "answer"])
-
-
 @query("win07_renumbered_questions", """WITH k AS (SELECT stem, min(quote_id) AS quote_id FROM (SELECT stem, quote_id, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS key FROM goldenset WHERE question IS NOT NULL) GROUP BY stem, key)
   SELECT stem, quote_id, 'q' || CASE WHEN row_number() OVER w < 1000 THEN lpad(CAST(row_number() OVER w AS VARCHAR), 3, '0') ELSE CAST(row_number() OVER w AS VARCHAR) END AS new_id FROM k WINDOW w AS (PARTITION BY stem ORDER BY quote_id)""")
 def renumbered_questions(spark, d):
@@ -275,3 +269,12 @@ def question_answers(spark, d):
   UNION ALL SELECT 'question', question_id, outcome || ' ' || CASE WHEN recall IS NULL THEN '-' ELSE printf('%.2f', recall::DOUBLE) END FROM sc""")
 def scoring_report(spark, d):
     return E.scoring_report(scored_questions(spark, d))
+
+
+@query("win04_latest_answers", """WITH v AS (SELECT stem, max(version) AS version FROM nodes GROUP BY stem), a AS (SELECT stem, id, quote_id, coalesce(answer, '') AS answer, CASE WHEN answerable THEN version ELSE 0 END AS version FROM goldenset JOIN v USING (stem))
+  SELECT stem, id, arg_max(quote_id, quote_id) AS quote_id, arg_max(answer, quote_id) AS answer FROM a SEMI JOIN v USING (stem, version) GROUP BY ALL""")
+def latest_answers(spark, d):
+    """The answer appended last to each question under the active version; unanswerable ones were logged under another, documents without graph have none."""
+    active = table(spark, d, "nodes").groupBy("stem").agg(F.max("version").alias("version"))
+    log = table(spark, d, "goldenset").join(active, "stem").select("stem", F.when(F.col("answerable"), F.col("version")).otherwise(0).alias("version"), "id", "quote_id", F.coalesce("answer", F.lit("")).alias("answer"), F.col("quote_id").alias("seq"))
+    return E.latest(log.join(active, ["stem", "version"], "left_semi"), ["stem", "id"], "seq", ["quote_id", "answer"])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import refinement as R
 from ..operators import rewriting as W
+from ..operators.spreading import sums_before
 from ..shared import shared_folder
 from ..sources.store import GraphStore
 from .providers import parsed_replies
@@ -70,9 +70,8 @@ def known_sections(spark, d):
   SELECT node_no, CAST(base + strpos(text, evidence_text) - 1 AS BIGINT) AS start_at, CAST(base + strpos(text, evidence_text) - 1 + length(evidence_text) AS BIGINT) AS end_at
   FROM nodes JOIN o USING (chunk_id) WHERE evidence_text <> '' AND strpos(text, evidence_text) > 0""")
 def document_offsets(spark, d):
-    before = Window.partitionBy("stem").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
-    sized = table(spark, d, "chunks").select("chunk_id", "stem", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    bases = sized.select("chunk_id", F.coalesce(F.sum(F.col("n") + 2).over(before), F.lit(0)).alias("base"))
+    sized = table(spark, d, "chunks").select("chunk_id", "stem", (F.length(F.coalesce("text", F.lit(""))) + 2).alias("n"))
+    bases = sums_before(sized, "stem", "chunk_id", "n", "base").select("chunk_id", "base")
     found = _cited(spark, d).withColumn("s", W.evidence_span(F.col("evidence_text"), F.col("text"))).where("s is not null").select("node_no", "chunk_id", "s")
     return found.join(bases, "chunk_id").select("node_no", (F.col("base") + F.col("s.start")).alias("start_at"), (F.col("base") + F.col("s.end")).alias("end_at"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking as K
@@ -12,6 +11,7 @@ from ..operators import discovery as D
 from ..operators import evaluation as E
 from ..operators import rewriting as W
 from ..operators.search import Search, tiered_matches
+from ..operators.spreading import sums_before
 from ..shared import shared_folder
 from . import pipelines as P
 from .q_graph import GRAPH_SQL, edges_of, nodes_of
@@ -81,9 +81,8 @@ def search_context(spark, d):
 def extracted_versions(spark, d):
     """Group replies of every stem and version: declared properties, known sections, evidence verified and anchored in the document, merged."""
     chunks = table(spark, d, "chunks")
-    before = Window.partitionBy("stem").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
-    sized = chunks.select("chunk_id", "stem", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    bases = sized.select(F.col("chunk_id").alias("text_id"), F.coalesce(F.sum(F.col("n") + 2).over(before), F.lit(0)).alias("base"))
+    sized = chunks.select("chunk_id", "stem", (F.length(F.coalesce("text", F.lit(""))) + 2).alias("n"))
+    bases = sums_before(sized, "stem", "chunk_id", "n", "base").select(F.col("chunk_id").alias("text_id"), "base")
     texts = chunks.select(F.col("chunk_id").alias("text_id"), "text", F.concat(F.lit("["), "section_label", F.lit("]\n"), "text").alias("headed")).join(bases, "text_id")
     n = table(spark, d, "nodes").select("stem", "version", "id", "type", "label", "confidence", "evidence_text", "source_section", "properties", F.col("chunk_id").alias("text_id"), F.col("node_no").alias("seq"))
     e = edges_of(spark, d).select("stem", "version", "source", "target", "type", F.col("edge_no").alias("seq"))

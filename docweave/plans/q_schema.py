@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import domain as D
 from ..operators import evaluation as E
 from ..operators import schema as S
+from ..shared import shared_folder
 from .q_extraction import MAPPING, MAPPING_SQL
 from .registry import query, table
 
@@ -176,16 +177,6 @@ def active_schema(spark, d):
     return t.join(active, SCOPE, "left_semi").select("stem", "kind", "name")
 
 
-@query("src30_reuse_schema", f"""WITH {TYPES_SQL}, src AS (SELECT min(stem) AS stem FROM types), goal AS (SELECT stem, max(version) + 1 AS version FROM types GROUP BY stem)
-  SELECT goal.stem, goal.version, t.kind, t.name FROM goal CROSS JOIN (SELECT DISTINCT kind, name FROM types WHERE stem = (SELECT stem FROM src) AND version = 1) t""")
-def reuse_schema(spark, d):
-    t = types_of(spark, d)
-    first = t.agg(F.min("stem").alias("stem"))
-    held = t.join(F.broadcast(first), "stem", "left_semi").where("version = 1").select("kind", "name").distinct()
-    goal = t.groupBy("stem").agg((F.max("version") + 1).alias("version"))
-    return goal.crossJoin(F.broadcast(held)).select("stem", "version", "kind", "name")
-
-
 @query("src32_domain_types", f"WITH {TYPES_SQL}, dm AS (SELECT lower(document_id) || '_raw' AS stem, min(category) AS domain FROM samsung_life_term WHERE document_id IS NOT NULL GROUP BY 1) SELECT domain, kind, count(DISTINCT name) AS n_types, count(DISTINCT stem) AS n_stems FROM types JOIN dm USING (stem) GROUP BY ALL")
 def domain_types(spark, d):
     dm = table(spark, d, "samsung_life_term").where("document_id is not null").groupBy(F.concat(F.lower("document_id"), F.lit("_raw")).alias("stem")).agg(F.min("category").alias("domain"))
@@ -218,14 +209,6 @@ def question_success(spark, d):
     return q.agg(F.count("*").alias("n"), F.round(F.avg(F.col("a").cast("int")), 6).alias("success"))
 
 
-@query("set12_pending_review", """SELECT edge_no, stem, type FROM edges e WHERE confidence IS NULL AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.stem = e.stem AND r.type IS NOT DISTINCT FROM e.type AND r.confidence = 'HIGH')""")
-def pending_review(spark, d):
-    """Queued changes leave the queue once resolved; a null id only matches a null id."""
-    e = table(spark, d, "edges")
-    queue, done = e.where("confidence is null").alias("q"), e.where("confidence = 'HIGH'").select("stem", "type").distinct().alias("r")
-    return queue.join(done, (F.col("q.stem") == F.col("r.stem")) & F.col("q.type").eqNullSafe(F.col("r.type")), "left_anti").select("edge_no", "stem", "type")
-
-
 PROPOSAL_SQL = f"""{TYPES_SQL}, dm AS (SELECT lower(document_id) || '_raw' AS stem, min(coalesce(category, '-')) AS domain FROM samsung_life_term WHERE document_id IS NOT NULL GROUP BY 1),
   p AS (SELECT domain, stem, name, min(pos) AS position FROM types JOIN dm USING (stem) WHERE kind = 'node_type' AND name <> '' GROUP BY ALL)"""
 
@@ -293,3 +276,37 @@ def unfinished_copies(spark, d):
     newest = t.groupBy("stem").agg(F.max("version").alias("version"))
     copies = t.join(newest, SCOPE, "left_semi").withColumn("version", F.col("version") + 1)
     return S.unfinished_copies(t.unionByName(copies), copies.select(*SCOPE).distinct(), table(spark, d, "nodes").select(*SCOPE))
+
+
+@query("src30_reused_schemas", f"""WITH {TYPES_SQL}, v AS (SELECT stem, max(version) AS version FROM types GROUP BY stem), dm AS (SELECT lower(document_id) || '_raw' AS stem, min(coalesce(category, '-')) AS domain FROM samsung_life_term WHERE document_id IS NOT NULL GROUP BY 1),
+  f AS (SELECT domain, min(stem) AS source FROM dm JOIN v USING (stem) GROUP BY domain) SELECT v.stem, v.version + 1 AS version, t.kind, t.name FROM v JOIN dm USING (stem) JOIN f USING (domain) JOIN v s ON s.stem = f.source JOIN types t ON t.stem = s.stem AND t.version = s.version WHERE v.stem <> f.source""")
+def reuse_schema(spark, d):
+    """Every document takes over the active schema of the first document of its category."""
+    t = types_of(spark, d).select(*SCOPE, "kind", "name")
+    active = t.groupBy("stem").agg(F.max("version").alias("version"))
+    dm = table(spark, d, "samsung_life_term").where("document_id is not null").groupBy(F.concat(F.lower("document_id"), F.lit("_raw")).alias("stem")).agg(F.min(F.coalesce("category", F.lit("-"))).alias("domain"))
+    own = dm.join(active.select("stem"), "stem")
+    pairs = own.join(own.groupBy("domain").agg(F.min("stem").alias("source")), "domain").where("stem <> source").select("stem", "source")
+    return S.reused_schemas(t, active, pairs)
+
+
+@query("set12_persisted_convergence", """WITH dm AS (SELECT lower(document_id) || '_raw' AS stem, min(coalesce(category, '-')) AS domain FROM samsung_life_term WHERE document_id IS NOT NULL GROUP BY 1),
+  e AS (SELECT domain, stem, type AS change_id, confidence FROM edges JOIN dm USING (stem)), done AS (SELECT DISTINCT domain, change_id FROM e WHERE confidence = 'HIGH')
+  SELECT domain, 'stem' AS part, stem AS value, NULL::BIGINT AS n FROM e GROUP BY domain, stem UNION ALL SELECT domain, 'history', NULL, count(DISTINCT stem) FROM e GROUP BY domain
+  UNION ALL SELECT domain, 'pending', change_id, count(*) FROM e WHERE confidence IS NULL AND NOT EXISTS (SELECT 1 FROM done WHERE done.domain = e.domain AND done.change_id IS NOT DISTINCT FROM e.change_id) GROUP BY domain, change_id""")
+def persisted_convergence(spark, d):
+    """Two runs over a domain's documents: stems united, history and queue appended, resolved changes out of the queue; a null id only matches a null id."""
+    dm = table(spark, d, "samsung_life_term").where("document_id is not null").groupBy(F.concat(F.lower("document_id"), F.lit("_raw")).alias("stem")).agg(F.min(F.coalesce("category", F.lit("-"))).alias("domain"))
+    e = table(spark, d, "edges").join(dm, "stem").select("domain", "stem", F.col("type").alias("change_id"), "confidence", "version")
+    store = D.DomainStore(spark, shared_folder(spark, "domains"))
+    first = e.groupBy("domain", "stem").agg(F.min("version").alias("first"))
+    for later in (False, True):
+        own = e.join(first, ["domain", "stem"]).where((F.col("version") > F.col("first")) == F.lit(later))
+        stems = own.select("domain", "stem").distinct()
+        told = e.select("domain", "stem").distinct().join(first.where(F.lit(not later)), ["domain", "stem"], "left_semi")
+        store.append_run(stems, told, own.where("confidence is null").select("domain", "change_id"))
+    store.resolve(e.where("confidence = 'HIGH'").select("domain", "change_id").distinct())
+    none = F.lit(None).cast("string")
+    history = store.history().groupBy("domain").agg(F.count("*").alias("n")).select("domain", F.lit("history").alias("part"), none.alias("value"), "n")
+    pending = store.pending().groupBy("domain", "change_id").agg(F.count("*").alias("n")).select("domain", F.lit("pending"), "change_id", "n")
+    return store.stems().select("domain", F.lit("stem").alias("part"), F.col("stem").alias("value"), F.lit(None).cast("long").alias("n")).union(history).union(pending)

@@ -26,16 +26,6 @@ def written_graph(spark, d):
     return count(store.nodes(), "node").union(count(store.edges(), "edge"))
 
 
-@query("src12_document_list", """WITH t AS (SELECT stem, max(loaded_at) AS m FROM chunks GROUP BY stem), p AS (SELECT lower(document_id) || '_raw' AS stem, max(loaded_at) AS m FROM samsung_life_term WHERE document_id IS NOT NULL GROUP BY 1)
-  SELECT stem, t.stem IS NOT NULL AS has_text, p.stem IS NOT NULL AS has_pdf, stem IN (SELECT stem FROM nodes) AS has_graph FROM t FULL JOIN p USING (stem)""")
-def document_list(spark, d):
-    t = table(spark, d, "chunks").groupBy("stem").agg(F.max("loaded_at").alias("t"))
-    p = table(spark, d, "samsung_life_term").where("document_id is not null").groupBy(F.concat(F.lower("document_id"), F.lit("_raw")).alias("stem")).agg(F.max("loaded_at").alias("p"))
-    g = table(spark, d, "nodes").select("stem").distinct().withColumn("g", F.lit(True))
-    both = t.join(p, "stem", "full_outer").join(g, "stem", "left")
-    return both.select("stem", F.col("t").isNotNull().alias("has_text"), F.col("p").isNotNull().alias("has_pdf"), F.col("g").isNotNull().alias("has_graph"))
-
-
 @query("src08_markdown_scan", "SELECT stem || '.md' AS name, CAST(sum(length(coalesce(text, '')) + 2) - 2 AS BIGINT) AS n_chars FROM chunks GROUP BY stem")
 def markdown_scan(spark, d):
     """Documents written as text and scanned again by name."""
@@ -162,3 +152,14 @@ def markdown_text(spark, d):
     """Whole texts as Markdown: headings, lists and paragraphs of circled numbers; page numbers and runs of blanks go."""
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", T.markdown_lines(F.col("text")).alias("lines"))
     return rows.select("doc_id", F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
+
+
+@query("src12_document_list", """WITH t AS (SELECT stem, max(loaded_at) AS m FROM chunks GROUP BY stem), p AS (SELECT lower(document_id) || '_raw' AS stem, max(loaded_at) AS m FROM samsung_life_term WHERE document_id IS NOT NULL GROUP BY 1)
+  SELECT stem, t.stem IS NOT NULL AS has_text, p.stem IS NOT NULL AS has_pdf, stem IN (SELECT stem FROM nodes) AS has_graph, strftime(greatest(t.m, p.m), '%Y-%m-%d %H:%M:%S') AS modified_at FROM t FULL JOIN p USING (stem)""")
+def document_list(spark, d):
+    """Documents with text and those with a catalogue entry only, newest first."""
+    t = table(spark, d, "chunks").groupBy("stem").agg(F.max("loaded_at").alias("t"))
+    p = table(spark, d, "samsung_life_term").where("document_id is not null").groupBy(F.concat(F.lower("document_id"), F.lit("_raw")).alias("stem")).agg(F.max("loaded_at").alias("p"))
+    g = table(spark, d, "nodes").select("stem").distinct().withColumn("g", F.lit(True))
+    both = t.join(p, "stem", "full_outer").join(g, "stem", "left").withColumn("m", F.greatest("t", "p")).orderBy(F.desc("m"), "stem")
+    return both.select("stem", F.col("t").isNotNull().alias("has_text"), F.col("p").isNotNull().alias("has_pdf"), F.col("g").isNotNull().alias("has_graph"), F.date_format("m", "yyyy-MM-dd HH:mm:ss").alias("modified_at"))

@@ -172,15 +172,6 @@ def table_rows(spark, d):
     return lines.where(F.col("line").rlike(r"^\|.*\|\s*$")).groupBy("chunk_id").agg(F.count("*").alias("n_rows"))
 
 
-@query("str05_cover_pages", """SELECT stem, '**보험코드:** ' || 'G' || min(chunk_id) || chr(10) || chr(10) || '# ' || min(section_label) || chr(10) || chr(10) || '> ※ 안내' || chr(10) || chr(10) || '제1관 목적' AS page
-  FROM chunks WHERE section_label IS NOT NULL GROUP BY stem HAVING min(chunk_id) >= 100""")
-def cover_pages(spark, d):
-    """A cover made of each document's first chunk number and section, styled."""
-    made = table(spark, d, "chunks").where("section_label is not null").groupBy("stem").agg(F.min("chunk_id").alias("k"), F.min("section_label").alias("name")).where("k >= 100")
-    lines = F.array(F.lit(""), F.concat(F.lit("G"), F.col("k").cast("string")), F.col("name"), F.lit(""), F.lit("※ 안내"), F.lit("제1관 목적"))
-    return made.select("stem", F.array_join(T.cover_page(lines), "\n").alias("page"))
-
-
 @query("flt22_length_guard", "SELECT doc_id, length(text) AS n_chars FROM documents WHERE text IS NOT NULL")
 def length_guard(spark, d):
     """Lengths of all texts behind the guard; one over the limit would end the query."""
@@ -208,3 +199,12 @@ def property_maps(spark, d):
     rebuilt = F.map_from_arrays(F.map_keys("properties"), F.transform(F.map_values("properties"), lambda v: v.cast("string")))
     n = table(spark, d, "nodes").where("properties is not null").select("node_no", rebuilt.alias("p"))
     return n.select("node_no", F.try_element_at("p", F.lit("amount")).alias("amount"), F.size("p").cast("long").alias("n"))
+
+
+@query("str05_cover_pages", """SELECT stem, '**보험코드:** ' || 'G' || lpad(CAST(min(chunk_id) AS VARCHAR), 9, '0') || chr(10) || chr(10) || '# ' || min(section_label) || chr(10) || chr(10) || '> ※ 안내' || chr(10) || chr(10) || '제1관 목적' AS page
+  FROM chunks WHERE section_label IS NOT NULL GROUP BY stem""")
+def cover_pages(spark, d):
+    """A cover made of each document's first chunk number and section, styled."""
+    made = table(spark, d, "chunks").where("section_label is not null").groupBy("stem").agg(F.min("chunk_id").alias("k"), F.min("section_label").alias("name"))
+    lines = F.array(F.lit(""), F.concat(F.lit("G"), F.lpad(F.col("k").cast("string"), 9, "0")), F.col("name"), F.lit(""), F.lit("※ 안내"), F.lit("제1관 목적"))
+    return made.select("stem", F.array_join(T.cover_page(lines), "\n").alias("page"))
