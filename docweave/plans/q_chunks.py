@@ -69,11 +69,6 @@ def legacy_chunks(spark, d):
     return numbered.select("doc_id", "section", "h.article_no", "h.title", "line_no", "line_end")
 
 
-@query("str13_contents_entries")
-def contents_entries(spark, d):
-    return K.contents_entries(table(spark, d, "documents"))
-
-
 SEQ = ["stem", "section_index"]
 
 
@@ -203,3 +198,17 @@ CUT_TAIL = "chr(10) || '[section content truncated]'"
   SELECT doc_id, md5(text) AS digest FROM d UNION ALL SELECT doc_id, md5(text) FROM documents WHERE length(text) <= 2000""")
 def compact_documents(spark, d):
     return K.compact_documents(table(spark, d, "documents"), 2000).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("str13_contents_entries", """WITH n AS (SELECT DISTINCT stem, trim(rider_name) AS name FROM chunks WHERE trim(rider_name) <> ''), f AS (SELECT stem, min(chunk_id) AS doc_id FROM chunks GROUP BY stem)
+  SELECT doc_id, 'main' AS kind, 'G' || stem AS name, 0 AS position FROM f UNION ALL SELECT doc_id, 'rider', name, row_number() OVER (PARTITION BY doc_id ORDER BY name) FROM n JOIN f USING (stem)""")
+def contents_entries(spark, d):
+    """Contents written from each document's rider names, long ones wrapped over a page break, and read back."""
+    chunks = table(spark, d, "chunks")
+    names = chunks.where("trim(rider_name) <> ''").groupBy("stem").agg(F.array_sort(F.collect_set(F.trim("rider_name"))).alias("names"))
+    first = chunks.groupBy("stem").agg(F.min("chunk_id").alias("doc_id"))
+    # A name of more than twelve letters breaks where no blank stands on either side.
+    entry = lambda x, i: F.when((F.length(x) > 12) & ~F.contains(x, F.lit(" ")) & F.contains(F.substr(x, F.lit(1), F.lit(9)), F.lit("특약")) & F.contains(F.substr(x, F.lit(1), F.lit(9)), F.lit("(")) & ~F.contains(F.substr(x, F.lit(1), F.lit(9)), F.lit(")")), F.concat(F.substr(x, F.lit(1), F.lit(9)), F.lit("\n---\n"), F.substr(x, F.lit(10)))).otherwise(x)
+    lines = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda x, i: F.concat(entry(x, i), F.lit(" "), (i % 900 + 1).cast("string")))
+    text = F.concat(F.lit("앞\n상품 목차\n주계약\nG"), "stem", F.lit(" 1\n특약 ※ 안내\n"), F.array_join(lines, "\n"))
+    return K.contents_entries(first.join(names, "stem", "left").select("doc_id", text.alias("text")))

@@ -61,7 +61,20 @@ def related_nodes(spark, d):
     return _search(spark, d).related_nodes.select("query_id", "id").distinct()
 
 
-@query("pipe01_search_context")
+CONTEXT_SQL = f"""{TIER_SQL}, w AS (SELECT stem || '/' || version AS query_id, source, target, type, detail, confidence FROM edges WHERE type IN ('LIMITS', 'EXCLUDES')),
+  t AS (SELECT query_id, source, target FROM w WHERE (query_id, source) IN (SELECT query_id, id FROM m) OR (query_id, target) IN (SELECT query_id, id FROM m) OR query_id NOT IN (SELECT query_id FROM m)),
+  s AS (SELECT query_id, id FROM m UNION SELECT query_id, source FROM t UNION SELECT query_id, target FROM t),
+  r AS (SELECT query_id, id FROM s UNION SELECT w.query_id, w.target FROM w JOIN s ON w.query_id = s.query_id AND w.source = s.id UNION SELECT w.query_id, w.source FROM w JOIN s ON w.query_id = s.query_id AND w.target = s.id),
+  asked AS (SELECT DISTINCT stem || '/' || version AS query_id FROM g), reached AS (SELECT r.* FROM r SEMI JOIN asked USING (query_id)),
+  nl AS (SELECT reached.query_id, CASE WHEN (reached.query_id, g.id) IN (SELECT query_id, id FROM m) THEN CASE type WHEN 'Coverage' THEN 0 WHEN 'Premium' THEN 1 ELSE 2 END ELSE 1073741824 END AS rank, g.id,
+    '- ' || label || ' (' || coalesce(type, '') || ')' || CASE WHEN length(detail) > 0 THEN ': ' || detail ELSE '' END || CASE WHEN evidence_text IS NULL AND source_section IS NULL THEN '' ELSE ' [' || concat_ws('; ', '근거: ' || evidence_text, '출처: ' || source_section) || ']' END AS line
+    FROM reached JOIN g USING (id) WHERE confidence IS NULL OR confidence IN ('LOW', 'MEDIUM', 'HIGH')),
+  el AS (SELECT DISTINCT w.query_id, concat_ws('|', w.type, source, target) AS key, '- ' || x.label || ' --' || w.type || '--> ' || y.label || CASE WHEN length(w.detail) > 0 THEN ': ' || w.detail ELSE '' END AS line
+    FROM w JOIN reached a ON a.query_id = w.query_id AND a.id = source JOIN reached b ON b.query_id = w.query_id AND b.id = target JOIN g x ON x.id = source JOIN g y ON y.id = target WHERE w.confidence IS NULL OR w.confidence IN ('LOW', 'MEDIUM', 'HIGH')),
+  en AS (SELECT query_id, 'Entities:' || chr(10) || string_agg(line, chr(10) ORDER BY rank, id, line) AS text FROM nl GROUP BY query_id), rl AS (SELECT query_id, 'Relations:' || chr(10) || string_agg(line, chr(10) ORDER BY key, line) AS text FROM el GROUP BY query_id)"""
+
+
+@query("pipe01_search_context", f"WITH {CONTEXT_SQL} SELECT query_id, concat_ws(chr(10) || chr(10), en.text, rl.text) AS context FROM en FULL JOIN rl USING (query_id)")
 def search_context(spark, d):
     return _search(spark, d).context()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.files import table_markdown
 from .registry import query, table
 
 S = r"[\s\x{85}\x{a0}\x{1c}-\x{1f}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -165,13 +166,6 @@ def stamps(spark, d):
     return table(spark, d, "chunks").select("chunk_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"), F.date_format("created_at", "yyyyMMdd'T'HHmmss").alias("archive"))
 
 
-@query("str04_table_rows", """SELECT chunk_id, count(*) AS n_rows FROM (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line FROM chunks)
-  WHERE regexp_matches(line, '^\\|.*\\|\\s*$') GROUP BY chunk_id""")
-def table_rows(spark, d):
-    lines = table(spark, d, "chunks").select("chunk_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(F.col("line").rlike(r"^\|.*\|\s*$")).groupBy("chunk_id").agg(F.count("*").alias("n_rows"))
-
-
 @query("flt22_length_guard", "SELECT doc_id, length(text) AS n_chars FROM documents WHERE text IS NOT NULL")
 def length_guard(spark, d):
     """Lengths of all texts behind the guard; one over the limit would end the query."""
@@ -208,3 +202,12 @@ def cover_pages(spark, d):
     made = table(spark, d, "chunks").where("section_label is not null").groupBy("stem").agg(F.min("chunk_id").alias("k"), F.min("section_label").alias("name"))
     lines = F.array(F.lit(""), F.concat(F.lit("G"), F.lpad(F.col("k").cast("string"), 9, "0")), F.col("name"), F.lit(""), F.lit("※ 안내"), F.lit("제1관 목적"))
     return made.select("stem", F.array_join(T.cover_page(lines), "\n").alias("page"))
+
+
+@query("str04_table_markdown", """WITH c AS (SELECT node_no, list_transform([label, type, detail, confidence], lambda x: trim(regexp_replace(replace(coalesce(x, ''), '|', '\\|'), '\\s*\\n\\s*', '<br>', 'g'))) AS c FROM nodes)
+  SELECT node_no, CASE WHEN len(list_filter(c, lambda x: x <> '')) >= 3 THEN '| ' || c[1] || ' | ' || c[2] || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c[3] || ' | ' || c[4] || ' |' END AS markdown FROM c""")
+def table_markdowns(spark, d):
+    """Two rows of a node's fields around an empty column, with an empty row below, as a Markdown table."""
+    none = F.lit(None).cast("string")
+    cells = F.array(F.array("label", none, "type"), F.array("detail", F.lit(""), "confidence"), F.array(none, none, none))
+    return table(spark, d, "nodes").select("node_no", table_markdown(cells).alias("markdown"))
