@@ -138,16 +138,19 @@ def best_bundles(rows: DataFrame, group: list[str], number: str, confidence: str
         return F.struct(F.lit(k).alias("bundle"), trust["rank_"].alias("rank"), trust["when_"].alias("when"), trust["length"].alias("length"), (-trust["no"]).alias("no"), value.alias("value"))
 
     # The best value of every bundle dominates all others of a group in which these values keep the rules.
-    tops = F.filter(F.array(*(F.when(F.col(f"best_{n}").isNotNull(), entry(k, F.col(f"best_{n}"), F.lit(None).cast("string"))) for k, n in enumerate(names))), lambda x: x.isNotNull())
-    free = lambda df: df.select("group_no", tops.cast(CANDIDATE).alias("candidates"), F.array().cast(IMPLIED).alias("implied"))
+    top = lambda which: F.filter(F.array(*(F.when(F.col(f"best_{names[k]}").isNotNull(), entry(k, F.col(f"best_{names[k]}"), F.lit(None).cast("string"))) for k in which)), lambda x: x.isNotNull()).cast(CANDIDATE)
+    free = lambda df: df.select("group_no", top(range(len(names))).alias("candidates"), F.array().cast(IMPLIED).alias("implied"))
     searched = lambda df: df.mapInArrow(lambda it: _branch(it, names, index), "group_no long, bundle string, from_no long")
     if not rules:
         return searched(free(root))
     root = C.cut(root)
+    # Only bundles that a rule names can be anything but their best; the others need no candidates.
+    ruled = sorted({k for rule in index for k in rule})
+    loose = [k for k in range(len(bundles)) if k not in ruled]
     # The value each left side implies: the most trusted right side stated beside it in the group.
-    keys = root.select(*group, "group_no", *(F.col(f"best_{b.name}") for b in bundles))
-    needed = dict.fromkeys(["no_", "rank_", "when_", *(f for b in bundles for f in b.fields)])
-    tied = C.cut(base.join(keys, group).select(*needed, "group_no", *(f"best_{b.name}" for b in bundles)))
+    keys = root.select(*group, "group_no", *(F.col(f"best_{names[k]}") for k in ruled))
+    needed = dict.fromkeys(["no_", "rank_", "when_", *(f for k in ruled for f in bundles[k].fields)])
+    tied = C.cut(base.join(keys, group).select(*needed, "group_no", *(f"best_{names[k]}" for k in ruled)))
     stated = None
     for r, (x, y) in enumerate(index):
         bx, by = bundles[x], bundles[y]
@@ -155,7 +158,8 @@ def best_bundles(rows: DataFrame, group: list[str], number: str, confidence: str
         stated = pairs if stated is None else stated.union(pairs)
     stated = C.cut(stated)
     candidates = None
-    for k, b in enumerate(bundles):
+    for k in ruled:
+        b = bundles[k]
         own = tied.where(b.usable()).groupBy("group_no", F.lit(k).alias("bundle"), b.value().alias("value")).agg(F.max(b.trust()).alias("trust"), F.first(f"best_{b.name}").alias("top"))
         own = own.select("group_no", "bundle", "value", "trust", (F.col("trust") == F.col("top")).alias("is_top"))
         candidates = own if candidates is None else candidates.union(own)
@@ -164,7 +168,7 @@ def best_bundles(rows: DataFrame, group: list[str], number: str, confidence: str
     side = lambda k: F.element_at("tops", F.element_at(F.array(*(F.lit(i[k]) for i in index)), F.col("rule") + 1))
     broken = C.cut(stated.join(best, "group_no").where((side(0) == F.col("x")) & side(1).isNotNull() & (side(1) != F.col("y"))).select("group_no").distinct())
     kept = None
-    for k in range(len(bundles)):
+    for k in ruled:
         own = candidates.where(F.col("bundle") == k).join(broken, "group_no", "left_semi")
         alike = []
         for r, (x, y) in enumerate(index):
@@ -179,8 +183,10 @@ def best_bundles(rows: DataFrame, group: list[str], number: str, confidence: str
     used = kept.select("group_no", F.col("value").alias("x")).distinct()
     implied = stated.join(used, ["group_no", "x"], "left_semi").groupBy("group_no").agg(F.collect_list(F.struct("rule", "x", "y")).cast(IMPLIED).alias("implied"))
     entries = F.struct("bundle", F.col("trust.rank_").alias("rank"), F.col("trust.when_").alias("when"), F.col("trust.length").alias("length"), (-F.col("trust.no")).alias("no"), "value")
-    listed = kept.groupBy("group_no").agg(F.collect_list(entries).cast(CANDIDATE).alias("candidates"))
-    return searched(free(root.join(broken, "group_no", "left_anti")).unionByName(listed.join(implied, "group_no")))
+    listed = kept.groupBy("group_no").agg(F.collect_list(entries).cast(CANDIDATE).alias("ruled"))
+    rest = root.join(broken, "group_no", "left_semi").select("group_no", (top(loose) if loose else F.array().cast(CANDIDATE)).alias("loose"))
+    open_groups = listed.join(rest, "group_no").select("group_no", F.concat("ruled", "loose").alias("candidates")).join(implied, "group_no")
+    return searched(free(root.join(broken, "group_no", "left_anti")).unionByName(open_groups))
 
 
 def with_thing_keys(nodes: DataFrame) -> DataFrame:
