@@ -190,6 +190,20 @@ def line_span(text: Column, quote: Column) -> Column:
     return F.when(at.isNotNull(), F.struct(first.alias("line_start"), (first + breaks(quote)).alias("line_end")))
 
 
+def items_in_range(items: Column, start: Column, end: Column) -> Column:
+    """Indices (from 0) of the items, laid end to end, that [start, end) touches; empty ones count where they lie within it."""
+    none = F.lit(-1)
+
+    def step(acc: Column, x: Column) -> Column:
+        upto = acc["upto"] + F.length(x)
+        hit = (acc["upto"] < end) & (upto > start)
+        return F.struct(upto.alias("upto"), (acc["k"] + 1).alias("k"), F.when(hit & (acc["first"] < 0), acc["k"]).otherwise(acc["first"]).alias("first"), F.when(hit, acc["k"]).otherwise(acc["last"]).alias("last"))
+
+    # Items that a range touches stand side by side, so the first and the last of them are enough.
+    seen = F.aggregate(items, F.struct(F.lit(0).alias("upto"), F.lit(0).alias("k"), none.alias("first"), none.alias("last")), step)
+    return let(seen, lambda s: F.when(s["first"] >= 0, F.sequence(s["first"], s["last"])).otherwise(F.array().cast("array<int>")))
+
+
 def match_key(text: Column) -> Column:
     """Line without heading, bullet and quote marks, decoration and white space."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^#{1,6}\s*", "")

@@ -121,14 +121,6 @@ def chunk_ends(spark, d):
     return table(spark, d, "chunks").select("chunk_id", F.coalesce(after - 1, "line_end").alias("end_line"))
 
 
-@query("agg16_rider_names", """WITH k AS (SELECT stem, regexp_replace(regexp_replace(rider_name, '\\s+', '', 'g'), '약관$', '') AS key, rider_name_source FROM chunks WHERE rider_name IS NOT NULL)
-  SELECT stem, count(DISTINCT key) AS n_names, count(*) FILTER (rider_name_source = 'fallback') AS n_fallback, count(*) FILTER (regexp_matches(key, '다\\.?$')) AS n_suspicious FROM k GROUP BY stem""")
-def rider_names(spark, d):
-    key = F.regexp_replace(F.regexp_replace("rider_name", r"\s+", ""), "약관$", "")
-    rows = table(spark, d, "chunks").where("rider_name is not null").select("stem", key.alias("key"), "rider_name_source")
-    return rows.groupBy("stem").agg(F.countDistinct("key").alias("n_names"), F.count_if(F.col("rider_name_source") == "fallback").alias("n_fallback"), F.count_if(F.col("key").rlike(r"다\.?$")).alias("n_suspicious"))
-
-
 @query("agg17_heading_coverage", f"""WITH {LINE_SQL}, c AS (SELECT doc_id, count(*) FILTER (starts_with(line, '### ')) AS candidates,
     count(*) FILTER (regexp_matches(line, '^###\\s*제\\s*\\p{{Nd}}+(?:-\\p{{Nd}}+)?\\s*조(?:\\s*의\\s*\\p{{Nd}}+)?\\s*\\((?:[^()]|\\([^()]*\\))*\\)\\s*$')) AS matched FROM ln GROUP BY doc_id)
   SELECT doc_id, candidates, matched, candidates - matched AS missed FROM c WHERE candidates > 0""")
@@ -212,3 +204,44 @@ def contents_entries(spark, d):
     lines = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda x, i: F.concat(entry(x, i), F.lit(" "), (i % 900 + 1).cast("string")))
     text = F.concat(F.lit("앞\n상품 목차\n주계약\nG"), "stem", F.lit(" 1\n특약 ※ 안내\n"), F.array_join(lines, "\n"))
     return K.contents_entries(first.join(names, "stem", "left").select("doc_id", text.alias("text")))
+
+
+RIDER_KEY_SQL = "translate(regexp_replace(regexp_replace(regexp_replace({}, '^\\s*#*', ''), '\\s+', '', 'g'), '약관$', ''), '∙ㆍ•‧·', '')"
+
+
+@query("agg16_rider_names", f"""WITH s AS (SELECT stem, section_index, arg_min(rider_type, chunk_id) AS rider_type, arg_min(coalesce(rider_name, section_label, ''), chunk_id) AS name, arg_min(coalesce(rider_name_source, ''), chunk_id) AS source FROM chunks WHERE section_index IS NOT NULL GROUP BY ALL),
+  r AS (SELECT stem, count(*) FILTER (rider_type IS DISTINCT FROM 'appendix') AS n_sections, count(*) FILTER (rider_type = 'appendix') AS n_appendix, count(*) FILTER (rider_type IS DISTINCT FROM 'appendix' AND source = 'fallback') AS n_fallback,
+    count(*) FILTER (rider_type IS DISTINCT FROM 'appendix' AND source <> 'fallback' AND coalesce(rider_type, 'rider') <> 'main' AND (trim(name) = '' OR regexp_matches(trim(name), '^[-#※·|]') OR length(trim(name)) > 90 OR regexp_matches(trim(name), '(?:다\\.|니다)$') OR NOT contains(name, '특약'))) AS n_suspicious FROM s GROUP BY stem),
+  f AS (SELECT DISTINCT stem, {RIDER_KEY_SQL.format("name")} AS k FROM s WHERE rider_type IS DISTINCT FROM 'appendix' AND section_index > (SELECT min(section_index) FROM s x WHERE x.stem = s.stem AND x.rider_type IS DISTINCT FROM 'appendix')),
+  e AS (SELECT DISTINCT stem, {RIDER_KEY_SQL.format("source_section")} AS k FROM nodes WHERE source_section <> ''),
+  c AS (SELECT coalesce(e.stem, f.stem) AS stem, count(*) FILTER (e.k IS NOT NULL AND f.k IS NOT NULL) AS matched, count(*) FILTER (f.k IS NULL) AS missing, count(*) FILTER (e.k IS NULL) AS extra FROM e FULL JOIN f ON e.stem = f.stem AND e.k = f.k GROUP BY 1)
+  SELECT r.stem, n_sections, n_appendix, n_fallback, n_suspicious, c.matched, c.missing, c.extra FROM r LEFT JOIN c ON c.stem = r.stem AND r.stem IN (SELECT stem FROM e)""")
+def rider_names(spark, d):
+    """Delivered sections scored against contents made of the sections that nodes name."""
+    first = F.struct("rider_type", F.coalesce("rider_name", "section_label", F.lit("")).alias("name"), F.coalesce("rider_name_source", F.lit("")).alias("rider_name_source"))
+    sections = table(spark, d, "chunks").where("section_index is not null").groupBy("stem", "section_index").agg(F.min_by(first, "chunk_id").alias("s")).select("stem", "section_index", "s.*")
+    named = table(spark, d, "nodes").where("source_section <> ''").select("stem", F.col("source_section").alias("name")).distinct()
+    entries = named.select("stem", F.lit("rider").alias("kind"), "name").union(named.select("stem", F.lit("main"), F.lit("main")).distinct())
+    riders, contents = K.rider_scores(sections, entries, "stem")
+    return riders.join(contents, "stem", "left")
+
+
+@query("str26_quote_pages", f"""WITH {PAGED_SQL}, q AS (SELECT quote_id, chunk_id, 1 + length(left(text, strpos(text, quote) - 1)) - length(replace(left(text, strpos(text, quote) - 1), chr(10), '')) AS k FROM goldenset JOIN chunks USING (chunk_id) WHERE quote <> '' AND strpos(text, quote) > 0)
+  SELECT quote_id, page FROM q JOIN lp ON lp.chunk_id = q.chunk_id AND lp.line_no = 2 * k - 1""")
+def quote_pages(spark, d):
+    """The page on which a quote begins."""
+    texts = table(spark, d, "chunks").select("chunk_id", "text")
+    q = table(spark, d, "goldenset").where("quote <> ''").join(texts, "chunk_id").select("quote_id", "chunk_id", T.line_span(F.col("text"), F.col("quote")).alias("s")).where("s is not null")
+    return q.select("quote_id", "chunk_id", (2 * F.col("s.line_start") - 1).alias("line_no")).join(_paged(spark, d), ["chunk_id", "line_no"]).select("quote_id", "page")
+
+
+@query("str26_quote_items", """WITH q AS (SELECT quote_id, text, strpos(text, quote) - 1 AS s, strpos(text, quote) - 1 + length(quote) AS e FROM goldenset JOIN chunks USING (chunk_id) WHERE quote <> '' AND strpos(text, quote) > 0),
+  i AS (SELECT quote_id, s, e, generate_subscripts(string_split(text, ' '), 1) - 1 AS k, unnest(string_split(text, ' ')) AS item FROM q), o AS (SELECT *, sum(length(item)) OVER (PARTITION BY quote_id ORDER BY k) AS upto FROM i)
+  SELECT quote_id, min(k) AS first_item, max(k) AS last_item, count(*) AS n FROM o WHERE upto - length(item) < e AND upto > s GROUP BY quote_id""")
+def quote_items(spark, d):
+    """The pieces of a text, laid end to end without blanks, that a range of it touches."""
+    texts = table(spark, d, "chunks").select("chunk_id", "text")
+    q = table(spark, d, "goldenset").where("quote <> ''").join(texts, "chunk_id").withColumn("at", T.find(F.col("text"), F.col("quote"))).where("at is not null")
+    hit = T.items_in_range(F.split("text", " "), F.col("at"), F.col("at") + F.length("quote"))
+    rows = q.select("quote_id", hit.alias("h")).where("size(h) > 0")
+    return rows.select("quote_id", F.array_min("h").cast("long").alias("first_item"), F.array_max("h").cast("long").alias("last_item"), F.size("h").cast("long").alias("n"))

@@ -46,6 +46,11 @@ def test_lines_and_cells(spark):
     assert one(spark, T.markdown_lines(F.col("t")), t="") == [] and one(spark, T.markdown_lines(F.col("t")), t="3\n\n4") == []
 
 
+def test_items_of_a_range(spark):
+    items = spark.createDataFrame([(["ab", "", "cde", "f"], 1, 3), (["ab", "", "cde", "f"], 2, 5), (["ab"], 5, 6), ([], 0, 1), (["", "a", ""], 0, 9)], "i array<string>, s int, e int")
+    assert [r[0] for r in items.select(T.items_in_range(F.col("i"), F.col("s"), F.col("e"))).collect()] == [[0, 1, 2], [2], [], [], [1, 2]]
+
+
 def test_name_key_and_cosine(spark):
     assert one(spark, T.name_key(F.col("t")), t="ＡＢ（１）") == "ab(1)"
     assert one(spark, cosine(F.col("a"), F.col("b")), a=[1.0, 0.0], b=[0.0, 0.0]) == 0.0
