@@ -130,6 +130,8 @@ def best_bundles(rows: DataFrame, group: list[str], number: str, confidence: str
     rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for x in ("HIGH", 3, "MEDIUM", 2, "LOW", 1))), F.upper(F.trim(F.col(confidence)))), F.lit(0))
     base = rows.withColumn("no_", F.col(number)).withColumn("rank_", rank).withColumn("when_", F.col(time).cast("timestamp_ntz"))
     base = base.select(*dict.fromkeys([*group, "no_", "rank_", "when_", *(f for b in bundles for f in b.fields)]))
+    if rules:
+        base = C.cut(base)  # read twice
     names = [b.name for b in bundles]
     index = [(names.index(x), names.index(y)) for x, y in rules]
     root = base.groupBy(*group).agg(F.min("no_").alias("group_no"), F.count("*").alias("n_"), *(F.max(b.trust()).alias(f"best_{b.name}") for b in bundles)).where("n_ > 1")
