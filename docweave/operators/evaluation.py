@@ -122,7 +122,7 @@ def _text_keys(text: str, short: list[int]) -> np.ndarray:
 
 
 def containing_texts(parts: DataFrame, texts: DataFrame, scope: str) -> DataFrame:
-    """part_id, text_id of texts that hold a part (scope, part_id, part; scope, text_id, text) of their scope.
+    """part_id, text_id, at (from 0, the first place) of texts that hold a part (scope, part_id, part; scope, text_id, text) of their scope.
 
     A part is filed under the least hash of its first grams, a text under the least of every window of as many grams, so
     a text that holds a part shares its key; a seventh of a text's grams are keys. Parts shorter than a window are filed
@@ -149,7 +149,20 @@ def containing_texts(parts: DataFrame, texts: DataFrame, scope: str) -> DataFram
     b = own.join(known.select("scope").distinct(), "scope", "left_semi").join(short, "scope", "left").mapInArrow(held, "scope string, text_id long, key long")
     near = a.join(b, ["scope", "key"]).select("part_id", "text_id").distinct()
     met = near.join(known.select("part_id", "part"), "part_id").join(own.select("text_id", "text"), "text_id")
-    return met.where(F.contains("text", "part")).select("part_id", "text_id").distinct()
+    return met.withColumn("at", T.find(F.col("text"), F.col("part"))).where("at is not null").select("part_id", "text_id", "at").distinct()
+
+
+def anchored(quotes: DataFrame, texts: DataFrame, scope: str) -> DataFrame:
+    """quotes with start and end in their document, the first place where the quote stands; null where it is in none of the document's texts.
+
+    quotes: scope, quote; texts: scope, text_id, text, base (the place of the text in the document). A quote is looked up
+    once however many rows have it; one that runs over the end of a text is not found.
+    """
+    once = quotes.where(F.length("quote") > 0).select(scope, "quote").distinct().withColumn("part_id", F.xxhash64(scope, "quote"))
+    found = containing_texts(once.select(scope, "part_id", F.col("quote").alias("part")), texts.select(scope, "text_id", "text"), scope)
+    first = found.join(texts.select("text_id", "base"), "text_id").groupBy("part_id").agg(F.min(F.col("base") + F.col("at")).alias("start"))
+    placed = quotes.withColumn("part_id", F.xxhash64(scope, "quote")).join(first, "part_id", "left").drop("part_id")
+    return placed.withColumn("end", F.col("start") + F.length("quote"))
 
 
 def answer_facts(facts: Column, answer: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import refinement as R
 from ..operators import rewriting as W
@@ -66,16 +67,6 @@ def known_sections(spark, d):
     return _cited(spark, d).where(F.array_contains(W.section_labels(text), F.col("source_section"))).select("node_no", "source_section")
 
 
-@query("flt13_document_offsets", """WITH o AS (SELECT chunk_id, text, coalesce(sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY stem ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM chunks)
-  SELECT node_no, CAST(base + strpos(text, evidence_text) - 1 AS BIGINT) AS start_at, CAST(base + strpos(text, evidence_text) - 1 + length(evidence_text) AS BIGINT) AS end_at
-  FROM nodes JOIN o USING (chunk_id) WHERE evidence_text <> '' AND strpos(text, evidence_text) > 0""")
-def document_offsets(spark, d):
-    sized = table(spark, d, "chunks").select("chunk_id", "stem", (F.length(F.coalesce("text", F.lit(""))) + 2).alias("n"))
-    bases = sums_before(sized, "stem", "chunk_id", "n", "base").select("chunk_id", "base")
-    found = _cited(spark, d).withColumn("s", W.evidence_span(F.col("evidence_text"), F.col("text"))).where("s is not null").select("node_no", "chunk_id", "s")
-    return found.join(bases, "chunk_id").select("node_no", (F.col("base") + F.col("s.start")).alias("start_at"), (F.col("base") + F.col("s.end")).alias("end_at"))
-
-
 MERGE_SQL = """kept AS (SELECT stem, version, type, label, arg_min(id, node_no) AS kept_id, min(node_no) AS node_no FROM nodes GROUP BY ALL),
   idm AS (SELECT n.stem, n.version, n.id, arg_max(k.kept_id, n.node_no) AS kept_id FROM nodes n JOIN kept k ON n.stem = k.stem AND n.version = k.version
     AND n.type IS NOT DISTINCT FROM k.type AND n.label IS NOT DISTINCT FROM k.label GROUP BY ALL)"""
@@ -252,3 +243,16 @@ def lenient_replies(spark, d):
     fenced = F.concat(F.lit("```json\n"), F.coalesce("props", F.lit("nothing")), F.lit(" and more\n```"))
     got = parsed_replies(table(spark, d, "events").select("event_id", fenced.alias("reply")), "event_id", ("k",))
     return got.select("event_id", F.get_json_object("value", "$.k").cast("long").alias("k"), F.col("error").isNotNull().alias("malformed"))
+
+
+@query("flt13_document_offsets", """WITH o AS (SELECT stem, chunk_id, text, coalesce(sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY stem ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM chunks),
+  e AS (SELECT DISTINCT stem, evidence_text FROM nodes WHERE evidence_text <> ''), f AS (SELECT e.stem, evidence_text, min(base + strpos(text, evidence_text) - 1) AS start_at FROM e JOIN o ON o.stem = e.stem AND contains(text, evidence_text) GROUP BY ALL)
+  SELECT node_no, CAST(start_at AS BIGINT) AS start_at, CAST(start_at + length(evidence_text) AS BIGINT) AS end_at FROM nodes LEFT JOIN f USING (stem, evidence_text) WHERE evidence_text <> ''""")
+def document_offsets(spark, d):
+    """Every quoted wording at its first place in the document; one that is nowhere keeps its text and loses its offsets."""
+    chunks = table(spark, d, "chunks")
+    sized = chunks.select("chunk_id", "stem", (F.length(F.coalesce("text", F.lit(""))) + 2).alias("n"))
+    bases = sums_before(sized, "stem", "chunk_id", "n", "base").select(F.col("chunk_id").alias("text_id"), "base")
+    texts = chunks.select("stem", F.col("chunk_id").alias("text_id"), "text").join(bases, "text_id")
+    quotes = table(spark, d, "nodes").where("evidence_text <> ''").select("node_no", "stem", F.col("evidence_text").alias("quote"))
+    return E.anchored(quotes, texts, "stem").select("node_no", F.col("start").alias("start_at"), F.col("end").alias("end_at"))

@@ -71,3 +71,10 @@ def test_replies_and_ordered_map(spark):
     assert got[2] == ('{"a": {"b": [1]}}', True) and not any(got[k][1] for k in (3, 4, 5))
     items = spark.createDataFrame([(k, "x" * (k % 4)) for k in range(20)], "k long, t string")
     assert {r.k: r.reply for r in M.map_concurrently(items, "k", "t", lambda t: str(len(t)), at_once=2).collect()} == {k: str(k % 4) for k in range(20)}
+
+
+def test_quotes_are_anchored_at_their_first_place(spark):
+    texts = spark.createDataFrame([("d", 1, "abc", 0), ("d", 2, "xx the quote", 5), ("d", 3, "the quote", 19), ("e", 4, "the quote", 0)], "stem string, text_id long, text string, base long")
+    quotes = spark.createDataFrame([(1, "d", "the quote"), (2, "d", "the quote"), (3, "d", "nowhere"), (4, "e", "quote"), (5, "d", ""), (6, "d", None)], "k int, stem string, quote string")
+    got = {r.k: (r.start, r.end) for r in E.anchored(quotes, texts, "stem").collect()}
+    assert got[1] == got[2] == (8, 17) and got[3] == (None, None) and got[4] == (4, 9) and got[5][0] is None and got[6] == (None, None)
