@@ -233,7 +233,9 @@ def golden_summary(spark, d):
 
 
 @query("agg18_probe_summary", f"""WITH {READINGS_SQL}, miss AS (SELECT question_id FROM sc WHERE reading = 'strict' AND outcome = 'extraction_miss'),
-  again AS (SELECT s.question_id, avg(CAST(coalesce(strpos(c.text, g.quote), 0) > 0 AND length(g.quote) % 2 = 0 AS INT)) AS recall FROM miss s JOIN goldenset g ON g.stem || '/' || g.id = s.question_id JOIN q USING (quote_id) JOIN chunks c ON c.chunk_id = g.chunk_id GROUP BY s.question_id)
+  f AS (SELECT chunk_id, s, e FROM q WHERE (e - s) % 2 = 0),
+  again AS (SELECT x.question_id, avg(CAST(EXISTS (SELECT 1 FROM f WHERE f.chunk_id = q.chunk_id AND least(f.e, q.e) > greatest(f.s, q.s) AND 2 * (least(f.e, q.e) - greatest(f.s, q.s)) >= least(f.e - f.s, q.e - q.s)) AS INT)) AS recall
+    FROM miss x JOIN goldenset g ON g.stem || '/' || g.id = x.question_id JOIN q USING (quote_id) GROUP BY x.question_id)
   SELECT count(*) AS probed, count(*) FILTER (recall >= 0.5) AS recovered, count(*) FILTER (recall < 0.5) AS still_missed, count(*) FILTER (recall IS NULL) AS not_locatable FROM miss LEFT JOIN again USING (question_id)""")
 def probe_summary(spark, d):
     """Questions missed in extraction asked of their chunks alone by a deterministic second extraction, which cites passages of even length."""
