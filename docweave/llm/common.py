@@ -38,6 +38,22 @@ def pairs_within(rows: DataFrame, keys: list[str], value: str, block: int = 1000
     return one.join(two, [*keys, "salt_"]).where("a < b").select(*keys, "a", "b")
 
 
+SKETCH_BITS = 24
+
+
+def likely_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows whose `column` is among ids (one column of that name), and few others: for use before an exact join.
+
+    The ids are hashed into a bitmap of 2 ** SKETCH_BITS bits, at most 2 ** (SKETCH_BITS - 6) words of 64, which is
+    broadcast whatever the number of ids. With many more ids than bits it leaves out nothing and costs little.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(1 << SKETCH_BITS))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    words = ids.select(word.alias("word_"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_"))
+    marked = rows.withColumn("word_", word).join(F.broadcast(words), "word_")
+    return marked.where(F.getbit("bits_", bit) == 1).select(rows.columns)
+
+
 def compact(text: str) -> str:
     """Compatibility form without white space."""
     return "".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split())

@@ -411,7 +411,8 @@ def near_duplicate_texts(records: DataFrame, share: float = SHARE, radius: int =
     shards = bands.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("shard"), "id")
     pairs = C.cut(range_pairs(shards, single.select("id", *words), radius, far, one_hamming, hamming_metric, _prints, cap, also=agree))
     # One of the two texts travels to the other; equal ids of repeated rows are one record.
-    once = texts.dropDuplicates(["id"])
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    once = C.likely_in(texts, paired, "id").dropDuplicates(["id"])
     links = (
         pairs.join(once.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(once.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")

@@ -145,3 +145,10 @@ def test_short_runs_alike_by_chance_are_no_copy():
     one, two = ("".join(rng.choice(stock) for _ in range(60)) for _ in range(2))
     a, b = C.code_points(one), C.code_points(two)
     assert N.covered(a, b, N.RUN) > N.SHARE and N.covered(a, b, N.LONG_RUN) < N.LONG_SHARE
+
+
+def test_sketch_keeps_all_that_is_asked_for(spark):
+    rows, ids = spark.range(5000), spark.range(0, 5000, 7)
+    got = {r.id for r in C.likely_in(rows, ids, "id").collect()}
+    assert set(range(0, 5000, 7)) <= got and len(got) < 800
+    assert C.likely_in(rows, ids.limit(0), "id").isEmpty()
