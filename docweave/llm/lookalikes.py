@@ -69,7 +69,9 @@ def _normalized(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterat
 
 def _found_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     con = _connection()
-    test = f"""SELECT rec_kind, rec_id FROM (SELECT rec_kind, rec_id, {normalizing_sql("quote")} AS q, {normalizing_sql("text")} AS t FROM part)
+    # The rows come sorted by chunk, so nearly every text is normalized once, not once a quote.
+    test = f"""WITH texts AS (SELECT chunk_id, text, {normalizing_sql("text")} AS t FROM (SELECT DISTINCT chunk_id, text FROM part))
+        SELECT rec_kind, rec_id FROM (SELECT rec_kind, rec_id, chunk_id, text, {normalizing_sql("quote")} AS q FROM part) JOIN texts USING (chunk_id, text)
         WHERE q <> '' AND contains(t, q)"""
     for batch in batches:
         part = pa.Table.from_batches([batch])
@@ -92,5 +94,5 @@ def found_only_alike(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     """rec_kind, rec_id of quotes that are no substring of their chunk's text but look the same as one."""
     wanted = quotes.select("rec_kind", "rec_id", "chunk_id", "quote").where((F.length("quote") > 0) & F.col("chunk_id").isNotNull())
     texts = chunks.select("chunk_id", "text").where(F.length("text") > 0)
-    missed = wanted.join(texts, "chunk_id").where(~F.contains("text", "quote")).select("rec_kind", "rec_id", "quote", "text")
+    missed = wanted.join(texts, "chunk_id").where(~F.contains("text", "quote")).select("rec_kind", "rec_id", "chunk_id", "quote", "text")
     return missed.mapInArrow(_found_again, "rec_kind string, rec_id long").distinct()
