@@ -110,8 +110,8 @@ class GraphStore:
         return self._current("edges", EDGE_SCHEMA)
 
     def _append(self, name: str, rows: DataFrame, write: int) -> None:
-        """Rows sorted by scope, so that a read of one scope skips the files and row groups without it."""
-        rows.withColumn("write_id", F.lit(write).cast("long")).repartition("stem").sortWithinPartitions(*SCOPE).write.mode("append").parquet(self._path(name))
+        """Rows sorted by scope, so that a read of one scope skips the files and row groups without it; a stem with very many rows is split."""
+        rows.withColumn("write_id", F.lit(write).cast("long")).hint("rebalance", "stem").sortWithinPartitions(*SCOPE).write.mode("append").parquet(self._path(name))
 
     def _mark(self, heads: DataFrame) -> None:
         """The commit: readers see a write once its markers are there."""
