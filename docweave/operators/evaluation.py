@@ -284,3 +284,18 @@ def scoring_report(scored: DataFrame) -> DataFrame:
     recall = F.when(F.col("recall").isNull(), "-").otherwise(F.format_string("%.2f", F.col("recall")))
     each = scored.select(F.lit("question"), "question_id", F.concat_ws(" ", "outcome", recall))
     return outcomes.select("part", "name", share.alias("line")).union(kinds).union(each)
+
+
+#: What each stage of an evaluation needs of a document.
+STAGE_NEEDS = {"generate": ("text",), "schema": ("text", "chunks"), "reextract": ("chunks", "graph", "active version"), "score": ("text", "golden set", "graph")}
+
+
+def readiness(stems: DataFrame, held: dict[str, DataFrame]) -> DataFrame:
+    """stem, stage, problem: what is missing of each document for each stage. held: for each need the stems that have it."""
+    has = None
+    for need, rows in held.items():
+        own = rows.select("stem", F.lit(need).alias("need")).distinct()
+        has = own if has is None else has.union(own)
+    wanted = F.explode(F.array(*(F.struct(F.lit(stage).alias("stage"), F.lit(n).alias("need")) for stage, needs in STAGE_NEEDS.items() for n in needs))).alias("w")
+    due = stems.select("stem").distinct().select("stem", wanted).select("stem", "w.stage", "w.need")
+    return due.join(has, ["stem", "need"], "left_anti").select("stem", "stage", F.concat(F.lit("no "), "need").alias("problem"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as E
 from .registry import query, table
 
 CALLS_SQL = "calls AS (SELECT event_id, ts, event_type AS operation, 'm' || (user_id % 3) AS model, value AS seconds, CASE WHEN event_type = 'error' THEN 'failed' END AS error, user_id AS tokens FROM events)"
@@ -55,15 +56,6 @@ def output_ceilings(spark, d):
     return calls_of(spark, d).select("model", "operation").distinct().join(m, "model").join(o, "operation").select("model", "operation", F.least("model_cap", "own_cap").alias("ceiling"))
 
 
-@query("msc03_readiness", """WITH s AS (SELECT DISTINCT stem FROM chunks) SELECT stem, 'no graph' AS problem FROM s WHERE stem NOT IN (SELECT stem FROM nodes) UNION ALL SELECT stem, 'no golden set' FROM s WHERE stem NOT IN (SELECT stem FROM goldenset)
-  UNION ALL SELECT stem, 'no active version' FROM s WHERE stem NOT IN (SELECT stem FROM nodes WHERE version = 2)""")
-def readiness(spark, d):
-    s = table(spark, d, "chunks").select("stem").distinct()
-    missing = lambda df, p: s.join(df.select("stem").distinct(), "stem", "left_anti").withColumn("problem", F.lit(p))
-    n = table(spark, d, "nodes")
-    return missing(n, "no graph").union(missing(table(spark, d, "goldenset"), "no golden set")).union(missing(n.where("version = 2"), "no active version"))
-
-
 @query("flt21_events_since", "SELECT event_id, event_type FROM events WHERE event_id > 500")
 def events_since(spark, d):
     return table(spark, d, "events").where("event_id > 500").select("event_id", "event_type")
@@ -86,3 +78,16 @@ def first_examples(spark, d):
 def table_order(spark, d):
     w = Window.partitionBy("stem").orderBy("line_start", "section_index", "chunk_id")
     return table(spark, d, "chunks").select("chunk_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("msc03_readiness", """WITH c AS (SELECT DISTINCT stem FROM chunks), t AS (SELECT DISTINCT stem FROM chunks WHERE text <> ''), g AS (SELECT DISTINCT stem FROM nodes), v AS (SELECT DISTINCT stem FROM nodes WHERE version = 2), q AS (SELECT DISTINCT stem FROM goldenset),
+  s AS (SELECT stem FROM c UNION SELECT lower(document_id) || '_raw' FROM samsung_life_term WHERE document_id IS NOT NULL),
+  n AS (SELECT * FROM (VALUES ('generate', 'text'), ('schema', 'text'), ('schema', 'chunks'), ('reextract', 'chunks'), ('reextract', 'graph'), ('reextract', 'active version'), ('score', 'text'), ('score', 'golden set'), ('score', 'graph')) n(stage, need)),
+  h AS (SELECT stem, 'text' AS need FROM t UNION ALL SELECT stem, 'chunks' FROM c UNION ALL SELECT stem, 'graph' FROM g UNION ALL SELECT stem, 'active version' FROM v UNION ALL SELECT stem, 'golden set' FROM q)
+  SELECT stem, stage, 'no ' || need AS problem FROM s CROSS JOIN n ANTI JOIN h USING (stem, need)""")
+def readiness(spark, d):
+    """Documents of the catalogue and of the chunks; the second version counts as the active one."""
+    chunks, nodes = table(spark, d, "chunks"), table(spark, d, "nodes")
+    listed = table(spark, d, "samsung_life_term").where("document_id is not null").select(F.concat(F.lower("document_id"), F.lit("_raw")).alias("stem"))
+    held = {"text": chunks.where("text <> ''"), "chunks": chunks, "graph": nodes, "active version": nodes.where("version = 2"), "golden set": table(spark, d, "goldenset")}
+    return E.readiness(chunks.select("stem").union(listed), held)

@@ -78,3 +78,10 @@ def test_quotes_are_anchored_at_their_first_place(spark):
     quotes = spark.createDataFrame([(1, "d", "the quote"), (2, "d", "the quote"), (3, "d", "nowhere"), (4, "e", "quote"), (5, "d", ""), (6, "d", None)], "k int, stem string, quote string")
     got = {r.k: (r.start, r.end) for r in E.anchored(quotes, texts, "stem").collect()}
     assert got[1] == got[2] == (8, 17) and got[3] == (None, None) and got[4] == (4, 9) and got[5][0] is None and got[6] == (None, None)
+
+
+def test_readiness_by_stage(spark):
+    stems = lambda *x: spark.createDataFrame([(s,) for s in x], "stem string")
+    held = {"text": stems("a", "b"), "chunks": stems("a"), "graph": stems("a"), "active version": stems(), "golden set": stems("a")}
+    got = {(r.stem, r.stage, r.problem) for r in E.readiness(stems("a", "b", "b"), held).collect()}
+    assert got == {("a", "reextract", "no active version"), ("b", "schema", "no chunks"), ("b", "reextract", "no chunks"), ("b", "reextract", "no graph"), ("b", "reextract", "no active version"), ("b", "score", "no golden set"), ("b", "score", "no graph")}
