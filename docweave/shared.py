@@ -14,21 +14,23 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
+_marked: set[str] = set()
+
+
 def base_folder(spark: SparkSession) -> str:
-    """The folder of this application's checkpoints."""
+    """The folder of this application's checkpoints, one of its own within the folder that was set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docweave-"))
-        _delete_at_end(spark, sc._jsc.sc().getCheckpointDir().get())
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _delete_at_end(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    folder = sc._jsc.sc().getCheckpointDir().get()
+    if folder not in _marked:
+        _marked.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
