@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import dot, unit
+from .spreading import sums_before
 
 OUTCOMES = ("hit", "retrieval_miss", "extraction_miss", "unanswerable", "unscorable")
 HIT = 0.5
 PART_GRAM, PART_WINDOW = 12, 13
 BUCKET = 512
+#: Characters of a document in one group of held_quotes at least, and those looked through at once.
+ROOM, WINDOW = 1 << 20, 1 << 16
+#: Quotes that are looked for one by one: up to so many at a time, and all that are longer.
+FEW, LONG = 48, 4096
 
 
 def evidence_span(text: Column, quote: Column, line_start: Column, line_end: Column) -> Column:
@@ -152,6 +157,144 @@ def containing_texts(parts: DataFrame, texts: DataFrame, scope: str) -> DataFram
     return met.withColumn("at", T.find(F.col("text"), F.col("part"))).where("at is not null").select("part_id", "text_id", "at").distinct()
 
 
+def _doubled(text: str) -> Iterator[np.ndarray]:
+    """Hashes of the runs of 1, 2, 4, ... characters at every place."""
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    width = 1
+    while len(h):
+        yield h
+        h = h[:-width] * np.uint64(0xD6E8FEB86659FD93) + h[width:] if len(h) > width else h[:0]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        width *= 2
+
+
+class _Quotes:
+    """Quotes by the hashes of their first and last run of the greatest power of two that fits; together the runs cover the quote."""
+
+    def __init__(self, quotes: list[str]):
+        self.quotes, self.size = quotes, np.array([len(q) for q in quotes])
+        start, level = np.cumsum(self.size) - self.size, np.frexp(self.size)[1] - 1
+        bits = min(22, max(16, 5 + len(quotes).bit_length()))
+        self.shift, self.levels = np.uint64(64 - bits), {}
+        self.last = np.zeros(len(quotes), dtype=np.uint64)
+        for k, h in zip(range(level.max() + 1), _doubled("".join(quotes))):
+            own = np.flatnonzero(level == k)
+            if len(own):
+                self.last[own] = h[start[own] + self.size[own] - (1 << k)]
+                first = h[start[own]]
+                order = np.argsort(first, kind="stable")
+                keys, begin, count = np.unique(first[order], return_index=True, return_counts=True)
+                maybe = np.zeros(1 << bits, dtype=bool)
+                maybe[keys >> self.shift] = True
+                self.levels[k] = maybe, keys, begin, begin + count, own[order]
+
+    def within(self, text: str) -> set[int]:
+        """Numbers of the quotes that stand in the text."""
+        place = np.full(len(self.quotes), -1)
+        for k, h in zip(range(max(self.levels) + 1), _doubled(text)):
+            if k not in self.levels:
+                continue
+            maybe, keys, begin, end, own = self.levels[k]
+            at = np.flatnonzero(maybe[h >> self.shift])
+            i = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+            met = keys[i] == h[at]
+            at, now, stop = at[met], begin[i[met]], end[i[met]]
+            while len(at):
+                q = own[now]
+                tail = at + self.size[q] - (1 << k)
+                fits = np.flatnonzero(tail < len(h))
+                fits = fits[h[tail[fits]] == self.last[q[fits]]]
+                place[q[fits]] = at[fits]
+                more = now + 1 < stop
+                at, now, stop = at[more], now[more] + 1, stop[more]
+        return {i for i in np.flatnonzero(place >= 0).tolist() if text.startswith(self.quotes[i], place[i]) or self.quotes[i] in text}
+
+
+class _Lookup:
+    """Looks for quotes in the pieces of a text, which come in order."""
+
+    def __init__(self):
+        self.short, self.long, self.most, self.held, self.size, self.index = [], [], 0, [], 0, None
+
+    def quote(self, quote: str) -> None:
+        (self.long if len(quote) > LONG else self.short).append(quote)
+        self.most = max(self.most, len(quote))
+
+    def piece(self, text: str) -> list[str]:
+        """The quotes found, of which some may be known only with a later piece."""
+        if not self.short and not self.long:
+            return []
+        self.held.append(text)
+        self.size += len(text) + 2
+        return self.rest() if self.size >= max(WINDOW, 3 * self.most) else []
+
+    def rest(self) -> list[str]:
+        text = "\n\n".join(self.held)
+        found = [q for q in self.long if q in text]
+        if len(self.short) <= FEW:
+            found += [q for q in self.short if q in text]
+        else:
+            for at in range(0, len(text), WINDOW):
+                if self.index is None or 2 * len(self.short) < len(self.index.quotes):
+                    self.index = _Quotes(self.short)
+                met = {self.index.quotes[i] for i in self.index.within(text[at : at + WINDOW + LONG])}
+                found += [q for q in self.short if q in met]
+                self.short = [q for q in self.short if q not in met]
+                if not self.short:
+                    break
+        gone = set(found)
+        self.short, self.long = [q for q in self.short if q not in gone], [q for q in self.long if q not in gone]
+        tail = text[max(0, len(text) - self.most + 1) :]
+        self.held, self.size = [tail], len(tail)
+        return found
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """scope, quote of rows in the order of scope, group and place; a group's quotes come before its texts."""
+    group, lookup = None, _Lookup()
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()), pa.array([q for _, q in rows], pa.string())], names=["scope", "quote"])
+    for b in batches:
+        out = []
+        for scope, part, at, text in zip(*(b.column(c).to_pylist() for c in ("scope", "group", "at", "text"))):
+            if (scope, part) != group:
+                out += [(group[0], q) for q in lookup.rest()] if group else []
+                group, lookup = (scope, part), _Lookup()
+            if at < 0:
+                lookup.quote(text)
+            else:
+                out += [(scope, q) for q in lookup.piece(text)]
+        yield batch(out)
+    if group:
+        yield batch([(group[0], q) for q in lookup.rest()])
+
+
+def held_quotes(quotes: DataFrame, texts: DataFrame, scope: str, order: str, room: int = ROOM) -> DataFrame:
+    """scope, quote, once each: quotes (scope, quote) that stand in the text of their scope, also over the ends of its parts.
+
+    texts: scope, order, text; a scope's text is its parts in order (null last, equal ones by text) with an empty line
+    between them. It is laid over groups of at least `room` characters, four times those of its quotes or its longest part,
+    which overlap by the longest quote; each has all quotes of the scope and looks for all of them at once. So neither is a
+    whole text in one row or task, nor is it read once a quote.
+    """
+    place = F.coalesce(F.col(order).cast("long"), F.lit((1 << 63) - 1)).alias("place")
+    parts = texts.where(F.col(scope).isNotNull()).select(F.col(scope).alias("scope"), place, F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text") + F.lit(2).cast("long"))
+    sizes = parts.groupBy("scope", "place").agg(F.sum("n").alias("n"), F.max("n").alias("longest"))
+    whole = sizes.groupBy("scope").agg(F.sum("n").alias("whole"), F.max("longest").alias("longest"))
+    sought = quotes.where(F.length("quote") > 0).select(F.col(scope).alias("scope"), "quote").distinct()
+    limits = sought.join(whole, "scope").where(F.length("quote") <= F.col("whole")).groupBy("scope").agg(F.max(F.length("quote")).alias("most"), F.sum(F.length("quote")).alias("chars"), F.max("whole").alias("whole"), F.max("longest").alias("longest"))
+    limits = limits.select("scope", "most", "whole", F.greatest(F.lit(room), 4 * F.col("chars"), "longest").alias("span"))
+    bases = sums_before(sizes.select("scope", "place", "n"), "scope", "place", "n", "base").select("scope", "place", "base").join(limits.select("scope", "most", "span"), "scope")
+    before = Window.partitionBy("scope", "place").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(bases, ["scope", "place"]).withColumn("at", F.col("base") + F.col("before"))
+    groups = F.sequence(F.floor(F.greatest(F.col("at") - F.col("most") + 1, F.lit(0)) / F.col("span")), F.floor((F.col("at") + F.col("n") - 1) / F.col("span")))
+    laid = placed.select("scope", F.explode(groups).alias("group"), "at", "text")
+    every = F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") - 1) / F.col("span")))
+    copied = sought.join(limits, "scope").where(F.length("quote") <= F.col("whole")).select("scope", F.explode(every).alias("group"), F.lit(-1).cast("long").alias("at"), F.col("quote").alias("text"))
+    rows = laid.union(copied).repartition("scope", "group").sortWithinPartitions("scope", "group", "at")
+    return rows.mapInArrow(_looked_up, "scope string, quote string").distinct().withColumnRenamed("scope", scope)
+
+
 def anchored(quotes: DataFrame, texts: DataFrame, scope: str) -> DataFrame:
     """quotes with start and end in their document, the first place where the quote stands; null where it is in none of the document's texts.
 

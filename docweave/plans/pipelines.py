@@ -81,7 +81,7 @@ def golden_sets(questions: DataFrame, answers: DataFrame, documents: DataFrame,
     """stem, new_id, question, question_type, answer, answerable, evidence: golden sets out of generated questions and answers.
 
     questions: stem, position, id, question, question_type; answers: stem, id, seq, answer, answerable, quote; documents:
-    stem, text; expected: stem, n. Questions that are wrong in number, text or kind raise, as do answers for other
+    stem, text, or parts of it in the order of `part` with an empty line between them; expected: stem, n. Questions that are wrong in number, text or kind raise, as do answers for other
     questions. Quotes that are not in the document go; an answer without one left is not answerable. Questions equal up
     to case and spaces are one, and ids are given anew.
     """
@@ -89,7 +89,9 @@ def golden_sets(questions: DataFrame, answers: DataFrame, documents: DataFrame,
     if wrong:
         raise ValueError(f"questions of {wrong[0].stem}: {wrong[0].problem}")
     told = E.matched_answers(questions, answers, ["stem", "id"], "seq")
-    checked = told.join(documents, "stem", "left").withColumn("evidence", F.when(F.coalesce(F.contains("text", "quote") & (F.col("quote") != ""), F.lit(False)), F.col("quote")))
+    parts = documents if "part" in documents.columns else documents.withColumn("part", F.lit(0))
+    held = E.held_quotes(answers, parts, "stem", "part").withColumn("held", F.lit(True))
+    checked = told.join(held, ["stem", "quote"], "left").withColumn("evidence", F.when(F.col("held"), F.col("quote")))
     checked = checked.withColumn("answerable", F.coalesce(F.col("answerable"), F.lit(False)) & F.col("evidence").isNotNull())
     rows = checked.select("stem", "position", "question", "question_type", "answer", "answerable", "evidence")
     return E.renumbered(rows, ["stem"], "position").select("stem", "new_id", "question", "question_type", "answer", "answerable", "evidence")

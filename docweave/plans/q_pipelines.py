@@ -186,8 +186,7 @@ def golden_sets(spark, d):
     kind = F.when(F.col("question_type").isin(*E.QUESTION_TYPES), F.col("question_type")).otherwise("entity")
     questions = g.select("stem", F.col("quote_id").alias("position"), F.col("quote_id").cast("string").alias("id"), "question", kind.alias("question_type"))
     answers = g.select("stem", F.col("quote_id").cast("string").alias("id"), F.lit(0).alias("seq"), "answer", "answerable", "quote")
-    part = F.struct("chunk_id", F.coalesce("text", F.lit("")).alias("t"))
-    documents = table(spark, d, "chunks").groupBy("stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("text"))
+    documents = table(spark, d, "chunks").select("stem", F.col("chunk_id").alias("part"), "text")
     made = P.golden_sets(questions, answers, documents, questions.groupBy("stem").agg(F.count("*").alias("n")))
     return made.select("stem", "new_id", "answerable", "evidence")
 

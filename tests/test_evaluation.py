@@ -85,3 +85,35 @@ def test_readiness_by_stage(spark):
     held = {"text": stems("a", "b"), "chunks": stems("a"), "graph": stems("a"), "active version": stems(), "golden set": stems("a")}
     got = {(r.stem, r.stage, r.problem) for r in E.readiness(stems("a", "b", "b"), held).collect()}
     assert got == {("a", "reextract", "no active version"), ("b", "schema", "no chunks"), ("b", "reextract", "no chunks"), ("b", "reextract", "no graph"), ("b", "reextract", "no active version"), ("b", "score", "no golden set"), ("b", "score", "no graph")}
+
+
+def test_held_quotes_against_whole_texts(spark):
+    rng = random.Random(9)
+    noise = lambda n, letters="가나다\n ": "".join(rng.choice(letters) for _ in range(n))
+    parts = [("a", k * 40_000, noise(rng.randrange(120))) for k in range(80)] + [("a", 7, None), ("a", 8, ""), ("a", None, "끝이다"), ("b", 1, noise(9000, "가나다라😀")), ("b", 2, "x"), ("b", 2, "a"), ("c", 1, "text"), (None, 1, "text")]
+    whole = {}
+    for s, _, t in sorted((p for p in parts if p[0]), key=lambda p: (p[0], p[1] is None, p[1] or 0, p[2] or "")):
+        whole[s] = f"{whole[s]}\n\n{t or ''}" if s in whole else t or ""
+    quotes = [("a", whole["a"]), ("a", "x" + whole["a"]), ("a", whole["a"] + "\n"), ("a", "\n" + whole["a"]), ("a", "\n\n끝이다"), ("b", "a\n\nx"), ("b", "x\n\na"), ("b", "\n"), ("b", whole["b"][40:8000]), ("b", whole["b"][40:8000] + "!"), ("c", "text"), ("c", "text\n\n"), ("c", ""), ("c", None), (None, "text"), ("d", "text")]
+    for k in range(1200):
+        s = rng.choice("aab")
+        n = rng.choice((1, 2, 3, 4, 7, 8, 9, 15, 16, 17, 31, 40, 64, 100, 300))
+        at = rng.randrange(len(whole[s]) - n)
+        q = whole[s][at : at + n]
+        quotes.append((s, q if k % 3 else q[: n // 2] + rng.choice("가나다x") + q[n // 2 + 1 :]))
+    want = {(s, q) for s, q in quotes if s and q and q in whole.get(s, "")}
+    q, t = spark.createDataFrame(quotes, "stem string, quote string"), spark.createDataFrame(parts, "stem string, part long, text string")
+    for room in (1, E.ROOM):
+        got = [tuple(r) for r in E.held_quotes(q, t, "stem", "part", room).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    assert E.held_quotes(q, t.where("false"), "stem", "part").isEmpty() and E.held_quotes(q.where("false"), t, "stem", "part").isEmpty()
+
+
+def test_quotes_are_looked_up_by_hashes_and_compared():
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab") for _ in range(3000)) + "a" * 300
+    quotes = list({text[i : i + n] for n in range(1, 130, 3) for i in range(0, 3000, 97)} | {"a" * n for n in range(1, 400)} | {"c", "abc", "b" * 70})
+    assert {quotes[i] for i in E._Quotes(quotes).within(text)} == {q for q in quotes if q in text}
+    index = E._Quotes(["ab", "ba"])
+    index.quotes = ["xx", "ba"]  # the hash of another text
+    assert index.within("ab") == set()
